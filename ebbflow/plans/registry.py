@@ -6,6 +6,7 @@ import importlib
 
 CATALOGS = [
     "ebbflow.plans.catalog_segments",
+    "ebbflow.plans.catalog_evaluate",
 ]
 
 
