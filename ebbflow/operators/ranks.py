@@ -130,3 +130,31 @@ def avg_rank_desc_int(df: DataFrame, c: str, name: str, bounded: bool = False) -
     ranks = distinct_value_ranks(df, c, bounded=bounded, descending=True).select(
         F.col(c).alias("_ar_v"), F.floor(F.col("avg_rank")).cast("long").alias(name))
     return df.join(ranks, df[c] == ranks["_ar_v"], "left").drop("_ar_v")
+
+
+def grouped_prefix_sums(df: DataFrame, by: list[str], order, sums: dict[str, Column],
+                        bounded: bool = False) -> DataFrame:
+    """Running sums within each ``by`` group, in ``order``.
+
+    The range partitioning covers (by…, order), so one large group is spread
+    over several partitions; each group's starting offset is subtracted with a
+    per-group aggregate, so no group is ever collected into one task.
+    """
+    if not by:
+        return prefix_sums(df, order, sums, bounded=bounded)
+    if bounded:
+        w = (Window.partitionBy(*by).orderBy(*_order_exprs(order))
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return df.withColumns({n: F.sum(e).over(w) for n, e in sums.items()})
+    o = [(c, True) for c in by] + list(order)
+    tmp = {f"_gp_in_{i}": e for i, e in enumerate(sums.values())}
+    base = df.withColumns(tmp)
+    cum = prefix_sums(base, o, {f"_gp_all_{i}": F.col(k) for i, k in enumerate(tmp)},
+                      bounded=bounded)
+    start = cum.groupBy(*by).agg(*[
+        F.min(F.col(f"_gp_all_{i}") - F.col(k)).alias(f"_gp_st_{i}") for i, k in enumerate(tmp)])
+    out = cum.join(start, by)
+    out = out.withColumns({n: F.col(f"_gp_all_{i}") - F.col(f"_gp_st_{i}")
+                           for i, n in enumerate(sums)})
+    return out.drop(*tmp, *[f"_gp_all_{i}" for i in range(len(tmp))],
+                    *[f"_gp_st_{i}" for i in range(len(tmp))])

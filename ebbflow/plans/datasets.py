@@ -11,9 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import os
+
 from ebbflow.operators.clean import fill_median
 from ebbflow.operators.features import engineer_features
 from ebbflow.sources import subscriptions as subs
+from ebbflow.session import ensure_checkpoint_dir
 from ebbflow.sources import tables
 
 
@@ -21,13 +24,35 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subs.load(spark, sf_dir)
 
 
-def customers(spark: SparkSession, sf_dir: str, percentiles: bool = False) -> DataFrame:
-    """Cleaned subscriptions with the full phase-one feature set."""
+_MATERIALIZED: dict = {}
+
+
+def build_customers(spark: SparkSession, sf_dir: str, percentiles: bool = False) -> DataFrame:
+    """Cleaned subscriptions with the full phase-one feature set (lazy plan)."""
     s = fill_median(subscriptions(spark, sf_dir), "TotalCharges")
     f = engineer_features(s, percentiles=percentiles)
     return f.withColumn("churn_probability",
                         F.least(F.lit(1.0), F.col("advanced_risk_score") / 20.0))
 
 
+def customers(spark: SparkSession, sf_dir: str, percentiles: bool = False) -> DataFrame:
+    """The feature table, materialised once per application and input folder.
+
+    Many queries start from it, so it is written once with a reliable
+    ``checkpoint`` into the session's checkpoint dir (shared storage on a
+    cluster): lineage is cut, and a lost executor re-reads the files instead of
+    re-running the joins.
+    """
+    sc = spark.sparkContext
+    key = (sc.applicationId, sc.startTime, os.path.abspath(sf_dir), percentiles)
+    hit = _MATERIALIZED.get(key)
+    if hit is not None:
+        return hit
+    ensure_checkpoint_dir(spark)
+    df = build_customers(spark, sf_dir, percentiles).checkpoint(eager=True)
+    _MATERIALIZED[key] = df
+    return df
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "events")

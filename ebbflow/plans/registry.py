@@ -7,6 +7,7 @@ import importlib
 CATALOGS = [
     "ebbflow.plans.catalog_segments",
     "ebbflow.plans.catalog_evaluate",
+    "ebbflow.plans.catalog_stats",
 ]
 
 
