@@ -8,6 +8,7 @@ CATALOGS = [
     "ebbflow.plans.catalog_segments",
     "ebbflow.plans.catalog_evaluate",
     "ebbflow.plans.catalog_stats",
+    "ebbflow.plans.catalog_ops",
 ]
 
 
