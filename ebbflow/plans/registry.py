@@ -9,6 +9,7 @@ CATALOGS = [
     "ebbflow.plans.catalog_evaluate",
     "ebbflow.plans.catalog_stats",
     "ebbflow.plans.catalog_ops",
+    "ebbflow.plans.catalog_events",
 ]
 
 
