@@ -22,6 +22,18 @@ from ebbflow.operators import monitor, scoring
 from ebbflow.session import ensure_checkpoint_dir
 
 
+def _event_time(df: DataFrame, ts: str) -> tuple[DataFrame, bool]:
+    """Watermarks need TIMESTAMP; an NTZ event time is read as a session-zone
+    instant. Returns the frame and whether outputs should be cast back to NTZ."""
+    if dict(df.dtypes).get(ts) == "timestamp_ntz":
+        return df.withColumn(ts, F.col(ts).cast("timestamp")), True
+    return df, False
+
+
+def _out_time(c: F.Column, ntz: bool) -> F.Column:
+    return c.cast("timestamp_ntz") if ntz else c
+
+
 def read_parquet_stream(spark: SparkSession, path: str, schema: T.StructType,
                         max_files: int | None = None) -> DataFrame:
     r = spark.readStream.schema(schema)
@@ -43,11 +55,13 @@ def alerts_stream(preds: DataFrame, ts: str = "event_time", p: str = "churn_prob
                   window: str = "1 day", high: float = 0.6) -> DataFrame:
     """Q2: per tumbling event-time window, high-risk count and MRR at risk."""
     hr = F.col(p) >= high
+    preds, ntz = _event_time(preds, ts)
     return (preds.withWatermark(ts, watermark)
             .groupBy(F.window(F.col(ts), window).alias("w"))
             .agg(F.sum(flag(hr)).cast("long").alias("high_risk"),
                  F.sum(F.when(hr, F.col(cents)).otherwise(0)).alias("_c"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+            .select(_out_time(F.col("w.start"), ntz).alias("window_start"),
+                    _out_time(F.col("w.end"), ntz).alias("window_end"),
                     "high_risk", (F.col("_c").cast("double") / 100).alias("mrr_at_risk")))
 
 
@@ -55,28 +69,33 @@ def activity_stream(events: DataFrame, duration: str = "7 days", slide: str = "1
                     watermark: str = "1 day", user: str = "user_id", ts: str = "ts",
                     value: str = "value") -> DataFrame:
     """Q3: sliding per-user event counts and value under a watermark."""
+    events, ntz = _event_time(events, ts)
     return (events.withWatermark(ts, watermark)
             .groupBy(user, F.window(F.col(ts), duration, slide).alias("w"))
             .agg(F.count(F.lit(1)).alias("events"),
                  F.sum(F.round(F.col(value) * 100).cast("long")).alias("_c"))
-            .select(user, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+            .select(user, _out_time(F.col("w.start"), ntz).alias("window_start"),
+                    _out_time(F.col("w.end"), ntz).alias("window_end"),
                     "events", (F.col("_c").cast("double") / 100).alias("value")))
 
 
 def session_stream(events: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour",
                    user: str = "user_id", ts: str = "ts") -> DataFrame:
     """Q4: per-user sessions by inactivity gap (session windows + watermark)."""
+    events, ntz = _event_time(events, ts)
     return (events.withWatermark(ts, watermark)
             .groupBy(user, F.session_window(F.col(ts), gap).alias("s"))
             .agg(F.count(F.lit(1)).alias("events"))
-            .select(user, F.col("s.start").alias("session_start"),
-                    F.col("s.end").alias("session_end"), "events"))
+            .select(user, _out_time(F.col("s.start"), ntz).alias("session_start"),
+                    _out_time(F.col("s.end"), ntz).alias("session_end"), "events"))
 
 
 def dedupe_events(events: DataFrame, key: str = "event_id", ts: str = "ts",
                   watermark: str = "1 hour") -> DataFrame:
     """Q5: drop re-delivered events by id within the watermark."""
-    return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
+    events, ntz = _event_time(events, ts)
+    out = events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
+    return out.withColumn(ts, _out_time(F.col(ts), ntz))
 
 
 def drift_stream_handler(reference: DataFrame, cols: list[str], out_path: str
