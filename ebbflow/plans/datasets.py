@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 import os
 
-from ebbflow.operators.clean import fill_median
 from ebbflow.operators.features import engineer_features
 from ebbflow.sources import subscriptions as subs
 from ebbflow.session import ensure_checkpoint_dir
@@ -28,9 +27,24 @@ _MATERIALIZED: dict = {}
 
 
 def build_customers(spark: SparkSession, sf_dir: str, percentiles: bool = False) -> DataFrame:
-    """Cleaned subscriptions with the full phase-one feature set (lazy plan)."""
-    s = fill_median(subscriptions(spark, sf_dir), "TotalCharges")
-    f = engineer_features(s, percentiles=percentiles)
+    """Cleaned subscriptions with the full phase-one feature set (lazy plan).
+
+    All table-wide statistics (median of TotalCharges for the fill, quartiles
+    of MonthlyCharges for the charge flags) come from ONE aggregation pass,
+    cross-joined back as a single broadcast row. ``percentile`` keeps a
+    value→count map per group; both inputs are whole cents, so that map is
+    bounded by the range of cent values, not by the number of rows.
+    """
+    s = subscriptions(spark, sf_dir)
+    stats = s.agg(
+        F.percentile("TotalCharges", F.lit(0.5)).alias("_t_med"),
+        F.percentile("MonthlyCharges", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    stats = stats.select("_t_med", F.col("_q")[0].alias("charge_q25"),
+                         F.col("_q")[1].alias("charge_q50"), F.col("_q")[2].alias("charge_q75"))
+    filled = (s.crossJoin(F.broadcast(stats))
+              .withColumn("TotalCharges", F.coalesce("TotalCharges", "_t_med")))
+    f = engineer_features(filled.drop("_t_med", "charge_q25", "charge_q50", "charge_q75"),
+                          stats.drop("_t_med"), percentiles=percentiles)
     return f.withColumn("churn_probability",
                         F.least(F.lit(1.0), F.col("advanced_risk_score") / 20.0))
 

@@ -10,6 +10,7 @@ CATALOGS = [
     "ebbflow.plans.catalog_stats",
     "ebbflow.plans.catalog_ops",
     "ebbflow.plans.catalog_events",
+    "ebbflow.plans.catalog_models",
 ]
 
 
