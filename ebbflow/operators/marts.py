@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ebbflow.functions.columns import TENURE_EDGES_D, TENURE_LABELS_D, bucketize, flag, risk_tier
 from ebbflow.operators.features import SERVICE_COLS
+from ebbflow.operators.ranks import exact_quantiles
 
 
 def mart_kpis(df: DataFrame, p: str = "churn_probability", y: str = "Churn_binary",
@@ -43,8 +44,9 @@ def mart_predictions(df: DataFrame, preds: DataFrame, key: str = "customer_id")
 def mart_prob_summary(df: DataFrame, p: str = "churn_probability") -> DataFrame:
     """Mean, exact median, population std, min, max."""
     x = F.col(p)
-    return df.agg(F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"),
-                  F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    med = exact_quantiles(df, p, [0.5]).select(F.col("quantile").alias("median"))
+    return df.agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"),
+                  F.max(x).alias("max")).crossJoin(med).select("mean", "median", "std", "min", "max")
 
 
 def mart_customers(df: DataFrame, p: str = "churn_probability") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ebbflow.functions.columns import flag
 from ebbflow.functions.stats import ks_p_udf
 from ebbflow.operators.evaluate import roc_auc, threshold_metrics
-from ebbflow.operators.ranks import global_row_number, grouped_prefix_sums
+from ebbflow.operators.ranks import exact_quantiles, global_row_number, grouped_prefix_sums
 
 
 def row_slice_split(df: DataFrame, order, frac: float, first: str = "reference",
@@ -108,14 +108,15 @@ def prediction_distribution(preds: DataFrame, p: str = "churn_probability") -> D
     """Mean, exact median, sample std, min, max and tier shares."""
     x = F.col(p)
     n = F.count(F.lit(1))
+    med = exact_quantiles(preds, p, [0.5]).select(F.col("quantile").alias("median_probability"))
     return preds.agg(
-        F.avg(x).alias("mean_probability"), F.percentile(x, F.lit(0.5)).alias("median_probability"),
+        F.avg(x).alias("mean_probability"),
         F.stddev_samp(x).alias("std_probability"), F.min(x).alias("min_probability"),
         F.max(x).alias("max_probability"),
         (F.sum(flag(x >= 0.6)) * 100).cast("double").alias("_h"),
         (F.sum(flag((x >= 0.3) & (x < 0.6))) * 100).cast("double").alias("_m"),
         (F.sum(flag(x < 0.3)) * 100).cast("double").alias("_l"), n.alias("_n"),
-    ).select("mean_probability", "median_probability", "std_probability", "min_probability",
+    ).crossJoin(med).select("mean_probability", "median_probability", "std_probability", "min_probability",
              "max_probability", (F.col("_h") / F.col("_n")).alias("pct_high_risk"),
              (F.col("_m") / F.col("_n")).alias("pct_medium_risk"),
              (F.col("_l") / F.col("_n")).alias("pct_low_risk"))

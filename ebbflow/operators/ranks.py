@@ -158,3 +158,38 @@ def grouped_prefix_sums(df: DataFrame, by: list[str], order, sums: dict[str, Col
                            for i, n in enumerate(sums)})
     return out.drop(*tmp, *[f"_gp_all_{i}" for i in range(len(tmp))],
                     *[f"_gp_st_{i}" for i in range(len(tmp))])
+
+
+def exact_quantiles(df: DataFrame, c: str, qs: list[float], bounded: bool = False) -> DataFrame:
+    """Exact linear-interpolated quantiles of a column with any number of
+    distinct values, fully distributed: value histogram (partial aggregation) →
+    prefix sums over the distinct values → each target rank is located with a
+    join against the (len(qs)-row, broadcast) target table. Returns one row per
+    requested level: (level, quantile).
+
+    Use this instead of ``percentile`` when the column is continuous: the
+    ``percentile`` aggregate merges a value→count map of all distinct values in
+    one final task.
+    """
+    spark = df.sparkSession
+    counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_cnt"))
+    cum = prefix_sums(counts, [("_v", True)], {"_cum": F.col("_cnt")}, bounded=bounded)
+    n = counts.agg(F.sum("_cnt").alias("_n"))
+    levels = spark.createDataFrame([(float(q),) for q in qs], "level double")
+    tgt = (levels.crossJoin(n)
+           .withColumn("_pos", (F.col("_n") - 1) * F.col("level"))
+           .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos")))
+    before = F.col("_cum") - F.col("_cnt")
+
+    def value_at(k: str, name: str) -> DataFrame:
+        return (cum.join(F.broadcast(tgt.select("level", k)),
+                         (before <= F.col(k)) & (F.col(k) < F.col("_cum")))
+                .select("level", F.col("_v").cast("double").alias(name)))
+
+    lo, hi = value_at("_lo", "_vlo"), value_at("_hi", "_vhi")
+    out = tgt.join(lo, "level").join(hi, "level")
+    frac = F.col("_pos") - F.col("_lo")
+    q = F.when(F.col("_lo") == F.col("_hi"), F.col("_vlo")).otherwise(
+        (F.col("_hi") - F.col("_pos")) * F.col("_vlo") + frac * F.col("_vhi"))
+    return out.select("level", q.alias("quantile"))

@@ -204,3 +204,13 @@ def test_archetype_rule_order(spark):
                                "has_fiber int, fiber_no_security int, tenure int")
     got = [r.archetype for r in archetype_rule(df).collect()]
     assert got == ["Price Refugee", "Early Dropout", "Lifecycle Leaver"]
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    from ebbflow.operators.ranks import exact_quantiles
+    vals = [0.3, 0.1, 0.7, 0.7, 0.2, 0.9, 0.55, 0.1, 0.45]
+    df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "x double")
+    got = {r.level: r.quantile for r in exact_quantiles(df, "x", [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    for q, v in got.items():
+        assert abs(v - float(np.percentile(vals, q * 100))) < 1e-12
