@@ -44,7 +44,7 @@ def q_mi(spark, sf):
 
 
 _casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in MI_FEATURES)
-SQL_MI = on_customers(f"""
+_MI_SELECT = """
 SELECT feature, round(SUM((nxy / n) * ln(CAST(nxy * n AS DOUBLE) / CAST(nx * ny AS DOUBLE))), 9)
          AS mutual_information
 FROM (SELECT feature, b, y, nxy, n,
@@ -56,9 +56,19 @@ FROM (SELECT feature, b, y, nxy, n,
                   FROM long l JOIN (SELECT feature, min(v) AS lo, max(v) AS hi, COUNT(*) AS n
                                     FROM long GROUP BY feature) m ON l.feature = m.feature)
             GROUP BY feature, b, y))
-GROUP BY feature""", f"""
+GROUP BY feature"""
+_MI_LONG = f"""
 long AS (SELECT * FROM (UNPIVOT (SELECT Churn_binary AS y, {_casts} FROM customers)
-                        ON {", ".join(MI_FEATURES)} INTO NAME feature VALUE v) WHERE v IS NOT NULL)""")
+                        ON {", ".join(MI_FEATURES)} INTO NAME feature VALUE v) WHERE v IS NOT NULL)"""
+SQL_MI = on_customers(_MI_SELECT, _MI_LONG)
+_MI_CTE = f"mi AS ({_MI_SELECT})"
+SQL_TOPK = on_customers("""
+SELECT feature, mutual_information FROM mi ORDER BY mutual_information DESC, feature LIMIT 10""",
+                        _MI_LONG, _MI_CTE)
+SQL_SELECT_Q = on_customers("""
+SELECT feature, mutual_information FROM mi
+WHERE mutual_information > (SELECT quantile_cont(mutual_information, 0.25) FROM mi)
+UNION ALL SELECT 'Churn_binary', NULL""", _MI_LONG, _MI_CTE)
 
 
 def q_corr(spark, sf):
@@ -192,12 +202,13 @@ UNION ALL SELECT 'events', COUNT(*) FROM events"""
 
 QUERIES = {
     "mutual_information": (q_mi, SQL_MI),
-    "select_by_quantile": (lambda spark, sf: Sel.select_by_quantile(q_mi(spark, sf)), None),
-    "top_k_features": (lambda spark, sf: Sel.top_k_features(q_mi(spark, sf), 10), None),
+    "select_by_quantile": (lambda spark, sf: Sel.select_by_quantile(q_mi(spark, sf)), SQL_SELECT_Q),
+    "top_k_features": (lambda spark, sf: Sel.top_k_features(q_mi(spark, sf), 10), SQL_TOPK),
     "vif": (_c(lambda d: Sel.vif(d, MI_FEATURES)), None),
     "corr_with_target": (q_corr, SQL_CORR),
     "align_features": (_c(lambda d: Sel.align_features(d, MI_FEATURES + ["missing_col"])[0]
-                          .select(*MI_FEATURES)), None),
+                          .select(*MI_FEATURES)),
+                       on_customers(f"SELECT {', '.join(MI_FEATURES)} FROM customers")),
     "train_logistic_eval": (_eval(lambda tr: Mo.train_logistic(tr, MODEL_FEATURES)), None),
     "train_random_forest_eval": (_eval(lambda tr: Mo.train_random_forest(tr, MODEL_FEATURES)), None),
     "train_boosted_eval": (_eval(lambda tr: Mo.train_boosted(tr, MODEL_FEATURES, "A")), None),

@@ -409,7 +409,7 @@ QUERIES = {
     "mart_churn_analysis": (_c(O.mart_churn_analysis), on_customers(SQL_MARTS["mart_churn_analysis"])),
     "mart_at_risk": (_c(O.mart_at_risk), on_customers(SQL_MARTS["mart_at_risk"])),
     "mart_predictions": (_c(lambda d: O.mart_predictions(d.select("customer_id", "Contract"), d)),
-                         None),
+                         on_customers("SELECT customer_id, Contract, churn_probability FROM customers")),
     "mart_prob_summary": (q_prob_summary, on_customers(SQL_MARTS["mart_prob_summary"])),
     "mart_customers": (_c(O.mart_customers), on_customers(SQL_MARTS["mart_customers"])),
     "mart_services": (_c(O.mart_services), on_customers(SQL_MARTS["mart_services"])),

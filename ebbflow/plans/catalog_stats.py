@@ -33,10 +33,13 @@ def _chi(a, b):
     return q
 
 
-def _chi_sql(a, b, yates):
+def _chi_body(a, b, yates, digits=9):
     corr = "abs(o - e) - least(0.5::DOUBLE, abs(o - e))" if yates else "abs(o - e)"
-    return on_customers(f"""
-SELECT round(SUM(({corr}) * ({corr}) / e), 9) AS chi2,
+    stat = f"SUM(({corr}) * ({corr}) / e)"
+    if digits is not None:
+        stat = f"round({stat}, {digits})"
+    return f"""
+SELECT {stat} AS chi2,
        CAST((COUNT(DISTINCT av) - 1) * (COUNT(DISTINCT bv) - 1) AS BIGINT) AS dof,
        CAST(max(n) AS BIGINT) AS n
 FROM (SELECT av, bv, CAST(o AS DOUBLE) AS o, rt * ct / CAST(n AS DOUBLE) AS e, n
@@ -47,7 +50,22 @@ FROM (SELECT av, bv, CAST(o AS DOUBLE) AS o, rt * ct / CAST(n AS DOUBLE) AS e, n
             FROM (SELECT DISTINCT {a} AS av FROM customers)
             CROSS JOIN (SELECT DISTINCT {b} AS bv FROM customers)
             LEFT JOIN (SELECT {a} AS a2, {b} AS b2, COUNT(*) AS cnt FROM customers GROUP BY 1, 2)
-              ON av = a2 AND bv = b2))""")
+              ON av = a2 AND bv = b2))"""
+
+
+def _chi_sql(a, b, yates):
+    return on_customers(_chi_body(a, b, yates))
+
+
+def q_chi_internet(spark, sf):
+    """3×2 table: dof 2, so the p-value is exp(−χ²/2) and SQL can check it."""
+    r = H.chi2_independence(D.customers(spark, sf), "InternetService", "Churn_binary")
+    return r.select(F.round("chi2", 9).alias("chi2"), "dof", "n", F.round("p_value", 9).alias("p_value"))
+
+
+SQL_CHI_INTERNET = on_customers(
+    "SELECT round(chi2, 9) AS chi2, dof, n, round(exp(-chi2 / 2), 9) AS p_value FROM chi",
+    "chi AS (" + _chi_body("InternetService", "Churn_binary", yates=False, digits=None) + ")")
 
 
 def q_ks(spark, sf):
@@ -254,8 +272,7 @@ QUERIES = {
                             _chi_sql("Contract", "Churn_binary", yates=False)),
     "chi2_autopay_churn": (_chi("has_auto_pay", "Churn_binary"),
                            _chi_sql("has_auto_pay", "Churn_binary", yates=True)),
-    "chi2_independence_internet": (_c(lambda d: H.chi2_independence(d, "InternetService",
-                                                                    "Churn_binary")), None),
+    "chi2_independence_internet": (q_chi_internet, SQL_CHI_INTERNET),
     "hypothesis_suite": (_c(H.hypothesis_suite), None),
     "ks_monthly_by_churn": (q_ks, SQL_KS),
     "ks_two_sample_tenure": (_c(lambda d: H.ks_two_sample(d, "tenure", "Churn_binary", 1, 0)),
