@@ -211,7 +211,7 @@ QUERIES = {
                        on_customers(f"SELECT {', '.join(MI_FEATURES)} FROM customers")),
     "train_logistic_eval": (_eval(lambda tr: Mo.train_logistic(tr, MODEL_FEATURES)), None),
     "train_random_forest_eval": (_eval(lambda tr: Mo.train_random_forest(tr, MODEL_FEATURES)), None),
-    "train_boosted_eval": (_eval(lambda tr: Mo.train_boosted(tr, MODEL_FEATURES, "A")), None),
+    "train_boosted_eval": (_eval(lambda tr: Mo.train_boosted(tr, MODEL_FEATURES, preset="A")), None),
     "model_comparison": (q_model_comparison, None),
     "feature_attribution": (q_attribution, None),
     "permutation_importance": (q_permutation, None),
