@@ -123,3 +123,17 @@ def two_sided_norm_p_udf(z: pd.Series) -> pd.Series:
 def ks_p_udf(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     return pd.Series([kolmogorov_sf(a, b, c) if pd.notna(a) else None
                       for a, b, c in zip(d, n1, n2)], dtype="float64")
+
+
+def ks_p_expr(d, n1, n2, terms: int = 100) -> "F.Column":
+    """Asymptotic two-sample KS p-value as a JVM column expression (same series
+    as ``kolmogorov_sf``), so no Python worker is needed."""
+    d, n1, n2 = (F.col(x) if isinstance(x, str) else x for x in (d, n1, n2))
+    en = F.sqrt(n1 * n2 / (n1 + n2))
+    lam = (en + 0.12 + 0.11 / en) * d
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
+        lambda acc, j: acc + F.when(j % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
+        * F.exp(F.lit(-2.0) * j * j * lam * lam))
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), series * 2))
+    return F.when((n1 > 0) & (n2 > 0), F.when(lam < 1e-3, F.lit(1.0)).otherwise(p))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbflow.functions.columns import flag
-from ebbflow.functions.stats import chi2_sf_udf, ks_p_udf, two_sided_norm_p_udf
+from ebbflow.functions.stats import chi2_sf_udf, ks_p_expr, two_sided_norm_p_udf
 from ebbflow.operators.ranks import grouped_prefix_sums
 
 
@@ -83,8 +83,8 @@ def ks_two_sample(df: DataFrame, c: str, group: str, a, b, by: list[str] | None
                   bounded: bool = False) -> DataFrame:
     """H2: statistic and asymptotic p-value."""
     s = ks_statistic(df, c, group, a, b, by, bounded)
-    return s.withColumn("ks_p_value", ks_p_udf(F.col("ks_statistic"), F.col("n_a").cast("double"),
-                                               F.col("n_b").cast("double")))
+    return s.withColumn("ks_p_value", ks_p_expr("ks_statistic", F.col("n_a").cast("double"),
+                                                F.col("n_b").cast("double")))
 
 
 def two_proportion_z(df: DataFrame, group: str, outcome: str, a, b) -> DataFrame:

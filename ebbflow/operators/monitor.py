@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbflow.functions.columns import flag
-from ebbflow.functions.stats import ks_p_udf
+from ebbflow.functions.stats import ks_p_expr
 from ebbflow.operators.evaluate import roc_auc, threshold_metrics
 from ebbflow.operators.ranks import exact_quantiles, global_row_number, grouped_prefix_sums
 
@@ -60,8 +60,8 @@ def drift_report(tagged: DataFrame, cols: list[str], window: str = "window",
     """Statistics + KS p-value, drift flag (p < α or shift > limit) and
     severity (HIGH p < .01, MEDIUM p < .05, else LOW), by KS statistic desc."""
     s = drift_statistics(tagged, cols, window)
-    s = s.withColumn("ks_p_value", ks_p_udf(F.col("ks_statistic"), F.col("n_ref").cast("double"),
-                                            F.col("n_cur").cast("double")))
+    s = s.withColumn("ks_p_value", ks_p_expr("ks_statistic", F.col("n_ref").cast("double"),
+                                             F.col("n_cur").cast("double")))
     return (s.withColumn("drift_detected", (F.col("ks_p_value") < alpha)
                          | (F.col("mean_shift_sigma") > shift_limit))
             .withColumn("severity", F.when(F.col("ks_p_value") < 0.01, "HIGH")

@@ -62,6 +62,8 @@ def prefix_sums(df: DataFrame, order, sums: dict[str, Column], bounded: bool = F
 
     ensure_checkpoint_dir(df.sparkSession)
     p = partitions or _num_range_partitions(df)
+    # reliable checkpoint: the second (writing) job re-reads the range shuffle's
+    # map output instead of recomputing the upstream plan
     ranged = (df.withColumns(tmp).repartitionByRange(p, *oexp)
               .withColumn("_ps_pid", F.spark_partition_id())
               .checkpoint(eager=True))

@@ -15,7 +15,7 @@ import os
 
 from ebbflow.operators.features import engineer_features
 from ebbflow.sources import subscriptions as subs
-from ebbflow.session import ensure_checkpoint_dir
+from ebbflow.session import materialize
 from ebbflow.sources import tables
 
 
@@ -52,18 +52,16 @@ def build_customers(spark: SparkSession, sf_dir: str, percentiles: bool = False)
 def customers(spark: SparkSession, sf_dir: str, percentiles: bool = False) -> DataFrame:
     """The feature table, materialised once per application and input folder.
 
-    Many queries start from it, so it is written once with a reliable
-    ``checkpoint`` into the session's checkpoint dir (shared storage on a
-    cluster): lineage is cut, and a lost executor re-reads the files instead of
-    re-running the joins.
+    Many queries start from it, so it is written once as parquet into the
+    session's checkpoint dir (shared storage on a cluster): lineage is cut, and a
+    lost executor re-reads the files instead of re-running the joins.
     """
     sc = spark.sparkContext
     key = (sc.applicationId, sc.startTime, os.path.abspath(sf_dir), percentiles)
     hit = _MATERIALIZED.get(key)
     if hit is not None:
         return hit
-    ensure_checkpoint_dir(spark)
-    df = build_customers(spark, sf_dir, percentiles).checkpoint(eager=True)
+    df = materialize(build_customers(spark, sf_dir, percentiles), "customers")
     _MATERIALIZED[key] = df
     return df
 

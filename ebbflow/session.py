@@ -49,3 +49,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="ebbflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df, tag: str = "stage"):
+    """Write ``df`` once as parquet under the session's checkpoint dir and read
+    it back: one job, lineage cut, survives executor loss (shared storage on a
+    cluster). Unlike ``Dataset.checkpoint`` on an uncached plan, the upstream
+    plan is evaluated once, not twice."""
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/{tag}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
