@@ -9,6 +9,7 @@ from ebbflow.operators import marts as O
 from ebbflow.operators import monitor as N
 from ebbflow.operators import scoring as M
 from ebbflow.plans import datasets as D
+from ebbflow.plans.oracle_base import ks_p_sql
 from ebbflow.plans.oracle_features import on_customers
 
 DRIFT_FEATURES = ["tenure", "MonthlyCharges", "TotalCharges", "OnlineSecurity", "OnlineBackup",
@@ -46,9 +47,9 @@ def q_drift_statistics(spark, sf):
                     "ks_statistic", "n_ref", "n_cur")
 
 
-SQL_DRIFT = on_customers("""
-SELECT m.feature, round(ref_mean, 6) AS ref_mean, round(cur_mean, 6) AS cur_mean,
-  round(abs(cur_mean - ref_mean) / (ref_std + 1e-8::DOUBLE), 6) AS mean_shift_sigma,
+_DRIFT_RAW = """
+SELECT m.feature, ref_mean, cur_mean,
+  abs(cur_mean - ref_mean) / (ref_std + 1e-8::DOUBLE) AS mean_shift_sigma,
   CAST(k.num AS DOUBLE) / CAST(m.n_ref * m.n_cur AS DOUBLE) AS ks_statistic, m.n_ref, m.n_cur
 FROM (SELECT feature, avg(CASE WHEN "window" = 'reference' THEN v END) AS ref_mean,
         avg(CASE WHEN "window" = 'current' THEN v END) AS cur_mean,
@@ -64,7 +65,36 @@ JOIN (SELECT feature, max(abs(ca * n_cur - cb * n_ref)) AS num
                   FROM long WHERE v IS NOT NULL GROUP BY 1, 2) h
             WINDOW w AS (PARTITION BY feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
       GROUP BY feature) k ON m.feature = k.feature
-WHERE m.n_ref >= 10 AND m.n_cur >= 10""", TAG_CTE, LONG_CTE)
+WHERE m.n_ref >= 10 AND m.n_cur >= 10"""
+SQL_DRIFT = on_customers("""
+SELECT feature, round(ref_mean, 6) AS ref_mean, round(cur_mean, 6) AS cur_mean,
+  round(mean_shift_sigma, 6) AS mean_shift_sigma, ks_statistic, n_ref, n_cur FROM drift_raw""",
+                         TAG_CTE, LONG_CTE, f"drift_raw AS ({_DRIFT_RAW})")
+_KSP = ks_p_sql("ks_statistic", "CAST(n_ref AS DOUBLE)", "CAST(n_cur AS DOUBLE)")
+_REPORT_CTE = f"""
+report AS (
+  SELECT *, {_KSP} AS ks_p_value FROM drift_raw)"""
+SQL_DRIFT_REPORT = on_customers("""
+SELECT feature, round(ref_mean, 6) AS ref_mean, round(cur_mean, 6) AS cur_mean,
+  round(mean_shift_sigma, 6) AS mean_shift_sigma, ks_statistic, n_ref, n_cur,
+  round(ks_p_value, 9) AS ks_p_value, ks_p_value < 0.05 OR mean_shift_sigma > 0.1 AS drift_detected,
+  CASE WHEN ks_p_value < 0.01 THEN 'HIGH' WHEN ks_p_value < 0.05 THEN 'MEDIUM' ELSE 'LOW' END AS severity
+FROM report""", TAG_CTE, LONG_CTE, f"drift_raw AS ({_DRIFT_RAW})", _REPORT_CTE)
+SQL_DRIFT_SUMMARY = on_customers("""
+SELECT COUNT(*) AS checked, CAST(SUM(CAST(drifted AS INTEGER)) AS BIGINT) AS drifted,
+  COUNT(*) - CAST(SUM(CAST(drifted AS INTEGER)) AS BIGINT) AS stable,
+  CASE WHEN SUM(CAST(drifted AS INTEGER)) > 5 THEN 'HIGH' WHEN SUM(CAST(drifted AS INTEGER)) > 2
+       THEN 'MEDIUM' ELSE 'LOW' END AS drift_level
+FROM (SELECT ks_p_value < 0.05 OR mean_shift_sigma > 0.1 AS drifted FROM report)""",
+                                 TAG_CTE, LONG_CTE, f"drift_raw AS ({_DRIFT_RAW})", _REPORT_CTE)
+
+
+def q_drift_report(spark, sf):
+    r = N.drift_report(_tagged(spark, sf), DRIFT_FEATURES)
+    return r.select("feature", *[F.round(c, 6).alias(c) for c in
+                                 ("ref_mean", "cur_mean", "mean_shift_sigma")],
+                    "ks_statistic", "n_ref", "n_cur", F.round("ks_p_value", 9).alias("ks_p_value"),
+                    "drift_detected", "severity")
 
 
 PERF_CTE = """
@@ -394,9 +424,9 @@ FROM customers CROSS JOIN (SELECT min(tenure) AS lt, max(tenure) AS ht, min(mont
 
 QUERIES = {
     "drift_statistics": (q_drift_statistics, SQL_DRIFT),
-    "drift_report": (lambda spark, sf: N.drift_report(_tagged(spark, sf), DRIFT_FEATURES), None),
+    "drift_report": (q_drift_report, SQL_DRIFT_REPORT),
     "drift_summary": (lambda spark, sf: N.drift_summary(
-        N.drift_report(_tagged(spark, sf), DRIFT_FEATURES)), None),
+        N.drift_report(_tagged(spark, sf), DRIFT_FEATURES)), SQL_DRIFT_SUMMARY),
     "performance_report": (lambda spark, sf: N.performance_report(_tagged(spark, sf)), SQL_PERF),
     "performance_delta": (lambda spark, sf: N.performance_delta(
         N.performance_report(_tagged(spark, sf))), SQL_PERF_DELTA),

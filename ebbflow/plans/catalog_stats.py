@@ -15,6 +15,7 @@ from ebbflow.operators import experiment as L
 from ebbflow.operators import hypothesis as H
 from ebbflow.operators import survival as I
 from ebbflow.plans import datasets as D
+from ebbflow.plans.oracle_base import ks_p_sql
 from ebbflow.plans.oracle_features import on_customers
 
 # The same normal quantiles the DataFrame code uses, as exact SQL literals.
@@ -82,6 +83,25 @@ FROM (SELECT SUM(ca) OVER w AS cum_a, SUM(cb) OVER w AS cum_b,
       WINDOW w AS (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")
 
 
+def q_ks_tenure(spark, sf):
+    r = H.ks_two_sample(D.customers(spark, sf), "tenure", "Churn_binary", 1, 0)
+    return r.withColumn("ks_p_value", F.round("ks_p_value", 9))
+
+
+SQL_KS_TENURE = on_customers(f"""
+SELECT ks_statistic, n_a, n_b,
+  round({ks_p_sql("ks_statistic", "CAST(n_a AS DOUBLE)", "CAST(n_b AS DOUBLE)")}, 9) AS ks_p_value
+FROM ks""", """
+ks AS (
+SELECT CAST(max(abs(cum_a * n_b - cum_b * n_a)) AS DOUBLE) / CAST(max(n_a) * max(n_b) AS DOUBLE)
+         AS ks_statistic, CAST(max(n_a) AS BIGINT) AS n_a, CAST(max(n_b) AS BIGINT) AS n_b
+FROM (SELECT SUM(ca) OVER w AS cum_a, SUM(cb) OVER w AS cum_b,
+             SUM(ca) OVER () AS n_a, SUM(cb) OVER () AS n_b
+      FROM (SELECT tenure AS v, SUM(CAST(Churn_binary = 1 AS BIGINT)) AS ca,
+                   SUM(CAST(Churn_binary = 0 AS BIGINT)) AS cb FROM customers GROUP BY 1)
+      WINDOW w AS (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))""")
+
+
 def q_log_rank(spark, sf):
     s = H.log_rank_statistic(D.customers(spark, sf), "tenure", "Churn_binary", "Contract",
                              "Month-to-month", "Two year", bounded=True)
@@ -275,8 +295,7 @@ QUERIES = {
     "chi2_independence_internet": (q_chi_internet, SQL_CHI_INTERNET),
     "hypothesis_suite": (_c(H.hypothesis_suite), None),
     "ks_monthly_by_churn": (q_ks, SQL_KS),
-    "ks_two_sample_tenure": (_c(lambda d: H.ks_two_sample(d, "tenure", "Churn_binary", 1, 0)),
-                             None),
+    "ks_two_sample_tenure": (q_ks_tenure, SQL_KS_TENURE),
     "two_proportion_z_autopay": (_c(lambda d: H.two_proportion_z(d, "has_auto_pay",
                                                                  "Churn_binary", 1, 0)), None),
     "log_rank_contract": (q_log_rank, SQL_LOG_RANK),

@@ -63,3 +63,14 @@ def with_ctes(*ctes: str, body: str) -> str:
     """``WITH <subscriptions ctes>, <extra ctes> <body>``."""
     parts = [SUBSCRIPTIONS_CTES.strip()] + [c.strip() for c in ctes if c]
     return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+
+
+def ks_p_sql(d: str, n1: str, n2: str, terms: int = 100) -> str:
+    """SQL twin of ``functions.stats.ks_p_expr`` (same series, same order)."""
+    en = f"sqrt(({n1}) * ({n2}) / (({n1}) + ({n2})))"
+    lam = f"(({en} + 0.12::DOUBLE + 0.11::DOUBLE / {en}) * ({d}))"
+    series = (f"list_reduce(list_transform(range(1, {terms + 1}), lambda j: "
+              f"CASE WHEN j % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END "
+              f"* exp(-2.0::DOUBLE * j * j * {lam} * {lam})), lambda a, b: a + b)")
+    return (f"CASE WHEN ({n1}) > 0 AND ({n2}) > 0 THEN CASE WHEN {lam} < 1e-3 THEN 1.0::DOUBLE "
+            f"ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, {series} * 2)) END END")
