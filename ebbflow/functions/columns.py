@@ -95,3 +95,14 @@ def risk_tier(p, rule: str = "ge") -> Column:
     if rule == "ge":
         return F.when(x >= 0.6, "High").when(x >= 0.3, "Medium").otherwise("Low")
     return bucketize(x, RISK_EDGES_I, RISK_LABELS, right=True, include_lowest=False)
+
+
+def attach(df, one_row):
+    """Attach the columns of a one-row frame (an aggregate without grouping) to
+    every row of ``df`` as a scalar subquery: computed once, inlined as
+    constants in the consuming stage — no join, nothing grows with the data."""
+    cols = one_row.columns
+    packed = one_row.select(F.struct(*[F.col(c) for c in cols]).alias("_one")).scalar()
+    return (df.withColumn("_attached", packed)
+            .withColumns({c: F.col("_attached").getField(c) for c in cols})
+            .drop("_attached"))

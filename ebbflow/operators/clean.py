@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbflow.functions.columns import flag
+from ebbflow.functions.columns import attach, flag
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
@@ -30,7 +30,7 @@ def dedupe(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     removed) computed lazily in one aggregation each side."""
     out = df.dropDuplicates()
     report = (df.agg(F.count(F.lit(1)).alias("rows_before"))
-              .crossJoin(out.agg(F.count(F.lit(1)).alias("rows_after")))
+              .transform(attach, out.agg(F.count(F.lit(1)).alias("rows_after")))
               .withColumn("removed", F.col("rows_before") - F.col("rows_after")))
     return out, report
 
@@ -43,7 +43,7 @@ def coerce_numeric(df: DataFrame, cols) -> DataFrame:
 def fill_median(df: DataFrame, c: str) -> DataFrame:
     """Nulls → exact interpolated median (``percentile``, not approximate)."""
     med = df.agg(F.percentile(F.col(c), F.lit(0.5)).alias("_med"))
-    return (df.crossJoin(F.broadcast(med))
+    return (df.transform(attach, med)
             .withColumn(c, F.coalesce(F.col(c), F.col("_med").cast(df.schema[c].dataType)))
             .drop("_med"))
 
@@ -56,7 +56,7 @@ def drop_missing(df: DataFrame, cols) -> DataFrame:
 def fill_mode(df: DataFrame, cols) -> DataFrame:
     """Nulls → most frequent value; ties → smallest (deterministic mode)."""
     modes = df.agg(*[F.mode(F.col(c), True).alias(f"_mode_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(modes))
+    out = df.transform(attach, modes)
     out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"_mode_{c}")) for c in cols})
     return out.drop(*[f"_mode_{c}" for c in cols])
 
@@ -93,7 +93,7 @@ def iqr_cap(df: DataFrame, cols, k: float = 1.5, cap_degenerate: bool = False) -
     flags) are left alone unless ``cap_degenerate`` (X10)."""
     q = df.agg(*[F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}")
                  for c in cols])
-    out = df.crossJoin(F.broadcast(q))
+    out = df.transform(attach, q)
     exprs = {}
     for c in cols:
         q1, q3 = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]

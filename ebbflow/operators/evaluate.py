@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.functions.columns import flag, risk_tier
+from ebbflow.functions.columns import attach, flag, risk_tier
 from ebbflow.operators.ranks import avg_rank_desc_int, global_row_number, prefix_sums
 
 
@@ -102,7 +102,7 @@ def roc_points(df: DataFrame, p: str = "churn_probability", y: str = "Churn_bina
     cum = prefix_sums(t, [(p, False)], {"_tp": F.col("pos"), "_fp": F.col("neg")},
                       bounded=bounded)
     tot = t.agg(F.sum("pos").alias("_n1"), F.sum("neg").alias("_n0"))
-    c = cum.crossJoin(F.broadcast(tot))
+    c = cum.transform(attach, tot)
     return c.select(F.col(p).alias("threshold"),
                     (F.col("_fp").cast("double") / F.col("_n0")).alias("fpr"),
                     (F.col("_tp").cast("double") / F.col("_n1")).alias("tpr"),
@@ -119,7 +119,7 @@ def lift_curve(df: DataFrame, p: str = "churn_probability", y: str = "Churn_bina
                       {"position": F.lit(1).cast("long"), "cumulative_churn": F.col("_y"),
                        "_cum_c": F.col("_c")})
     tot = small.agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_yt"))
-    c = cum.crossJoin(F.broadcast(tot))
+    c = cum.transform(attach, tot)
     return c.select(key, p, "position", "cumulative_churn",
                     (F.col("position").cast("double") / F.col("_n")).alias("cumulative_pct"),
                     (F.col("_cum_c").cast("double") / 100.0).alias("cumulative_mrr_saved"),
@@ -131,7 +131,7 @@ def lift_summary(lift: DataFrame, share: float = 0.2) -> DataFrame:
     """Saved MRR within the top ``share`` of rows and the lift there."""
     n = lift.agg(F.max("position").alias("_n"))
     cut = F.floor(F.col("_n") * share)
-    top = lift.crossJoin(F.broadcast(n)).where(F.col("position") <= cut)
+    top = lift.transform(attach, n).where(F.col("position") <= cut)
     return top.agg(F.max("cumulative_mrr_saved").alias("top_mrr_saved"),
                    F.max("cumulative_churn").alias("top_churners"),
                    F.max("position").alias("top_n"))
@@ -143,7 +143,7 @@ def temporal_split(df: DataFrame, order: str = "tenure", key: str = "customer_id
     Distributed positions (range partitioned), no single-partition window."""
     pos = global_row_number(df, [(order, True), (key, True)], "_pos")
     n = df.agg(F.count(F.lit(1)).alias("_n"))
-    return (pos.crossJoin(F.broadcast(n))
+    return (pos.transform(attach, n)
             .withColumn("split", F.when(F.col("_pos") <= F.floor(F.col("_n") * frac), "train")
                         .otherwise("test")).drop("_pos", "_n"))
 
@@ -169,7 +169,7 @@ def class_weights(df: DataFrame, y: str = "Churn_binary") -> DataFrame:
     """K6: balanced weight n/(2·n_c) per class and the positive weight neg/pos."""
     c = df.groupBy(y).agg(F.count(F.lit(1)).alias("n_c"))
     tot = df.agg(F.count(F.lit(1)).alias("_n"), F.sum(flag(F.col(y) == 1)).alias("_pos"))
-    return (c.crossJoin(F.broadcast(tot)).select(
+    return (c.transform(attach, tot).select(
         y, "n_c", (F.col("_n").cast("double") / (F.col("n_c") * 2)).alias("balanced_weight"),
         ((F.col("_n") - F.col("_pos")).cast("double") / F.col("_pos")).alias("pos_weight")))
 
@@ -213,7 +213,7 @@ def impact_summary(preds: DataFrame, share: float = 0.2) -> DataFrame:
                                             "monthly_charges", "risk_tier"),
                                [("intervention_priority", True), ("customer_id", True)], "_pos")
     n = preds.agg(F.count(F.lit(1)).alias("_n"))
-    r = ranked.crossJoin(F.broadcast(n))
+    r = ranked.transform(attach, n)
     cents = F.round(F.col("monthly_charges") * 100).cast("long")
     money = lambda e: F.sum(e).cast("double") / 100.0
     return r.agg(money(cents).alias("total_mrr"),
@@ -232,5 +232,5 @@ def compare_models(scores: DataFrame, y: str = "Churn_binary", p: str = "p",
     th = threshold_metrics(scores, p, y, threshold, by=[model])
     t = auc.join(ap, model).join(th, model)
     best = t.agg(F.min_by(F.col(model), F.struct(-F.col("auc"), F.col(model))).alias("_best"))
-    return (t.crossJoin(F.broadcast(best)).withColumn("best", F.col(model) == F.col("_best"))
+    return (t.transform(attach, best).withColumn("best", F.col(model) == F.col("_best"))
             .drop("_best"))

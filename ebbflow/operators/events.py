@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbflow.functions.columns import flag
+from ebbflow.functions.columns import attach, flag
 
 
 def _ref(ev: DataFrame, ts: str) -> DataFrame:
@@ -27,7 +27,7 @@ def engagement_velocity(ev: DataFrame, user: str = "user_id", ts: str = "ts",
     """Events in the last w days minus events in the w days before, and
     their ratio (null when the earlier window is empty)."""
     w = F.expr(f"INTERVAL {window_days} DAYS")
-    j = ev.select(user, ts).crossJoin(F.broadcast(_ref(ev, ts)))
+    j = ev.select(user, ts).transform(attach, _ref(ev, ts))
     recent = F.col(ts) > F.col("_ref") - w
     prior = (F.col(ts) > F.col("_ref") - w - w) & ~recent
     g = j.groupBy(user).agg(F.sum(flag(recent)).cast("long").alias("recent_events"),
@@ -99,7 +99,7 @@ def recency_frequency(ev: DataFrame, user: str = "user_id", ts: str = "ts", valu
                       window_days: int = 30) -> DataFrame:
     """Days since the user's last event (to the log's latest day), events
     in the trailing window and purchase value."""
-    j = ev.crossJoin(F.broadcast(_ref(ev, ts)))
+    j = ev.transform(attach, _ref(ev, ts))
     in_w = F.col(ts) > F.col("_ref") - F.expr(f"INTERVAL {window_days} DAYS")
     g = j.groupBy(user).agg(F.max(ts).alias("last_event"), F.first("_ref").alias("_ref"),
                             F.sum(flag(in_w)).cast("long").alias("frequency"),

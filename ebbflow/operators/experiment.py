@@ -11,7 +11,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.functions.columns import flag
+from ebbflow.functions.columns import attach, flag
 from ebbflow.functions.stats import chi2_sf_udf, two_sided_norm_p_udf
 from ebbflow.operators.ranks import global_row_number
 
@@ -37,7 +37,7 @@ def assign_groups(df: DataFrame, key: str = "customer_id", seed: int = 42,
     h = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
     pos = global_row_number(h, [("_h", True), (key, True)], "_pos")
     n = df.agg(F.count(F.lit(1)).alias("_n"))
-    return (pos.crossJoin(F.broadcast(n))
+    return (pos.transform(attach, n)
             .withColumn("group", F.when(F.col("_pos") <= F.floor(F.col("_n") / 2), "control")
                         .otherwise("treatment")).drop("_h", "_pos", "_n"))
 
@@ -52,7 +52,7 @@ def power_table(df: DataFrame, y: str = "Churn_binary", pool: DataFrame | None =
     zb = NormalDist().inv_cdf(power)
     base = df.agg(F.avg(F.col(y).cast("double")).alias("p_control"))
     if pool is not None:
-        base = base.crossJoin(pool.agg(F.count(F.lit(1)).alias("_pool")))
+        base = base.transform(attach, pool.agg(F.count(F.lit(1)).alias("_pool")))
     else:
         base = base.withColumn("_pool", F.lit(None).cast("long"))
     eff = spark.createDataFrame([(float(e),) for e in effects], "effect_size double")
@@ -62,7 +62,7 @@ def power_table(df: DataFrame, y: str = "Churn_binary", pool: DataFrame | None =
     num = (F.lit(za) * F.sqrt(pbar * (1 - pbar) * 2)
            + F.lit(zb) * F.sqrt(p1 * (1 - p1) + p2 * (1 - p2)))
     n = F.ceil(num * num / ((p1 - p2) * (p1 - p2))).cast("long")
-    out = eff.crossJoin(F.broadcast(base)).select(
+    out = eff.transform(attach, base).select(
         "effect_size", "p_control", p2.alias("p_treatment"), n.alias("n_per_arm"), "_pool")
     return out.withColumn("total_n", F.col("n_per_arm") * 2).withColumn(
         "feasible", F.col("total_n") <= F.col("_pool")).drop("_pool")
@@ -157,6 +157,6 @@ def experiment_frame(preds: DataFrame, p: str = "churn_probability", min_p: floa
     arms = assign_groups(pool, key, method=method)
     day = F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
     med = pool.agg(F.percentile(day, F.lit(0.5)).alias("_med"))
-    return (arms.crossJoin(F.broadcast(med))
+    return (arms.transform(attach, med)
             .withColumn("period", F.when(day <= F.col("_med"), "pre").otherwise("post"))
             .withColumn("churned", F.col(outcome)).drop("_med"))

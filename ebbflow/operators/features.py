@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbflow.functions.columns import (TENURE_EDGES_A, TENURE_EDGES_C, bucketize,
+from ebbflow.functions.columns import (attach, TENURE_EDGES_A, TENURE_EDGES_C, bucketize,
                                        flag, sum_cols)
 from ebbflow.operators.ranks import pct_rank_avg
 
@@ -216,7 +216,7 @@ def quantile_flags(df: DataFrame, c: str, q: float, op: str, name: str) -> DataF
     cut = df.agg(F.percentile(F.col(c), F.lit(q)).alias("_cut"))
     cmp = {">": F.col(c) > F.col("_cut"), "<": F.col(c) < F.col("_cut"),
            ">=": F.col(c) >= F.col("_cut"), "<=": F.col(c) <= F.col("_cut")}[op]
-    return df.crossJoin(F.broadcast(cut)).withColumn(name, flag(cmp)).drop("_cut")
+    return df.transform(attach, cut).withColumn(name, flag(cmp)).drop("_cut")
 
 
 def qcut(df: DataFrame, c: str, q: int, name: str, labels=None) -> DataFrame:
@@ -231,7 +231,7 @@ def qcut(df: DataFrame, c: str, q: int, name: str, labels=None) -> DataFrame:
     for i in range(q):
         cond = ((x >= e[i]) if i == 0 else (x > e[i])) & (x <= e[i + 1])
         expr = F.when(cond, F.lit(labels[i])) if expr is None else expr.when(cond, F.lit(labels[i]))
-    return df.crossJoin(F.broadcast(edges)).withColumn(name, expr).drop("_e")
+    return df.transform(attach, edges).withColumn(name, expr).drop("_e")
 
 
 # ---------------------------------------------------------------- C15–C17
@@ -258,7 +258,7 @@ def derive_macro(macro: DataFrame) -> DataFrame:
 
 def add_macro(df: DataFrame, macro: DataFrame) -> DataFrame:
     """Constant columns onto every row; the macro frame must be one row."""
-    return df.crossJoin(F.broadcast(macro.limit(1)))
+    return df.transform(attach, macro.limit(1))
 
 
 def trend_velocity(series: DataFrame, ts: str, value: str, k: int = 4,
@@ -295,7 +295,7 @@ def engineer_features(df: DataFrame, stats: DataFrame | None = None,
     """
     if stats is None:
         stats = fit_feature_stats(df)
-    out = df.crossJoin(F.broadcast(stats))
+    out = df.transform(attach, stats)
     out = charge_features(out)
     out = tenure_features(out)
     out = service_features(out)

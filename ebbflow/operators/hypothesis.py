@@ -10,20 +10,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbflow.functions.columns import flag
+from ebbflow.functions.columns import attach, flag
 from ebbflow.functions.stats import chi2_sf_udf, ks_p_expr, two_sided_norm_p_udf
 from ebbflow.operators.ranks import grouped_prefix_sums
 
 
 def contingency(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
-    """Full r×c table including zero cells: (by…, a, b, observed)."""
+    """Full r×c table including zero cells: (by…, a, b, observed).
+
+    ``b`` is a low-cardinality category (its distinct levels are collected to
+    pivot on, as Spark's own ``pivot`` would); counts are one grouped
+    aggregation pivoted on ``b`` and unpivoted back, so absent cells are zeros
+    without pairing keys in a join."""
     by = by or []
-    counts = df.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("observed"))
-    av = counts.select(*by, a).distinct()
-    bv = counts.select(*by, b).distinct()
-    cells = av.join(bv, by) if by else av.crossJoin(bv)
-    return (cells.join(counts, [*by, a, b], "left")
-            .withColumn("observed", F.coalesce(F.col("observed"), F.lit(0)).cast("long")))
+    levels = [r[0] for r in df.select(b).where(F.col(b).isNotNull()).distinct().collect()]
+    wide = (df.where(F.col(b).isNotNull()).groupBy(*by, a)
+            .pivot(b, levels).agg(F.count(F.lit(1))))
+    names = [str(v) for v in levels]
+    long = wide.unpivot([*by, a], names, "_b", "observed")
+    back = F.create_map(*[F.lit(x) for v in levels for x in (str(v), v)])
+    present = df.where(F.col(b).isNotNull()).select(*by, F.col(b).alias("_bv")).distinct() \
+        if by else None
+    out = long.select(*by, a, back[F.col("_b")].alias(b),
+                      F.coalesce(F.col("observed"), F.lit(0)).cast("long").alias("observed"))
+    if by:  # keep only levels of b that occur within each group
+        out = out.join(present, [*[out[k] == present[k] for k in by],
+                                 out[b] == present["_bv"]], "left_semi")
+    return out
 
 
 def chi2_statistic(df: DataFrame, a: str, b: str, by: list[str] | None = None,
@@ -71,7 +84,7 @@ def ks_statistic(df: DataFrame, c: str, group: str, a, b,
     cum = grouped_prefix_sums(h, by, [("_v", True)],
                               {"_cum_a": F.col("_ca"), "_cum_b": F.col("_cb")}, bounded=bounded)
     n = h.groupBy(*by).agg(F.sum("_ca").alias("n_a"), F.sum("_cb").alias("n_b"))
-    j = cum.join(n, by) if by else cum.crossJoin(F.broadcast(n))
+    j = cum.join(n, by) if by else cum.transform(attach, n)
     g = j.groupBy(*by, "n_a", "n_b").agg(
         F.max(F.abs(F.col("_cum_a") * F.col("n_b") - F.col("_cum_b") * F.col("n_a")))
         .alias("_num"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.functions.columns import TENURE_EDGES_D, TENURE_LABELS_D, bucketize, flag, risk_tier
+from ebbflow.functions.columns import attach, TENURE_EDGES_D, TENURE_LABELS_D, bucketize, flag, risk_tier
 from ebbflow.operators.features import SERVICE_COLS
 from ebbflow.operators.ranks import exact_quantiles
 
@@ -46,7 +46,7 @@ def mart_prob_summary(df: DataFrame, p: str = "churn_probability") -> DataFrame:
     x = F.col(p)
     med = exact_quantiles(df, p, [0.5]).select(F.col("quantile").alias("median"))
     return df.agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"),
-                  F.max(x).alias("max")).crossJoin(med).select("mean", "median", "std", "min", "max")
+                  F.max(x).alias("max")).transform(attach, med).select("mean", "median", "std", "min", "max")
 
 
 def mart_customers(df: DataFrame, p: str = "churn_probability") -> DataFrame:

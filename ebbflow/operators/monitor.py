@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.functions.columns import flag
+from ebbflow.functions.columns import attach, flag
 from ebbflow.functions.stats import ks_p_expr
 from ebbflow.operators.evaluate import roc_auc, threshold_metrics
 from ebbflow.operators.ranks import exact_quantiles, global_row_number, grouped_prefix_sums
@@ -20,7 +20,7 @@ def row_slice_split(df: DataFrame, order, frac: float, first: str = "reference",
     """First ⌊frac·n⌋ rows in ``order`` vs the rest (distributed positions)."""
     pos = global_row_number(df, order, "_pos")
     n = df.agg(F.count(F.lit(1)).alias("_n"))
-    return (pos.crossJoin(F.broadcast(n))
+    return (pos.transform(attach, n)
             .withColumn(name, F.when(F.col("_pos") <= F.floor(F.col("_n") * frac), first)
                         .otherwise(rest)).drop("_pos", "_n"))
 
@@ -116,7 +116,7 @@ def prediction_distribution(preds: DataFrame, p: str = "churn_probability") -> D
         (F.sum(flag(x >= 0.6)) * 100).cast("double").alias("_h"),
         (F.sum(flag((x >= 0.3) & (x < 0.6))) * 100).cast("double").alias("_m"),
         (F.sum(flag(x < 0.3)) * 100).cast("double").alias("_l"), n.alias("_n"),
-    ).crossJoin(med).select("mean_probability", "median_probability", "std_probability", "min_probability",
+    ).transform(attach, med).select("mean_probability", "median_probability", "std_probability", "min_probability",
              "max_probability", (F.col("_h") / F.col("_n")).alias("pct_high_risk"),
              (F.col("_m") / F.col("_n")).alias("pct_medium_risk"),
              (F.col("_l") / F.col("_n")).alias("pct_low_risk"))

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbflow.functions.columns import attach
+
 from ebbflow.session import ensure_checkpoint_dir
 
 
@@ -110,7 +112,7 @@ def distinct_value_ranks(df: DataFrame, c: str, bounded: bool = False,
               .agg(F.count(F.lit(1)).alias("cnt")))
     cum = prefix_sums(counts, [(c, not descending)], {"_cum": F.col("cnt")}, bounded=bounded)
     total = counts.agg(F.sum("cnt").alias("n"))
-    return (cum.crossJoin(F.broadcast(total))
+    return (cum.transform(attach, total)
             .withColumn("before", F.col("_cum") - F.col("cnt"))
             .withColumn("avg_rank", F.col("before") + (F.col("cnt") + 1) / 2.0)
             .drop("_cum"))
@@ -179,7 +181,7 @@ def exact_quantiles(df: DataFrame, c: str, qs: list[float], bounded: bool = Fals
     cum = prefix_sums(counts, [("_v", True)], {"_cum": F.col("_cnt")}, bounded=bounded)
     n = counts.agg(F.sum("_cnt").alias("_n"))
     levels = spark.createDataFrame([(float(q),) for q in qs], "level double")
-    tgt = (levels.crossJoin(n)
+    tgt = (levels.transform(attach, n)
            .withColumn("_pos", (F.col("_n") - 1) * F.col("level"))
            .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos")))
     before = F.col("_cum") - F.col("_cnt")

@@ -12,7 +12,7 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.functions.columns import risk_tier
+from ebbflow.functions.columns import attach, risk_tier
 from ebbflow.operators.archetypes import archetype_rule
 from ebbflow.operators.clean import validate_rows
 from ebbflow.operators.features import engineer_features
@@ -96,7 +96,7 @@ def score_customers(df: DataFrame, scorer: Callable[[DataFrame], DataFrame] = st
     s = top_risk_factors(s)
     p = F.col("churn_probability")
     if macro is not None:
-        s = s.crossJoin(F.broadcast(macro.limit(1)))
+        s = s.transform(attach, macro.limit(1))
         ctx = F.create_map(F.lit("gdp_growth"), F.col("macro_gdp_growth"),
                            F.lit("inflation"), F.col("macro_inflation"),
                            F.lit("unemployment"), F.col("macro_unemployment"),
@@ -131,7 +131,7 @@ def batch_summary(requests: DataFrame, scored_fn: Callable[[DataFrame], DataFram
     summary = (good.agg(F.count(F.lit(1)).alias("_ok"),
                         F.sum((F.col("risk_tier") == "High").cast("long")).alias("high_risk_count"),
                         F.round(F.sum("clv_at_risk_12m"), 2).alias("total_clv_at_risk"))
-               .crossJoin(bad.agg(F.count(F.lit(1)).alias("failed")))
+               .transform(attach, bad.agg(F.count(F.lit(1)).alias("failed")))
                .select((F.col("_ok") + F.col("failed")).alias("total_customers"),
                        F.coalesce("high_risk_count", F.lit(0)).alias("high_risk_count"),
                        "total_clv_at_risk", "failed"))

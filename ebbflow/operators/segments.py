@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbflow.functions.columns import (CHARGE_EDGES_F, CHARGE_LABELS_F, FREQUENCY_EDGES_G,
+from ebbflow.functions.columns import (attach, CHARGE_EDGES_F, CHARGE_LABELS_F, FREQUENCY_EDGES_G,
                                        TENURE_EDGES_D, TENURE_EDGES_E, TENURE_LABELS_D,
                                        TENURE_LABELS_E, bucketize, flag, pct, ratio,
                                        sum_cols, tenure_cohort_sql, value_segment)
@@ -95,7 +95,7 @@ def clv_at_risk_decile(df: DataFrame, key="customer_id", y=Y, cents=CENTS,
     small = df.select(key, y, cents)
     ranked = global_row_number(small, [(cents, False), (key, True)], "_pos")
     n = small.agg(_n().alias("_n"))
-    tiled = (ranked.crossJoin(F.broadcast(n))
+    tiled = (ranked.transform(attach, n)
              .withColumn("charge_decile", ntile_from_position(F.col("_pos"), F.col("_n"), tiles)))
     return (tiled.groupBy("charge_decile").agg(
         *_standard(y, cents), _money(F.sum(F.col(cents) * 24 * F.col(y))).alias("clv_at_risk"))
@@ -111,7 +111,7 @@ def contract_window_analysis(df: DataFrame, dim="Contract", y=Y, cents=CENTS) ->
         _avg_money(cents, _n()).alias("avg_mrr"),
         F.sum(F.col(cents)).alias("_mrr"), F.sum(risk).alias("_risk"))
     tot = df.agg(F.sum(F.col(cents)).alias("_all_mrr"), F.sum(risk).alias("_all_risk"))
-    return (g.crossJoin(F.broadcast(tot)).select(
+    return (g.transform(attach, tot).select(
         dim, "total", "churned", "churn_rate", "avg_mrr",
         _money(F.col("_mrr")).alias("total_mrr"),
         pct(F.col("_mrr"), F.col("_all_mrr")).alias("mrr_share_pct"),
@@ -194,7 +194,7 @@ def ltv_segments(df: DataFrame, total="TotalCharges", y=Y) -> DataFrame:
     g = df.groupBy(value_segment(total).alias("value_segment")).agg(
         _n().alias("customers"), ratio(F.sum(F.col(y)), _n()).alias("churn_rate"))
     tot = df.agg(_n().alias("_all"))
-    return (g.crossJoin(F.broadcast(tot))
+    return (g.transform(attach, tot)
             .select("value_segment", "customers",
                     pct(F.col("customers"), F.col("_all")).alias("pct_of_total"), "churn_rate")
             .orderBy(F.desc("customers"), "value_segment"))
@@ -258,7 +258,7 @@ def executive_kpis(df: DataFrame, preds: DataFrame, p="churn_probability", y=Y,
                _money(churn_c).alias("mrr_at_risk"),
                _money(churn_c * 12).alias("annual_risk"))
     b = preds.agg(F.sum(flag(F.col(p) >= high)).cast("long").alias("high_risk_now"))
-    return a.crossJoin(b)
+    return a.transform(attach, b)
 
 
 def revenue_kpis(df: DataFrame, y=Y, cents=CENTS) -> DataFrame:
@@ -289,7 +289,7 @@ def histogram(df: DataFrame, c: str, bins: int, by: list[str] | None = None) ->
     x, lo, hi = F.col(c).cast("long"), F.col("_lo").cast("long"), F.col("_hi").cast("long")
     b = F.when(hi == lo, F.lit(0)).otherwise(
         F.least(F.lit(bins - 1), F.floor(((x - lo) * bins) / (hi - lo)))).cast("long")
-    return (df.where(F.col(c).isNotNull()).crossJoin(F.broadcast(mm))
+    return (df.where(F.col(c).isNotNull()).transform(attach, mm)
             .withColumn("bin", b).groupBy(*by, "bin", "_lo", "_hi")
             .agg(_n().alias("count"))
             .select(*by, "bin", "count",

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbflow.functions.columns import attach
+
 from ebbflow.operators.clean import numeric_columns
 
 
@@ -51,7 +53,7 @@ def select_by_quantile(scores: DataFrame, score: str = "mutual_information", q:
     """Keep features whose score is above the q-quantile; optionally append
     the target as a kept row."""
     cut = scores.agg(F.percentile(F.col(score), F.lit(q)).alias("_cut"))
-    kept = scores.crossJoin(F.broadcast(cut)).where(F.col(score) > F.col("_cut")).select(name, score)
+    kept = scores.transform(attach, cut).where(F.col(score) > F.col("_cut")).select(name, score)
     if target:
         kept = kept.unionByName(scores.sparkSession.createDataFrame(
             [(target, None)], f"{name} string, {score} double"))

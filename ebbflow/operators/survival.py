@@ -13,7 +13,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.functions.columns import flag
+from ebbflow.functions.columns import attach, flag
 from ebbflow.operators.ranks import grouped_prefix_sums
 
 
@@ -296,7 +296,7 @@ def concordance_index(df: DataFrame, dur: str, evt: str, risk: str) -> DataFrame
     ev = d.where(F.col("_e") == 1).groupBy("_r", "_ti").agg(F.count(F.lit(1)).alias("_d"))
     tot = d.groupBy("_ti").agg(F.count(F.lit(1)).alias("_nt"))
     tot_arr = tot.agg(F.sort_array(F.collect_list(F.struct("_ti", "_nt"))).alias("_ta"))
-    j = ev.join(cum, "_r").crossJoin(F.broadcast(tot_arr))
+    j = ev.join(cum, "_r").transform(attach, tot_arr)
     below = F.array(*[F.col(f"_c{i}") - F.col(f"_n{i}") for i in range(T_)])
     equal = F.array(*[F.col(f"_n{i}") for i in range(T_)])
     later = lambda arr: F.aggregate(F.slice(arr, F.col("_ti") + 2, T_), F.lit(0).cast("long"),

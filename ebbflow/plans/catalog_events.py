@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ebbflow.functions.columns import attach
+
 from ebbflow.operators import events as P
 from ebbflow.plans import datasets as D
 
@@ -102,7 +104,8 @@ SELECT COUNT(*) AS rows_before, COUNT(DISTINCT event_id) AS rows_after FROM even
 
 def q_dedupe(spark, sf):
     ev = D.events(spark, sf)
-    return ev.agg(F.count(F.lit(1)).alias("rows_before")).crossJoin(
+    return ev.agg(F.count(F.lit(1)).alias("rows_before")).transform(
+        attach,
         ev.dropDuplicates(["event_id"]).agg(F.count(F.lit(1)).alias("rows_after")))
 
 

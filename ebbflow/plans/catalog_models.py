@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ebbflow.functions.columns import attach
+
 from ebbflow.operators import evaluate as K
 from ebbflow.operators import features as C
 from ebbflow.operators import models as Mo
@@ -96,7 +98,8 @@ def _eval(model_fn):
         model = model_fn(train)
         scored = Mo.predict(model, test.select("customer_id", "Churn_binary", *MODEL_FEATURES))
         auc = K.roc_auc(scored).select("auc")
-        return auc.crossJoin(K.threshold_metrics(scored)).crossJoin(
+        return auc.transform(attach, K.threshold_metrics(scored)).transform(
+        attach,
             K.average_precision(scored))
     return q
 

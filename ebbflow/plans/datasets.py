@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbflow.functions.columns import attach
+
 import os
 
 from ebbflow.operators.features import engineer_features
@@ -41,7 +43,7 @@ def build_customers(spark: SparkSession, sf_dir: str, percentiles: bool = False)
         F.percentile("MonthlyCharges", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
     stats = stats.select("_t_med", F.col("_q")[0].alias("charge_q25"),
                          F.col("_q")[1].alias("charge_q50"), F.col("_q")[2].alias("charge_q75"))
-    filled = (s.crossJoin(F.broadcast(stats))
+    filled = (s.transform(attach, stats)
               .withColumn("TotalCharges", F.coalesce("TotalCharges", "_t_med")))
     f = engineer_features(filled.drop("_t_med", "charge_q25", "charge_q50", "charge_q75"),
                           stats.drop("_t_med"), percentiles=percentiles)

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbflow.functions.columns import attach
+
 from ebbflow.sources import tables
 
 # Part type -> telco service column (FIXTURES.md §3).
@@ -84,7 +86,7 @@ def build(orders: DataFrame, lineitem: DataFrame, part: DataFrame,
     c = customer.select("c_custkey", "c_nationkey", "c_mktsegment")
     base = (o.join(c, o.o_custkey == c.c_custkey, "inner")
              .join(facts, o.o_orderkey == facts.l_orderkey, "left")
-             .crossJoin(F.broadcast(ref)))
+             .transform(attach, ref))
     has_lines = F.col("n_lines").isNotNull()
     svc = [F.when(has_lines, F.shiftright(F.col("svc_mask"), i).bitwiseAND(1))
              .otherwise(0).cast("int").alias(name)
