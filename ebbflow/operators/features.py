@@ -290,12 +290,14 @@ def engineer_features(df: DataFrame, stats: DataFrame | None = None,
     """All phase-one feature groups in dependency order.
 
     ``stats`` (from ``fit_feature_stats``) is the frozen one-row cut-off table;
-    when omitted it is fitted on ``df`` (training). Percentile ranks (C2) are
+    when omitted it is fitted on ``df`` (training); ``"attached"`` means the
+    cut-off columns are already present on ``df``. Percentile ranks (C2) are
     average ranks over ``df`` itself.
     """
-    if stats is None:
-        stats = fit_feature_stats(df)
-    out = df.transform(attach, stats)
+    if isinstance(stats, str) and stats == "attached":
+        out = df  # charge_q25/q50/q75 columns are already on every row
+    else:
+        out = df.transform(attach, fit_feature_stats(df) if stats is None else stats)
     out = charge_features(out)
     out = tenure_features(out)
     out = service_features(out)

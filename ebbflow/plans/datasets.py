@@ -44,9 +44,8 @@ def build_customers(spark: SparkSession, sf_dir: str, percentiles: bool = False)
     stats = stats.select("_t_med", F.col("_q")[0].alias("charge_q25"),
                          F.col("_q")[1].alias("charge_q50"), F.col("_q")[2].alias("charge_q75"))
     filled = (s.transform(attach, stats)
-              .withColumn("TotalCharges", F.coalesce("TotalCharges", "_t_med")))
-    f = engineer_features(filled.drop("_t_med", "charge_q25", "charge_q50", "charge_q75"),
-                          stats.drop("_t_med"), percentiles=percentiles)
+              .withColumn("TotalCharges", F.coalesce("TotalCharges", "_t_med")).drop("_t_med"))
+    f = engineer_features(filled, "attached", percentiles=percentiles)
     return f.withColumn("churn_probability",
                         F.least(F.lit(1.0), F.col("advanced_risk_score") / 20.0))
 
