@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbflow.functions.columns import attach, flag, risk_tier
-from ebbflow.operators.ranks import avg_rank_desc_int, global_row_number, prefix_sums
+from ebbflow.operators.ranks import (avg_rank_desc_int, first_fraction_flag, global_row_number,
+                                    prefix_sums)
 
 
 def _score_table(df: DataFrame, p: str, y: str, by: list[str]) -> DataFrame:
@@ -140,12 +141,9 @@ def lift_summary(lift: DataFrame, share: float = 0.2) -> DataFrame:
 def temporal_split(df: DataFrame, order: str = "tenure", key: str = "customer_id",
                    frac: float = 0.8) -> DataFrame:
     """K1: the first ⌊frac·n⌋ rows in (order, key) are ``train``, the rest ``test``.
-    Distributed positions (range partitioned), no single-partition window."""
-    pos = global_row_number(df, [(order, True), (key, True)], "_pos")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    return (pos.transform(attach, n)
-            .withColumn("split", F.when(F.col("_pos") <= F.floor(F.col("_n") * frac), "train")
-                        .otherwise("test")).drop("_pos", "_n"))
+    Distributed positions over the two key columns only; rows are labelled by
+    comparing (order, key) with the cut key."""
+    return first_fraction_flag(df, [order, key], frac, "split", "train", "test")
 
 
 def stratified_split(df: DataFrame, y: str = "Churn_binary", test_frac: float = 0.2,

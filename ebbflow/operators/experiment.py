@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ebbflow.functions.columns import attach, flag
 from ebbflow.functions.stats import chi2_sf_udf, two_sided_norm_p_udf
-from ebbflow.operators.ranks import global_row_number
+from ebbflow.operators.ranks import first_fraction_flag, global_row_number
 
 
 def eligible_pool(preds: DataFrame, p: str = "churn_probability", min_p: float = 0.3,
@@ -35,11 +35,7 @@ def assign_groups(df: DataFrame, key: str = "customer_id", seed: int = 42,
     if method == "mod2":
         return df.withColumn("group", F.when(F.col(key) % 2 == 0, "control").otherwise("treatment"))
     h = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
-    pos = global_row_number(h, [("_h", True), (key, True)], "_pos")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    return (pos.transform(attach, n)
-            .withColumn("group", F.when(F.col("_pos") <= F.floor(F.col("_n") / 2), "control")
-                        .otherwise("treatment")).drop("_h", "_pos", "_n"))
+    return first_fraction_flag(h, ["_h", key], 0.5, "group", "control", "treatment").drop("_h")
 
 
 def power_table(df: DataFrame, y: str = "Churn_binary", pool: DataFrame | None = None,

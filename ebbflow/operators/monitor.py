@@ -12,17 +12,15 @@ from pyspark.sql import functions as F
 from ebbflow.functions.columns import attach, flag
 from ebbflow.functions.stats import ks_p_expr
 from ebbflow.operators.evaluate import roc_auc, threshold_metrics
-from ebbflow.operators.ranks import exact_quantiles, global_row_number, grouped_prefix_sums
+from ebbflow.operators.ranks import exact_quantiles, first_fraction_flag, grouped_prefix_sums
 
 
 def row_slice_split(df: DataFrame, order, frac: float, first: str = "reference",
                     rest: str = "current", name: str = "window") -> DataFrame:
-    """First ⌊frac·n⌋ rows in ``order`` vs the rest (distributed positions)."""
-    pos = global_row_number(df, order, "_pos")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    return (pos.transform(attach, n)
-            .withColumn(name, F.when(F.col("_pos") <= F.floor(F.col("_n") * frac), first)
-                        .otherwise(rest)).drop("_pos", "_n"))
+    """First ⌊frac·n⌋ rows in ``order`` (ascending key columns) vs the rest;
+    positions are computed on the keys only, rows are labelled against the cut key."""
+    cols = [o[0] if isinstance(o, tuple) else o for o in order]
+    return first_fraction_flag(df, cols, frac, name, first, rest)
 
 
 def drift_statistics(tagged: DataFrame, cols: list[str], window: str = "window",

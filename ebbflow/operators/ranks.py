@@ -197,3 +197,25 @@ def exact_quantiles(df: DataFrame, c: str, qs: list[float], bounded: bool = Fals
     q = F.when(F.col("_lo") == F.col("_hi"), F.col("_vlo")).otherwise(
         (F.col("_hi") - F.col("_pos")) * F.col("_vlo") + frac * F.col("_vhi"))
     return out.select("level", q.alias("quantile"))
+
+
+def first_fraction_flag(df: DataFrame, order: list[str], frac: float, name: str,
+                        first, rest) -> DataFrame:
+    """Label the first ⌊frac·n⌋ rows in ascending (order…) as ``first``, the
+    rest as ``rest`` — without moving the wide rows.
+
+    Positions are computed on the narrow key columns only (distributed prefix
+    sums); the key at the cut position becomes a one-row aggregate, and every
+    row is labelled by a lexicographic struct comparison with it. ``order``
+    must be a total order (end with a unique key)."""
+    keys = df.select(*order)
+    n = keys.agg(F.count(F.lit(1)).alias("_n"))
+    pos = global_row_number(keys, [(c, True) for c in order], "_pos")
+    k = F.floor(F.col("_n") * frac)
+    cut = (pos.crossJoin(F.broadcast(n))
+           .agg(F.max(F.when(F.col("_pos") == k, F.struct(*[F.col(c) for c in order])))
+                .alias("_cut")))
+    row = F.struct(*[F.col(c) for c in order])
+    return (df.crossJoin(F.broadcast(cut))
+            .withColumn(name, F.when(row <= F.col("_cut"), F.lit(first)).otherwise(F.lit(rest)))
+            .drop("_cut"))
