@@ -212,10 +212,10 @@ def first_fraction_flag(df: DataFrame, order: list[str], frac: float, name: str,
     n = keys.agg(F.count(F.lit(1)).alias("_n"))
     pos = global_row_number(keys, [(c, True) for c in order], "_pos")
     k = F.floor(F.col("_n") * frac)
-    cut = (pos.crossJoin(F.broadcast(n))
+    cut = (pos.transform(attach, n)
            .agg(F.max(F.when(F.col("_pos") == k, F.struct(*[F.col(c) for c in order])))
                 .alias("_cut")))
     row = F.struct(*[F.col(c) for c in order])
-    return (df.crossJoin(F.broadcast(cut))
+    return (df.transform(attach, cut)
             .withColumn(name, F.when(row <= F.col("_cut"), F.lit(first)).otherwise(F.lit(rest)))
             .drop("_cut"))
