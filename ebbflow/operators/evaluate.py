@@ -149,18 +149,19 @@ def temporal_split(df: DataFrame, order: str = "tenure", key: str = "customer_id
 def stratified_split(df: DataFrame, y: str = "Churn_binary", test_frac: float = 0.2,
                      seed: int = 42, key: str = "customer_id") -> DataFrame:
     """K2: per class, the first round(test_frac·n_c) rows in hash order are
-    ``test``. Positions are computed over (class, hash, id) with range
-    partitioning, so the majority class is not one task."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    pos = prefix_sums(df.withColumn("_h", h), [(y, True), ("_h", True), (key, True)],
-                      {"_all": F.lit(1).cast("long")})
-    cls = df.groupBy(y).agg(F.count(F.lit(1)).alias("_nc"))
-    w_start = pos.groupBy(y).agg(F.min("_all").alias("_s"))
-    out = pos.join(F.broadcast(cls), y).join(F.broadcast(w_start), y)
-    rank_in = F.col("_all") - F.col("_s") + 1
-    return (out.withColumn("split", F.when(rank_in <= F.round(F.col("_nc") * test_frac), "test")
-                           .otherwise("train"))
-            .drop("_h", "_all", "_nc", "_s"))
+    ``test``. Positions are computed on the narrow (class, hash, id) keys with
+    range partitioning (the majority class is not one task); each class's cut
+    key (one row per class) labels the rows by a struct comparison."""
+    h = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    keys = h.select(y, "_h", key)
+    pos = prefix_sums(keys, [(y, True), ("_h", True), (key, True)], {"_all": F.lit(1).cast("long")})
+    per = pos.groupBy(y).agg(F.count(F.lit(1)).alias("_nc"), F.min("_all").alias("_s"))
+    cut = (pos.join(F.broadcast(per), y)
+           .where(F.col("_all") - F.col("_s") + 1 == F.round(F.col("_nc") * test_frac))
+           .select(y, F.struct("_h", key).alias("_cut")))
+    out = h.join(F.broadcast(cut), y, "left")
+    return (out.withColumn("split", F.when(F.struct("_h", key) <= F.col("_cut"), "test")
+                           .otherwise("train")).drop("_h", "_cut"))
 
 
 def class_weights(df: DataFrame, y: str = "Churn_binary") -> DataFrame:
