@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ebbflow.functions.columns import attach, flag
 from ebbflow.functions.stats import chi2_sf_udf, two_sided_norm_p_udf
-from ebbflow.operators.ranks import first_fraction_flag, global_row_number
+from ebbflow.operators.ranks import first_fraction_flag
 
 
 def eligible_pool(preds: DataFrame, p: str = "churn_probability", min_p: float = 0.3,

@@ -13,7 +13,6 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ebbflow.functions.columns import (attach, TENURE_EDGES_A, TENURE_EDGES_C, bucketize,
                                        flag, sum_cols)
