@@ -58,6 +58,25 @@ def _chi_sql(a, b, yates):
     return on_customers(_chi_body(a, b, yates))
 
 
+def q_suite_stats(spark, sf):
+    r = H.hypothesis_suite(D.customers(spark, sf))
+    return r.select("hypothesis", "rate_a", "rate_b", F.round("chi2", 9).alias("chi2"), "dof", "n",
+                    "difference_pp")
+
+
+def _suite_sql():
+    parts = []
+    for name, col in H.HYPOTHESES:
+        rates = f"""(SELECT CAST(SUM(CASE WHEN {col} = 1 THEN Churn_binary END) AS DOUBLE)
+                 / SUM(CAST({col} = 1 AS INTEGER)) AS ra,
+               CAST(SUM(CASE WHEN {col} <> 1 THEN Churn_binary END) AS DOUBLE)
+                 / SUM(CAST({col} <> 1 AS INTEGER)) AS rb FROM customers)"""
+        parts.append(f"""SELECT '{name}' AS hypothesis, r.ra AS rate_a, r.rb AS rate_b, c.chi2, c.dof, c.n,
+       (r.ra - r.rb) * 100 AS difference_pp
+FROM {rates} r, ({_chi_body(col, "Churn_binary", yates=True)}) c""")
+    return on_customers("\nUNION ALL\n".join(parts))
+
+
 def q_chi_internet(spark, sf):
     """3×2 table: dof 2, so the p-value is exp(−χ²/2) and SQL can check it."""
     r = H.chi2_independence(D.customers(spark, sf), "InternetService", "Churn_binary")
@@ -294,6 +313,7 @@ QUERIES = {
                            _chi_sql("has_auto_pay", "Churn_binary", yates=True)),
     "chi2_independence_internet": (q_chi_internet, SQL_CHI_INTERNET),
     "hypothesis_suite": (_c(H.hypothesis_suite), None),
+    "hypothesis_suite_stats": (q_suite_stats, _suite_sql()),
     "ks_monthly_by_churn": (q_ks, SQL_KS),
     "ks_two_sample_tenure": (q_ks_tenure, SQL_KS_TENURE),
     "two_proportion_z_autopay": (_c(lambda d: H.two_proportion_z(d, "has_auto_pay",
