@@ -77,6 +77,23 @@ FROM {rates} r, ({_chi_body(col, "Churn_binary", yates=True)}) c""")
     return on_customers("\nUNION ALL\n".join(parts))
 
 
+def q_z_stats(spark, sf):
+    r = H.two_proportion_z(D.customers(spark, sf), "has_auto_pay", "Churn_binary", 1, 0)
+    return r.select("n1", "n2", "x1", "x2", "rate_1", "rate_2", F.round("z", 9).alias("z"))
+
+
+SQL_Z_STATS = on_customers("""
+SELECT n1, n2, x1, x2, r1 AS rate_1, r2 AS rate_2,
+       round((r1 - r2) / sqrt(pool * (1 - pool) * (1 / n1 + 1 / n2)), 9) AS z
+FROM (SELECT *, x1 / CAST(n1 AS DOUBLE) AS r1, x2 / CAST(n2 AS DOUBLE) AS r2,
+             (x1 + x2) / CAST(n1 + n2 AS DOUBLE) AS pool
+      FROM (SELECT CAST(SUM(CAST(has_auto_pay = 1 AS INTEGER)) AS BIGINT) AS n1,
+                   CAST(SUM(CAST(has_auto_pay = 0 AS INTEGER)) AS BIGINT) AS n2,
+                   CAST(SUM(CASE WHEN has_auto_pay = 1 THEN Churn_binary ELSE 0 END) AS BIGINT) AS x1,
+                   CAST(SUM(CASE WHEN has_auto_pay = 0 THEN Churn_binary ELSE 0 END) AS BIGINT) AS x2
+            FROM customers))""")
+
+
 def q_chi_internet(spark, sf):
     """3×2 table: dof 2, so the p-value is exp(−χ²/2) and SQL can check it."""
     r = H.chi2_independence(D.customers(spark, sf), "InternetService", "Churn_binary")
@@ -316,6 +333,7 @@ QUERIES = {
     "hypothesis_suite_stats": (q_suite_stats, _suite_sql()),
     "ks_monthly_by_churn": (q_ks, SQL_KS),
     "ks_two_sample_tenure": (q_ks_tenure, SQL_KS_TENURE),
+    "two_proportion_z_stats": (q_z_stats, SQL_Z_STATS),
     "two_proportion_z_autopay": (_c(lambda d: H.two_proportion_z(d, "has_auto_pay",
                                                                  "Churn_binary", 1, 0)), None),
     "log_rank_contract": (q_log_rank, SQL_LOG_RANK),
