@@ -358,6 +358,36 @@ def q_score(spark, sf):
     return M.score_customers(D.customers(spark, sf), engineered=True, as_of=AS_OF)
 
 
+SCORE_FIELDS = ["customer_id", "churn_probability", "churn_prediction", "risk_tier", "risk_score",
+                "intervention_priority", "archetype", "archetype_reason", "intervention",
+                "model_version", "predicted_at"]
+
+
+def q_score_fields(spark, sf):
+    return q_score(spark, sf).select(*SCORE_FIELDS)
+
+
+_ARCH = """CASE WHEN is_month_to_month = 1 AND is_high_charger = 1 THEN 'Price Refugee'
+              WHEN is_new_customer = 1 THEN 'Early Dropout'
+              WHEN has_fiber = 1 AND fiber_no_security = 1 THEN 'Tech Dissatisfied'
+              WHEN tenure >= 24 AND is_month_to_month = 0 THEN 'Lifecycle Leaver'
+              ELSE 'At Risk' END"""
+_REASONS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in J.RULE_REASONS.items())
+SQL_SCORE_FIELDS = on_customers(f"""
+SELECT customer_id, round(churn_probability, 4) AS churn_probability,
+  churn_probability >= 0.5 AS churn_prediction,
+  CASE WHEN churn_probability >= 0.6 THEN 'High' WHEN churn_probability >= 0.3 THEN 'Medium'
+       ELSE 'Low' END AS risk_tier,
+  round(advanced_risk_score, 2) AS risk_score,
+  CASE WHEN churn_probability >= 0.6 THEN 'HIGH' WHEN churn_probability >= 0.3 THEN 'MEDIUM'
+       ELSE 'LOW' END AS intervention_priority,
+  archetype, CASE archetype {_REASONS} END AS archetype_reason,
+  CASE WHEN churn_probability < 0.3 THEN '{M.LOW_RISK_TEXT}'
+       ELSE coalesce(CASE archetype {_BOOK} END, '{M.DEFAULT_INTERVENTION}') END AS intervention,
+  '{M.MODEL_VERSION}' AS model_version, TIMESTAMP '{AS_OF}' AS predicted_at
+FROM (SELECT *, {_ARCH} AS archetype FROM customers)""")
+
+
 def q_risk_register(spark, sf):
     from ebbflow.operators.evaluate import customer_predictions
     preds = customer_predictions(D.customers(spark, sf), tier_rule="ge")
@@ -454,6 +484,7 @@ QUERIES = {
     "top_risk_factors": (q_top_factors, SQL_TOP_FACTORS),
     "intervention": (q_intervention, SQL_INTERVENTION),
     "score_customers": (q_score, None),
+    "score_customers_fields": (q_score_fields, SQL_SCORE_FIELDS),
     "risk_register": (q_risk_register, SQL_RISK_REGISTER),
     "batch_summary": (q_batch_summary, None),
     "kmeans_segments": (q_kmeans, None),
