@@ -123,3 +123,37 @@ def test_score_stream_equals_batch(spark):
     exp = score_customers(base, stats=st, as_of="2024-01-01 00:00:00")
     cols = ["customer_id", "churn_probability", "risk_tier", "archetype", "intervention"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, exp.select(cols).collect()))
+
+
+def test_stream_late_file_dropped_by_watermark(spark):
+    """In-order files, then one late file older than the watermark plus one
+    on-time file: the late rows update nothing, the on-time rows are counted."""
+    ev = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet"))
+    d = tempfile.mkdtemp(prefix="late-")
+    inp, ck = os.path.join(d, "in"), os.path.join(d, "ck")
+    ev.where(F.col("ts") < "2024-01-20").write.parquet(os.path.join(inp, "a"))
+    seen = []
+
+    def run():
+        st = (spark.readStream.schema(ev.schema).option("recursiveFileLookup", "true").parquet(inp))
+        q = (streams.activity_stream(st, "1 day", "1 day", watermark="1 day").writeStream
+             .outputMode("update").option("checkpointLocation", ck)
+             .foreachBatch(lambda b, i: seen.append((i, [tuple(r) for r in b.collect()])))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    run()
+    first = len(seen)
+    late = (ev.where((F.col("ts") >= "2024-01-05") & (F.col("ts") < "2024-01-06"))
+            .withColumn("event_id", F.col("event_id") + 10_000_000))
+    on_time = (ev.where(F.col("ts") >= "2024-01-20")
+               .withColumn("event_id", F.col("event_id") + 20_000_000))
+    late.write.parquet(os.path.join(inp, "b_late"))
+    on_time.write.parquet(os.path.join(inp, "c_on_time"))
+    run()
+    later = [r for _, rows in seen[first:] for r in rows]
+    import datetime as dt
+    assert not [r for r in later if r[1] == dt.datetime(2024, 1, 5)]
+    exp = activity_windows(on_time, "1 day").collect()
+    got = {(r[0], r[1]): r[3] for r in later}
+    assert exp and all(got.get((r.user_id, r.window_start)) == r.events for r in exp)
