@@ -190,9 +190,11 @@ SELECT round(avg(CASE WHEN rd <= 2 THEN CAST(errors AS DOUBLE) END)
 
 
 def q_table_counts(spark, sf):
-    for t in ("customer", "orders", "lineitem", "part", "events"):
-        tables.register(tables.read(spark, sf, t), t)
-    return tables.table_counts(spark, ["customer", "orders", "lineitem", "part", "events"])
+    names = ["customer", "orders", "lineitem", "part", "events"]
+    for t in names:  # own view names, so a caller's views are never replaced
+        tables.register(tables.read(spark, sf, t), f"ebbflow_{t}")
+    counts = tables.table_counts(spark, [f"ebbflow_{t}" for t in names])
+    return counts.withColumn("table_name", F.regexp_replace("table_name", "^ebbflow_", ""))
 
 
 SQL_TABLE_COUNTS = """
