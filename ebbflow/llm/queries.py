@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ebbflow.llm import chat, packing, token_counts, token_files
+from ebbflow.llm import chat, decontamination, packing, pii, syncmers, token_counts, token_files, toxicity
 from ebbflow.llm.common import documents, read_table, shared_path
 
 CAPACITY = 2048
@@ -24,6 +25,44 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def _fold(doc_id: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo 5."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = pii.find(docs, pii.train(docs), keep=["doc_id"])
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.begin, s.end)), ",")
+    count = lambda kind: F.size(F.filter("pii.base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(text(F.col("pii.base")), 256).alias("base_sha256"),
+                        text(F.col("pii.spans")).alias("spans"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), _fold() != 0)
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    score = F.col("toxicity.score")
+    return scored.select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), score.alias("score"),
+                         (score >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.with_next(documents(spark, sf_dir))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.annotate(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    spans = F.col("decontamination.hit_spans")
+    # ends less begins: every second word position counts positively
+    n_hit = F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0), lambda a, x: a + x)
+    items = F.col("decontamination.items")
+    return found.select("doc_id", F.col("decontamination.n_words").alias("n_words"), n_hit.cast("long").alias("n_hit"),
+                        F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+                        (n_hit > 0).alias("contaminated"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), TOKEN_LIMIT)
 
@@ -63,11 +102,37 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+item AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+win AS (
+  SELECT DISTINCT item_id, w[s:s + least(10, len(w)) - 1] AS win
+  FROM item, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(s) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT len(win) AS n FROM win),
+pos AS (SELECT r, s, n, w[s:s + n - 1] AS win FROM d, sizes, unnest(range(1, len(w) - n + 2)) t(s)),
+hit AS (SELECT r, s, n, item_id FROM pos JOIN win USING (win)),
+hit_words AS (SELECT r, count(DISTINCT i) AS n_hit FROM hit, unnest(range(s, s + n)) u(i) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (r) LEFT JOIN items USING (r)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_pii": op3_pii,
+    "op4_toxicity": op4_toxicity,
+    "op5_syncmers": op5_syncmers,
+    "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
     "op9_token_files": op9_token_files,
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_chat_format": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL, "op10_chat_format": OP10_SQL}
