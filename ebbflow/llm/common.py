@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.session import ensure_checkpoint_dir, materialize
+from ebbflow.session import ensure_checkpoint_dir
 
 __all__ = ["documents", "ensure_checkpoint_dir", "id_text", "materialize", "read_table", "row_chunks",
            "shared_path", "utf8", "word_bytes"]
@@ -34,6 +34,13 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Writes ``df`` under the shared folder and reads it back: one evaluation, lineage cut."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """(doc_id, text) only, null text as empty: extra columns never reach an operator."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.llm import chat, decontamination, packing, pii, syncmers, token_counts, token_files, toxicity
+from ebbflow.llm import chat, decontamination, ngram_join, packing, pii, syncmers, token_counts, token_files, toxicity
 from ebbflow.llm.common import documents, read_table, shared_path
 
 CAPACITY = 2048
@@ -25,6 +25,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir)).drop("th")
+
+
 def _fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
@@ -102,6 +106,27 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+sh AS MATERIALIZED (
+  SELECT DISTINCT r, array_to_string(w[s:s + least(5, len(w)) - 1], ' ') AS g
+  FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(s) WHERE len(w) > 0),
+size AS MATERIALIZED (SELECT r, count(*) AS n FROM sh GROUP BY r),
+common AS (SELECT a.r AS x, b.r AS y, count(*) AS i FROM sh a JOIN sh b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+link AS MATERIALIZED (
+  SELECT x, y FROM common JOIN size p ON p.r = x JOIN size q ON q.r = y WHERE 100 * i >= 80 * (p.n + q.n - i)),
+both_ways AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (
+  SELECT r, r AS s FROM size
+  UNION SELECT reach.r, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.s)
+SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, coalesce(min(o.doc_id), d.doc_id) AS component_id
+FROM d LEFT JOIN size ON size.r = d.r LEFT JOIN reach ON reach.r = d.r LEFT JOIN d o ON o.r = reach.s
+GROUP BY d.r, d.doc_id, size.n
+"""
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(
@@ -126,6 +151,7 @@ FROM d LEFT JOIN hit_words USING (r) LEFT JOIN items USING (r)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_ngram_join": op2_ngram_join,
     "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
     "op5_syncmers": op5_syncmers,
@@ -135,4 +161,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL, "op10_chat_format": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op6_decontamination": OP6_SQL, "op10_chat_format": OP10_SQL}
