@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.llm import chat, decontamination, ngram_join, packing, pii, syncmers, token_counts, token_files, toxicity
+from ebbflow.llm import chat, decontamination, ngram_join, packing, pii, suffix_dedup, syncmers, token_counts, token_files, toxicity
 from ebbflow.llm.common import documents, read_table, shared_path
 
 CAPACITY = 2048
@@ -71,6 +71,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), TOKEN_LIMIT)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    kept = F.octet_length("kept").cast("long")
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - kept).alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     token_files.write_tokens(documents(spark, sf_dir), path, _vocabulary("word_bpe_49k.json"), end_id=2)
@@ -157,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_syncmers": op5_syncmers,
     "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_files": op9_token_files,
     "op10_chat_format": op10_chat_format,
 }
