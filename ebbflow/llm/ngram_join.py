@@ -353,7 +353,8 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
 
 
 def join(docs: DataFrame, words: int = 5, threshold: Threshold = Threshold()) -> DataFrame:
-    """(doc_id, th, n_shingles, component_id) per row; ``th`` is the hash of the text (null as empty)."""
+    """(doc_id, th, n_shingles, part, component_id) per row; ``th`` is the hash of the text (null as empty),
+    ``part`` a number of the component (null without shingles)."""
     rows = id_text(docs).withColumn("th", F.xxhash64("text"))
     found = materialize(_sets(rows, words), "sets")
     per_row = found.filter("n is not null").select("doc_id", "th", "n", "node")
@@ -378,6 +379,24 @@ def join(docs: DataFrame, words: int = 5, threshold: Threshold = Threshold()) ->
 
     named = classes.select("node", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = named.select("node", "component").join(least, "component").select("node", "component_id")
+    by_node = named.select("node", "component").join(least, "component").select("node", F.col("component").alias("part"), "component_id")
     return per_row.join(by_node, "node", "left").select(
-        "doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", "th", F.col("n").alias("n_shingles"), "part",
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, threshold: Threshold = Threshold()) -> DataFrame:
+    """``docs`` with one row of each component (the least ``doc_id``; of equal ids the least hash of the
+    text; a null id only if there is no other; of equal rows one) and every row without shingles."""
+    found = materialize(join(docs, words, threshold).filter("n_shingles > 0").select("doc_id", "th", "part"), "joined")
+    first = found.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "th")).alias("first"))
+    keys = found.groupBy("doc_id", "th", "part").agg(F.count(F.lit(1)).alias("copies")).join(first, "part")
+    stays = F.col("first.id").eqNullSafe(F.col("doc_id")) & (F.col("first.th") == F.col("th"))
+    # only rows that go, or come more than once, need to be looked up
+    known = materialize(keys.select(F.col("doc_id").alias("_i"), F.col("th").alias("_h"), stays.alias("_stays"), "copies")
+                        .filter("not _stays or copies > 1").drop("copies"), "known")
+    side = F.broadcast(known) if known.count() <= BROADCAST_KEYS else known
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_h"))
+    rows = docs.join(side, on, "left")
+    once = rows.filter("_stays is null").select(*docs.columns)
+    return once.unionByName(rows.filter("_stays").dropDuplicates(["_i", "_h"]).select(*docs.columns))
