@@ -14,19 +14,24 @@ CAPACITY = 2048
 TOKEN_LIMIT = 1024
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), CAPACITY, end_id=0)
+    pieces = packing.token_pieces(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), CAPACITY, end_id=0)
     placed = packing.pack(token_files.with_crc32(pieces), CAPACITY)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def learning_rows() -> Column:
+    """Rows whose label may be learnt from."""
+    return _fold() != 0
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(documents(spark, sf_dir)).drop("th")
+    return ngram_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def _fold(doc_id: str = "doc_id") -> Column:
@@ -45,7 +50,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), _fold() != 0)
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), learning_rows())
     scored = toxicity.score(docs, model, keep=["doc_id"])
     score = F.col("toxicity.score")
     return scored.select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), score.alias("score"),
@@ -68,7 +73,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), TOKEN_LIMIT)
+    return token_counts.token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), TOKEN_LIMIT)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +85,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
-    token_files.write_tokens(documents(spark, sf_dir), path, _vocabulary("word_bpe_49k.json"), end_id=2)
+    token_files.write_tokens(documents(spark, sf_dir), path, vocabulary("word_bpe_49k.json"), end_id=2)
     rows = token_files.with_crc32(token_files.read_tokens(spark, path))
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
