@@ -19,9 +19,10 @@ threshold, exactly. Steps:
    between classes not yet connected, all that the size bounds allow: copies and
    near copies are connected through a few links instead of all their pairs, and no
    link between different components is lost.
-5. ``_overlaps``: blocks of the product. Each pair's overlap is the number of the
-   member's shingles among the pivot's; a pivot's members stream past it (pivots
-   with many are split by a salt), and pairs below 100 i >= 80 u are dropped.
+5. ``_links``: blocks of the product, a pivot against its members, which stream past
+   it (pivots with many are split by a salt). The overlap is accumulated over the
+   prefixes first, and pairs that the sizes then rule out are discarded; the others'
+   overlap is counted over the whole sets, and pairs below 100 i >= 80 u are dropped.
 6. Components of the links, then the smallest ``doc_id`` of each.
 
 Results: ``n_shingles`` and ``component_id`` per row. A text of fewer words than a
@@ -152,12 +153,20 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(scan, "doc_id long, th long, n long, digest binary, node long, shingle long, count long")
 
 
-def _prefixes(rows: DataFrame, words: int, t: Threshold, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(shingle, n, node, rest): the prefix of each set; ``rest`` is how many shingles remain from it on."""
-    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+def _ordered(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A sorted set in the order of the prefixes: by frequency, then hash."""
+    value, count = frequent
+    if len(value):
+        at = np.minimum(np.searchsorted(value, s), len(value) - 1)
+        often = np.where(value[at] == s, count[at], 0)
+        if often.any():
+            return s[np.argsort(often, kind="stable")]
+    return s
+
 
+def _prefixes(rows: DataFrame, words: int, t: Threshold, frequent) -> DataFrame:
+    """(shingle, n, node, rest): the prefix of each set; ``rest`` is how many shingles remain from it on."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value, count = shared.value
         seen: set[int] = set()
         for batch, texts in _texts(batches):
             out: list = []
@@ -169,12 +178,7 @@ def _prefixes(rows: DataFrame, words: int, t: Threshold, frequent: tuple[np.ndar
                 if node in seen:  # an equal set of this task has been sent
                     continue
                 seen.add(node)
-                if len(value):
-                    at = np.minimum(np.searchsorted(value, s), len(value) - 1)
-                    often = np.where(value[at] == s, count[at], 0)
-                    s = s[np.argsort(often, kind="stable")] if often.any() else s
-                p = t.prefix(len(s))
-                out.append((s[:p], len(s), node))
+                out.append((_ordered(s, frequent.value)[:t.prefix(len(s))], len(s), node))
             if len(seen) > 500_000:
                 seen.clear()
             sizes = np.array([len(o[0]) for o in out], np.int64)
@@ -306,50 +310,70 @@ def _other_pairs(lists: DataFrame, parts: DataFrame, t: Threshold) -> DataFrame:
     return one.unionByName(two).mapInArrow(scan, "a long, b long").distinct()
 
 
-def _texts_of(rows: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, set): the shingle set of a representative of each class in ``nodes``."""
-    need = materialize(classes.join(nodes, "node").select("node", F.col("rep.id").alias("doc_id"), F.col("rep.th").alias("th")), "need")
-    few = need.count() <= BROADCAST_KEYS
-    side = (F.broadcast(need) if few else need).withColumnRenamed("doc_id", "i").withColumnRenamed("th", "h")
-    found = rows.join(side, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).select("node", "text")
+def _sets_by_pivot(rows: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, t: Threshold, frequent, prefixes: bool) -> DataFrame:
+    """(a, salt, b, n, part): for each pair the set of ``b`` (or its prefix), and with a null ``b`` the pivot's
+    own, first; sorted. The texts are read again; those asked for are found by their rows' keys."""
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_ROWS).cast("int").alias("salts"))
+    members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
+    own = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).withColumn("b", F.lit(None).cast("long"))
+    asked = (members.unionByName(own).withColumn("node", F.coalesce("b", "a")).join(classes.select("node", "rep"), "node")
+             .groupBy(F.col("rep.id").alias("i"), F.col("rep.th").alias("h")).agg(F.collect_list(F.struct("a", "salt", "b")).alias("asked")))
+    asked = materialize(asked, "asked")
+    side = F.broadcast(asked) if pairs.count() <= BROADCAST_KEYS else asked
+    found = rows.join(side, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).select("doc_id", "th", "text", "asked")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set = set()
         for batch, texts in _texts(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingles(x, words).tobytes() for x in texts], pa.binary())], names=["node", "set"])
-
-    return materialize(found.mapInArrow(scan, "node long, set binary").dropDuplicates(["node"]), "sets")
+            out: list = []
+            for doc_id, th, text, entries in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), texts, batch.column("asked").to_pylist()):
+                if (doc_id, th) in done:  # an equal row of this task
+                    continue
+                done.add((doc_id, th))
+                s = shingles(text, words)
+                part = (np.sort(_ordered(s, frequent.value)[:t.prefix(len(s))]) if prefixes else s).tobytes()
+                out += [(e["a"], e["salt"], e["b"], len(s), part) for e in entries]
+            for cut in range(0, len(out), 2000):
+                some = out[cut:cut + 2000]
+                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in some], kind) for j, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))],
+                                                 names=["a", "salt", "b", "n", "part"])
 
+    return (found.mapInArrow(scan, "a long, salt int, b long, n int, part binary").repartition("a", "salt")
+            .sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()))
 
-def _overlaps(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs (a, b) that link."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_ROWS).cast("int").alias("salts"))
-    members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
-    own = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).withColumn("b", F.lit(None).cast("long"))
-    asked = members.unionByName(own).withColumn("node", F.coalesce("b", "a"))
-    rows = asked.join(sets, "node").select("a", "salt", "b", "set")
 
+def _block_products(sets: DataFrame, t: Threshold, prefixes: bool) -> DataFrame:
+    """Pairs (a, b) that pass: with whole sets those that link; with prefixes those that still can, as the
+    overlap is at most the prefixes' own and what the longer remainder could add."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, mine = None, None
+        pivot, mine, size = None, None, 0
         for batch in row_chunks(batches, 500):
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            salt, data = batch.column("salt").to_pylist(), batch.column("set").to_pylist()
             x, y = [], []
-            for i in range(len(a)):
-                s = np.frombuffer(data[i], np.uint64)
-                if b[i] is None:
-                    pivot, mine = (a[i], salt[i]), s
+            for a, salt, b, n, data in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b", "n", "part"))):
+                s = np.frombuffer(data, np.uint64)
+                if b is None:
+                    pivot, mine, size = (a, salt), s, n
                     continue
-                if pivot != (a[i], salt[i]):
+                if pivot != (a, salt):
                     raise ValueError("a pivot's own row comes first")
-                if t.sizes(min(len(s), len(mine)), max(len(s), len(mine))):
-                    at = np.minimum(np.searchsorted(mine, s), len(mine) - 1)
-                    if t.linked(int((mine[at] == s).sum()), len(s), len(mine)):
-                        x.append(a[i])
-                        y.append(b[i])
+                if not t.sizes(min(n, size), max(n, size)):
+                    continue
+                at = np.minimum(np.searchsorted(mine, s), len(mine) - 1)
+                overlap = int((mine[at] == s).sum())
+                rest = max(n - len(s), size - len(mine))
+                if t.enough(overlap + rest, n, size) if prefixes else t.linked(overlap, n, size):
+                    x.append(a)
+                    y.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(scan, "a long, b long")
+    return sets.mapInArrow(scan, "a long, b long").distinct()
+
+
+def _links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, t: Threshold, frequent) -> DataFrame:
+    """The pairs (a, b) that link: first by their prefixes, then by the whole sets."""
+    for prefixes in (True, False):
+        pairs = materialize(_block_products(_sets_by_pivot(rows, classes, pairs, words, t, frequent, prefixes), t, prefixes), "pairs")
+    return pairs
 
 
 def join(docs: DataFrame, words: int = 5, threshold: Threshold = Threshold()) -> DataFrame:
@@ -362,18 +386,15 @@ def join(docs: DataFrame, words: int = 5, threshold: Threshold = Threshold()) ->
              .orderBy(F.desc("c"), "shingle").limit(MOST_FREQUENT).toPandas())
     value = often["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(value)
-    frequent = (value[order], often["c"].to_numpy(np.int64)[order])
+    frequent = docs.sparkSession.sparkContext.broadcast((value[order], often["c"].to_numpy(np.int64)[order]))
     rep = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "th")
     classes = materialize(per_row.filter("n > 0").groupBy("node").agg(F.min(rep).alias("rep"), F.min("doc_id").alias("least")), "classes")
 
     lists = materialize(_lists(_prefixes(rows, words, threshold, frequent), threshold), "lists")
-    nodes = lists.select(F.explode("nodes").alias("node")).distinct()
-    sets = _texts_of(rows, classes, nodes, words)
     first = materialize(_first_pairs(lists, threshold), "pairs")
-    links = materialize(_overlaps(first, sets, threshold), "links")
-    parts = components(links)
-    rest = _other_pairs(lists, parts, threshold).join(first, ["a", "b"], "left_anti")
-    more = materialize(_overlaps(materialize(rest, "pairs"), sets, threshold), "links")
+    parts = components(_links(rows, classes, first, words, threshold, frequent))
+    rest = materialize(_other_pairs(lists, parts, threshold).join(first, ["a", "b"], "left_anti"), "pairs")
+    more = _links(rows, classes, rest, words, threshold, frequent)
     if not more.isEmpty():
         parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 

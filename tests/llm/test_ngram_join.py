@@ -50,8 +50,10 @@ def texts(seed, groups=25):
     return out
 
 
-@pytest.mark.parametrize("seed,chunk", [(1, 4096), (2, 3), (3, 2)])
-def test_equals_brute_force(spark, monkeypatch, seed, chunk):
+@pytest.mark.parametrize("seed,chunk,keys", [(1, 4096, 10**6), (2, 3, 10**6), (3, 2, 0)])
+def test_equals_brute_force(spark, monkeypatch, seed, chunk, keys):
+    monkeypatch.setattr(ngram_join, "BROADCAST_KEYS", keys)
+    monkeypatch.setattr(ngram_join, "PIVOT_ROWS", 3)
     monkeypatch.setattr(ngram_join, "CHUNK", chunk)
     monkeypatch.setattr(ngram_join, "FREQUENT", 4)
     docs = docs_of(spark, [*ODD, *texts(seed)], first=seed).orderBy("n_chars")
@@ -82,7 +84,8 @@ def test_near_copies_are_not_expanded_to_all_pairs(spark):
     from pyspark.sql import functions as F
     import numpy as np
     t = ngram_join.Threshold()
-    prefixes = ngram_join._prefixes(docs.withColumn("th", F.xxhash64("text")), 5, t, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    none = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    prefixes = ngram_join._prefixes(docs.withColumn("th", F.xxhash64("text")), 5, t, none)
     assert ngram_join._first_pairs(ngram_join._lists(prefixes, t), t).count() < 300 * 30
 
 
