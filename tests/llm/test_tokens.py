@@ -40,10 +40,12 @@ def test_token_counts(spark):
     assert token_counts.token_counts(spark.createDataFrame([], EMPTY), BYTE, 1024).count() == 0
 
 
-def test_small_blocks_give_the_same_counts(spark, monkeypatch):
-    monkeypatch.setattr(token_counts, "BLOCK_CHARS", 100)
-    rows = token_counts.frequencies(docs_of(spark, ODD), BYTE, block_chars=50).select("block").distinct().count()
-    assert rows > 3
+def test_small_blocks_and_frequent_pre_tokens_give_the_same_counts(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "HELD_BLOCKS", 2)
+    docs = docs_of(spark, [*ODD, "a " * 2000 + "b", "a b " * 255])
+    want = Counter(map(tuple, token_counts.token_counts(docs, BYTE, 9).collect()))
+    assert want == Counter(map(tuple, token_counts.token_counts(docs, BYTE, 9, block_chars=50).collect()))
+    assert want == Counter((r.doc_id, len((r.text or "").encode()), n, n > 9) for r in docs.collect() for n in [len(ids_of(BYTE, r.text))])
 
 
 def test_token_files(spark):
