@@ -114,3 +114,12 @@ def attach(df, one_row, how: str = "broadcast"):
                 .withColumns({c: F.col("_attached").getField(c) for c in cols})
                 .drop("_attached"))
     return df.crossJoin(F.broadcast(one_row))
+
+
+def exactly_one(frame, what: str = "the attached frame"):
+    """``frame`` if it has one row; evaluation fails if it has more, and gives one row
+    of nulls if it has none."""
+    names = frame.columns
+    rows = frame.agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in names])
+    check = F.when(F.col("_rows") > 1, F.raise_error(F.lit(f"{what} must have one row")))
+    return rows.select(*[F.coalesce(check.cast(frame.schema[c].dataType), F.col(c)).alias(c) for c in names])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbflow.functions.columns import attach, flag
-from ebbflow.functions.stats import chi2_sf_udf, two_sided_norm_p_udf
+from ebbflow.functions.stats import chi2_sf_expr, two_sided_norm_p
 from ebbflow.operators.ranks import first_fraction_flag
 
 
@@ -103,8 +103,8 @@ def ab_readout(df: DataFrame, group: str = "group", outcome: str = "churned",
         ((F.col("_lc") - F.col("_lt")).cast("double") / 100).alias("mrr_saved"),
         ((F.col("_lc") - F.col("_lt")) * 12).cast("double").alias("_a"))
     out = (out.withColumn("annual_saved", F.col("_a") / 100).drop("_a")
-           .withColumn("p_chi2", chi2_sf_udf(F.col("chi2"), F.lit(1.0)))
-           .withColumn("p_z", two_sided_norm_p_udf(F.col("z"))))
+           .withColumn("p_chi2", chi2_sf_expr("chi2", F.lit(1)))
+           .withColumn("p_z", two_sided_norm_p("z")))
     return out.withColumn("significant", F.col("p_z") < alpha)
 
 

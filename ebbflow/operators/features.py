@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.functions.columns import (attach, TENURE_EDGES_A, TENURE_EDGES_C, bucketize,
+from ebbflow.functions.columns import (attach, exactly_one, TENURE_EDGES_A, TENURE_EDGES_C, bucketize,
                                        flag, sum_cols)
 from ebbflow.operators.ranks import pct_rank_avg
 
@@ -256,8 +256,8 @@ def derive_macro(macro: DataFrame) -> DataFrame:
 
 
 def add_macro(df: DataFrame, macro: DataFrame) -> DataFrame:
-    """Constant columns onto every row; the macro frame must be one row."""
-    return df.transform(attach, macro.limit(1))
+    """Constant columns onto every row; a macro frame of several rows is an error."""
+    return df.transform(attach, exactly_one(macro, "the macro table"))
 
 
 def trend_velocity(series: DataFrame, ts: str, value: str, k: int = 4,

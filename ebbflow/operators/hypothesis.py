@@ -1,8 +1,7 @@
 """Hypothesis tests (inventory H1–H5).
 
 Statistics are computed distributed (contingency counts, distinct-value
-histograms, per-time risk sets); only the final scalar → p-value mapping runs in
-Python, as an Arrow-batched UDF over the handful of result rows.
+histograms, per-time risk sets), p-values are column expressions.
 """
 
 from __future__ import annotations
@@ -11,57 +10,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbflow.functions.columns import attach, flag
-from ebbflow.functions.stats import chi2_sf_udf, ks_p_expr, two_sided_norm_p_udf
+from ebbflow.functions.stats import chi2_sf_expr, ks_p_expr, two_sided_norm_p
 from ebbflow.operators.ranks import grouped_prefix_sums
 
 
 def contingency(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
-    """Full r×c table including zero cells: (by…, a, b, observed).
-
-    ``b`` is a low-cardinality category (its distinct levels are collected to
-    pivot on, as Spark's own ``pivot`` would); counts are one grouped
-    aggregation pivoted on ``b`` and unpivoted back, so absent cells are zeros
-    without pairing keys in a join."""
-    by = by or []
-    levels = [r[0] for r in df.select(b).where(F.col(b).isNotNull()).distinct().collect()]
-    wide = (df.where(F.col(b).isNotNull()).groupBy(*by, a)
-            .pivot(b, levels).agg(F.count(F.lit(1))))
-    names = [str(v) for v in levels]
-    long = wide.unpivot([*by, a], names, "_b", "observed")
-    back = F.create_map(*[F.lit(x) for v in levels for x in (str(v), v)])
-    present = df.where(F.col(b).isNotNull()).select(*by, F.col(b).alias("_bv")).distinct() \
-        if by else None
-    out = long.select(*by, a, back[F.col("_b")].alias(b),
-                      F.coalesce(F.col("observed"), F.lit(0)).cast("long").alias("observed"))
-    if by:  # keep only levels of b that occur within each group
-        out = out.join(present, [*[out[k] == present[k] for k in by],
-                                 out[b] == present["_bv"]], "left_semi")
-    return out
+    """Observed cells of the r×c table of two categories: (by…, a, b, observed).
+    Rows with a null category are left out, as in a crosstab; empty cells have no row."""
+    return (df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*(by or []), a, b)
+            .agg(F.count(F.lit(1)).cast("long").alias("observed")))
 
 
 def chi2_statistic(df: DataFrame, a: str, b: str, by: list[str] | None = None,
                    yates: bool = True) -> DataFrame:
-    """H1 statistic: Pearson χ² of independence with Yates' correction on 2×2
-    tables (|O−E| − min(½, |O−E|)), plus dof and n per ``by`` group."""
+    """H1 statistic: Pearson χ² of independence, with Yates' correction on 2×2
+    tables, plus dof and n per ``by`` group.
+
+    Without correction χ² = n(ΣO²/(R·C) − 1), which needs no empty cells. On a 2×2
+    table |O − E| is the same in all four, and Σ1/E = n·Σ1/R·Σ1/C."""
     by = by or []
-    cells = contingency(df, a, b, by)
-    # marginals by windows over the (tiny, r×c per group) contingency table
-    g_w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    j = cells.select(
-        *by, a, b, "observed",
-        F.sum("observed").over(Window.partitionBy(*by, a)).alias("_rt"),
-        F.sum("observed").over(Window.partitionBy(*by, b)).alias("_ct"),
-        F.sum("observed").over(g_w).alias("_n"),
-        F.size(F.collect_set(a).over(g_w)).alias("_r"),
-        F.size(F.collect_set(b).over(g_w)).alias("_c"))
-    e = F.col("_rt") * F.col("_ct") / F.col("_n").cast("double")
-    dev = F.abs(F.col("observed") - e)
+    o = F.col("observed")
+    cells = contingency(df, a, b, by).select(
+        *by, a, b, o, F.sum(o).over(Window.partitionBy(*by, a)).alias("_rt"),
+        F.sum(o).over(Window.partitionBy(*by, b)).alias("_ct"))
+    rt, ct = F.col("_rt").cast("double"), F.col("_ct").cast("double")
+    g = cells.groupBy(*by).agg(
+        F.sum(o).alias("n"), F.sum(o * o / (rt * ct)).alias("_q"), F.sum(o / (rt * rt)).alias("_sr"),
+        F.sum(o / (ct * ct)).alias("_sc"), F.count_distinct(a).alias("_r"), F.count_distinct(b).alias("_c"),
+        F.max(F.struct(o.alias("o"), rt.alias("rt"), ct.alias("ct"))).alias("_cell"))
     dof = (F.col("_r") - 1) * (F.col("_c") - 1)
-    if yates:
-        dev = F.when(dof == 1, dev - F.least(F.lit(0.5), dev)).otherwise(dev)
-    g = j.groupBy(*by).agg(F.sum(dev * dev / e).alias("chi2"), F.first(dof).alias("dof"),
-                           F.first("_n").alias("n"))
-    return g.select(*by, "chi2", F.col("dof").cast("long").alias("dof"),
+    plain = F.col("n") * (F.col("_q") - 1)
+    dev = F.abs(F.col("_cell.o") - F.col("_cell.rt") * F.col("_cell.ct") / F.col("n"))
+    dev = dev - F.least(F.lit(0.5), dev)
+    chi2 = F.when(dof == 1, dev * dev * F.col("n") * F.col("_sr") * F.col("_sc")).otherwise(plain) if yates else plain
+    return g.select(*by, F.greatest(chi2, F.lit(0.0)).alias("chi2"), dof.cast("long").alias("dof"),
                     F.col("n").cast("long").alias("n"))
 
 
@@ -69,7 +51,7 @@ def chi2_independence(df: DataFrame, a: str, b: str, by: list[str] | None = None
                       yates: bool = True) -> DataFrame:
     """H1: statistic, dof and p-value."""
     s = chi2_statistic(df, a, b, by, yates)
-    return s.withColumn("p_value", chi2_sf_udf(F.col("chi2"), F.col("dof").cast("double")))
+    return s.withColumn("p_value", chi2_sf_expr("chi2", "dof"))
 
 
 def ks_statistic(df: DataFrame, c: str, group: str, a, b,
@@ -112,34 +94,32 @@ def two_proportion_z(df: DataFrame, group: str, outcome: str, a, b) -> DataFrame
     z = (p1 - p2) / F.sqrt(pool * (1 - pool) * (1 / F.col("n1") + 1 / F.col("n2")))
     return (g.select("n1", "n2", "x1", "x2", p1.alias("rate_1"), p2.alias("rate_2"),
                      z.alias("z"))
-            .withColumn("p_value", two_sided_norm_p_udf(F.col("z"))))
+            .withColumn("p_value", two_sided_norm_p("z")))
 
 
-# The five churn-driver hypotheses (name, flag column).
+# The five churn-driver hypotheses (name, column, level a, level b).
+# The test is over all levels of the column, the rates are those of a and b.
 HYPOTHESES = [
-    ("month_to_month", "is_month_to_month"),
-    ("single_service", "is_single_service"),
-    ("fiber_internet", "has_fiber"),
-    ("high_charge", "is_high_charger"),
-    ("new_customer", "is_new_customer"),
+    ("month_to_month", "is_month_to_month", "1", "0"),
+    ("single_service", "is_single_service", "1", "0"),
+    ("fiber_internet", "InternetService", "Fiber optic", "DSL"),
+    ("high_charge", "is_high_charger", "1", "0"),
+    ("new_customer", "is_new_customer", "1", "0"),
 ]
 
 
 def hypothesis_suite(df: DataFrame, y: str = "Churn_binary", hypotheses=HYPOTHESES,
                      alpha: float = 0.05) -> DataFrame:
-    """H4: every hypothesis in one job — unpivot the flags, then contingency
-    χ² grouped by hypothesis; rates with (a) and without (b) the condition."""
-    cols = [c for _, c in hypotheses]
-    names = F.create_map(*[F.lit(x) for n, c in hypotheses for x in (c, n)])
-    long = (df.select(y, *[F.col(c).cast("int").alias(c) for c in cols])
-            .unpivot(y, cols, "flag_col", "flag"))
-    long = long.withColumn("hypothesis", names[F.col("flag_col")])
-    rates = long.groupBy("hypothesis").agg(
-        (F.sum(F.when(F.col("flag") == 1, F.col(y))).cast("double")
-         / F.sum(flag(F.col("flag") == 1))).alias("rate_a"),
-        (F.sum(F.when(F.col("flag") != 1, F.col(y))).cast("double")
-         / F.sum(flag(F.col("flag") != 1))).alias("rate_b"))
-    chi = chi2_independence(long, "flag", y, by=["hypothesis"])
+    """H4: every hypothesis from one aggregation — each row gives one (hypothesis,
+    level, outcome) entry per hypothesis; χ² over the levels, rates of a and b."""
+    entries = F.array(*[F.struct(F.lit(n).alias("hypothesis"), F.col(c).cast("string").alias("level"),
+                                 F.lit(a).alias("a"), F.lit(b).alias("b")) for n, c, a, b in hypotheses])
+    long = df.select(F.col(y), F.explode(entries).alias("e")).select(y, "e.*")
+    small = long.groupBy("hypothesis", "level", "a", "b", y).agg(F.count(F.lit(1)).alias("_n"))
+    rate = lambda lv: (F.sum(F.when(F.col("level") == F.col(lv), F.col(y) * F.col("_n"))).cast("double")
+                       / F.sum(F.when(F.col("level") == F.col(lv), F.col("_n"))))
+    rates = small.groupBy("hypothesis").agg(rate("a").alias("rate_a"), rate("b").alias("rate_b"))
+    chi = chi2_independence(long, "level", y, by=["hypothesis"])
     return (rates.join(chi, "hypothesis")
             .withColumn("difference_pp", (F.col("rate_a") - F.col("rate_b")) * 100)
             .withColumn("confirmed", F.col("p_value") < alpha))
@@ -172,4 +152,4 @@ def log_rank(df: DataFrame, dur: str, evt: str, group: str, a, b,
              bounded: bool = False) -> DataFrame:
     """H5: statistic and p-value (χ², 1 dof)."""
     s = log_rank_statistic(df, dur, evt, group, a, b, bounded)
-    return s.withColumn("p_value", chi2_sf_udf(F.col("log_rank_chi2"), F.lit(1.0)))
+    return s.withColumn("p_value", chi2_sf_expr("log_rank_chi2", F.lit(1)))

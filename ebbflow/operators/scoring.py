@@ -12,7 +12,7 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.functions.columns import attach, risk_tier
+from ebbflow.functions.columns import attach, exactly_one, risk_tier
 from ebbflow.operators.archetypes import archetype_rule
 from ebbflow.operators.clean import validate_rows
 from ebbflow.operators.features import engineer_features
@@ -77,12 +77,10 @@ def stand_in_scorer(df: DataFrame) -> DataFrame:
 
 def model_scorer(model) -> Callable[[DataFrame], DataFrame]:
     """Wrap a fitted MLlib PipelineModel producing ``probability``."""
-    from pyspark.ml.functions import vector_to_array
+    from ebbflow.operators.models import predict
 
     def score(df: DataFrame) -> DataFrame:
-        out = model.transform(df)
-        return out.withColumn("churn_probability", vector_to_array("probability")[1]).drop(
-            "probability", "rawPrediction", "prediction", "features")
+        return predict(model, df).drop("prediction")
     return score
 
 
@@ -96,7 +94,7 @@ def score_customers(df: DataFrame, scorer: Callable[[DataFrame], DataFrame] = st
     s = top_risk_factors(s)
     p = F.col("churn_probability")
     if macro is not None:
-        s = s.transform(attach, macro.limit(1))
+        s = s.transform(attach, exactly_one(macro, "the macro table"))
         ctx = F.create_map(F.lit("gdp_growth"), F.col("macro_gdp_growth"),
                            F.lit("inflation"), F.col("macro_inflation"),
                            F.lit("unemployment"), F.col("macro_unemployment"),

@@ -6,7 +6,10 @@ matrices (VIF) ever reach the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,31 +69,46 @@ def top_k_features(scores: DataFrame, k: int = 10, score: str = "mutual_informat
     return scores.orderBy(F.desc(score), name).limit(k)
 
 
-def vif(df: DataFrame, features: list[str], max_cols: int = 30) -> DataFrame:
-    """Variance inflation factors with the uncentred R² (no constant), for the
-    first ``max_cols`` features: VIFᵢ = (XᵀX)ᵢᵢ·((XᵀX)⁻¹)ᵢᵢ. One distributed
-    aggregation of the p(p+1)/2 cross products; the p×p inverse is on the driver.
-    A singular matrix gives +inf for the affected features."""
-    cols = features[:max_cols]
-    x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    row = df.agg(*[F.sum(x[i] * x[j]).alias(f"_{i}_{j}") for i, j in pairs]).first()
-    g = np.zeros((len(cols), len(cols)))
-    for i, j in pairs:
-        g[i, j] = g[j, i] = row[f"_{i}_{j}"] or 0.0
-    try:
-        if np.linalg.cond(g) > 1e15:
-            raise np.linalg.LinAlgError("singular")
-        inv = np.linalg.inv(g)
-        vals = [float(g[i, i] * inv[i, i]) for i in range(len(cols))]
-    except np.linalg.LinAlgError:
-        vals = [float("inf")] * len(cols)
-    return df.sparkSession.createDataFrame(list(zip(cols, vals)), "feature string, vif double")
-
-
-def drop_high_vif(vifs: DataFrame, limit: float = 10.0) -> DataFrame:
-    """Features to keep (VIF ≤ limit; infinite VIF is dropped)."""
-    return vifs.where(F.col("vif") <= limit)
+def cross_products(df: DataFrame, features: list[str]) -> np.ndarray:
+    """XᵀX of the features (nulls as 0): each task adds up its rows' products, the
+    p×p sums are added per cell."""
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros((len(features), len(features)))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            g += x.T @ x
+        i, j = np.indices(g.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(g.ravel())],
+                                         names=["i", "j", "s"])
+
+    x = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{k}") for k, c in enumerate(features)])
+    g = np.zeros((len(features), len(features)))
+    for i, j, total in x.mapInArrow(partial, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s")).collect():
+        g[i, j] = total
+    return g
+
+
+def vif(df: DataFrame, features: list[str]) -> DataFrame:
+    """Variance inflation factors with the uncentred R² (no constant):
+    VIFᵢ = (XᵀX)ᵢᵢ·((XᵀX)⁻¹)ᵢᵢ over all features, from one pass; the p×p inverse
+    is on the driver. A feature that the others determine (its column is linearly
+    dependent) gets +inf, an all-zero one too."""
+    g = cross_products(df, features)
+    scale = np.sqrt(np.diag(g))
+    vals = np.full(len(features), np.inf)
+    live = np.flatnonzero(scale > 0)
+    if len(live):
+        w, v = np.linalg.eigh(g[np.ix_(live, live)] / np.outer(scale[live], scale[live]))
+        null = w <= len(live) * 1e-13 * w[-1]
+        part = (v[:, null] ** 2).sum(1) > 1e-9  # takes part in a dependency
+        inverse = (v[:, ~null] ** 2 / w[~null]).sum(1)
+        vals[live] = np.where(part, np.inf, inverse)
+    return df.sparkSession.createDataFrame(list(zip(features, map(float, vals))), "feature string, vif double")
+
+
+def drop_high_vif(df: DataFrame, features: list[str], limit: float = 10.0) -> DataFrame:
+    """The features with VIF ≤ limit (infinite VIF is dropped), with their VIF."""
+    return vif(df, features).where(F.col("vif") <= limit)
 
 
 def corr_with_target(df: DataFrame, target: str = "Churn_binary", k: int = 5,

@@ -78,15 +78,14 @@ def naive_survival(df: DataFrame, evt: str = "Churn_binary", by: list[str] | Non
 
 # ------------------------------------------------------------------ Cox
 import math  # noqa: E402
-from dataclasses import dataclass, field  # noqa: E402
+from dataclasses import dataclass  # noqa: E402
 
 import numpy as np  # noqa: E402
 from pyspark.sql import Column  # noqa: E402
 
 from ebbflow.functions.stats import norm_sf  # noqa: E402
 from ebbflow.operators.ranks import prefix_sums  # noqa: E402
-
-MAX_DISTINCT_TIMES = 5000
+from ebbflow.session import materialize  # noqa: E402
 
 
 @dataclass
@@ -96,13 +95,13 @@ class CoxModel:
     stds: list
     beta_z: list                     # coefficients on the standardised scale
     se_z: list
-    times: list = field(default_factory=list)      # distinct event/censor times
-    baseline_survival: list = field(default_factory=list)
+    baseline: DataFrame | None = None  # (t, cumulative_hazard) at the distinct durations, z = 0
     loglik: float = 0.0
     iterations: int = 0
 
     def linear_predictor(self) -> Column:
-        z = [(F.coalesce(F.col(c).cast("double"), F.lit(m)) - m) / (s if s else 1.0)
+        """x·β on the standardised scale; null where a covariate is."""
+        z = [(F.col(c).cast("double") - m) / (s if s else 1.0)
              for c, m, s in zip(self.covariates, self.means, self.stds)]
         return sum((F.lit(b) * zc for b, zc in zip(self.beta_z, z)), F.lit(0.0))
 
@@ -122,66 +121,93 @@ class CoxModel:
         return df.orderBy(F.desc("hazard_ratio"))
 
 
-def _cox_sums(z: DataFrame, p: int, beta: list, dur: str, evt: str) -> list:
-    """One distributed pass: per distinct duration, Σw, Σw·x, Σw·xxᵀ over all
-    rows and over events, plus Σx and the count over events (w = exp(x·β))."""
+#: Ties up to which Efron's sums are added term by term, and the terms nearest the
+#: pole that always are; the rest is an integral with an end correction.
+EFRON_DIRECT, EFRON_TAIL = 4096, 1024
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(64)
+
+
+def efron_sums(s0: float, e0: float, d: int) -> np.ndarray:
+    """Σ over k < d of (ln φ, 1/φ, k/φ, 1/φ², k/φ², k²/φ²) with φ = s0 − k·e0/d.
+
+    The cost does not depend on d: far from the pole at φ = 0 the terms are smooth in
+    k, and Σ f(k) over a..b−1 is ∫ f over a−½..b−½ less (f'(b−½) − f'(a−½))/24, the
+    integral by Gauss–Legendre in u = ln φ."""
+    c = e0 / d
+
+    def terms(k):
+        phi = s0 - k * c
+        return np.array([np.log(phi), 1 / phi, k / phi, 1 / phi ** 2, k / phi ** 2, k ** 2 / phi ** 2])
+
+    first = 0 if d <= EFRON_DIRECT else d - EFRON_TAIL
+    total = terms(np.arange(first, d, dtype=float)).sum(1)
+    if first:
+        lo, hi = math.log(s0 - (first - 0.5) * c), math.log(s0 + 0.5 * c)
+        u = (hi + lo) / 2 + (hi - lo) / 2 * _NODES
+        k = (s0 - np.exp(u)) / c
+        total += (terms(k) * np.exp(u) * _WEIGHTS).sum(1) * (hi - lo) / 2 / c
+        ends = np.array([-0.5, first - 0.5])
+        slope = (terms(ends + 1e-3) - terms(ends - 1e-3)) / 2e-3
+        total -= (slope[:, 1] - slope[:, 0]) / 24
+    return total
+
+
+def _cox_step(z: DataFrame, p: int, beta: list, dur: str, evt: str) -> tuple[float, np.ndarray, np.ndarray, DataFrame]:
+    """Log-likelihood, gradient and Hessian (Efron ties) at ``beta``.
+
+    One grouped aggregation gives per distinct duration Σw, Σw·x, Σw·xxᵀ over all rows
+    and over events (w = exp(x·β)); risk sets are suffix sums of that table; each task
+    adds up its durations' terms, and only p×p sums come back."""
     xb = sum((F.lit(beta[i]) * F.col(f"_z{i}") for i in range(p)), F.lit(0.0))
-    w = F.exp(xb)
-    e = F.col(evt) == 1
-    aggs = [F.sum(w).alias("a0"), F.sum(F.when(e, w).otherwise(0.0)).alias("e0"),
-            F.sum(F.when(e, 1).otherwise(0)).alias("d")]
-    for i in range(p):
-        zi = F.col(f"_z{i}")
-        aggs += [F.sum(w * zi).alias(f"a1_{i}"), F.sum(F.when(e, w * zi).otherwise(0.0)).alias(f"e1_{i}"),
-                 F.sum(F.when(e, zi).otherwise(0.0)).alias(f"x_{i}")]
-        for j in range(i, p):
-            zj = F.col(f"_z{j}")
-            aggs += [F.sum(w * zi * zj).alias(f"a2_{i}_{j}"),
-                     F.sum(F.when(e, w * zi * zj).otherwise(0.0)).alias(f"e2_{i}_{j}")]
-    rows = z.groupBy(F.col(dur).alias("_t")).agg(*aggs).collect()
-    if len(rows) > MAX_DISTINCT_TIMES:
-        raise ValueError("too many distinct durations for the risk-set table; bin durations first")
-    return sorted(rows, key=lambda r: r["_t"])
-
-
-def _efron(rows: list, p: int):
-    """Log-likelihood, gradient and Hessian (Efron ties) from per-time sums;
-    risk sets are suffix sums over the (bounded) distinct durations."""
-    def mat(r, pre):
-        m = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                m[i, j] = m[j, i] = r[f"{pre}_{i}_{j}"]
-        return m
-    ll, g, h = 0.0, np.zeros(p), np.zeros((p, p))
-    s0, s1, s2 = 0.0, np.zeros(p), np.zeros((p, p))
-    for r in reversed(rows):
-        s0 += r["a0"]
-        s1 += np.array([r[f"a1_{i}"] for i in range(p)])
-        s2 += mat(r, "a2")
-        d = r["d"]
-        if not d:
-            continue
-        e0, e1, e2 = r["e0"], np.array([r[f"e1_{i}"] for i in range(p)]), mat(r, "e2")
-        xs = np.array([r[f"x_{i}"] for i in range(p)])
-        # Σ over events of x·β = log(Π w) is not needed separately: use Σ x then β outside
-        g += xs
-        for k in range(d):
-            f = k / d
-            phi0, phi1, phi2 = s0 - f * e0, s1 - f * e1, s2 - f * e2
-            ll -= math.log(phi0)
-            g -= phi1 / phi0
-            h -= phi2 / phi0 - np.outer(phi1, phi1) / (phi0 * phi0)
-    return ll, g, h
+    w, e = F.exp(xb), F.col(evt) == 1
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    moment = [w, *[w * F.col(f"_z{i}") for i in range(p)], *[w * F.col(f"_z{i}") * F.col(f"_z{j}") for i, j in pairs]]
+    m = len(moment)
+    table = z.groupBy(F.col(dur).alias("_t")).agg(
+        F.sum(F.when(e, 1).otherwise(0)).alias("_d"), F.sum(F.when(e, xb).otherwise(0.0)).alias("_xb"),
+        *[F.sum(x).alias(f"_a{i}") for i, x in enumerate(moment)],
+        *[F.sum(F.when(e, x).otherwise(0.0)).alias(f"_e{i}") for i, x in enumerate(moment)],
+        *[F.sum(F.when(e, F.col(f"_z{i}")).otherwise(0.0)).alias(f"_x{i}") for i in range(p)])
+    risk = prefix_sums(table, [("_t", False)], {f"_s{i}": F.col(f"_a{i}") for i in range(m)})
+    names = ["_d", "_xb", *[f"_s{i}" for i in range(m)], *[f"_e{i}" for i in range(m)], *[f"_x{i}" for i in range(p)]]
+
+    def square(upper: np.ndarray) -> np.ndarray:
+        out = np.zeros((p, p))
+        for (i, j), v in zip(pairs, upper):
+            out[i, j] = out[j, i] = v
+        return out
+
+    def partial(batches):
+        import pyarrow as pa
+        ll, g, h = 0.0, np.zeros(p), np.zeros((p, p))
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                d, x = row[0], np.array(row[1:])
+                s, ev, xs = x[1:1 + m], x[1 + m:1 + 2 * m], x[1 + 2 * m:]
+                log, a1, b1, a2, b2, c2 = efron_sums(s[0], ev[0], d)
+                s1, e1 = s[1:1 + p], ev[1:1 + p] / d
+                ll += x[0] - log
+                g += xs - (s1 * a1 - e1 * b1)
+                h -= square(s[1 + p:]) * a1 - square(ev[1 + p:]) / d * b1
+                cross = np.outer(s1, e1)
+                h += np.outer(s1, s1) * a2 - (cross + cross.T) * b2 + np.outer(e1, e1) * c2
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1 + p + p * p)), pa.array(np.concatenate([[ll], g, h.ravel()]))], names=["i", "v"])
+
+    total = np.zeros(1 + p + p * p)
+    for i, v in (risk.where("_d > 0").select(*names).mapInArrow(partial, "i long, v double")
+                 .groupBy("i").agg(F.sum("v")).collect()):  # 1 + p + p² rows
+        total[i] = v
+    return total[0], total[1:1 + p], total[1 + p:].reshape(p, p), risk
 
 
 def cox_fit(df: DataFrame, dur: str, evt: str, covariates: list[str], penalizer: float = 0.1,
             max_iter: int = 50, tol: float = 1e-9) -> CoxModel:
     """I4: Cox proportional hazards, Efron ties, L2 penalty on standardised
-    covariates; objective = loglik/n − ½·λ·‖β‖². Newton–Raphson on the driver
-    over p×p matrices; every iteration is one distributed grouped aggregation
-    (per distinct duration, bounded), never a collect of rows."""
+    covariates; objective = loglik/n − ½·λ·‖β‖². Newton–Raphson on the driver over
+    p×p matrices. Rows with a null duration, event or covariate are left out. The
+    driver's work depends on p alone; a task's on its distinct durations."""
     p = len(covariates)
+    df = df.select(dur, evt, *covariates).dropna()
     mom = df.agg(F.count(F.lit(1)).alias("n"),
                  *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(covariates)],
                  *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(covariates)]
@@ -189,121 +215,96 @@ def cox_fit(df: DataFrame, dur: str, evt: str, covariates: list[str], penalizer:
     n = mom["n"]
     means = [mom[f"m{i}"] or 0.0 for i in range(p)]
     stds = [mom[f"s{i}"] or 0.0 for i in range(p)]
-    z = df.select(F.col(dur), F.col(evt), *[
-        ((F.coalesce(F.col(c).cast("double"), F.lit(means[i])) - means[i])
-         / (stds[i] if stds[i] else 1.0)).alias(f"_z{i}") for i, c in enumerate(covariates)])
-    z = z.persist()
+    z = materialize(df.select(F.col(dur), F.col(evt), *[
+        ((F.col(c).cast("double") - means[i]) / (stds[i] if stds[i] else 1.0)).alias(f"_z{i}")
+        for i, c in enumerate(covariates)]), "cox")
     beta = np.zeros(p)
-
-    def objective(b):
-        rows = _cox_sums(z, p, b.tolist(), dur, evt)
-        ll, g, h = _efron(rows, p)
-        xs = sum(np.array([r[f"x_{i}"] for i in range(p)]) for r in rows)
-        ll += float(xs @ b)
-        return ll, g, h, rows
-
-    ll, g, h, rows = objective(beta)
-    obj = ll / n - 0.5 * penalizer * float(beta @ beta)
+    objective = lambda ll, b: ll / n - 0.5 * penalizer * float(b @ b)
+    ll, g, h, risk = _cox_step(z, p, beta.tolist(), dur, evt)
     it = 0
     for it in range(1, max_iter + 1):
-        grad = g / n - penalizer * beta
-        hess = h / n - penalizer * np.eye(p)
-        step = np.linalg.solve(hess, grad)
+        step = np.linalg.solve(h / n - penalizer * np.eye(p), g / n - penalizer * beta)
         t = 1.0
         while True:
             cand = beta - t * step
-            ll_c, g_c, h_c, rows_c = objective(cand)
-            obj_c = ll_c / n - 0.5 * penalizer * float(cand @ cand)
-            if obj_c >= obj - 1e-12 or t < 1e-4:
+            ll_c, g_c, h_c, risk_c = _cox_step(z, p, cand.tolist(), dur, evt)
+            if objective(ll_c, cand) >= objective(ll, beta) - 1e-12 or t < 1e-4:
                 break
             t /= 2
         done = np.max(np.abs(cand - beta)) < tol
-        beta, ll, g, h, rows, obj = cand, ll_c, g_c, h_c, rows_c, obj_c
+        beta, ll, g, h, risk = cand, ll_c, g_c, h_c, risk_c
         if done:
             break
-    hess = h - penalizer * n * np.eye(p)
-    cov = np.linalg.inv(-hess)
-    se = np.sqrt(np.clip(np.diag(cov), 0, None))
-    # Breslow baseline at the mean covariate (z = 0): h0(t) = d(t) / Σ_{risk} w
-    s0, cum, times, surv = 0.0, 0.0, [], []
-    risk = {}
-    for r in reversed(rows):
-        s0 += r["a0"]
-        risk[r["_t"]] = s0
-    for r in rows:
-        cum += r["d"] / risk[r["_t"]] if r["d"] else 0.0
-        times.append(float(r["_t"]))
-        surv.append(math.exp(-cum))
-    z.unpersist()
-    return CoxModel(covariates, means, stds, beta.tolist(), se.tolist(), times, surv, float(ll), it)
+    se = np.sqrt(np.clip(np.diag(np.linalg.inv(penalizer * n * np.eye(p) - h)), 0, None))
+    # Breslow baseline at the mean covariate (z = 0): hazard d(t) / Σ_{risk} w, summed up to t
+    hazard = risk.select(F.col("_t").cast("double").alias("t"), (F.col("_d") / F.col("_s0")).alias("_h"))
+    baseline = materialize(prefix_sums(hazard, [("t", True)], {"cumulative_hazard": F.col("_h")})
+                           .select("t", "cumulative_hazard"), "baseline")
+    return CoxModel(covariates, means, stds, beta.tolist(), se.tolist(), baseline, float(ll), it)
 
 
 def cox_predict_survival(df: DataFrame, model: CoxModel, times: list[float],
                          prefix: str = "survival_") -> DataFrame:
     """S(t|x) = S₀(t)^exp(x·β) at requested times (in the duration's own
-    unit; X8) plus ``churn_prob_<t>`` = 1 − S(t|x). S₀ is a step function of
-    the bounded baseline table, inlined as literals."""
-    hz = F.exp(model.linear_predictor())
-    out = df.withColumn("_ph", hz)
+    unit; X8) plus ``churn_prob_<t>`` = 1 − S(t|x), null where a covariate is null.
+    The baseline at the requested times is one aggregation of its table."""
+    at = model.baseline.agg(*[F.max(F.when(F.col("t") <= t, F.col("cumulative_hazard"))).alias(f"h{i}")
+                              for i, t in enumerate(times)]).first()
+    out = df.withColumn("_ph", F.exp(model.linear_predictor()))
     cols = {}
-    for t in times:
-        s0 = 1.0
-        for bt, bs in zip(model.times, model.baseline_survival):
-            if bt <= t:
-                s0 = bs
+    for i, t in enumerate(times):
         name = str(t).rstrip("0").rstrip(".") if isinstance(t, float) else str(t)
-        cols[f"{prefix}{name}"] = F.pow(F.lit(s0), F.col("_ph"))
-        cols[f"churn_prob_{name}"] = 1 - F.pow(F.lit(s0), F.col("_ph"))
+        survival = F.exp(F.lit(-(at[f"h{i}"] or 0.0)) * F.col("_ph"))
+        cols[f"{prefix}{name}"] = survival
+        cols[f"churn_prob_{name}"] = 1 - survival
     return out.withColumns(cols).withColumnRenamed("_ph", "partial_hazard")
 
 
 def expected_remaining(df: DataFrame, model: CoxModel, tenure: str | None = None,
                        name: str = "expected_months_remaining") -> DataFrame:
-    """Σ_t S(t|x) over the baseline times (restricted mean, as the
-    reference); with ``tenure`` the conditional form Σ_{t>tenure} S(t|x)/S(tenure|x).
-    One ``aggregate`` over an array literal per row — JVM side."""
-    ph = F.exp(model.linear_predictor())
-    base = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(s).alias("s"))
-                     for t, s in zip(model.times, model.baseline_survival)])
-    df = df.withColumn("_ph", ph)
+    """Σ_t S(t|x) over the baseline times (restricted mean, as the reference);
+    with ``tenure`` the conditional form Σ_{t>tenure} S(t|x)/S(tenure|x). Null where a
+    covariate is null. The baseline's steps come as one attached array, which an
+    ``aggregate`` walks per row on the JVM side."""
+    steps = model.baseline.agg(F.array_sort(F.collect_list(F.struct("t", F.col("cumulative_hazard").alias("h")))).alias("_base"))
+    df = df.withColumn("_ph", F.exp(model.linear_predictor())).transform(attach, steps)
     if tenure is None:
-        total = F.aggregate(base, F.lit(0.0), lambda acc, b: acc + F.pow(b["s"], F.col("_ph")))
-        return df.withColumn(name, total).drop("_ph")
-    s_at = F.aggregate(base, F.lit(1.0), lambda acc, b: F.when(b["t"] <= F.col(tenure), b["s"])
-                       .otherwise(acc))
-    df = df.withColumn("_s_now", F.pow(s_at, F.col("_ph")))
-    total = F.aggregate(base, F.lit(0.0), lambda acc, b: acc + F.when(
-        b["t"] > F.col(tenure), F.pow(b["s"], F.col("_ph"))).otherwise(0.0))
-    return df.withColumn(name, F.when(F.col("_s_now") > 0, total / F.col("_s_now"))).drop("_ph", "_s_now")
+        total = F.aggregate("_base", F.lit(0.0), lambda acc, b: acc + F.exp(-b["h"] * F.col("_ph")))
+        return df.withColumn(name, total).drop("_ph", "_base")
+    h_now = F.aggregate("_base", F.lit(0.0), lambda acc, b: F.when(b["t"] <= F.col(tenure), b["h"]).otherwise(acc))
+    df = df.withColumn("_s_now", F.exp(-h_now * F.col("_ph")))
+    total = F.aggregate("_base", F.lit(0.0), lambda acc, b: acc + F.when(
+        b["t"] > F.col(tenure), F.exp(-b["h"] * F.col("_ph"))).otherwise(0.0))
+    return df.withColumn(name, F.when(F.col("_s_now") > 0, total / F.col("_s_now"))).drop("_ph", "_s_now", "_base")
 
 
 def concordance_index(df: DataFrame, dur: str, evt: str, risk: str) -> DataFrame:
     """I8: Harrell's C for a risk score (higher risk ⇒ earlier event): over pairs
     with t_i < t_j and an event at t_i, concordant if risk_i > risk_j, ties ½.
 
-    Exact and distributed for bounded distinct durations (T): per distinct risk
-    value a T-vector of counts, prefix-summed over risk (range partitioned); each
-    event group then reads the counts of later times below/at its risk."""
-    times = [r[0] for r in df.select(dur).distinct().orderBy(dur).collect()]
-    if len(times) > MAX_DISTINCT_TIMES:
-        raise ValueError("too many distinct durations; bin durations first")
-    tidx = F.create_map(*[F.lit(x) for i, t in enumerate(times) for x in (t, i)])
-    T_ = len(times)
-    d = df.select(F.col(risk).alias("_r"), tidx[F.col(dur)].alias("_ti"), F.col(evt).alias("_e"))
-    per_r = d.groupBy("_r").agg(*[F.sum(F.when(F.col("_ti") == i, 1).otherwise(0)).cast("long")
-                                  .alias(f"_n{i}") for i in range(T_)])
-    cum = prefix_sums(per_r, [("_r", True)], {f"_c{i}": F.col(f"_n{i}") for i in range(T_)})
-    ev = d.where(F.col("_e") == 1).groupBy("_r", "_ti").agg(F.count(F.lit(1)).alias("_d"))
-    tot = d.groupBy("_ti").agg(F.count(F.lit(1)).alias("_nt"))
-    tot_arr = tot.agg(F.sort_array(F.collect_list(F.struct("_ti", "_nt"))).alias("_ta"))
-    j = ev.join(cum, "_r").transform(attach, tot_arr)
-    below = F.array(*[F.col(f"_c{i}") - F.col(f"_n{i}") for i in range(T_)])
-    equal = F.array(*[F.col(f"_n{i}") for i in range(T_)])
-    later = lambda arr: F.aggregate(F.slice(arr, F.col("_ti") + 2, T_), F.lit(0).cast("long"),
-                                    lambda a, x: a + x)
-    comparable = F.aggregate(F.col("_ta"), F.lit(0).cast("long"),
-                             lambda a, s: a + F.when(s["_ti"] > F.col("_ti"), s["_nt"]).otherwise(0))
-    g = j.agg(F.sum(F.col("_d") * (later(below) * 2 + later(equal))).alias("_conc2"),
-              F.sum(F.col("_d") * comparable).alias("_pairs"))
-    return g.select((F.col("_conc2").cast("double") / (F.col("_pairs") * 2).cast("double"))
-                    .alias("concordance_index"), F.col("_pairs").alias("comparable_pairs"))
+    Exact, for any number of durations: with the durations numbered in order, each
+    pair parts at one level of the binary tree over the numbers, where its earlier
+    duration is in the left half of a node and the later in the right. So every
+    (duration, risk) cell appears once per level, and per node prefix sums over the
+    risk count the right half's rows below each event of the left half."""
+    cells = (df.where(F.col(dur).isNotNull() & F.col(risk).isNotNull())
+             .groupBy(F.col(dur).alias("_t"), F.col(risk).alias("_r"))
+             .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.when(F.col(evt) == 1, 1).otherwise(0)).alias("_d")))
+    cells = materialize(cells, "cells")
+    numbered = prefix_sums(cells.select("_t").distinct(), [("_t", True)], {"_k": F.lit(1).cast("long")})
+    times = cells.agg(F.count_distinct("_t")).first()[0]
+    levels = max(1, (times - 1).bit_length())
+    k = F.col("_k") - 1
+    tree = (cells.join(numbered, "_t").withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+            .withColumn("_node", F.call_function("shiftright", k, F.col("_level") + 1))
+            .withColumn("_right", F.call_function("shiftright", k, F.col("_level")).bitwiseAND(F.lit(1).cast("long")) == 1))
+    by_risk = tree.groupBy("_level", "_node", "_r").agg(
+        F.sum(F.when(F.col("_right"), F.col("_n")).otherwise(0)).alias("_later"),
+        F.sum(F.when(F.col("_right"), 0).otherwise(F.col("_d"))).alias("_events"))
+    cum = grouped_prefix_sums(by_risk, ["_level", "_node"], [("_r", True)], {"_upto": F.col("_later")})
+    node = by_risk.groupBy("_level", "_node").agg((F.sum("_events") * F.sum("_later")).alias("_pairs"))
+    conc = cum.agg(F.sum(F.col("_events") * (2 * F.col("_upto") - F.col("_later"))).alias("_conc2"))
+    pairs = node.agg(F.sum("_pairs").alias("comparable_pairs"))
+    return conc.transform(attach, pairs).select(
+        (F.col("_conc2").cast("double") / (F.col("comparable_pairs") * 2).cast("double")).alias("concordance_index"),
+        F.coalesce("comparable_pairs", F.lit(0)).cast("long").alias("comparable_pairs"))

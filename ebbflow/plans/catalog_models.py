@@ -19,17 +19,17 @@ from ebbflow.plans import datasets as D
 from ebbflow.plans.catalog_segments import FEATURE_COLS
 from ebbflow.plans.oracle_base import with_ctes
 from ebbflow.plans.oracle_features import on_customers
+from ebbflow.session import materialize
 from ebbflow.sources import tables
 
-MI_FEATURES = ["tenure", "MonthlyCharges", "TotalCharges", "service_adoption_score",
-               "base_risk_score", "advanced_risk_score", "charge_per_service", "is_month_to_month",
-               "has_fiber", "is_high_charger", "has_auto_pay", "paperless_no_auto",
-               "contract_risk_score", "is_new_customer", "charge_per_month"]
 MODEL_FEATURES = [c for c in FEATURE_COLS
                   if c not in ("customer_id", "Churn_binary", "churn_probability")]
-COX_COVARIATES = ["MonthlyCharges", "is_month_to_month", "is_high_charger",
-                  "service_adoption_score", "base_risk_score", "has_fiber", "fiber_no_security",
-                  "charge_per_service"]
+MI_FEATURES = MODEL_FEATURES  # every numeric column
+# The covariates of the proportional-hazards model.
+COX_COVARIATES = ["MonthlyCharges", "is_month_to_month",
+                  "is_new_customer", "is_high_charger", "service_adoption_score",
+                  "has_fiber", "fiber_no_security", "charge_per_service"]
+# The columns of the survival view.
 SURVIVAL_VIEW = ["customer_id", "tenure", "Churn_binary", "MonthlyCharges", "Contract",
                  "InternetService", "is_month_to_month", "is_new_customer", "is_high_charger",
                  "service_adoption_score", "base_risk_score", "advanced_risk_score", "has_fiber",
@@ -105,16 +105,20 @@ def _eval(model_fn):
 
 
 def q_model_comparison(spark, sf):
+    """The four models, scored on the same held-out rows."""
     s = _split(spark, sf)
     train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
     cols = test.select("customer_id", "Churn_binary", *MODEL_FEATURES)
-    lr = Mo.predict(Mo.train_logistic(train, MODEL_FEATURES), cols)
-    rf = Mo.predict(Mo.train_random_forest(train, MODEL_FEATURES), cols)
-    long = (lr.select(F.lit("logistic").alias("model"), "customer_id", "Churn_binary",
-                      F.col("churn_probability").alias("p"))
-            .unionByName(rf.select(F.lit("random_forest").alias("model"), "customer_id",
-                                   "Churn_binary", F.col("churn_probability").alias("p"))))
-    return K.compare_models(long, p="p")
+    models = {"logistic": Mo.train_logistic(train, MODEL_FEATURES),
+              "random_forest": Mo.train_random_forest(train, MODEL_FEATURES),
+              "boosted_a": Mo.train_boosted(train, MODEL_FEATURES, preset="A"),
+              "boosted_b": Mo.train_boosted(train, MODEL_FEATURES, preset="B")}
+    long = None
+    for name, model in models.items():
+        p = Mo.predict(model, cols).select(F.lit(name).alias("model"), "customer_id", "Churn_binary",
+                                           F.col("churn_probability").alias("p"))
+        long = p if long is None else long.unionByName(p)
+    return K.compare_models(materialize(long, "scores"), p="p")
 
 
 def q_attribution(spark, sf):
@@ -127,9 +131,9 @@ def q_attribution(spark, sf):
 def q_permutation(spark, sf):
     s = _split(spark, sf)
     train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
-    model = Mo.train_logistic(train, MI_FEATURES)
-    return Mo.permutation_importance(model, test.select("customer_id", "Churn_binary", *MI_FEATURES),
-                                     MI_FEATURES)
+    model = Mo.train_logistic(train, MODEL_FEATURES)
+    return Mo.permutation_importance(model, test.select("customer_id", "Churn_binary", *MODEL_FEATURES),
+                                     MODEL_FEATURES)
 
 
 def _cox(spark, sf):
@@ -161,6 +165,15 @@ def q_concordance_standin(spark, sf):
     return I.concordance_index(D.customers(spark, sf), "tenure", "Churn_binary", "churn_probability")
 
 
+SQL_CONCORDANCE = on_customers("""
+SELECT CAST(SUM(a.d * b.n * CASE WHEN a.r > b.r THEN 2 WHEN a.r = b.r THEN 1 ELSE 0 END) AS DOUBLE)
+         / CAST(2 * SUM(a.d * b.n) AS DOUBLE) AS concordance_index,
+       CAST(SUM(a.d * b.n) AS BIGINT) AS comparable_pairs
+FROM cell a JOIN cell b ON a.t < b.t WHERE a.d > 0""", """
+cell AS (SELECT tenure AS t, churn_probability AS r, COUNT(*) AS n, SUM(Churn_binary) AS d
+         FROM customers GROUP BY 1, 2)""")
+
+
 def q_quantile_flags(spark, sf):
     df = C.quantile_flags(D.subscriptions(spark, sf), "total_cents", 0.9, ">", "top_decile_total")
     return df.select("customer_id", "top_decile_total")
@@ -190,7 +203,8 @@ SELECT round(avg(CASE WHEN rd <= 2 THEN CAST(errors AS DOUBLE) END)
 
 
 def q_table_counts(spark, sf):
-    names = ["customer", "orders", "lineitem", "part", "events"]
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+             "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
     for t in names:  # own view names, so a caller's views are never replaced
         tables.register(tables.read(spark, sf, t), f"ebbflow_{t}")
     counts = tables.table_counts(spark, [f"ebbflow_{t}" for t in names])
@@ -198,22 +212,35 @@ def q_table_counts(spark, sf):
 
 
 SQL_TABLE_COUNTS = """
-SELECT 'customer' AS table_name, COUNT(*) AS row_count FROM customer
+SELECT 'region' AS table_name, COUNT(*) AS row_count FROM region
+UNION ALL SELECT 'nation', COUNT(*) FROM nation
+UNION ALL SELECT 'customer', COUNT(*) FROM customer
+UNION ALL SELECT 'supplier', COUNT(*) FROM supplier
+UNION ALL SELECT 'part', COUNT(*) FROM part
 UNION ALL SELECT 'orders', COUNT(*) FROM orders
 UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem
-UNION ALL SELECT 'part', COUNT(*) FROM part
-UNION ALL SELECT 'events', COUNT(*) FROM events"""
+UNION ALL SELECT 'events', COUNT(*) FROM events
+UNION ALL SELECT 'documents', COUNT(*) FROM documents
+UNION ALL SELECT 'embeddings', COUNT(*) FROM embeddings
+UNION ALL SELECT 'pages', COUNT(*) FROM pages
+UNION ALL SELECT 'benchmark', COUNT(*) FROM benchmark
+UNION ALL SELECT 'labels', COUNT(*) FROM labels
+UNION ALL SELECT 'conversations', COUNT(*) FROM conversations"""
 
 
 QUERIES = {
     "mutual_information": (q_mi, SQL_MI),
     "select_by_quantile": (lambda spark, sf: Sel.select_by_quantile(q_mi(spark, sf)), SQL_SELECT_Q),
     "top_k_features": (lambda spark, sf: Sel.top_k_features(q_mi(spark, sf), 10), SQL_TOPK),
-    "vif": (_c(lambda d: Sel.vif(d, MI_FEATURES)), None),
+    "vif": (_c(lambda d: Sel.vif(d, MODEL_FEATURES)), None),
+    "drop_high_vif": (_c(lambda d: Sel.drop_high_vif(d, ["tenure", "MonthlyCharges", "service_adoption_score",
+                                                         "charge_per_service", "is_month_to_month"])
+                         .select("feature", F.round("vif", 6).alias("vif"))), None),
     "corr_with_target": (q_corr, SQL_CORR),
     "align_features": (_c(lambda d: Sel.align_features(d, MI_FEATURES + ["missing_col"])[0]
                           .select(*MI_FEATURES)),
-                       on_customers(f"SELECT {', '.join(MI_FEATURES)} FROM customers")),
+                       on_customers("SELECT " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in MI_FEATURES)
+                                    + " FROM customers")),
     "train_logistic_eval": (_eval(lambda tr: Mo.train_logistic(tr, MODEL_FEATURES)), None),
     "train_random_forest_eval": (_eval(lambda tr: Mo.train_random_forest(tr, MODEL_FEATURES)), None),
     "train_boosted_eval": (_eval(lambda tr: Mo.train_boosted(tr, MODEL_FEATURES, preset="A")), None),
@@ -223,7 +250,7 @@ QUERIES = {
     "cox_summary": (q_cox_summary, None),
     "cox_predict_survival": (q_cox_predict, None),
     "concordance_index": (q_concordance, None),
-    "concordance_index_standin": (q_concordance_standin, None),
+    "concordance_index_standin": (q_concordance_standin, SQL_CONCORDANCE),
     "survival_view": (_c(lambda d: d.select(*SURVIVAL_VIEW)),
                       on_customers(f"SELECT {', '.join(SURVIVAL_VIEW)} FROM customers")),
     "quantile_flags": (q_quantile_flags, SQL_QFLAGS),

@@ -9,13 +9,12 @@ from ebbflow.operators import marts as O
 from ebbflow.operators import monitor as N
 from ebbflow.operators import scoring as M
 from ebbflow.plans import datasets as D
+from ebbflow.plans.catalog_segments import FEATURE_COLS
 from ebbflow.plans.oracle_base import ks_p_sql
 from ebbflow.plans.oracle_features import on_customers
 
-DRIFT_FEATURES = ["tenure", "MonthlyCharges", "TotalCharges", "OnlineSecurity", "OnlineBackup",
-                  "DeviceProtection", "TechSupport", "StreamingTV", "StreamingMovies",
-                  "SeniorCitizen", "Partner", "Dependents", "PhoneService", "PaperlessBilling",
-                  "charge_per_month"]
+# every numeric column
+DRIFT_FEATURES = [c for c in FEATURE_COLS if c not in ("customer_id", "Churn_binary", "churn_probability")]
 AS_OF = "2024-02-01 00:00:00"
 
 
@@ -412,7 +411,7 @@ def q_batch_summary(spark, sf):
 
 def q_kmeans(spark, sf):
     c = D.customers(spark, sf)
-    seg = J.kmeans_segments(c, ["tenure", "MonthlyCharges", "TotalCharges"], k=4, restarts=3)
+    seg = J.kmeans_segments(c, ["tenure", "MonthlyCharges", "TotalCharges"], k=4)
     return J.segment_profile(seg)
 
 

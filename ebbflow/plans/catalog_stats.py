@@ -15,7 +15,7 @@ from ebbflow.operators import experiment as L
 from ebbflow.operators import hypothesis as H
 from ebbflow.operators import survival as I
 from ebbflow.plans import datasets as D
-from ebbflow.plans.oracle_base import ks_p_sql
+from ebbflow.plans.oracle_base import erfc_sql, ks_p_sql, norm_p_sql
 from ebbflow.plans.oracle_features import on_customers
 
 # The same normal quantiles the DataFrame code uses, as exact SQL literals.
@@ -64,17 +64,42 @@ def q_suite_stats(spark, sf):
                     "difference_pp")
 
 
-def _suite_sql():
+# (hypothesis, column, level a, level b, Yates): written out here, not taken from the code
+_SUITE = [("month_to_month", "is_month_to_month", "1", "0", True),
+          ("single_service", "is_single_service", "1", "0", True),
+          ("fiber_internet", "InternetService", "Fiber optic", "DSL", False),
+          ("high_charge", "is_high_charger", "1", "0", True),
+          ("new_customer", "is_new_customer", "1", "0", True)]
+
+
+def _suite_parts():
     parts = []
-    for name, col in H.HYPOTHESES:
-        rates = f"""(SELECT CAST(SUM(CASE WHEN {col} = 1 THEN Churn_binary END) AS DOUBLE)
-                 / SUM(CAST({col} = 1 AS INTEGER)) AS ra,
-               CAST(SUM(CASE WHEN {col} <> 1 THEN Churn_binary END) AS DOUBLE)
-                 / SUM(CAST({col} <> 1 AS INTEGER)) AS rb FROM customers)"""
+    for name, col, lv_a, lv_b, yates in _SUITE:
+        rate = lambda lv: (f"CAST(SUM(CASE WHEN CAST({col} AS VARCHAR) = '{lv}' THEN Churn_binary END) AS DOUBLE) "  # noqa: E731, B023
+                           f"/ SUM(CAST(CAST({col} AS VARCHAR) = '{lv}' AS INTEGER))")  # noqa: B023
         parts.append(f"""SELECT '{name}' AS hypothesis, r.ra AS rate_a, r.rb AS rate_b, c.chi2, c.dof, c.n,
        (r.ra - r.rb) * 100 AS difference_pp
-FROM {rates} r, ({_chi_body(col, "Churn_binary", yates=True)}) c""")
-    return on_customers("\nUNION ALL\n".join(parts))
+FROM (SELECT {rate(lv_a)} AS ra, {rate(lv_b)} AS rb FROM customers) r,
+     ({_chi_body(col, "Churn_binary", yates=yates, digits=None)}) c""")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _suite_sql():
+    return on_customers(f"""
+SELECT hypothesis, rate_a, rate_b, round(chi2, 9) AS chi2, dof, n, difference_pp FROM ({_suite_parts()})""")
+
+
+def q_suite(spark, sf):
+    r = H.hypothesis_suite(D.customers(spark, sf))
+    return r.select("hypothesis", "rate_a", "rate_b", F.round("chi2", 9).alias("chi2"), "dof", "n",
+                    F.round("p_value", 9).alias("p_value"), "difference_pp", "confirmed")
+
+
+SQL_SUITE = on_customers(f"""
+SELECT hypothesis, rate_a, rate_b, round(chi2, 9) AS chi2, dof, n, round(p, 9) AS p_value, difference_pp,
+       p < 0.05 AS confirmed
+FROM (SELECT *, CASE WHEN dof = 1 THEN {erfc_sql("sqrt(chi2 / 2)")} ELSE exp(-chi2 / 2) END AS p
+      FROM ({_suite_parts()}))""")
 
 
 def q_z_stats(spark, sf):
@@ -94,6 +119,23 @@ FROM (SELECT *, x1 / CAST(n1 AS DOUBLE) AS r1, x2 / CAST(n2 AS DOUBLE) AS r2,
             FROM customers))""")
 
 
+def q_z(spark, sf):
+    r = H.two_proportion_z(D.customers(spark, sf), "has_auto_pay", "Churn_binary", 1, 0)
+    return r.withColumn("z", F.round("z", 9)).withColumn("p_value", F.round("p_value", 9))
+
+
+SQL_Z = on_customers(f"""
+SELECT n1, n2, x1, x2, r1 AS rate_1, r2 AS rate_2, round(z, 9) AS z, round({norm_p_sql("z")}, 9) AS p_value
+FROM (SELECT *, (r1 - r2) / sqrt(pool * (1 - pool) * (1 / n1 + 1 / n2)) AS z
+      FROM (SELECT *, x1 / CAST(n1 AS DOUBLE) AS r1, x2 / CAST(n2 AS DOUBLE) AS r2,
+                   (x1 + x2) / CAST(n1 + n2 AS DOUBLE) AS pool
+            FROM (SELECT CAST(SUM(CAST(has_auto_pay = 1 AS INTEGER)) AS BIGINT) AS n1,
+                         CAST(SUM(CAST(has_auto_pay = 0 AS INTEGER)) AS BIGINT) AS n2,
+                         CAST(SUM(CASE WHEN has_auto_pay = 1 THEN Churn_binary ELSE 0 END) AS BIGINT) AS x1,
+                         CAST(SUM(CASE WHEN has_auto_pay = 0 THEN Churn_binary ELSE 0 END) AS BIGINT) AS x2
+                  FROM customers)))""")
+
+
 def q_chi_internet(spark, sf):
     """3×2 table: dof 2, so the p-value is exp(−χ²/2) and SQL can check it."""
     r = H.chi2_independence(D.customers(spark, sf), "InternetService", "Churn_binary")
@@ -162,6 +204,20 @@ FROM (SELECT SUM(d1 - e1) AS oe, SUM(v) AS v, SUM(d1) AS o1, SUM(e1) AS e1s
                   WINDOW w AS (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))
       WHERE d > 0)""")
 
+
+def q_log_rank_p(spark, sf):
+    r = H.log_rank(D.customers(spark, sf), "tenure", "Churn_binary", "Contract", "Month-to-month", "Two year")
+    return r.select(F.round("log_rank_chi2", 6).alias("log_rank_chi2"), "observed_a",
+                    F.round("expected_a", 6).alias("expected_a"), F.round("p_value", 9).alias("p_value"))
+
+
+_LOG_RANK_FROM = SQL_LOG_RANK[SQL_LOG_RANK.index("FROM (SELECT SUM(d1 - e1)"):]
+SQL_LOG_RANK_P = SQL_LOG_RANK[:SQL_LOG_RANK.index("SELECT round(oe * oe / v, 9)")] + f"""
+SELECT round(oe * oe / v, 6) AS log_rank_chi2, CAST(o1 AS BIGINT) AS observed_a, round(e1s, 6) AS expected_a,
+       round({erfc_sql("sqrt(oe * oe / v / 2)")}, 9) AS p_value
+{_LOG_RANK_FROM}"""
+
+
 LIFE_CTE = """
 lt AS (
   SELECT Contract, t, removed, events, removed - events AS censored,
@@ -297,6 +353,21 @@ FROM (SELECT *, x_control / CAST(n_control AS DOUBLE) AS r1,
                    SUM(CASE WHEN "group" = 'treatment' THEN churned * monthly_cents ELSE 0 END) AS lt
             FROM expt))""", EXP_CTE)
 
+def q_readout(spark, sf):
+    r = L.ab_readout(_expt(spark, sf))
+    return r.select(*[F.round(c, 9).alias(c) if c in ("chi2", "z", "p_chi2", "p_z") else F.col(c)
+                      for c in [*READOUT_COLS, "p_chi2", "p_z", "significant"]])
+
+
+_READ = SQL_READOUT[:SQL_READOUT.index("SELECT n_control, n_treatment, x_control")]
+_READ_BODY = SQL_READOUT[len(_READ):]
+SQL_READOUT_P = _READ + f"""
+SELECT * EXCLUDE (chi2, z), round(chi2, 9) AS chi2, round(z, 9) AS z, round({erfc_sql("sqrt(chi2 / 2)")}, 9) AS p_chi2,
+       round({norm_p_sql("z")}, 9) AS p_z, {norm_p_sql("z")} < 0.05 AS significant
+FROM ({_READ_BODY.replace(f"round({_CHI_READOUT}, 9) AS chi2", f"{_CHI_READOUT} AS chi2").replace(
+    "round((r1 - r2) / sqrt(pool * (1 - pool) * (1 / n_control + 1 / n_treatment)), 9) AS z",
+    "(r1 - r2) / sqrt(pool * (1 - pool) * (1 / n_control + 1 / n_treatment)) AS z")})"""
+
 SQL_DID = on_customers("""
 SELECT control_pre, control_post, treatment_pre, treatment_post,
   (treatment_post - treatment_pre) - (control_post - control_pre) AS did_estimate,
@@ -329,17 +400,14 @@ QUERIES = {
     "chi2_autopay_churn": (_chi("has_auto_pay", "Churn_binary"),
                            _chi_sql("has_auto_pay", "Churn_binary", yates=True)),
     "chi2_independence_internet": (q_chi_internet, SQL_CHI_INTERNET),
-    "hypothesis_suite": (_c(H.hypothesis_suite), None),
+    "hypothesis_suite": (q_suite, SQL_SUITE),
     "hypothesis_suite_stats": (q_suite_stats, _suite_sql()),
     "ks_monthly_by_churn": (q_ks, SQL_KS),
     "ks_two_sample_tenure": (q_ks_tenure, SQL_KS_TENURE),
     "two_proportion_z_stats": (q_z_stats, SQL_Z_STATS),
-    "two_proportion_z_autopay": (_c(lambda d: H.two_proportion_z(d, "has_auto_pay",
-                                                                 "Churn_binary", 1, 0)), None),
+    "two_proportion_z_autopay": (q_z, SQL_Z),
     "log_rank_contract": (q_log_rank, SQL_LOG_RANK),
-    "log_rank_contract_p": (_c(lambda d: H.log_rank(d, "tenure", "Churn_binary", "Contract",
-                                                    "Month-to-month", "Two year", bounded=True)),
-                            None),
+    "log_rank_contract_p": (q_log_rank_p, SQL_LOG_RANK_P),
     "life_table_contract": (_c(lambda d: I.life_table(d, "tenure", "Churn_binary", ["Contract"],
                                                       bounded=True)), SQL_LIFE),
     "kaplan_meier_contract": (_km, SQL_KM),
@@ -349,7 +417,7 @@ QUERIES = {
     "eligible_pool": (_c(L.eligible_pool), SQL_POOL),
     "power_table": (q_power, SQL_POWER),
     "ab_readout_stats": (q_readout_stats, SQL_READOUT),
-    "ab_readout": (lambda spark, sf: L.ab_readout(_expt(spark, sf)), None),
+    "ab_readout": (q_readout, SQL_READOUT_P),
     "ab_readout_hash_arms": (lambda spark, sf: L.ab_readout(
         L.experiment_frame(D.customers(spark, sf), method="hash_rank")), None),
     "did": (lambda spark, sf: L.did(_expt(spark, sf)), SQL_DID),

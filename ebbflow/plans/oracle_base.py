@@ -65,12 +65,26 @@ def with_ctes(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + body.strip()
 
 
-def ks_p_sql(d: str, n1: str, n2: str, terms: int = 100) -> str:
-    """SQL twin of ``functions.stats.ks_p_expr`` (same series, same order)."""
-    en = f"sqrt(({n1}) * ({n2}) / (({n1}) + ({n2})))"
-    lam = f"(({en} + 0.12::DOUBLE + 0.11::DOUBLE / {en}) * ({d}))"
-    series = (f"list_reduce(list_transform(range(1, {terms + 1}), lambda j: "
-              f"CASE WHEN j % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END "
-              f"* exp(-2.0::DOUBLE * j * j * {lam} * {lam})), lambda a, b: a + b)")
-    return (f"CASE WHEN ({n1}) > 0 AND ({n2}) > 0 THEN CASE WHEN {lam} < 1e-3 THEN 1.0::DOUBLE "
-            f"ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, {series} * 2)) END END")
+def ks_p_sql(d: str, n1: str, n2: str) -> str:
+    """Kolmogorov's distribution as the theta function, from either of its two
+    expansions (they meet anywhere; here at 1.18), with Stephens' correction."""
+    lam = (f"((sqrt(({n1}) * ({n2}) / (({n1}) + ({n2}))) + 0.12::DOUBLE "
+           f"+ 0.11::DOUBLE / sqrt(({n1}) * ({n2}) / (({n1}) + ({n2})))) * ({d}))")
+    y = f"exp(-pi() * pi() / (8 * {lam} * {lam}))"
+    small = f"1 - sqrt(2 * pi()) / {lam} * ({y} + power({y}, 9) + power({y}, 25) + power({y}, 49))"
+    z = f"exp(-2 * {lam} * {lam})"
+    large = f"2 * ({z} - power({z}, 4) + power({z}, 9) - power({z}, 16))"
+    return (f"CASE WHEN ({n1}) > 0 AND ({n2}) > 0 THEN CASE WHEN {lam} < 0.03 THEN 1.0::DOUBLE "
+            f"WHEN {lam} < 1.18 THEN {small} ELSE {large} END END")
+
+
+def erfc_sql(x: str) -> str:
+    """2/√π ∫ₓ e^{−t²} dt by Simpson's rule over six units, for x ≥ 0."""
+    return (f"(2 / sqrt(pi()) * 0.0005::DOUBLE * list_sum(list_transform(range(0, 4001), lambda i: "
+            f"CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END "
+            f"* exp(-power(({x}) + i * 0.0015::DOUBLE, 2)))))")
+
+
+def norm_p_sql(z: str) -> str:
+    """Two-sided p-value of a standard normal statistic."""
+    return erfc_sql(f"abs({z}) / sqrt(2)")

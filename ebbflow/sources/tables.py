@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,18 +50,18 @@ CUSTOMER_FILE_PATTERNS = ("WA_Fn*.csv", "telco*.csv", "Telco*.csv")
 def read_customers(spark: SparkSession, path: str) -> DataFrame:
     """A1: raw customer CSV with header under a fixed schema (no inference pass).
 
-    ``path`` is a directory searched for the accepted file name patterns, or a
-    file/glob used as given. ``TotalCharges`` stays a string (blanks occur);
-    ``clean.coerce_numeric`` turns it into a number.
+    ``path`` is a directory, of which all files with an accepted name are read, or a
+    file or glob (``…csv``), read as given; Spark resolves it, in any store.
+    ``TotalCharges`` stays a string (blanks occur); ``clean.coerce_numeric`` turns
+    it into a number.
     """
-    if os.path.isdir(path):
-        found = sorted({f for pat in CUSTOMER_FILE_PATTERNS
-                        for f in glob.glob(os.path.join(path, pat))})
-        if not found:
-            raise FileNotFoundError(f"no customer CSV ({', '.join(CUSTOMER_FILE_PATTERNS)}) in {path}")
-        path = found[0]
-    return (spark.read.schema(TELCO_SCHEMA).option("header", True)
-            .option("mode", "PERMISSIVE").csv(path))
+    reader = spark.read.schema(TELCO_SCHEMA).option("header", True).option("mode", "PERMISSIVE")
+    if not path.endswith((".csv", ".csv.gz")) and not any(c in path for c in "*?[{"):
+        reader = reader.option("pathGlobFilter", "{" + ",".join(CUSTOMER_FILE_PATTERNS) + "}")
+    df = reader.csv(path)
+    if not df.inputFiles():
+        raise FileNotFoundError(f"no customer CSV ({', '.join(CUSTOMER_FILE_PATTERNS)}) in {path}")
+    return df
 
 
 def register_csv(spark: SparkSession, name: str, path: str) -> DataFrame:

@@ -198,6 +198,77 @@ def test_p_values():
     assert stats.kolmogorov_sf(0.5, 100, 100) < 1e-8
 
 
+# Kolmogorov's distribution at λ, to ten digits (from the theta function's other expansion)
+KOLMOGOROV = {0.001: 1.0, 0.002: 1.0, 0.01: 1.0, 0.1: 1.0, 0.5: 0.9639452436, 1.0: 0.2699996717, 2.0: 0.0006709252558}
+
+
+def test_kolmogorov_distribution(spark):
+    from pyspark.sql import functions as F
+    n = 1e6
+    en = (n / 2) ** 0.5
+    rows = [(lam, lam / (en + 0.12 + 0.11 / en)) for lam in KOLMOGOROV]
+    got = {r.lam: r.p for r in spark.createDataFrame(rows, "lam double, d double").select(
+        "lam", stats.ks_p_expr("d", F.lit(n), F.lit(n)).alias("p")).collect()}
+    for lam, want in KOLMOGOROV.items():
+        assert abs(stats.kolmogorov_q(lam) - want) < 1e-9
+        assert abs(got[lam] - want) < 1e-9
+
+
+def test_p_value_expressions_equal_the_functions(spark):
+    from pyspark.sql import functions as F
+    import math
+    rows = [(x / 4, k) for x in range(0, 160, 3) for k in (1, 2, 3, 4, 5, 8, 11)]
+    df = spark.createDataFrame(rows, "x double, k int")
+    for r in df.select("x", "k", stats.chi2_sf_expr("x", "k").alias("p"), stats.erfc_expr("x").alias("e"),
+                       stats.two_sided_norm_p(-F.col("x")).alias("z")).collect():
+        assert math.isclose(r.p, stats.chi2_sf(r.x, r.k), rel_tol=1e-9, abs_tol=1e-13)
+        assert math.isclose(r.e, math.erfc(r.x), rel_tol=1e-10, abs_tol=1e-15)
+        assert math.isclose(r.z, 2 * stats.norm_sf(r.x), rel_tol=1e-10, abs_tol=1e-15)
+
+
+def test_drift_of_a_nearly_equal_flag_is_none(spark):
+    from ebbflow.operators import monitor
+    rows = [("reference", int(i % 4 == 0)) for i in range(20000)] + [("current", int(i % 4 == 0 and i > 4)) for i in range(20000)]
+    r = monitor.drift_report(spark.createDataFrame(rows, "window string, f int"), ["f"]).first()
+    assert r.ks_p_value > 0.999 and not r.drift_detected
+
+
+def test_chi2_without_empty_cells_and_on_non_string_levels(spark):
+    rows = [(0.5, 1)] * 7 + [(0.5, 0)] * 3 + [(1.5, 1)] * 4 + [(2.5, 0)] * 6 + [(None, 1)]
+    from ebbflow.operators import hypothesis
+    r = hypothesis.chi2_statistic(spark.createDataFrame(rows, "a double, b int"), "a", "b").first()
+    table = [[3, 7], [0, 4], [6, 0]]
+    n, want = 20, 0.0
+    for row in table:
+        for j in range(2):
+            e = sum(row) * sum(t[j] for t in table) / n
+            want += (row[j] - e) ** 2 / e
+    assert r.n == 20 and r.dof == 2 and abs(r.chi2 - want) < 1e-12
+
+
+def test_a_macro_table_of_two_rows_is_an_error(spark):
+    import pytest
+    from ebbflow.functions.columns import exactly_one
+    two = spark.createDataFrame([(1.0,), (2.0,)], "m double")
+    with pytest.raises(Exception, match="must have one row"):
+        features.add_macro(spark.range(1), two).collect()
+    assert exactly_one(two.limit(0)).collect()[0].m is None
+
+
+def test_read_customers_takes_every_matching_file(spark, tmp_path):
+    line = open_line = "c{},Male,0,Yes,No,5,Yes,No,DSL,No,No,No,No,No,No,One year,No,Mailed check,20.5,100,No\n"
+    head = ",".join(f.name for f in tables.TELCO_SCHEMA.fields) + "\n"
+    del open_line
+    for name, ids in (("telco_a.csv", [1, 2]), ("Telco_b.csv", [3]), ("other.csv", [4])):
+        (tmp_path / name).write_text(head + "".join(line.format(i) for i in ids))
+    assert tables.read_customers(spark, str(tmp_path)).count() == 3
+    import pytest
+    empty = tmp_path / "none"
+    empty.mkdir()
+    with pytest.raises(FileNotFoundError):
+        tables.read_customers(spark, str(empty))
+
+
 def test_archetype_rule_order(spark):
     df = spark.createDataFrame([(1, 1, 1, 1, 1, 30), (0, 0, 1, 1, 1, 30), (0, 0, 0, 0, 0, 30)],
                                "is_month_to_month int, is_high_charger int, is_new_customer int, "

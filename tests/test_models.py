@@ -71,6 +71,54 @@ def test_concordance_brute_force(spark):
     assert abs(got.concordance_index - conc / pairs) < 1e-12
 
 
+@pytest.mark.parametrize("s0,e0,d", [(10.0, 3.0, 1), (5000.0, 5000.0, 4096), (30000.0, 30000.0, 20000), (9e6, 4e4, 50000)])
+def test_efron_sums_equal_the_terms(s0, e0, d):
+    k = np.arange(d)
+    phi = s0 - k * e0 / d
+    want = [math.fsum(x) for x in (np.log(phi), 1 / phi, k / phi, 1 / phi ** 2, k / phi ** 2, k ** 2 / phi ** 2)]
+    assert np.allclose(survival.efron_sums(s0, e0, d), want, rtol=1e-9)
+
+
+def test_concordance_with_many_durations(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(t), int(e), float(r)) for t, e, r in zip(rng.integers(0, 90, 200), rng.integers(0, 2, 200), rng.integers(0, 9, 200))]
+    got = survival.concordance_index(spark.createDataFrame(rows, "t double, e int, r double"), "t", "e", "r").first()
+    pairs = [(a, b) for a in rows if a[1] for b in rows if b[0] > a[0]]
+    conc = sum(1.0 if a[2] > b[2] else 0.5 if a[2] == b[2] else 0.0 for a, b in pairs)
+    assert got.comparable_pairs == len(pairs) and abs(got.concordance_index - conc / len(pairs)) < 1e-12
+
+
+def test_cox_leaves_null_rows_out(cust):
+    holes = cust.withColumn("MonthlyCharges", F.when(F.col("customer_id") % 7 != 0, F.col("MonthlyCharges")))
+    a = survival.cox_fit(holes, "tenure", "Churn_binary", COV)
+    b = survival.cox_fit(holes.where("MonthlyCharges is not null"), "tenure", "Churn_binary", COV)
+    assert np.allclose(a.beta_z, b.beta_z, atol=1e-9)
+    p = survival.expected_remaining(survival.cox_predict_survival(holes, a, [12.0]), a)
+    assert p.where("MonthlyCharges is null and (survival_12 is not null or expected_months_remaining is not null)").count() == 0
+    assert p.where("MonthlyCharges is not null and survival_12 is null").count() == 0
+
+
+def test_vif_over_more_than_thirty_features(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 34))
+    x[:, 33] = x[:, 0] + x[:, 1]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"c{i} double" for i in range(34)))
+    got = {r.feature: r.vif for r in select.vif(df, df.columns).collect()}
+    assert len(got) == 34 and all(math.isinf(got[f"c{i}"]) for i in (0, 1, 33)) and all(got[f"c{i}"] < 3 for i in range(2, 33))
+    assert {r.feature for r in select.drop_high_vif(df, df.columns).collect()} == {f"c{i}" for i in range(2, 33)}
+
+
+def test_predict_returns_its_input_unchanged(cust):
+    feats = ["tenure", "MonthlyCharges"]
+    model = models.train_logistic(cust, feats, max_iter=20)
+    holes = cust.select("customer_id", *feats).withColumn("Churn_binary", F.lit(None).cast("int")).withColumn(
+        "tenure", F.when(F.col("customer_id") % 3 != 0, F.col("tenure")))
+    out = models.predict(model, holes)
+    assert out.select(*holes.columns).exceptAll(holes).count() == 0
+    zero = models.predict(model, holes.fillna(0, subset=feats)).select("customer_id", F.col("churn_probability").alias("q"))
+    assert out.join(zero, "customer_id").where("abs(churn_probability - q) > 1e-12").count() == 0
+
+
 def test_cox_prediction_monotone(cust):
     m = survival.cox_fit(cust, "tenure", "Churn_binary", COV)
     p = survival.cox_predict_survival(cust, m, [1.0, 12.0, 48.0]).select(
