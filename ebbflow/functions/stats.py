@@ -97,15 +97,6 @@ def kolmogorov_q(lam: float) -> float:
     return 2.0 * sum((-1) ** (j - 1) * math.exp(-2.0 * (j * lam) ** 2) for j in range(1, KS_TERMS + 1))
 
 
-def sample_size_two_proportions(p1: float, p2: float, alpha: float = 0.05,
-                                power: float = 0.80) -> int:
-    """⌈(z_α√(2p̄q̄) + z_β√(p₁q₁+p₂q₂))² / (p₁−p₂)²⌉ per arm."""
-    za, zb = norm_ppf(1 - alpha / 2), norm_ppf(power)
-    pbar = (p1 + p2) / 2
-    n = (za * math.sqrt(2 * pbar * (1 - pbar)) + zb * math.sqrt(p1 * (1 - p1) + p2 * (1 - p2))) ** 2
-    return int(math.ceil(n / (p1 - p2) ** 2))
-
-
 # ------------------------------------------------------- JVM column expressions
 def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x

@@ -264,19 +264,22 @@ def trend_velocity(series: DataFrame, ts: str, value: str, k: int = 4,
                    by: list[str] | None = None) -> DataFrame:
     """C17: mean of the last k points minus mean of the first k, plus the mean.
 
-    Positions come from ``row_number`` partitioned by the series key, so each
-    series is ranked in its own task; with no key the series is one group
-    (a weekly series has a few hundred points).
+    With a key, positions come from ``row_number`` partitioned by it. Without one the
+    first and last k points are two top-k reads, so the series is never in one task.
     """
     from pyspark.sql import Window
-    by = by or []
+    v = F.col(value).cast("double")
+    if not by:
+        points = series.select(F.col(ts), v.alias("_v"))
+        last = points.orderBy(F.col(ts).desc()).limit(k).agg(F.avg("_v").alias("_last"))
+        first = points.orderBy(F.col(ts).asc()).limit(k).agg(F.avg("_v").alias("_first"))
+        return (points.agg(F.avg("_v").alias("mean_value")).transform(attach, last).transform(attach, first)
+                .select((F.col("_last") - F.col("_first")).alias("velocity"), "mean_value"))
     w_asc = Window.partitionBy(*by).orderBy(F.col(ts).asc())
     w_desc = Window.partitionBy(*by).orderBy(F.col(ts).desc())
-    r = series.select(*by, F.col(value).cast("double").alias("_v"),
-                      F.row_number().over(w_asc).alias("_ra"),
+    r = series.select(*by, v.alias("_v"), F.row_number().over(w_asc).alias("_ra"),
                       F.row_number().over(w_desc).alias("_rd"))
-    g = r.groupBy(*by) if by else r.groupBy()
-    return g.agg(
+    return r.groupBy(*by).agg(
         (F.avg(F.when(F.col("_rd") <= k, F.col("_v")))
          - F.avg(F.when(F.col("_ra") <= k, F.col("_v")))).alias("velocity"),
         F.avg("_v").alias("mean_value"),

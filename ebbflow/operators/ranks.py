@@ -140,9 +140,11 @@ def grouped_prefix_sums(df: DataFrame, by: list[str], order, sums: dict[str, Col
                         bounded: bool = False) -> DataFrame:
     """Running sums within each ``by`` group, in ``order``.
 
-    The range partitioning covers (by…, order), so one large group is spread
-    over several partitions; each group's starting offset is subtracted with a
-    per-group aggregate, so no group is ever collected into one task.
+    The range partitioning covers (by…, order), so one large group is spread over
+    several partitions. Each partition is totalled per group, a group's earlier
+    partitions give its offset there (never another group's rows, so signs and
+    magnitudes elsewhere do not matter), and a window finishes inside (group,
+    partition); no group is ever collected into one task.
     """
     if not by:
         return prefix_sums(df, order, sums, bounded=bounded)
@@ -150,18 +152,23 @@ def grouped_prefix_sums(df: DataFrame, by: list[str], order, sums: dict[str, Col
         w = (Window.partitionBy(*by).orderBy(*_order_exprs(order))
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         return df.withColumns({n: F.sum(e).over(w) for n, e in sums.items()})
-    o = [(c, True) for c in by] + list(order)
+    ensure_checkpoint_dir(df.sparkSession)
     tmp = {f"_gp_in_{i}": e for i, e in enumerate(sums.values())}
-    base = df.withColumns(tmp)
-    cum = prefix_sums(base, o, {f"_gp_all_{i}": F.col(k) for i, k in enumerate(tmp)},
-                      bounded=bounded)
-    start = cum.groupBy(*by).agg(*[
-        F.min(F.col(f"_gp_all_{i}") - F.col(k)).alias(f"_gp_st_{i}") for i, k in enumerate(tmp)])
-    out = cum.join(start, by)
-    out = out.withColumns({n: F.col(f"_gp_all_{i}") - F.col(f"_gp_st_{i}")
-                           for i, n in enumerate(sums)})
-    return out.drop(*tmp, *[f"_gp_all_{i}" for i in range(len(tmp))],
-                    *[f"_gp_st_{i}" for i in range(len(tmp))])
+    ranged = (df.withColumns(tmp)
+              .repartitionByRange(_num_range_partitions(df), *_order_exprs([(c, True) for c in by] + list(order)))
+              .withColumn("_gp_pid", F.spark_partition_id()).checkpoint(eager=True))
+    earlier = Window.partitionBy(*by).orderBy("_gp_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ranged.groupBy(*by, "_gp_pid").agg(*[F.sum(k).alias(f"_t{k}") for k in tmp])
+               .select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_gp_pid").alias("_by_pid"),
+                       *[F.coalesce(F.sum(f"_t{k}").over(earlier), F.lit(0)).alias(f"_o{k}") for k in tmp]))
+    same = (F.col("_gp_pid") == F.col("_by_pid"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    inside = (Window.partitionBy(*by, "_gp_pid").orderBy(*_order_exprs(order))
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = ranged.join(offsets, same).withColumns(
+        {n: F.col(f"_o{k}") + F.sum(k).over(inside) for n, k in zip(sums, tmp)})
+    return out.drop(*tmp, *[f"_o{k}" for k in tmp], *[f"_by_{c}" for c in by], "_gp_pid", "_by_pid")
 
 
 def exact_quantiles(df: DataFrame, c: str, qs: list[float], bounded: bool = False) -> DataFrame:

@@ -267,6 +267,38 @@ def _km(spark, sf):
                           bounded=True, digits=10)
 
 
+def _by_internet(sql):
+    return sql.replace("Contract", "InternetService")
+
+
+_LIFE_INTERNET = _by_internet(LIFE_CTE)
+SQL_LIFE_INTERNET = on_customers("""
+SELECT InternetService, t, CAST(removed AS BIGINT) AS removed, CAST(events AS BIGINT) AS events,
+       CAST(censored AS BIGINT) AS censored, CAST(at_risk AS BIGINT) AS at_risk FROM lt""", _LIFE_INTERNET)
+SQL_KM_INTERNET = on_customers("""
+SELECT InternetService, t, CAST(at_risk AS BIGINT) AS at_risk, CAST(events AS BIGINT) AS events,
+       CAST(censored AS BIGINT) AS censored, round(survival, 6) AS survival,
+       round(ci_lower, 6) AS ci_lower, round(ci_upper, 6) AS ci_upper FROM km""", _LIFE_INTERNET)
+SQL_MEDIAN_INTERNET = on_customers("""
+SELECT InternetService, CAST(max(at_risk) AS BIGINT) AS n,
+       coalesce(CAST(min(CASE WHEN survival <= 0.5 THEN t END) AS DOUBLE), 72.0::DOUBLE) AS median_survival
+FROM km GROUP BY InternetService HAVING max(at_risk) >= 10""", _LIFE_INTERNET)
+SQL_NAIVE_ALL = on_customers("""
+SELECT COUNT(*) AS n, CAST(SUM(Churn_binary) AS BIGINT) AS events,
+  CAST(SUM(CAST(Churn_binary = 0 AS INTEGER)) AS BIGINT) AS censored,
+  CAST(COUNT(*) - SUM(Churn_binary) AS DOUBLE) / COUNT(*) AS survival_rate FROM customers""")
+
+
+def _km_internet(spark, sf):
+    """By the path for any number of durations."""
+    return I.kaplan_meier(D.customers(spark, sf), "tenure", "Churn_binary", ["InternetService"], digits=10)
+
+
+def q_km_internet(spark, sf):
+    km = _km_internet(spark, sf)
+    return km.withColumns({c: F.round(c, 6) for c in ("survival", "ci_lower", "ci_upper")})
+
+
 EXP_CTE = """
 pool AS (SELECT *, date_diff('day', DATE '1970-01-01', CAST(start_date AS DATE)) AS day
          FROM customers WHERE churn_probability >= 0.3),
@@ -414,6 +446,12 @@ QUERIES = {
     "median_survival_contract": (lambda spark, sf: I.median_survival(_km(spark, sf), ["Contract"]),
                                  SQL_MEDIAN),
     "naive_survival_contract": (_c(lambda d: I.naive_survival(d, by=["Contract"])), SQL_NAIVE),
+    "life_table_internet": (_c(lambda d: I.life_table(d, "tenure", "Churn_binary", ["InternetService"])),
+                            SQL_LIFE_INTERNET),
+    "kaplan_meier_internet": (q_km_internet, SQL_KM_INTERNET),
+    "median_survival_internet": (lambda spark, sf: I.median_survival(_km_internet(spark, sf), ["InternetService"]),
+                                 SQL_MEDIAN_INTERNET),
+    "naive_survival_overall": (_c(I.naive_survival), SQL_NAIVE_ALL),
     "eligible_pool": (_c(L.eligible_pool), SQL_POOL),
     "power_table": (q_power, SQL_POWER),
     "ab_readout_stats": (q_readout_stats, SQL_READOUT),

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from ebbflow.functions.columns import attach
 
-import os
-
 from ebbflow.operators.features import engineer_features
 from ebbflow.sources import subscriptions as subs
 from ebbflow.session import materialize
@@ -26,6 +24,14 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MATERIALIZED: dict = {}
+INPUTS = ("orders", "lineitem", "part", "customer")
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, times and sizes of a table's files, by Hadoop's file system: any store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return tuple(sorted((f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in files))
 
 
 def build_customers(spark: SparkSession, sf_dir: str, percentiles: bool = False) -> DataFrame:
@@ -51,14 +57,14 @@ def build_customers(spark: SparkSession, sf_dir: str, percentiles: bool = False)
 
 
 def customers(spark: SparkSession, sf_dir: str, percentiles: bool = False) -> DataFrame:
-    """The feature table, materialised once per application and input folder.
+    """The feature table, materialised once per application and state of the input files.
 
     Many queries start from it, so it is written once as parquet into the
     session's checkpoint dir (shared storage on a cluster): lineage is cut, and a
     lost executor re-reads the files instead of re-running the joins.
     """
     sc = spark.sparkContext
-    key = (sc.applicationId, sc.startTime, os.path.abspath(sf_dir), percentiles)
+    key = (sc.applicationId, sc.startTime, percentiles, *(_stamp(spark, f"{sf_dir}/{t}.parquet") for t in INPUTS))
     hit = _MATERIALIZED.get(key)
     if hit is not None:
         return hit

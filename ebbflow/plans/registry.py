@@ -11,6 +11,7 @@ CATALOGS = [
     "ebbflow.plans.catalog_ops",
     "ebbflow.plans.catalog_events",
     "ebbflow.plans.catalog_models",
+    "ebbflow.plans.catalog_clean",
 ]
 
 
