@@ -45,7 +45,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(docs, queries.vocabulary("word_bpe_49k.json"), queries.CAPACITY, end_id=0)
-    return packing.pack(materialize(token_files.with_crc32(pieces), "pieces"), queries.CAPACITY)
+    return packing.pack(materialize(token_files.with_crc32(pieces), "pieces"), queries.CAPACITY).drop("block", "block_rank")
 
 
 STAGES = [

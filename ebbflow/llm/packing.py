@@ -148,7 +148,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
                 [*columns, pa.array(first[run] + j // each[run]), pa.array(offset[run] + j % each[run] * n)],
                 names=[*kept, "sequence_id", "offset"])
 
-    kept = [c for c in pieces.columns if c not in ("block", "block_rank", "sequence_id", "offset")]
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     types = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
     schema = ", ".join(f"`{c}` {types[c]}" for c in kept)
     return (pieces.drop("sequence_id", "offset").join(before, ["length", "block"])
@@ -156,9 +156,9 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
 
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
-    """(sequence_id, ids): the packed sequences, from the pieces with ids and their places
-    (``pieces`` needs ``block``, ``block_rank`` and ``length`` as ``placed`` was made from them)."""
+    """(sequence_id, ids): the packed sequences, from the pieces with ids and their places."""
     entry = F.struct("offset", "ids")
-    return (pieces.select("doc_id", "piece", "ids").join(placed, ["doc_id", "piece"])
+    key = ["block", "length", "block_rank"]  # one row each, whatever the ids are
+    return (pieces.select(*key, "ids").join(placed.select(*key, "sequence_id", "offset"), key)
             .groupBy("sequence_id").agg(F.array_sort(F.collect_list(entry)).alias("_parts"))  # at most capacity ids
             .select("sequence_id", F.flatten(F.transform("_parts", lambda p: p.ids)).alias("ids")))

@@ -127,4 +127,7 @@ def test_packing(spark):
             at += n
         assert at <= 64
     assert len(bins) == len(brute_best_fit([r.length for r in placed], 64))
+    whole = packing.sequences(pieces, packing.pack(pieces.drop("ids"), 64)).collect()
+    assert len(whole) == len(bins) and all(len(r.ids) <= 64 for r in whole)
+    assert sorted(i for r in whole for i in r.ids) == sorted(i for r in docs.collect() for i in [*ids_of(WORD, r.text), 0])
     assert packing.pack(packing.token_pieces(spark.createDataFrame([], EMPTY), WORD, 64, 0), 64).count() == 0
