@@ -7,18 +7,21 @@ threshold, exactly. Steps:
 1. ``_sets``: per document the set's size and a 128-bit digest; per block of rows
    the shingles that many of its documents have. Documents with equal sets are one
    class from here on (its number: 64 bits of the digest).
-2. ``_prefixes``: shingles are ordered by how frequent they are, then by hash. A set
-   of n can only reach the threshold with another if they share one of its first
-   n - ceil(t n) + 1 shingles, so only those columns are multiplied out. The order
-   merely keeps frequent passages out of the prefixes; any order is exact.
-3. ``_lists``: rows are dealt by shingle and streamed in order. A shingle of one
-   class is dropped; from the others, classes that the size bounds rule out (too
-   few shingles left after this one for any partner's size) are discarded. Equal
-   lists count once. Lists longer than ``CHUNK`` go on in chunks.
-4. Candidate pairs, first of each list's smallest class with the others, then,
-   between classes not yet connected, all that the size bounds allow: copies and
-   near copies are connected through a few links instead of all their pairs, and no
-   link between different components is lost.
+2. ``_prefixes``: shingles are ordered by how frequent they are, then by hash. Of the
+   first n - ceil(t n) + 1 + n // 10 shingles of a set of n, at least n // 10 are
+   shared with any set it links with, so only those columns are multiplied out. The
+   order merely keeps frequent passages out of the prefixes; any order is exact.
+3. ``_shared``: rows are dealt by shingle; those of one class alone are dropped. Each
+   class then spares its n // 10 - 1 most widely shared ones, which leaves at least
+   one that it shares with every class it links with: a passage that many unlike
+   documents hold stops being a reason to compare them.
+4. ``_lists``: classes that share a shingle, with whether each spares it. Lists that
+   all spare are dropped, equal lists count once, and lists longer than ``CHUNK`` go
+   on in chunks. Candidate pairs have one member that does not spare the shingle:
+   first the pairs of each list's smallest such class, then, between classes not yet
+   connected, all that the size bounds allow. So copies and near copies are connected
+   through a few links instead of all their pairs, and no link between different
+   components is lost.
 5. ``_links``: blocks of the product, a pivot against its members, which stream past
    it (pivots with many are split by a salt). The overlap is accumulated over the
    prefixes first, and pairs that the sizes then rule out are discarded; the others'
@@ -38,7 +41,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbflow.llm.common import id_text, materialize, row_chunks, utf8
@@ -48,9 +51,9 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK = 4096
 #: Rows after which a block's frequent shingles are counted, and how many documents make one frequent.
 BLOCK_ROWS = 10_000
-FREQUENT = 8
+FREQUENT = 5
 #: Most entries of the broadcast table of frequent shingles (16 bytes each); it only orders shingles.
-MOST_FREQUENT = 200_000
+MOST_FREQUENT = 500_000
 #: Keys up to which candidate texts are found by a broadcast; beyond, by a shuffled join.
 BROADCAST_KEYS = 1_000_000
 PIVOT_ROWS = 1024
@@ -77,7 +80,9 @@ class Threshold:
         return self.below * overlap >= self.above * (a + b - overlap)
 
     def prefix(self, n: int) -> int:
-        return n - -(-self.above * n // self.below) + 1
+        """How many first shingles are looked at: any linked set shares n // 10 of them at least."""
+        return n - -(-self.above * n // self.below) + 1 + n // 10
+
 
     def sizes(self, a, b):
         """Whether sets of these sizes, a <= b, can reach the threshold."""
@@ -132,7 +137,7 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
 
         def frequent() -> pa.RecordBatch:
             value, count = np.unique(np.concatenate(held), return_counts=True)
-            some = count >= max(FREQUENT, len(held) // 1000)
+            some = count >= FREQUENT
             held.clear()
             none = pa.nulls(int(some.sum()), pa.int64())
             return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(none), pa.binary()), none, pa.array(_long(value[some])), pa.array(count[some])], names=names)
@@ -165,7 +170,7 @@ def _ordered(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarr
 
 
 def _prefixes(rows: DataFrame, words: int, t: Threshold, frequent) -> DataFrame:
-    """(shingle, n, node, rest): the prefix of each set; ``rest`` is how many shingles remain from it on."""
+    """(shingle, n, node): the prefix of each set."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch, texts in _texts(batches):
@@ -183,105 +188,118 @@ def _prefixes(rows: DataFrame, words: int, t: Threshold, frequent) -> DataFrame:
                 seen.clear()
             sizes = np.array([len(o[0]) for o in out], np.int64)
             n = np.repeat(np.array([o[1] for o in out], np.int64), sizes)
-            place = np.arange(len(n)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_long(np.concatenate([o[0] for o in out]) if out else [])), pa.array(n.astype(np.int32)),
-                 pa.array(np.repeat(np.array([o[2] for o in out], np.int64), sizes)), pa.array((n - place).astype(np.int32))],
-                names=["shingle", "n", "node", "rest"])
+                 pa.array(np.repeat(np.array([o[2] for o in out], np.int64), sizes))], names=["shingle", "n", "node"])
+
+    return rows.select("text").mapInArrow(scan, "shingle long, n int, node long")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns of a sorted stream with begin and end of the groups of more than one row of equal
+    first column; a batch's last group waits for the next batch."""
+    carry = None
+    for batch in batches:
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if carry is not None:
+            columns = [np.concatenate(x) for x in zip(carry, columns)]
+        cuts = np.flatnonzero(np.diff(columns[0])) + 1
+        begin, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(columns[0])]])
+        last = int(begin[-1])
+        carry = [c[last:].copy() for c in columns]
+        many = (end - begin > 1)[:-1]
+        yield columns, begin[:-1][many], end[:-1][many]
+    if carry is not None and len(carry[0]) > 1:
+        yield carry, np.array([0]), np.array([len(carry[0])])
+
+
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """(shingle, n, node, kept): prefix shingles of more than one class; ``kept`` unless the class spares it."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["shingle", "n", "node"]
+        for columns, begin, end in _groups(batches, names):
+            inside = np.zeros(len(columns[0]) + 1, np.int64)
+            inside[begin] += 1
+            inside[end] -= 1
+            rows = np.flatnonzero(np.cumsum(inside[:-1]))
+            shingle, n, node = (c[rows] for c in columns)
+            new = np.concatenate([[True], (np.diff(shingle) != 0) | (np.diff(node) != 0) | (np.diff(n) != 0)])[:len(rows)]
+            shingle, n, node = shingle[new], n[new], node[new]
+            group = np.cumsum(np.concatenate([[True], np.diff(shingle) != 0])[:len(shingle)]) - 1
+            df = np.bincount(group, minlength=1)[group]
+            some = df > 1
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[some]), pa.array(n[some].astype(np.int32)), pa.array(node[some]), pa.array(df[some])],
+                                             names=[*names, "df"])
 
-    return rows.select("text").mapInArrow(scan, "shingle long, n int, node long, rest int")
+    dealt = prefixes.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+    found = dealt.mapInArrow(scan, "shingle long, n int, node long, df long")
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("df"), "shingle"))  # a class's prefix
+    spare = F.greatest(F.floor(F.col("n") / 10) - 1, F.lit(0))
+    return found.withColumn("kept", place > spare).drop("df")
 
 
-def _lists(prefixes: DataFrame, t: Threshold) -> DataFrame:
-    """(list, chunk, nodes, sizes): classes that share a prefix shingle, by size, without those the bounds discard."""
+def _lists(shared: DataFrame) -> DataFrame:
+    """(list, chunk, nodes, sizes, kept): classes that share a shingle, by size."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         sent: set[bytes] = set()
-        out: list = []
-        carry = None
-        names = ["list", "chunk", "nodes", "sizes"]
-
-        def emit(shingle: int, n: np.ndarray, node: np.ndarray, rest: np.ndarray) -> None:
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(n) != 0) | (np.diff(node) != 0)]))
-            n, node, rest = n[new], node[new], rest[new]
-            if len(n) < 2:
-                return
-            # the smallest partner's size: the first within the ratio below, or else the next one
-            low = np.searchsorted(n, -(-t.above * n // t.below))
-            i = np.arange(len(n))
-            partner = np.where(low < i, n[low], n[np.minimum(i + 1, len(n) - 1)])
-            fits = t.enough(rest, n, partner) & ((low < i) | (t.sizes(n, partner) & (i + 1 < len(n))))
-            n, node = n[fits], node[fits]
-            if len(n) < 2:
-                return
-            if len(n) <= CHUNK:
-                key = xxhash.xxh3_128_digest(node.tobytes())
-                if key not in sent:
-                    sent.add(key)
-                    out.append((key, 0, node.tolist(), n.tolist()))
-                return
-            key = shingle.to_bytes(8, "little", signed=True)
-            for c, lo in enumerate(range(0, len(n), CHUNK)):
-                # every chunk begins with the list's first class, which connects the chunks
-                first = [] if lo == 0 else [0]
-                rows = np.array([*first, *range(lo, min(lo + CHUNK, len(n)))])
-                out.append((key, c, node[rows].tolist(), n[rows].tolist()))
-
-        def rows() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32()),
-                 pa.array([o[2] for o in out], pa.list_(pa.int64())), pa.array([o[3] for o in out], pa.list_(pa.int32()))], names=names)
-            out.clear()
-            return batch
-
-        for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("shingle", "n", "node", "rest")]
-            if carry is not None:
-                columns = [np.concatenate(x) for x in zip(carry, columns)]
-            shingle = columns[0]
-            cuts = np.flatnonzero(np.diff(shingle)) + 1
-            begin, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(shingle)]])
-            last = int(begin[-1]) if len(shingle) else 0
-            carry = [c[last:].copy() for c in columns]
-            for lo, hi in zip(begin[:-1][np.diff(begin) > 1].tolist(), end[:-1][np.diff(begin) > 1].tolist()):
-                emit(int(shingle[lo]), columns[1][lo:hi].astype(np.int64), columns[2][lo:hi], columns[3][lo:hi].astype(np.int64))
+        for columns, begin, end in _groups(batches, ["shingle", "n", "node", "kept"]):
+            out: list = []
+            for lo, hi in zip(begin.tolist(), end.tolist()):
+                n, node, kept = (c[lo:hi] for c in columns[1:])
+                if not kept.any():
+                    continue
+                if hi - lo <= CHUNK:
+                    key = xxhash.xxh3_128_digest(node.tobytes() + kept.tobytes())
+                    if key not in sent:
+                        sent.add(key)
+                        out.append((key, 0, node, n, kept))
+                    continue
+                key = int(columns[0][lo]).to_bytes(8, "little", signed=True)
+                first = int(np.argmax(kept))
+                for c, at in enumerate(range(0, hi - lo, CHUNK)):
+                    # every chunk has the list's first class that keeps the shingle, which connects the chunks
+                    rows = np.unique([first, *range(at, min(at + CHUNK, hi - lo))])
+                    out.append((key, c, node[rows], n[rows], kept[rows]))
             if len(sent) > 300_000:
                 sent.clear()
-            if out:
-                yield rows()
-        if carry is not None and len(carry[0]) > 1:
-            emit(int(carry[0][0]), carry[1].astype(np.int64), carry[2], carry[3].astype(np.int64))
-        yield rows()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.list_(pa.int64())),
+                 pa.array([o[3] for o in out], pa.list_(pa.int32())), pa.array([o[4] for o in out], pa.list_(pa.bool_()))],
+                names=["list", "chunk", "nodes", "sizes", "kept"])
 
-    dealt = prefixes.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
-    return dealt.mapInArrow(scan, "list binary, chunk int, nodes array<long>, sizes array<int>").dropDuplicates(["list", "chunk"])
+    dealt = shared.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+    return (dealt.mapInArrow(scan, "list binary, chunk int, nodes array<long>, sizes array<int>, kept array<boolean>")
+            .dropDuplicates(["list", "chunk"]))
 
 
 def _first_pairs(lists: DataFrame, t: Threshold) -> DataFrame:
-    """Each list's smallest class with those its size allows; the first beyond takes its place."""
+    """Each list's smallest class that keeps the shingle with those its size allows; the next one beyond takes its place."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_chunks(batches):
             a, b = [], []
-            for nodes, sizes in zip(batch.column("nodes").to_pylist(), batch.column("sizes").to_pylist()):
-                pivot, size = nodes[0], sizes[0]
-                for node, n in zip(nodes[1:], sizes[1:]):
-                    if t.sizes(size, n):
-                        a.append(pivot)
-                        b.append(node)
-                    else:
+            for nodes, sizes, kept in zip(*(batch.column(c).to_pylist() for c in ("nodes", "sizes", "kept"))):
+                first = kept.index(True)
+                pivot, size = nodes[first], sizes[first]
+                for i, (node, n) in enumerate(zip(nodes, sizes)):
+                    if t.sizes(min(size, n), max(size, n)):
+                        a.append(pivot if i > first else node)
+                        b.append(node if i > first else pivot)
+                    elif kept[i] and i > first:
                         pivot, size = node, n
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return lists.select("nodes", "sizes").mapInArrow(scan, "a long, b long").filter("a != b").distinct()
+    return lists.select("nodes", "sizes", "kept").mapInArrow(scan, "a long, b long").filter("a != b").distinct()
 
 
 def _other_pairs(lists: DataFrame, parts: DataFrame, t: Threshold) -> DataFrame:
-    """Pairs of a list's classes in different parts (node, component) that their sizes allow."""
-    member = (lists.select("list", "chunk", F.arrays_zip("nodes", "sizes").alias("m")).select("list", "chunk", F.explode("m").alias("m"))
-              .select("list", "chunk", F.col("m.nodes").alias("node"), F.col("m.sizes").alias("n")))
+    """Pairs of a list's classes in different parts (node, component), of which one keeps the shingle."""
+    zipped = F.arrays_zip("nodes", "sizes", "kept")
+    member = (lists.select("list", "chunk", F.explode(zipped).alias("m"))
+              .select("list", "chunk", F.col("m.nodes").alias("node"), F.col("m.sizes").alias("n"), F.col("m.kept").alias("kept")))
     known = member.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     grouped = (known.groupBy("list", "chunk")  # at most CHUNK + 1 members
-               .agg(F.array_sort(F.collect_list(F.struct("n", "node", "part"))).alias("m"), F.min("part").alias("lo"), F.max("part").alias("hi")))
+               .agg(F.array_sort(F.collect_list(F.struct("n", "node", "part", "kept"))).alias("m"), F.min("part").alias("lo"), F.max("part").alias("hi")))
     one = grouped.filter("lo != hi").select("m", F.lit(None).cast(grouped.schema["m"].dataType).alias("o"))
     longer = lists.filter("chunk > 0").select("list").distinct()
     chunks = grouped.join(longer, "list", "left_semi")
@@ -291,21 +309,23 @@ def _other_pairs(lists: DataFrame, parts: DataFrame, t: Threshold) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def arrays(column, i):
             part = column.slice(i, 1).flatten()
-            return [part.field(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            return [part.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
 
         for batch in batches:
             for i in range(batch.num_rows):
-                n, node, part = arrays(batch.column("m"), i)
+                n, node, part, kept = arrays(batch.column("m"), i)
                 same = not batch.column("o")[i].is_valid
-                n2, node2, part2 = (n, node, part) if same else arrays(batch.column("o"), i)
+                n2, node2, part2, kept2 = (n, node, part, kept) if same else arrays(batch.column("o"), i)
+                pairs: list = []
                 for j in range(len(n)):
                     lo = j + 1 if same else 0
-                    big, small = np.maximum(n2[lo:], n[j]), np.minimum(n2[lo:], n[j])
-                    some = lo + np.flatnonzero((part2[lo:] != part[j]) & t.sizes(small.astype(np.int64), big.astype(np.int64)))
+                    big, small = np.maximum(n2[lo:], n[j]).astype(np.int64), np.minimum(n2[lo:], n[j]).astype(np.int64)
+                    some = lo + np.flatnonzero((part2[lo:] != part[j]) & t.sizes(small, big) & (kept2[lo:] | kept[j]))
                     if len(some):
                         first = (n2[some] > n[j]) | (n2[some] == n[j]) & (node2[some] > node[j])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.where(first, node[j], node2[some])), pa.array(np.where(first, node2[some], node[j]))],
-                                                         names=["a", "b"])
+                        pairs.append((np.where(first, node[j], node2[some]), np.where(first, node2[some], node[j])))
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in pairs])) for k in range(2)], names=["a", "b"])
 
     return one.unionByName(two).mapInArrow(scan, "a long, b long").distinct()
 
@@ -390,7 +410,7 @@ def join(docs: DataFrame, words: int = 5, threshold: Threshold = Threshold()) ->
     rep = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "th")
     classes = materialize(per_row.filter("n > 0").groupBy("node").agg(F.min(rep).alias("rep"), F.min("doc_id").alias("least")), "classes")
 
-    lists = materialize(_lists(_prefixes(rows, words, threshold, frequent), threshold), "lists")
+    lists = materialize(_lists(_shared(_prefixes(rows, words, threshold, frequent))), "lists")
     first = materialize(_first_pairs(lists, threshold), "pairs")
     parts = components(_links(rows, classes, first, words, threshold, frequent))
     rest = materialize(_other_pairs(lists, parts, threshold).join(first, ["a", "b"], "left_anti"), "pairs")

@@ -86,7 +86,21 @@ def test_near_copies_are_not_expanded_to_all_pairs(spark):
     t = ngram_join.Threshold()
     none = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     prefixes = ngram_join._prefixes(docs.withColumn("th", F.xxhash64("text")), 5, t, none)
-    assert ngram_join._first_pairs(ngram_join._lists(prefixes, t), t).count() < 300 * 30
+    assert ngram_join._first_pairs(ngram_join._lists(ngram_join._shared(prefixes)), t).count() < 300 * 30
+    # a passage that unlike documents share is no reason to compare them
+    passage = " ".join(f"p{i}" for i in range(40))
+    unlike = spark.createDataFrame([(i, " ".join(f"u{i}x{j}" for j in range(400)) + " " + passage) for i in range(50)], "doc_id long, text string")
+    prefixes = ngram_join._prefixes(unlike.withColumn("th", F.xxhash64("text")), 5, t, none)
+    assert prefixes.groupBy("shingle").count().filter("count > 1").count() > 3
+    assert ngram_join._lists(ngram_join._shared(prefixes)).count() == 0
+
+
+def test_what_a_class_spares_never_hides_a_link():
+    t = ngram_join.Threshold()
+    for a in range(1, 1500):
+        for b in range(-(-t.above * a // t.below), a + 1):
+            least = -(-t.above * (a + b) // (t.above + t.below)) - max(a - t.prefix(a), b - t.prefix(b))
+            assert max(a // 10 - 1, b // 10 - 1, 0) < max(least, 1)
 
 
 def test_empty_table_and_texts_without_words(spark):
