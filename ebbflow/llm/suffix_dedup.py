@@ -48,8 +48,6 @@ STEP = 1 << 20
 BLOCK_BYTES = 24 << 20
 BATCH_RUNS = 4000
 HOT_RUNS = 10_000
-#: Rows up to which what is known of documents is sent to their tasks; beyond, a shuffled join.
-BROADCAST_ROWS = 2_000_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -169,7 +167,7 @@ def _status(runs: DataFrame) -> DataFrame:
     """Runs with ``whole`` (all of it repeats) and ``open`` (its bytes must be compared with others')."""
     deal = F.coalesce("anchor", F.xxhash64("doc_id", "th", "lo"))  # spreads those that need no comparison
     same, group = Window.partitionBy("deal", "kind"), Window.partitionBy("deal")
-    counted = (runs.withColumn("deal", deal).withColumn("n", F.sum("copies").over(same))
+    counted = (runs.withColumn("deal", deal).repartition("deal").withColumn("n", F.sum("copies").over(same))
                .withColumn("turn", F.row_number().over(same.orderBy("doc_id", "th", "lo")))
                .withColumn("kinds", F.sum(F.when(F.col("turn") == 1, 1).otherwise(0)).over(group))
                .withColumn("least", F.min("n").over(group)))
@@ -190,8 +188,6 @@ def _contexts(rows: DataFrame, runs: DataFrame, length: int) -> DataFrame:
     """Open runs with their bytes."""
     entry = F.struct("lo", "hi", "place", "anchor", "kinds", "whole")
     asked = runs.groupBy("doc_id", "th").agg(F.collect_set(entry).alias("runs"))  # as many as the text has
-    if runs.count() <= BROADCAST_ROWS:
-        asked = F.broadcast(asked)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "th", "lo", "hi", "place", "anchor", "kinds", "whole"]
@@ -327,9 +323,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int = 128) -> DataFram
     contexts = materialize(_contexts(rows, made.filter("open"), length), "contexts")
     ranges = (made.filter("whole").select("doc_id", "th", "lo", "hi")
               .unionByName(_compared(contexts, length)).unionByName(_counted(contexts, length)))
-    per_text = materialize(ranges.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("ranges")), "repeats")
-    few = (per_text.agg(F.sum(F.size("ranges"))).first()[0] or 0) <= BROADCAST_ROWS
-    side = F.broadcast(per_text) if few else per_text
+    per_text = ranges.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("ranges"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_chunks(batches, 500):
@@ -348,4 +342,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int = 128) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(np.diff(offsets)), pa.array(spans, pa.list_(pa.int32())), pa.array(kept, pa.binary())],
                                              names=["doc_id", "th", "n_bytes", "spans", "kept"])
 
-    return _with_texts(rows, side, "left").mapInArrow(cut, "doc_id long, th long, n_bytes long, spans array<int>, kept binary")
+    return _with_texts(rows, per_text, "left").mapInArrow(cut, "doc_id long, th long, n_bytes long, spans array<int>, kept binary")

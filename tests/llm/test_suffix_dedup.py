@@ -53,13 +53,6 @@ def test_equals_brute_force(spark, monkeypatch, seed, hot, block, step):
     assert got == want and any(r[2] for r in want)
 
 
-def test_other_join_path_is_the_same(spark, monkeypatch):
-    docs = docs_of(spark, texts(4))
-    one = Counter((r.doc_id, bytes(r.kept)) for r in S.remove_repeats(docs, 20, 8).collect())
-    monkeypatch.setattr(S, "BROADCAST_ROWS", -1)
-    assert one == Counter((r.doc_id, bytes(r.kept)) for r in S.remove_repeats(docs, 20, 8).collect())
-
-
 def test_equal_hashes_are_verified(monkeypatch):
     monkeypatch.setattr(S.PrefixHashes, "__call__", lambda self, b, e: np.zeros(len(b), np.uint64))
     data = b"xxabcdefgh" + b"yyabcdefgh" + b"zzabcdezzz"
