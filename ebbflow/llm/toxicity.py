@@ -1,14 +1,15 @@
 """Toxicity by nearest labelled examples (operator 4).
 
 Terms are the lower-cased words of a text and, of words over five bytes, the
-first five bytes (inflected forms share them). All labelled rows to learn from
-are counted per term and label; a term is kept if its rows are toxic so much more
-often than the base rate that fewer than ``alpha`` kept terms are expected by
-chance (Chernoff bound), at most ``max_terms`` of them by evidence. Inverse document frequencies come from all
+first five bytes (inflected forms share them). At most ``max_rows`` labelled rows to
+learn from (the least by a hash of the id) are counted per term and label; a term is
+kept if its rows are toxic so much more often than the base rate that fewer than
+``alpha`` kept terms are expected by chance (Chernoff bound), at most ``max_terms``
+of them by evidence. Inverse document frequencies come from all
 documents. A text is its TF-IDF vector over the kept terms.
 
-Examples are at most ``max_examples`` of the labelled rows that have a vector
-(the least by a hash of the id), a bound on the fitted model alone. They lie in
+Examples are at most ``max_examples`` of those rows that have a vector. These bounds
+are on the fitted model alone. They lie in
 blocks behind an inverted index that has, per term, each block's largest weight:
 a query's dot product with those bounds every cosine in a block, so blocks are
 opened from the largest bound down until none can beat the k-th neighbour. The
@@ -110,17 +111,18 @@ class ToxicityModel:
         return (sum(v * y for v, y in votes) + self.prior_weight * self.prior) / (sum(v for v, _ in votes) + self.prior_weight)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
-    """(doc_id, text, label) of the rows to learn from; ``learn`` is a condition on doc_id."""
-    known = (labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id")
-             .agg(F.max("toxic").cast("int").alias("label")))
+def labelled_rows(docs: DataFrame, labels: DataFrame, learn: Column, most: int) -> DataFrame:
+    """(doc_id, text, label) of at most ``most`` rows to learn from, those of least hash of the id;
+    ``learn`` is a condition on doc_id. Only ids and labels are sent to the documents."""
+    known = (labels.filter("toxic is not null and doc_id is not null").filter(learn).groupBy(F.col("doc_id").cast("long").alias("i"))
+             .agg(F.max("toxic").cast("int").alias("label")).orderBy(F.xxhash64("i"), "i").limit(most))
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .join(known, "doc_id").filter(learn))
+            .join(F.broadcast(known), F.col("doc_id") == F.col("i")).drop("i"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, alpha: float = 1.0, max_terms: int = 20_000,
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, alpha: float = 1.0, max_rows: int = 50_000, max_terms: int = 20_000,
         max_examples: int = 20_000, neighbours: int = 15, prior_weight: float = 0.02, block: int = 64) -> ToxicityModel:
-    rows = labelled_rows(docs, labels, learn)
+    rows = labelled_rows(docs, labels, learn, max_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_chunks(batches, 10_000):
