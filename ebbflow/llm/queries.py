@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbflow.llm import chat, decontamination, ngram_join, packing, pii, suffix_dedup, syncmers, token_counts, token_files, toxicity
-from ebbflow.llm.common import documents, read_table, shared_path
+from ebbflow.llm.common import documents, materialize, read_table, shared_path
 
 CAPACITY = 2048
 TOKEN_LIMIT = 1024
@@ -21,7 +21,7 @@ def vocabulary(name: str) -> str:
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), CAPACITY, end_id=0)
-    placed = packing.pack(token_files.with_crc32(pieces), CAPACITY)
+    placed = packing.pack(materialize(token_files.with_crc32(pieces), "pieces"), CAPACITY)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
