@@ -14,30 +14,35 @@ text; the empty text's fingerprint is empty, and two empty ones are alike (1).
 
 ``with_next`` pairs each row with the one that follows in descending ``doc_id``
 (null ids last, rows of one id by the hash of their text; the last row with the
-first): rows are range-partitioned and streamed in order, and only the rows at the
-partitions' edges, two per partition, are joined afterwards.
+first). A sample of the keys places cuts between buckets of consecutive rows; the
+first row of each bucket, found from the keys alone, is added behind the rows of the
+bucket before it; then every bucket is streamed in order, and each row's fingerprint
+is made once and goes straight to the result. Any cuts are right; even ones only
+balance the buckets, and a key that very many rows have is cut by their hashes.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.llm.common import id_text, materialize, row_chunks
+from ebbflow.llm.common import id_text, row_chunks
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _P = np.uint64(0x9E3779B97F4A7C15)
 RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double")
-_EDGE = f"{RESULT}, part int, edge string, text string"
+#: Keys sampled per bucket, and buckets per shuffle partition.
+SAMPLED, BUCKETS = 20, 4
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -119,43 +124,53 @@ def _compare(method: Syncmers, text: str, mine: tuple, following: str, theirs: t
             method.likeness(mine, other), method.likeness(mine, theirs))
 
 
+def _key(doc_id: int | None, tie: int) -> int:
+    """One number that orders rows as (doc_id, tie), null ids first."""
+    return ((-1 << 70) if doc_id is None else doc_id << 64) + tie + (1 << 63)
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """Adds ``bucket``: consecutive rows of the descending order, in ascending bucket number."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * BUCKETS
+    keys = rows.select("doc_id", "tie")
+    share = min(1.0, SAMPLED * n / max(1, keys.count()))
+    sample = sorted(_key(r["doc_id"], r["tie"]) for r in keys.sample(share, seed=1).collect())
+    cuts = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
+
+    @F.pandas_udf("int")
+    def bucket(doc_id: pd.Series, missing: pd.Series, tie: pd.Series) -> pd.Series:
+        keys = (_key(None if none else i, t) for i, none, t in zip(doc_id.tolist(), missing.tolist(), tie.tolist()))
+        return pd.Series([len(cuts) - bisect_right(cuts, k) for k in keys], dtype="int32")
+
+    return rows.withColumn("bucket", bucket(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "tie"))
+
+
 def with_next(docs: DataFrame, method: Syncmers = Syncmers()) -> DataFrame:
     """The columns of ``RESULT`` for every row: its fingerprint, that of its edited text, and likenesses."""
+    rows = _bucketed(id_text(docs).withColumn("tie", F.xxhash64("text")))
+    spark = docs.sparkSession
+    # a row per bucket: its first key in descending order
+    top = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("doc_id"), F.col("tie").alias("tie")))
+    first = sorted(rows.groupBy("bucket").agg(top.alias("top")).select("bucket", "top.doc_id", "top.tie").collect(), key=lambda r: r["bucket"])
+    after = [(r["bucket"], *first[(i + 1) % len(first)][1:]) for i, r in enumerate(first)]
+    heads = F.broadcast(spark.createDataFrame(after, "to int, i long, h long"))  # as many rows as buckets
+    follow = (rows.drop("bucket").join(heads, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("h")))
+              .dropDuplicates(["to"]).select("doc_id", "text", "tie", F.col("to").alias("bucket"), F.lit(1).alias("extra")))
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        part, last = TaskContext.get().partitionId(), None
+        bucket, last = None, None
         for batch in row_chunks(batches, 1000):
             done = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc_id, text, b, extra in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "extra"))):
                 anchors = method.anchors(text)
-                if last is None:
-                    done.append((doc_id, *[None] * 6, part, "first", text))
-                else:
-                    done.append((last[0], *_compare(method, last[1], last[2], text, anchors), part, None, None))
-                last = (doc_id, text, anchors)
-            yield _rows(done, _EDGE)
-        if last is not None:
-            yield _rows([(last[0], *[None] * 6, part, "last", last[1])], _EDGE)
-
-    order = [F.col("doc_id").desc_nulls_last(), F.col("_tie")]
-    placed = (id_text(docs).withColumn("_tie", F.xxhash64("text")).repartitionByRange(*order)
-              .sortWithinPartitions(*order).drop("_tie"))
-    made = materialize(placed.mapInArrow(stream, _EDGE), "syncmers")
-    names = [c.split()[0] for c in RESULT.split(", ")]
-    first = made.filter("edge = 'first'")
-    # one row per partition: which partition's first row follows this partition's last
-    after = Window.orderBy("part")
-    parts = first.select("part", F.lead("part").over(after).alias("following"), F.first("part").over(after).alias("top"))
-    edges = (made.filter("edge = 'last'").select("part", "doc_id", "text")
-             .join(parts.select("part", F.coalesce("following", "top").alias("following")), "part")
-             .join(first.select(F.col("part").alias("following"), F.col("text").alias("next_text")), "following"))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_chunks(batches, 100):
-            yield _rows([(r["doc_id"], *_compare(method, r["text"], method.anchors(r["text"]), r["next_text"], method.anchors(r["next_text"])))
-                         for r in batch.to_pylist()], RESULT)
-
-    return made.filter("edge is null").select(*names).unionByName(edges.select("doc_id", "text", "next_text").mapInArrow(finish, RESULT))
+                if last is not None and b == bucket:
+                    done.append((last[0], *_compare(method, last[1], last[2], text, anchors)))
+                bucket, last = b, None if extra else (doc_id, text, anchors)
+            yield _rows(done, RESULT)
+
+    every = rows.withColumn("extra", F.lit(0)).unionByName(follow)
+    order = ["bucket", "extra", F.col("doc_id").desc_nulls_last(), F.col("tie").desc()]
+    return every.repartition("bucket").sortWithinPartitions(*order).select("doc_id", "text", "bucket", "extra").mapInArrow(stream, RESULT)
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:

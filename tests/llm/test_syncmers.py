@@ -63,7 +63,7 @@ def test_likeness():
 def test_with_next_equals_a_plain_loop(spark):
     random.seed(8)
     texts = [*ODD, *("".join(random.choices("ab c", k=random.randint(0, 90))) for _ in range(40))]
-    docs = docs_of(spark, texts)
+    docs = docs_of(spark, texts, first=(1 << 60))  # ids beyond a double's whole numbers
     rows = sorted(docs.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0)))
     method, want = Syncmers(), []
     for r, after in zip(rows, rows[1:] + rows[:1]):
