@@ -19,9 +19,10 @@ threshold, exactly. Steps:
    all spare are dropped, equal lists count once, and lists longer than ``CHUNK`` go
    on in chunks. Candidate pairs have one member that does not spare the shingle:
    first the pairs of each list's smallest such class, then, between classes not yet
-   connected, all that the size bounds allow. So copies and near copies are connected
-   through a few links instead of all their pairs, and no link between different
-   components is lost.
+   connected, all that the bounds allow: sizes, and a parity bitmap of each set, whose
+   differing bits are at most as many as the sets' differing shingles. So copies and
+   near copies are connected through a few links instead of all their pairs, unlike
+   documents are told apart inside a list, and no link between components is lost.
 5. ``_links``: blocks of the product, a pivot against its members, which stream past
    it (pivots with many are split by a salt). The overlap is accumulated over the
    prefixes first, and pairs that the sizes then rule out are discarded; the others'
@@ -57,6 +58,8 @@ MOST_FREQUENT = 500_000
 #: Keys up to which candidate texts are found by a broadcast; beyond, by a shuffled join.
 BROADCAST_KEYS = 1_000_000
 PIVOT_ROWS = 1024
+#: Bits of a set's parity bitmap, a power of two.
+BITS = 1024
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,6 +124,12 @@ def _digest(s: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """A bit per shingle's leading hash bits, set if an odd number of shingles has them."""
+    place = (s >> np.uint64(65 - BITS.bit_length())).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=BITS) & 1).tobytes()
+
+
 def _node(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
@@ -130,10 +139,10 @@ def _long(s) -> np.ndarray:
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
-    """Rows (doc_id, th, n, digest, node) and, with a null ``n``, (shingle, count) of frequent shingles."""
+    """Rows (doc_id, th, n, bits, node) and, with a null ``n``, (shingle, count) of frequent shingles."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        names = ["doc_id", "th", "n", "digest", "node", "shingle", "count"]
+        names = ["doc_id", "th", "n", "bits", "node", "shingle", "count"]
 
         def frequent() -> pa.RecordBatch:
             value, count = np.unique(np.concatenate(held), return_counts=True)
@@ -147,7 +156,7 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
             digests = [_digest(s) for s in sets]
             none = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+                [batch.column("doc_id"), batch.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_parity, sets), pa.binary()),
                  pa.array([None if d is None else _node(d) for d in digests], pa.int64()), none, none], names=names)
             held += sets
             if len(held) >= BLOCK_ROWS:
@@ -155,7 +164,7 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
         if held:
             yield frequent()
 
-    return rows.mapInArrow(scan, "doc_id long, th long, n long, digest binary, node long, shingle long, count long")
+    return rows.mapInArrow(scan, "doc_id long, th long, n long, bits binary, node long, shingle long, count long")
 
 
 def _ordered(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -292,14 +301,16 @@ def _first_pairs(lists: DataFrame, t: Threshold) -> DataFrame:
     return lists.select("nodes", "sizes", "kept").mapInArrow(scan, "a long, b long").filter("a != b").distinct()
 
 
-def _other_pairs(lists: DataFrame, parts: DataFrame, t: Threshold) -> DataFrame:
-    """Pairs of a list's classes in different parts (node, component), of which one keeps the shingle."""
+def _other_pairs(lists: DataFrame, parts: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs of a list's classes in different parts (node, component), of which one keeps the shingle,
+    that the bounds allow."""
     zipped = F.arrays_zip("nodes", "sizes", "kept")
     member = (lists.select("list", "chunk", F.explode(zipped).alias("m"))
               .select("list", "chunk", F.col("m.nodes").alias("node"), F.col("m.sizes").alias("n"), F.col("m.kept").alias("kept")))
-    known = member.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    grouped = (known.groupBy("list", "chunk")  # at most CHUNK + 1 members
-               .agg(F.array_sort(F.collect_list(F.struct("n", "node", "part", "kept"))).alias("m"), F.min("part").alias("lo"), F.max("part").alias("hi")))
+    about = (classes.select("node", "bits").join(parts, "node", "left")
+             .select("node", F.coalesce("component", "node").alias("part"), "bits"))
+    grouped = (member.join(about, "node").groupBy("list", "chunk")  # at most CHUNK + 1 members
+               .agg(F.array_sort(F.collect_list(F.struct("n", "node", "part", "kept", "bits"))).alias("m"), F.min("part").alias("lo"), F.max("part").alias("hi")))
     one = grouped.filter("lo != hi").select("m", F.lit(None).cast(grouped.schema["m"].dataType).alias("o"))
     longer = lists.filter("chunk > 0").select("list").distinct()
     chunks = grouped.join(longer, "list", "left_semi")
@@ -309,18 +320,23 @@ def _other_pairs(lists: DataFrame, parts: DataFrame, t: Threshold) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def arrays(column, i):
             part = column.slice(i, 1).flatten()
-            return [part.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            bits = np.frombuffer(b"".join(part.field(4).to_pylist()), np.uint64).reshape(len(part), -1)
+            return [*(part.field(k).to_numpy(zero_copy_only=False) for k in range(4)), bits]
 
         for batch in batches:
             for i in range(batch.num_rows):
-                n, node, part, kept = arrays(batch.column("m"), i)
+                n, node, part, kept, bits = first = arrays(batch.column("m"), i)
                 same = not batch.column("o")[i].is_valid
-                n2, node2, part2, kept2 = (n, node, part, kept) if same else arrays(batch.column("o"), i)
+                n2, node2, part2, kept2, bits2 = first if same else arrays(batch.column("o"), i)
                 pairs: list = []
                 for j in range(len(n)):
                     lo = j + 1 if same else 0
                     big, small = np.maximum(n2[lo:], n[j]).astype(np.int64), np.minimum(n2[lo:], n[j]).astype(np.int64)
                     some = lo + np.flatnonzero((part2[lo:] != part[j]) & t.sizes(small, big) & (kept2[lo:] | kept[j]))
+                    # the overlap is (a + b - differing shingles) / 2
+                    differ = np.bitwise_count(bits2[some] ^ bits[j]).sum(1, dtype=np.int64)
+                    a, b = n2[some].astype(np.int64), int(n[j])
+                    some = some[t.enough((a + b - differ) / 2, a, b)]
                     if len(some):
                         first = (n2[some] > n[j]) | (n2[some] == n[j]) & (node2[some] > node[j])
                         pairs.append((np.where(first, node[j], node2[some]), np.where(first, node2[some], node[j])))
@@ -401,19 +417,19 @@ def join(docs: DataFrame, words: int = 5, threshold: Threshold = Threshold()) ->
     ``part`` a number of the component (null without shingles)."""
     rows = id_text(docs).withColumn("th", F.xxhash64("text"))
     found = materialize(_sets(rows, words), "sets")
-    per_row = found.filter("n is not null").select("doc_id", "th", "n", "node")
+    per_row = found.filter("n is not null").select("doc_id", "th", "n", "node", "bits")
     often = (found.filter("n is null").groupBy("shingle").agg(F.sum("count").alias("c"))
              .orderBy(F.desc("c"), "shingle").limit(MOST_FREQUENT).toPandas())
     value = often["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(value)
     frequent = docs.sparkSession.sparkContext.broadcast((value[order], often["c"].to_numpy(np.int64)[order]))
     rep = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "th")
-    classes = materialize(per_row.filter("n > 0").groupBy("node").agg(F.min(rep).alias("rep"), F.min("doc_id").alias("least")), "classes")
+    classes = materialize(per_row.filter("n > 0").groupBy("node").agg(F.min(rep).alias("rep"), F.min("doc_id").alias("least"), F.first("bits").alias("bits")), "classes")
 
     lists = materialize(_lists(_shared(_prefixes(rows, words, threshold, frequent))), "lists")
     first = materialize(_first_pairs(lists, threshold), "pairs")
     parts = components(_links(rows, classes, first, words, threshold, frequent))
-    rest = materialize(_other_pairs(lists, parts, threshold).join(first, ["a", "b"], "left_anti"), "pairs")
+    rest = materialize(_other_pairs(lists, parts, classes, threshold).join(first, ["a", "b"], "left_anti"), "pairs")
     more = _links(rows, classes, rest, words, threshold, frequent)
     if not more.isEmpty():
         parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
