@@ -11,9 +11,9 @@ documents. A text is its TF-IDF vector over the kept terms.
 Examples are at most ``max_examples`` of those rows that have a vector. These bounds
 are on the fitted model alone. They lie in
 blocks behind an inverted index that has, per term, each block's largest weight:
-a query's dot product with those bounds every cosine in a block, so blocks are
-opened from the largest bound down until none can beat the k-th neighbour. The
-cosines are exact. Neighbours vote with the fourth power of their cosine, against
+a query's dot product with those bounds every cosine in a block. The blocks of
+largest bound are opened first, then those that can still beat the k-th neighbour;
+the others never are. The cosines are exact. Neighbours vote with the fourth power of their cosine, against
 a prior of weight ``prior_weight`` at the rate of toxic rows among labelled rows
 without a vector; the score is the weighted share of toxic votes.
 
@@ -41,6 +41,8 @@ from ebbflow.llm.common import row_chunks
 
 _TABLE = bytes(b if b >= 128 or chr(b).isalpha() else 0x20 for b in range(256))
 PREFIX = 5
+#: Blocks opened before the k-th cosine is known.
+FIRST_BLOCKS = 4
 #: Terms tested, per labelled row, in the bound over all terms.
 NEW_TERMS = 100
 _TYPE = "struct<score:double,evidence:array<struct<doc_id:long,cosine:double,label:int>>>"
@@ -91,20 +93,26 @@ class ToxicityModel:
         if not len(i) or not len(self.labels):
             return []
         bound = w @ self.largest[i]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            worst = best[-1][0] if len(best) == self.neighbours else 0.0
-            if bound[b] <= worst + 1e-12:
-                break
-            first = b * self.block
-            cosine = np.zeros(min(self.block, len(self.labels) - first))
-            for t, x in zip(i.tolist(), w.tolist()):
-                lo, hi = self.begin[t, b], self.begin[t, b + 1]
-                if lo < hi:
-                    cosine[self.example[lo:hi] - first] += x * self.weight[lo:hi]
-            found = np.flatnonzero(cosine > worst + 1e-12)
-            best = sorted([*best, *((float(cosine[e]), first + e) for e in found.tolist())], key=lambda x: (-x[0], x[1]))[:self.neighbours]
-        return best
+        lo, hi = self.begin[i, 0], self.begin[i, -1]
+        n = hi - lo
+        row = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        example, weight = self.example[row], self.weight[row] * np.repeat(w, n)
+        own = example // self.block
+        open_blocks = np.zeros(len(bound), bool)
+        open_blocks[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True  # the most promising, then all that can still matter
+        found = self._cosines(example, weight, open_blocks[own])
+        worst = found[-1][0] if len(found) == self.neighbours else 0.0
+        rest = ~open_blocks & (bound > worst - 1e-12)
+        if rest.any():
+            found = sorted([*found, *self._cosines(example, weight, rest[own])], key=lambda x: (-x[0], x[1]))[:self.neighbours]
+        return found
+
+    def _cosines(self, example: np.ndarray, weight: np.ndarray, some: np.ndarray) -> list[tuple[float, int]]:
+        """The nearest of the examples whose postings are chosen, ties by their order."""
+        which, at = np.unique(example[some], return_inverse=True)
+        cosine = np.bincount(at, weight[some], minlength=len(which))
+        best = np.lexsort((which, -cosine))[:self.neighbours]
+        return [(c, e) for c, e in zip(cosine[best].tolist(), which[best].tolist()) if c > 0]
 
     def score(self, near: list[tuple[float, int]]) -> float:
         votes = [(c ** 4, int(self.labels[e])) for c, e in near]
