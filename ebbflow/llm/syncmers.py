@@ -2,12 +2,12 @@
 
 A ``k``-character window is an anchor if the least of its inner ``s``-character
 hashes lies at either edge: that depends on the window alone, so an edit moves no
-anchor elsewhere. A fingerprint holds the ``size`` anchors of least hash (all of
-them in a shorter text) with the position of each one's first occurrence, in code
-points, as base64 of little-endian (hash, position) pairs ordered by hash. Likeness
-takes the least ``size`` hashes of both, matches equal ones, and counts the longest
-chain whose positions rise in both texts: 1 for equal fingerprints, 0 without a
-common anchor.
+anchor elsewhere. A fingerprint holds all distinct anchors with the position of each
+one's first occurrence, in code points, as base64 of little-endian (hash, position)
+pairs ordered by hash. Likeness matches the equal hashes of both, counts the longest
+chain whose positions rise in both texts, and divides it by the number of hashes that
+either has: 1 for equal fingerprints, 0 without a common anchor. A ``size`` keeps the
+least hashes only, for callers that want a sample.
 
 A text without an anchor (shorter than ``k``, or by chance) has one for the whole
 text; the empty text's fingerprint is empty, and two empty ones are alike (1).
@@ -43,6 +43,8 @@ RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string,
           "near_edited double, near_next double")
 #: Keys sampled per bucket, and buckets per shuffle partition.
 SAMPLED, BUCKETS = 20, 4
+#: Characters of fingerprints after which a batch of results is sent on.
+BATCH_CHARS = 8_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,10 +57,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Syncmers:
     k: int = 15
     s: int = 5
-    size: int = 128
+    size: int | None = None
 
     def anchors(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, first position) of the least anchors, by hash."""
+        """(hash, first position) of the distinct anchors, by hash."""
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         if not len(code):
             return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
@@ -160,11 +162,15 @@ def with_next(docs: DataFrame, method: Syncmers = Syncmers()) -> DataFrame:
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, last = None, None
         for batch in row_chunks(batches, 1000):
-            done = []
+            done, held = [], 0
             for doc_id, text, b, extra in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "extra"))):
                 anchors = method.anchors(text)
                 if last is not None and b == bucket:
                     done.append((last[0], *_compare(method, last[1], last[2], text, anchors)))
+                    held += len(done[-1][3]) + len(done[-1][4])
+                    if held >= BATCH_CHARS:
+                        yield _rows(done, RESULT)
+                        done, held = [], 0
                 bucket, last = b, None if extra else (doc_id, text, anchors)
             yield _rows(done, RESULT)
 

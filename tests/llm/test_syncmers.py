@@ -88,3 +88,18 @@ def test_text_form():
     f = method.anchors("the quick brown fox jumps over the lazy dog")
     raw = np.frombuffer(base64.b64decode(method.text_of(f)), "<u4").reshape(-1, 2)
     assert (raw[:, 0] == f[0]).all() and (raw[:, 1] == f[1]).all()
+
+
+def test_small_edits_and_passages_of_long_texts_are_seen(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "BATCH_CHARS", 100_000)
+    random.seed(10)
+    a, b = ("".join(random.choices("abcdefgh ", k=100_000)) for _ in range(2))
+    method, f = Syncmers(), Syncmers().anchors
+    assert len(f(a)[0]) == len({a[p:p + method.k] for p in naive_positions(a, method)}) > 10_000
+    for at in range(500, 100_000, 9_000):
+        assert 0.99 < method.likeness(f(a), f(a[:at] + b[:100] + a[at + 100:])) < 1
+        assert method.likeness(f(a), f(b[:at] + a[at:at + 100] + b[at + 100:])) > 0
+    rows = [(3, a), (2, a[:50_000] + "x" + a[50_001:]), (1, b)]
+    got = {r.doc_id: r for r in syncmers.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 3 and 0.99 < got[3].near_next < 1
+    assert got[3].near_next == method.likeness(f(a), f(rows[1][1])) and got[3].fingerprint == method.text_of(f(a))
