@@ -1,43 +1,49 @@
 """Toxicity by nearest labelled examples (operator 4).
 
-Terms are the lower-cased words of a text and, of words over five bytes, the
+Terms are all lower-cased words of a text and, of words over five bytes, the
 first five bytes (inflected forms share them). At most ``max_rows`` labelled rows to
-learn from (the least by a hash of the id) are counted per term and label; a term is
-kept if its rows are toxic so much more often than the base rate that fewer than
-``alpha`` kept terms are expected by chance (Chernoff bound), at most ``max_terms``
-of them by evidence. Inverse document frequencies come from all
-documents. A text is its TF-IDF vector over the kept terms.
-
-Examples are at most ``max_examples`` of those rows that have a vector. These bounds
-are on the fitted model alone. They lie in
-blocks behind an inverted index that has, per term, each block's largest weight:
-a query's dot product with those bounds every cosine in a block. The blocks of
-largest bound are opened first, then those that can still beat the k-th neighbour;
-the others never are. The cosines are exact. Neighbours vote with the fourth power of their cosine, against
-a prior of weight ``prior_weight`` at the rate of toxic rows among labelled rows
-without a vector; the score is the weighted share of toxic votes.
+learn from (the least by a hash of the id) are counted per term and label; a term has
+evidence if its rows are toxic so much more often than the base rate that fewer than
+``alpha`` such terms are expected by chance (Chernoff bound), at most ``max_terms``
+of them by evidence. Evidence only weighs a term ``EVIDENCE`` times. Inverse document
+frequencies come from all documents. A text is its TF-IDF vector over all its words:
+those of the examples have numbers of their own; others, which no example has, only
+count in the length and share ``BUCKETS`` document frequencies by hash.
+
+Examples are the first ``max_examples`` of those rows that have a word. They lie in
+blocks behind an inverted index. The words that many examples have are columns of a
+dense matrix with, per block, the largest weight of each; the others' postings are
+added up first. A block's largest sum, and the query's product with its largest
+weights, bound every cosine in the block. The blocks of largest bound are opened
+first, then those that can still beat the k-th neighbour; the others never are. The
+cosines are exact (to twelve digits), so a copy of an example has cosine 1. Neighbours
+vote with the fourth power of their cosine, against a prior of weight ``prior_weight``
+at the rate of toxic rows among labelled rows without evidence; the score is the
+weighted share of toxic votes.
 
 Results, in a struct column (replacing one of that name): ``score`` (0 to 1) and
 ``evidence``, the nearest examples (doc_id, cosine, label), nearest first, ties by
-the index's order. Empty and null texts, and texts without kept terms, get the
-prior. Labels are only read for the rows to learn from (null labels are skipped,
+the index's order. Texts without words, and null ones, get the prior. Labels are only read for the rows to learn from (null labels are skipped,
 of repeated ids the largest label counts); without any, every score is 0.
 """
 
 from __future__ import annotations
 
 import math
-import re
+import pickle
+import zlib
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, fields
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbflow.llm.common import row_chunks
+from ebbflow.llm.common import materialize, row_chunks
 
 _TABLE = bytes(b if b >= 128 or chr(b).isalpha() else 0x20 for b in range(256))
 PREFIX = 5
@@ -45,6 +51,12 @@ PREFIX = 5
 FIRST_BLOCKS = 4
 #: Terms tested, per labelled row, in the bound over all terms.
 NEW_TERMS = 100
+#: What evidence multiplies a term's weight by.
+EVIDENCE = 8.0
+#: Shared document frequencies of the words that no example has; a power of two.
+BUCKETS = 1 << 21
+#: Words of most examples whose weights are a dense matrix, and queries multiplied with it at once.
+COMMON, QUERIES = 512, 128
 _TYPE = "struct<score:double,evidence:array<struct<doc_id:long,cosine:double,label:int>>>"
 
 
@@ -60,10 +72,24 @@ def _long_words_cut(words: list[bytes]) -> list[bytes]:
     return [w if len(w) <= 64 else w[:64] for w in words]
 
 
+def counts(text: str | None) -> dict[bytes, int]:
+    """How often a text has each of its terms."""
+    words = Counter(_long_words_cut(text_words(text or "")))
+    found = dict(words)
+    for word, n in words.items():
+        if len(word) > PREFIX:
+            start = word[:PREFIX] + b"*"
+            found[start] = found.get(start, 0) + n
+    return found
+
+
 @dataclass
 class ToxicityModel:
-    """What the driver holds and sends out: bounded by ``max_terms`` and ``max_examples``."""
+    """What the driver holds and sends out: bounded by ``max_examples``, their words and ``BUCKETS``."""
     terms: dict[bytes, int]
+    #: The first so many terms have evidence.
+    evident: int
+    #: By term, then by bucket of the words that no example has.
     idf: np.ndarray
     prior: float
     prior_weight: float
@@ -71,48 +97,110 @@ class ToxicityModel:
     doc_ids: np.ndarray
     labels: np.ndarray
     block: int
-    #: Per term: first posting of each block of examples; postings by example; largest weight by block.
-    begin: np.ndarray
-    example: np.ndarray
-    weight: np.ndarray
-    largest: np.ndarray
+    #: The examples' words: first posting of each term; example and count of each posting; lengths by example.
+    postings: tuple[np.ndarray, np.ndarray, np.ndarray]
+    length: np.ndarray
+
+    def __getstate__(self) -> bytes:
+        """What is sent out, packed; the index is made of it where it is used."""
+        return zlib.compress(pickle.dumps({f.name: getattr(self, f.name) for f in fields(self)}, 5), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.__dict__.update(pickle.loads(zlib.decompress(state)))
+
+    @cached_property
+    def index(self) -> tuple[np.ndarray, ...]:
+        """Per term its column of the dense matrix or -1; for the other terms, first postings, examples and
+        weights; weights by example (whole blocks) and column; the largest by column and block."""
+        begin, example, count = self.postings
+        n_terms, blocks = len(self.terms), -(-len(self.labels) // self.block)
+        often = np.diff(begin)
+        common = np.sort(np.lexsort((np.arange(n_terms), -often))[:COMMON])
+        column = np.full(n_terms, -1, np.int16)
+        column[common] = np.arange(len(common))
+        term = np.repeat(np.arange(n_terms, dtype=np.int32), often)
+        weight = self._weights(term, count) / self.length[example]
+        inside = column[term] >= 0
+        dense = np.zeros((blocks * self.block, len(common)))
+        dense[example[inside], column[term[inside]]] = weight[inside]
+        largest = np.ascontiguousarray(dense.reshape(blocks, self.block, len(common)).max(1).T)
+        often[common] = 0
+        return column, np.concatenate([[0], np.cumsum(often)]), example[~inside], weight[~inside], dense, largest
+
+    def numbers(self, terms: Iterable[bytes]) -> list[int]:
+        get, own = self.terms.get, len(self.terms)
+        return [i if (i := get(t)) is not None else own + (zlib.crc32(t) & (BUCKETS - 1)) for t in terms]
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and normalised weights of a text."""
-        get = self.terms.get
-        found = Counter(i for t in terms_of(_long_words_cut(text_words(text))) if (i := get(t)) is not None)
-        return self._unit(found)
+        found = counts(text)
+        number, n = np.array(self.numbers(found), np.int64), np.fromiter(found.values(), np.int64, len(found))
+        order = np.argsort(number, kind="stable")
+        number, n = number[order], n[order]
+        first = np.flatnonzero(np.diff(number, prepend=-1))
+        i = number[first]
+        return i, self._unit(i, np.add.reduceat(n, first) if len(first) else n)
 
-    def _unit(self, found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        i = np.array(sorted(found), np.int64)
-        w = np.array([1 + math.log(found[x]) for x in i.tolist()]) * self.idf[i]
-        return i, w / np.sqrt((w * w).sum()) if len(i) else w
+    def _weights(self, i: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (1 + np.log(n)) * self.idf[i] * np.where(i < self.evident, EVIDENCE, 1.0)
+
+    def _unit(self, i: np.ndarray, n: np.ndarray) -> np.ndarray:
+        w = self._weights(i, n)
+        return w / np.sqrt((w * w).sum()) if len(i) else w
 
     def nearest(self, i: np.ndarray, w: np.ndarray) -> list[tuple[float, int]]:
         """(cosine, example) of the nearest examples of a vector."""
-        if not len(i) or not len(self.labels):
-            return []
-        bound = w @ self.largest[i]
-        lo, hi = self.begin[i, 0], self.begin[i, -1]
-        n = hi - lo
-        row = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        example, weight = self.example[row], self.weight[row] * np.repeat(w, n)
-        own = example // self.block
-        open_blocks = np.zeros(len(bound), bool)
-        open_blocks[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True  # the most promising, then all that can still matter
-        found = self._cosines(example, weight, open_blocks[own])
-        worst = found[-1][0] if len(found) == self.neighbours else 0.0
-        rest = ~open_blocks & (bound > worst - 1e-12)
-        if rest.any():
-            found = sorted([*found, *self._cosines(example, weight, rest[own])], key=lambda x: (-x[0], x[1]))[:self.neighbours]
-        return found
-
-    def _cosines(self, example: np.ndarray, weight: np.ndarray, some: np.ndarray) -> list[tuple[float, int]]:
-        """The nearest of the examples whose postings are chosen, ties by their order."""
-        which, at = np.unique(example[some], return_inverse=True)
-        cosine = np.bincount(at, weight[some], minlength=len(which))
-        best = np.lexsort((which, -cosine))[:self.neighbours]
-        return [(c, e) for c, e in zip(cosine[best].tolist(), which[best].tolist()) if c > 0]
+        return self.nearest_of([(i, w)])[0]
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[float, int]]]:
+        if not len(self.labels):
+            return [[] for _ in vectors]
+        return [x for at in range(0, len(vectors), QUERIES) for x in self._nearest(vectors[at:at + QUERIES])]
+
+    def _nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[float, int]]]:
+        columns, begin, examples, weights, dense, largest = self.index
+        size, blocks = len(dense), len(dense) // self.block
+        cosine, q = np.zeros((len(vectors), size)), np.zeros((len(vectors), dense.shape[1]))
+        for k, (i, w) in enumerate(vectors):
+            known = i < len(self.terms)
+            i, w = i[known], w[known]
+            column = columns[i]
+            q[k, column[column >= 0]] = w[column >= 0]
+            lo = begin[i]
+            n = begin[i + 1] - lo
+            row = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            cosine[k] = np.bincount(examples[row], weights[row] * np.repeat(w, n), minlength=size)
+        bound = cosine.reshape(len(vectors), blocks, self.block).max(2) + q @ largest
+        first = min(max(FIRST_BLOCKS, -(-self.neighbours // self.block)), blocks)
+        opened = np.zeros(bound.shape, bool)
+        np.put_along_axis(opened, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)  # the most promising, then all that can still matter
+        self._open(cosine, q, opened)
+        worst = np.zeros(len(vectors))
+        for k in range(len(vectors)):
+            seen = cosine[k].reshape(blocks, self.block)[opened[k]].ravel()
+            if len(seen) >= self.neighbours:
+                worst[k] = np.partition(seen, len(seen) - self.neighbours)[len(seen) - self.neighbours]
+        rest = ~opened & (bound > worst[:, None] - 1e-9)
+        self._open(cosine, q, rest)
+        opened |= rest
+        return [self._best(cosine[k].reshape(blocks, self.block), opened[k]) for k in range(len(vectors))]
+
+    def _open(self, cosine: np.ndarray, q: np.ndarray, some: np.ndarray) -> None:
+        """Adds the common words' part in the chosen blocks of each query."""
+        dense = self.index[4]
+        for b in np.flatnonzero(some.any(0)).tolist():
+            k, rows = np.flatnonzero(some[:, b]), slice(b * self.block, (b + 1) * self.block)
+            cosine[k, rows] += q[k] @ dense[rows].T
+
+    def _best(self, cosine: np.ndarray, opened: np.ndarray) -> list[tuple[float, int]]:
+        """The nearest of the examples of opened blocks, ties by their order."""
+        which = (np.flatnonzero(opened)[:, None] * self.block + np.arange(self.block)).ravel()
+        found = np.round(cosine[opened].ravel(), 12)
+        if len(found) > self.neighbours:
+            some = np.flatnonzero(found >= np.partition(found, len(found) - self.neighbours)[len(found) - self.neighbours])
+            which, found = which[some], found[some]
+        best = np.lexsort((which, -found))[:self.neighbours]
+        return [(c, e) for c, e in zip(found[best].tolist(), which[best].tolist()) if c > 0]
 
     def score(self, near: list[tuple[float, int]]) -> float:
         votes = [(c ** 4, int(self.labels[e])) for c, e in near]
@@ -153,68 +241,97 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, alpha: float = 1.0, m
     threshold = math.log(max(n_rows, 1) * NEW_TERMS / alpha)
     terms = (per_term.filter(f"a > {rate} * n").withColumn("e", evidence).filter(F.col("e") >= threshold)
              .orderBy(F.desc("e"), "term").limit(max_terms).collect() if 0 < rate < 1 else [])
-    kept = {bytes(r["term"]): i for i, r in enumerate(terms)}
-    model = ToxicityModel(kept, np.zeros(len(kept)), 0.0, prior_weight, neighbours, np.zeros(0, np.int64), np.zeros(0, np.int8), block,
-                          np.zeros((0, 1), np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(kept), 0)))
-    if not kept:
-        model.prior = rate
+    evident = {bytes(r["term"]): i for i, r in enumerate(terms)}
+    model = ToxicityModel(evident, len(evident), np.zeros(0), 0.0, prior_weight, neighbours, np.zeros(0, np.int64), np.zeros(0, np.int8), block,
+                          (np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)), np.zeros(0))
+    if not n_rows:
+        model.idf = np.ones(BUCKETS)
         return model
+    examples = _sample(rows, model, max_examples)
     _document_frequencies(docs, model)
-    _examples(rows, model, max_examples)
+    _index(examples, model)
     return model
 
 
+def _sample(rows: DataFrame, model: ToxicityModel, most: int) -> DataFrame:
+    """(doc_id, label, terms, counts) of the examples. Sets the prior and numbers the examples' terms."""
+    evident = rows.sparkSession.sparkContext.broadcast(model.terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_chunks(batches, 500):
+            found = [counts(x) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("label"), pa.array([not evident.value.keys().isdisjoint(f) for f in found], pa.bool_()),
+                 pa.array([list(f) for f in found], pa.list_(pa.binary())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))],
+                names=["doc_id", "label", "evident", "terms", "counts"])
+
+    made = materialize(rows.mapInArrow(count, "doc_id long, label int, evident boolean, terms array<binary>, counts array<int>"), "labelled")
+    none = made.filter("not evident").agg(F.count(F.lit(1)), F.sum("label")).first()
+    model.prior = (none[1] or 0) / none[0] if none[0] else 0.0
+    some = made.filter("size(terms) > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).drop("evident")
+    examples = materialize(some, "examples")
+    for t in sorted(examples.select(F.explode("terms").alias("t")).distinct().toArrow().column("t").to_pylist()):
+        model.terms.setdefault(t, len(model.terms))
+    return examples
+
+
 def _document_frequencies(docs: DataFrame, model: ToxicityModel) -> None:
-    shared = docs.sparkSession.sparkContext.broadcast(model.terms)
+    model.idf = np.zeros(len(model.terms) + BUCKETS)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, df, n = shared.value, Counter(), 0
+        m: ToxicityModel = shared.value
+        df, n = np.zeros(len(m.idf), np.int64), 0
         for batch in row_chunks(batches):
             n += batch.num_rows
             for text in batch.column("text").to_pylist():
-                words = _long_words_cut(text_words(text or ""))
-                df.update({terms[t] for t in terms.keys() & set(terms_of(words))} if len(terms) < len(words)
-                          else {i for t in terms_of(words) if (i := terms.get(t)) is not None})
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *df], pa.int64()), pa.array([n, *df.values()], pa.int64())], names=["i", "n"])
+                df[list(set(m.numbers(set(terms_of(set(_long_words_cut(text_words(text or ""))))))))] += 1
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], names=["i", "n"])
 
-    df = {r["i"]: r["n"] for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "i long, n long")
-          .groupBy("i").agg(F.sum("n").alias("n")).collect()}  # a row per kept term
-    n = df.pop(-1, 0)
-    model.idf = np.array([math.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(model.terms))])
+    found = (docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "i long, n long")
+             .groupBy("i").agg(F.sum("n").alias("n")).toArrow())  # a row per term and bucket at most
+    i, n = (found.column(c).to_numpy() for c in ("i", "n"))
+    df = np.zeros(len(model.idf))
+    df[i[i >= 0]] = n[i >= 0]
+    model.idf = np.log((1 + n[i < 0].sum()) / (1 + df)) + 1
 
 
-def _examples(rows: DataFrame, model: ToxicityModel, most: int) -> None:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def _index(examples: DataFrame, model: ToxicityModel) -> None:
+    shared = examples.sparkSession.sparkContext.broadcast(model)
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: ToxicityModel = shared.value
-        for batch in row_chunks(batches):
-            found = [m.vector(x or "") for x in batch.column("text").to_pylist()]
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = shared.value.terms
+        for batch in row_chunks(batches, 500):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array([f[0] for f in found], pa.list_(pa.int64())),
-                 pa.array([f[1] for f in found], pa.list_(pa.float64()))], names=["doc_id", "label", "i", "w"])
-
-    from ebbflow.llm.common import materialize
-    made = materialize(rows.mapInArrow(vectors, "doc_id long, label int, i array<long>, w array<double>"), "examples")
-    none = made.filter("size(i) = 0").agg(F.count(F.lit(1)), F.sum("label")).first()
-    model.prior = (none[1] or 0) / none[0] if none[0] else 0.0
-    some = made.filter("size(i) > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+                [batch.column("doc_id"), batch.column("label"), pa.array([[terms[t] for t in x] for x in batch.column("terms").to_pylist()], pa.list_(pa.int32())),
+                 batch.column("counts")], names=["doc_id", "label", "i", "n"])
+
+    some = examples.mapInArrow(number, "doc_id long, label int, i array<int>, n array<int>").toArrow()
+    n_rows = some.num_rows
+    if not n_rows:
+        return
+    doc_ids, labels = some.column("doc_id").to_numpy(), some.column("label").to_numpy()
+    sizes = pc.list_value_length(some.column("i")).to_numpy().astype(np.int64)
+    term, count = (pc.list_flatten(some.column(c)).to_numpy().copy() for c in ("i", "n"))
+    del some
+    end = np.cumsum(sizes)
+    length, strongest = np.zeros(n_rows), []
+    for e, (lo, hi) in enumerate(zip((end - sizes).tolist(), end.tolist())):
+        i = term[lo:hi]
+        w = model._weights(i, count[lo:hi])
+        length[e] = np.sqrt((w * w).sum())
+        top = np.lexsort((i, -w))[:3]
+        strongest.append([(-x, t) for x, t in zip((w[top] / length[e]).tolist(), i[top].tolist())])
     # examples with the same strongest terms share a block, which keeps the bounds tight
-    some.sort(key=lambda r: (sorted(zip([-x for x in r["w"]], r["i"]))[:3], r["doc_id"]))
-    model.doc_ids = np.array([r["doc_id"] for r in some], np.int64)
-    model.labels = np.array([r["label"] for r in some], np.int8)
-    blocks = -(-len(some) // model.block)
-    term = np.array([t for r in some for t in r["i"]], np.int64)
-    weight = np.array([x for r in some for x in r["w"]])
-    example = np.repeat(np.arange(len(some)), [len(r["i"]) for r in some])
+    order = np.array(sorted(range(n_rows), key=lambda e: (strongest[e], doc_ids[e])))
+    place = np.empty(n_rows, np.int32)
+    place[order] = np.arange(n_rows)
+    model.doc_ids, model.labels, model.length = doc_ids[order].astype(np.int64), labels[order].astype(np.int8), length[order]
+    example = np.repeat(place, sizes)
     order = np.lexsort((example, term))
-    term, model.example, model.weight = term[order], example[order], weight[order]
-    cell = term * blocks + model.example // model.block
-    cells = len(model.terms) * blocks
-    at = np.searchsorted(cell, np.arange(cells + 1)).astype(np.int64)
-    model.begin = np.stack([at[np.arange(len(model.terms)) * blocks + b] for b in range(blocks + 1)], 1) if blocks else np.zeros((len(model.terms), 1), np.int64)
-    model.largest = np.zeros((len(model.terms), blocks))
-    np.maximum.at(model.largest, (term, model.example // model.block), model.weight)
+    begin = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(model.terms)))])
+    model.postings = begin, example[order], count[order]
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, out: str = "toxicity") -> DataFrame:
@@ -228,7 +345,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None,
         m: ToxicityModel = shared.value
         entry = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])
         for batch in row_chunks(batches):
-            near = [m.nearest(*m.vector(x or "")) for x in batch.column("text").to_pylist()]
+            near = m.nearest_of([m.vector(x or "") for x in batch.column("text").to_pylist()])
             evidence = [[{"doc_id": int(m.doc_ids[e]), "cosine": c, "label": int(m.labels[e])} for c, e in n] for n in near]
             found = pa.StructArray.from_arrays([pa.array([m.score(n) for n in near], pa.float64()), pa.array(evidence, pa.list_(entry))],
                                                names=["score", "evidence"])

@@ -70,3 +70,28 @@ def test_held_out_accuracy(spark):
     assert all(rows[d].predicted == 0 for d in held if labels[d] == 0)
     plain = [d for d in held if labels[d] == 1 and {"idiot", "scum", "moron", "trash", "stupid", "loser"} & words[d]]
     assert plain and all(rows[d].predicted == 1 for d in plain)
+
+
+def test_copies_of_labelled_rows_without_evidence_are_found(spark):
+    docs, labels = small(spark)
+    random.seed(12)
+    plain = [" ".join(random.choices([f"p{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(200)], k=40)) for _ in range(12)]
+    near = [" ".join([*t.split()[:-2], "other", "ending"]) for t in plain]
+    more = spark.createDataFrame([(1000 + 100 * (i % 2) + i // 2, t) for i, t in enumerate(x for p in zip(plain, near) for x in p)], docs.schema)
+    toxic = spark.createDataFrame([(1000 + i, int(i < 6)) for i in range(12)], labels.schema)
+    model = toxicity.fit(docs.unionByName(more), labels.unionByName(toxic), F.lit(True))
+    assert not {w.encode() for t in plain for w in t.split()} & set(list(model.terms)[:model.evident])
+    assert {*range(1000, 1012)} <= set(model.doc_ids.tolist())
+    for again, least in ((0, 1 - 1e-9), (100, 0.8)):
+        rows = {r.doc_id - again: r.toxicity for r in toxicity.score(more.filter(F.col("doc_id") - again < 1050), model).collect() if r.doc_id >= 1000 + again}
+        for i in range(12):
+            first = rows[1000 + i].evidence[0]
+            assert first.doc_id == 1000 + i and first.cosine >= least and (rows[1000 + i].score >= 0.5) == (i < 6)
+
+
+def test_words_that_no_example_has_count_in_the_length(spark):
+    docs, labels = small(spark)
+    model = toxicity.fit(docs, labels, F.lit(True))
+    text = docs.first().text
+    alone, longer = (model.nearest(*model.vector(t))[0][0] for t in (text, text + " never seen before in any example"))
+    assert alone == 1 and longer < 0.99
