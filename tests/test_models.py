@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from ebbflow.operators import models, select, survival
 from ebbflow.operators.evaluate import roc_auc, temporal_split
 from ebbflow.plans import datasets

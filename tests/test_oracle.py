@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()

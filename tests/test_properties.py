@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from ebbflow.operators import evaluate, experiment, features, segments, survival
 from ebbflow.operators.events import activity_windows, user_sessions
 from ebbflow.plans import datasets

@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from ebbflow.operators import features, models
 from ebbflow.plans import datasets
 from ebbflow.sources import tables
