@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.llm import chat, decontamination, ngram_join, packing, pii, suffix_dedup, syncmers, token_counts, token_files, toxicity
+from ebbflow.llm import chat, decontamination, fim, ngram_join, packing, pii, suffix_dedup, syncmers, token_counts, token_files, toxicity
 from ebbflow.llm.common import documents, materialize, read_table, shared_path
 
 CAPACITY = 2048
@@ -101,6 +101,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(spark, path)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(documents(spark, sf_dir), keep=["doc_id"])
+    restored = fim.restore(F.col("fim.output"), F.col("fim.form"))
+    return made.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars",
+                       F.sha2("fim.output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 OP10_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -172,6 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_files": op9_token_files,
     "op10_chat_format": op10_chat_format,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op6_decontamination": OP6_SQL, "op10_chat_format": OP10_SQL}
