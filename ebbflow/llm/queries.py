@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.llm import chat, decontamination, fim, ngram_join, packing, pii, suffix_dedup, syncmers, token_counts, token_files, toxicity
+from ebbflow.llm import chat, decontamination, fim, ngram_join, packing, pii, secrets, suffix_dedup, syncmers, token_counts, token_files, toxicity
 from ebbflow.llm.common import documents, materialize, read_table, shared_path
 
 CAPACITY = 2048
@@ -108,6 +108,14 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("fim.output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(documents(spark, sf_dir), keep=["doc_id"])
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.begin, s.end)), ",")
+    count = lambda kind: F.size(F.filter("secrets.base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, secrets.KINDS[:3]), F.sha2(text(F.col("secrets.base")), 256).alias("base_sha256"),
+                        text(F.col("secrets.spans")).alias("spans"))
+
+
 OP10_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -180,6 +188,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_chat_format": op10_chat_format,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_secrets": op12_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op6_decontamination": OP6_SQL, "op10_chat_format": OP10_SQL}
