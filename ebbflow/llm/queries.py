@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.llm import chat, decontamination, fim, ngram_join, packing, pii, secrets, suffix_dedup, syncmers, token_counts, token_files, toxicity
+from ebbflow.llm import chat, decontamination, fim, ngram_join, packing, pii, prefix_trie, secrets, suffix_dedup, syncmers, token_counts, token_files, toxicity
 from ebbflow.llm.common import documents, materialize, read_table, shared_path
 
 CAPACITY = 2048
@@ -116,6 +116,12 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         text(F.col("secrets.spans")).alias("spans"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv_id = F.col("conv_id")
+    shared = F.crc32(F.coalesce(conv_id.cast("string"), F.lit("")).cast("binary")) % 9
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"), conv_id - conv_id % 5, shared, most_shared=8)
+
+
 OP10_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -176,6 +182,41 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit_words USING (r) LEFT JOIN items USING (r)
 """
 
+OP13_SQL = r"""
+WITH crc_table AS MATERIALIZED (
+  SELECT list(list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+turns AS MATERIALIZED (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos
+  FROM conversations),
+convs AS MATERIALIZED (
+  SELECT conv_id AS c, conv_id - conv_id % 5 AS b,
+    (SELECT xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ''), ''), lambda x: coalesce(ord(nullif(x, '')), 999)::UBIGINT),
+      lambda crc, x: CASE WHEN x = 999 THEN crc ELSE xor(crc // 256, t[(xor(crc % 256, x) + 1)::BIGINT]) END), 4294967295::UBIGINT) FROM crc_table) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+parts AS (
+  SELECT c, 0 AS part, pos, role, text FROM convs JOIN turns ON turns.conv_id = b AND pos <= h
+  UNION ALL SELECT c, 1, pos, role, text FROM convs JOIN turns ON turns.conv_id IS NOT DISTINCT FROM c AND pos > h),
+rebuilt AS MATERIALIZED (
+  SELECT convs.c, coalesce(list({'role': role, 'text': text} ORDER BY part, pos) FILTER (part IS NOT NULL), []) AS s
+  FROM convs LEFT JOIN parts ON parts.c IS NOT DISTINCT FROM convs.c GROUP BY convs.c),
+prefix AS MATERIALIZED (SELECT c, len(s) AS n, d, s[1:d] AS p FROM rebuilt, unnest(range(0, len(s) + 1)) u(d)),
+node AS MATERIALIZED (
+  SELECT d, p, min(c) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * coalesce(octet_length(encode(p[d].text)), 0) AS saves,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256
+  FROM prefix GROUP BY d, p),
+child AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+flagged AS (SELECT node.*, coalesce(child.n, 0) AS n_children FROM node LEFT JOIN child ON child.d = node.d AND child.p = node.p),
+below AS (
+  SELECT u.d, v.p[1:u.d] AS p, sum(saves) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM flagged v, unnest(range(0, v.d + 1)) u(d) GROUP BY ALL)
+SELECT f.conv_id, f.d AS depth, parent.conv_id AS parent_conv_id, f.n_convs, f.n_children, below.n_leaves,
+  below.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM flagged f JOIN below ON below.d = f.d AND below.p = f.p LEFT JOIN node parent ON parent.d = f.d - 1 AND parent.p = f.p[1:f.d - 1]
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_join": op2_ngram_join,
@@ -189,6 +230,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_secrets": op12_secrets,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op6_decontamination": OP6_SQL, "op10_chat_format": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op6_decontamination": OP6_SQL, "op10_chat_format": OP10_SQL,
+                              "op13_prefix_trie": OP13_SQL}
