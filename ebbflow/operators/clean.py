@@ -1,8 +1,10 @@
 """Cleaning and validation (inventory B1–B16).
 
 Order matters (X11): coerce first, then apply the missing-value policy.
-Statistics (median, mode, quartiles) are computed in one aggregation each and
+Statistics (median, mode, quartiles) are computed for all columns at once and
 applied as a broadcast one-row frame — never collected into Python per column.
+Quantiles come from one histogram of all columns (``ranks.histogram``), so that
+columns with any number of distinct values keep no value map in a task.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbflow.functions.columns import attach, flag
+from ebbflow.operators.ranks import grouped_quantiles, histogram, histogram_quantiles, quantile_row
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
@@ -40,8 +43,8 @@ def coerce_numeric(df: DataFrame, cols) -> DataFrame:
 
 
 def fill_median(df: DataFrame, c: str) -> DataFrame:
-    """Nulls → exact interpolated median (``percentile``, not approximate)."""
-    med = df.agg(F.percentile(F.col(c), F.lit(0.5)).alias("_med"))
+    """Nulls → exact interpolated median."""
+    med = quantile_row(df, {c: [0.5]}).select(F.col(c)[0].alias("_med"))
     return (df.transform(attach, med)
             .withColumn(c, F.coalesce(F.col(c), F.col("_med").cast(df.schema[c].dataType)))
             .drop("_med"))
@@ -71,28 +74,22 @@ def missing_profile(df: DataFrame) -> DataFrame:
 
 
 def iqr_bounds(df: DataFrame, cols, k: float = 1.5) -> DataFrame:
-    """Per column Q1, Q3, IQR, bounds and outlier count — one pass for the
-    quartiles of every column, one for the counts."""
-    q = df.agg(*[F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in cols])
-    qs = q.unpivot([], list(cols), "column", "_q").select(
-        "column", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"))
+    """Per column Q1, Q3, IQR, bounds and outlier count, all from one histogram
+    of every column; columns without a value have none."""
+    h = histogram(df, list(cols))
+    qs = histogram_quantiles(h, ["column"], [0.25, 0.75]).select("column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     qs = qs.withColumns({"iqr": F.col("q3") - F.col("q1")}).withColumns({
         "lower": F.col("q1") - k * F.col("iqr"), "upper": F.col("q3") + k * F.col("iqr")})
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], list(cols), "column", "v")
-    counts = (long.join(F.broadcast(qs.select("column", "lower", "upper")), "column")
-              .groupBy("column").agg(F.sum(flag((F.col("v") < F.col("lower"))
-                                                | (F.col("v") > F.col("upper"))))
-                                     .cast("long").alias("outliers")))
-    return qs.join(counts, "column", "left")
+    outside = (F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper"))
+    return (h.join(F.broadcast(qs), "column").groupBy("column", "q1", "q3", "iqr", "lower", "upper")
+            .agg(F.sum(F.when(outside, F.col("cnt")).otherwise(0)).cast("long").alias("outliers")))
 
 
 def iqr_cap(df: DataFrame, cols, k: float = 1.5, cap_degenerate: bool = False) -> DataFrame:
     """Clip to [Q1 − k·IQR, Q3 + k·IQR]. Columns with IQR = 0 (e.g. rare 0/1
     flags) are left alone unless ``cap_degenerate`` (X10)."""
-    q = df.agg(*[F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}")
-                 for c in cols])
-    out = df.transform(attach, q)
+    q = quantile_row(df, {c: [0.25, 0.75] for c in cols})
+    out = df.transform(attach, q.select(*[F.col(c).alias(f"_q_{c}") for c in cols]))
     exprs = {}
     for c in cols:
         q1, q3 = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]
@@ -192,20 +189,19 @@ def quality_checks(df: DataFrame, target="Churn_binary", charge="MonthlyCharges"
 
 
 def describe(df: DataFrame, cols=None) -> DataFrame:
-    """count/mean/std/min/quartiles/max per numeric column, exact quartiles,
-    one aggregation for all columns, unpivoted to one row per column."""
+    """count/mean/std/min/quartiles/max per numeric column: one aggregation for
+    the moments of all columns, one histogram for their exact quartiles."""
     cols = cols or numeric_columns(df)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs.append(F.struct(
             F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"),
-            F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-            F.max(x).alias("max")).alias(c))
-    wide = df.agg(*aggs)
-    long = wide.unpivot([], cols, "column", "s")
-    return long.select("column", F.col("s.count").alias("count"), F.col("s.mean").alias("mean"),
-                       F.col("s.std").alias("std"), F.col("s.min").alias("min"),
-                       F.col("s.q")[0].alias("q25"), F.col("s.q")[1].alias("q50"),
-                       F.col("s.q")[2].alias("q75"), F.col("s.max").alias("max"))
+            F.min(x).alias("min"), F.max(x).alias("max")).alias(c))
+    long = df.agg(*aggs).unpivot([], cols, "column", "s")
+    q = grouped_quantiles(df, cols, [0.25, 0.5, 0.75]).select("column", "q")
+    return long.join(F.broadcast(q), "column", "left").select(
+        "column", F.col("s.count").alias("count"), F.col("s.mean").alias("mean"),
+        F.col("s.std").alias("std"), F.col("s.min").alias("min"),
+        F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"),
+        F.col("q")[2].alias("q75"), F.col("s.max").alias("max"))

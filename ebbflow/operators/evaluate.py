@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ebbflow.functions.columns import attach, flag, risk_tier
 from ebbflow.operators.ranks import (avg_rank_desc_int, first_fraction_flag, global_row_number,
-                                    prefix_sums)
+                                    grouped_prefix_sums, prefix_sums)
 
 
 def _score_table(df: DataFrame, p: str, y: str, by: list[str]) -> DataFrame:
@@ -32,8 +32,7 @@ def roc_auc(df: DataFrame, p: str = "churn_probability", y: str = "Churn_binary"
     """
     by = by or []
     t = _score_table(df, p, y, by)
-    cum = prefix_sums(t, [*by, p], {"_neg_le": F.col("neg")}, bounded=bounded) if not by else \
-        _grouped_prefix(t, by, p, "neg", "_neg_le", bounded)
+    cum = grouped_prefix_sums(t, by, [(p, True)], {"_neg_le": F.col("neg")}, bounded=bounded, freeze=True)
     g = cum.groupBy(*by).agg(
         F.sum(F.col("pos") * (F.col("_neg_le") - F.col("neg")) * 2
               + F.col("pos") * F.col("neg")).alias("_u2"),
@@ -43,21 +42,6 @@ def roc_auc(df: DataFrame, p: str = "churn_probability", y: str = "Churn_binary"
                     "n_pos", "n_neg")
 
 
-def _grouped_prefix(t: DataFrame, by: list[str], order: str, col: str, name: str,
-                    bounded: bool, descending: bool = False) -> DataFrame:
-    """Running sum of ``col`` over ``order`` within each ``by`` group.
-
-    The range partitioning is on (by…, order), so a large group is spread over
-    several partitions; offsets are per partition, and the group boundary is
-    handled by subtracting the group's own starting offset.
-    """
-    o = [(c, True) for c in by] + [(order, not descending)]
-    cum = prefix_sums(t, o, {"_all": F.col(col)}, bounded=bounded)
-    start = (cum.groupBy(*by).agg(F.min(F.col("_all") - F.col(col)).alias("_start")))
-    return (cum.join(F.broadcast(start) if bounded else start, by)
-            .withColumn(name, F.col("_all") - F.col("_start")).drop("_all", "_start"))
-
-
 def average_precision(df: DataFrame, p: str = "churn_probability", y: str = "Churn_binary",
                       by: list[str] | None = None, bounded: bool = False,
                       digits: int = 10) -> DataFrame:
@@ -65,12 +49,8 @@ def average_precision(df: DataFrame, p: str = "churn_probability", y: str = "Chu
     in descending score order (step-wise, not the trapezoid ``areaUnderPR``)."""
     by = by or []
     t = _score_table(df, p, y, by)
-    tp = _grouped_prefix(t, by, p, "pos", "_tp", bounded, descending=True) if by else \
-        prefix_sums(t, [(p, False)], {"_tp": F.col("pos")}, bounded=bounded)
-    fp = _grouped_prefix(t, by, p, "neg", "_fp", bounded, descending=True) if by else \
-        prefix_sums(t, [(p, False)], {"_fp": F.col("neg")}, bounded=bounded)
-    both = tp.join(fp.select(*by, p, "_fp"), [*by, p])
-    g = both.groupBy(*by).agg(
+    cum = grouped_prefix_sums(t, by, [(p, False)], {"_tp": F.col("pos"), "_fp": F.col("neg")}, bounded=bounded, freeze=True)
+    g = cum.groupBy(*by).agg(
         F.sum(F.col("pos").cast("double") * F.col("_tp") / (F.col("_tp") + F.col("_fp")))
         .alias("_s"), F.sum("pos").alias("_n1"))
     return g.select(*by, F.round(F.col("_s") / F.col("_n1"), digits).alias("average_precision"))
@@ -101,7 +81,7 @@ def roc_points(df: DataFrame, p: str = "churn_probability", y: str = "Churn_bina
     thresholds descending."""
     t = _score_table(df, p, y, [])
     cum = prefix_sums(t, [(p, False)], {"_tp": F.col("pos"), "_fp": F.col("neg")},
-                      bounded=bounded)
+                      bounded=bounded, freeze=True)
     tot = t.agg(F.sum("pos").alias("_n1"), F.sum("neg").alias("_n0"))
     c = cum.transform(attach, tot)
     return c.select(F.col(p).alias("threshold"),
@@ -210,7 +190,7 @@ def impact_summary(preds: DataFrame, share: float = 0.2) -> DataFrame:
     priority (priority ties broken by id)."""
     ranked = global_row_number(preds.select("customer_id", "intervention_priority",
                                             "monthly_charges", "risk_tier"),
-                               [("intervention_priority", True), ("customer_id", True)], "_pos")
+                               [("intervention_priority", True), ("customer_id", True)], "_pos", freeze=True)
     n = preds.agg(F.count(F.lit(1)).alias("_n"))
     r = ranked.transform(attach, n)
     cents = F.round(F.col("monthly_charges") * 100).cast("long")

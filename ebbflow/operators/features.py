@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbflow.functions.columns import (attach, exactly_one, TENURE_EDGES_A, TENURE_EDGES_C, bucketize,
                                        flag, sum_cols)
-from ebbflow.operators.ranks import pct_rank_avg
+from ebbflow.operators.ranks import pct_rank_avg, quantile_row
 
 SERVICE_COLS = ["OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport",
                 "StreamingTV", "StreamingMovies"]
@@ -212,7 +212,7 @@ def second_gen_features(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- C13, C14
 def quantile_flags(df: DataFrame, c: str, q: float, op: str, name: str) -> DataFrame:
     """Strict comparison with the exact interpolated quantile (broadcast 1 row)."""
-    cut = df.agg(F.percentile(F.col(c), F.lit(q)).alias("_cut"))
+    cut = quantile_row(df, {c: [q]}).select(F.col(c)[0].alias("_cut"))
     cmp = {">": F.col(c) > F.col("_cut"), "<": F.col(c) < F.col("_cut"),
            ">=": F.col(c) >= F.col("_cut"), "<=": F.col(c) <= F.col("_cut")}[op]
     return df.transform(attach, cut).withColumn(name, flag(cmp)).drop("_cut")
@@ -221,16 +221,23 @@ def quantile_flags(df: DataFrame, c: str, q: float, op: str, name: str) -> DataF
 def qcut(df: DataFrame, c: str, q: int, name: str, labels=None) -> DataFrame:
     """C14: equal-frequency bins from exact quantile edges, right-closed, lowest
     included (pandas ``qcut``); edges are one broadcast row."""
-    levels = [i / q for i in range(q + 1)]
-    edges = df.agg(F.percentile(F.col(c), F.array(*[F.lit(x) for x in levels])).alias("_e"))
+    return qcuts(df, {c: name}, q, labels)
+
+
+def qcuts(df: DataFrame, names: dict[str, str], q: int, labels=None) -> DataFrame:
+    """C14 for several columns (column → name of its bin): one histogram gives all edges."""
+    edges = quantile_row(df, {c: [i / q for i in range(q + 1)] for c in names})
+    out = df.transform(attach, edges.select(*[F.col(c).alias(f"_e_{c}") for c in names]))
     labels = labels or list(range(1, q + 1))
-    x = F.col(c)
-    e = F.col("_e")
-    expr = None
-    for i in range(q):
-        cond = ((x >= e[i]) if i == 0 else (x > e[i])) & (x <= e[i + 1])
-        expr = F.when(cond, F.lit(labels[i])) if expr is None else expr.when(cond, F.lit(labels[i]))
-    return df.transform(attach, edges).withColumn(name, expr).drop("_e")
+
+    def bin_of(x: Column, e: Column) -> Column:
+        expr = None
+        for i in range(q):
+            cond = ((x >= e[i]) if i == 0 else (x > e[i])) & (x <= e[i + 1])
+            expr = F.when(cond, F.lit(labels[i])) if expr is None else expr.when(cond, F.lit(labels[i]))
+        return expr
+
+    return out.withColumns({name: bin_of(F.col(c), F.col(f"_e_{c}")) for c, name in names.items()}).drop(*[f"_e_{c}" for c in names])
 
 
 # ---------------------------------------------------------------- C15–C17

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ebbflow.functions.columns import attach, flag
 from ebbflow.functions.stats import chi2_sf_expr, ks_p_expr, two_sided_norm_p
 from ebbflow.operators.ranks import grouped_prefix_sums
+from ebbflow.session import materialize
 
 
 def contingency(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
@@ -63,6 +64,8 @@ def ks_statistic(df: DataFrame, c: str, group: str, a, b,
          .groupBy(*by, F.col(c).alias("_v"))
          .agg(F.sum(flag(F.col(group) == a)).cast("long").alias("_ca"),
               F.sum(flag(F.col(group) == b)).cast("long").alias("_cb")))
+    if not bounded:
+        h = materialize(h, "histogram")
     cum = grouped_prefix_sums(h, by, [("_v", True)],
                               {"_cum_a": F.col("_ca"), "_cum_b": F.col("_cb")}, bounded=bounded)
     n = h.groupBy(*by).agg(F.sum("_ca").alias("n_a"), F.sum("_cb").alias("n_b"))
@@ -136,7 +139,7 @@ def log_rank_statistic(df: DataFrame, dur: str, evt: str, group: str, a, b,
         F.sum(F.when(F.col(group) == b, F.col(evt)).otherwise(0)).cast("long").alias("_d2")))
     from ebbflow.operators.ranks import prefix_sums
     r = prefix_sums(t, [("_t", False)], {"_n1": F.col("_c1"), "_n2": F.col("_c2")},
-                    bounded=bounded)
+                    bounded=bounded, freeze=True)
     n = F.col("_n1") + F.col("_n2")
     d = F.col("_d1") + F.col("_d2")
     e1 = d * F.col("_n1") / n.cast("double")

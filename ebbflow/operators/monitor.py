@@ -13,6 +13,7 @@ from ebbflow.functions.columns import attach, flag
 from ebbflow.functions.stats import ks_p_expr
 from ebbflow.operators.evaluate import roc_auc, threshold_metrics
 from ebbflow.operators.ranks import exact_quantiles, first_fraction_flag, grouped_prefix_sums
+from ebbflow.session import materialize
 
 
 def row_slice_split(df: DataFrame, order, frac: float, first: str = "reference",
@@ -23,34 +24,42 @@ def row_slice_split(df: DataFrame, order, frac: float, first: str = "reference",
     return first_fraction_flag(df, cols, frac, name, first, rest)
 
 
+def window_histogram(tagged: DataFrame, cols: list[str], window: str = "window",
+                     ref: str = "reference", cur: str = "current") -> DataFrame:
+    """(feature, v, n_ref, n_cur): how often each non-null value of each column occurs in the
+    two windows, by one unpivot and one partial aggregation."""
+    is_r, is_c = F.col(window) == ref, F.col(window) == cur
+    return (tagged.select(window, *[F.col(c).cast("double").alias(c) for c in cols])
+            .unpivot(window, cols, "feature", "v").where(F.col("v").isNotNull())
+            .groupBy("feature", "v").agg(F.sum(flag(is_r)).cast("long").alias("n_ref"),
+                                         F.sum(flag(is_c)).cast("long").alias("n_cur")))
+
+
 def drift_statistics(tagged: DataFrame, cols: list[str], window: str = "window",
                      ref: str = "reference", cur: str = "current", min_values: int = 10,
                      bounded: bool = False) -> DataFrame:
     """N1 statistics for all features in one job: means, reference sample sd,
-    mean shift in reference sds and the two-sample KS statistic (exact)."""
-    long = (tagged.select(window, *[F.col(c).cast("double").alias(c) for c in cols])
-            .unpivot(window, cols, "feature", "v").where(F.col("v").isNotNull()))
-    is_r, is_c = F.col(window) == ref, F.col(window) == cur
-    mom = long.groupBy("feature").agg(
-        F.avg(F.when(is_r, F.col("v"))).alias("ref_mean"),
-        F.avg(F.when(is_c, F.col("v"))).alias("cur_mean"),
-        F.stddev_samp(F.when(is_r, F.col("v"))).alias("ref_std"),
-        F.sum(flag(is_r)).cast("long").alias("n_ref"), F.sum(flag(is_c)).cast("long").alias("n_cur"))
-    h = long.groupBy("feature", "v").agg(F.sum(flag(is_r)).cast("long").alias("_a"),
-                                         F.sum(flag(is_c)).cast("long").alias("_b"))
-    cum = grouped_prefix_sums(h, ["feature"], [("v", True)],
-                              {"_ca": F.col("_a"), "_cb": F.col("_b")}, bounded=bounded)
-    ks = (cum.join(mom.select("feature", "n_ref", "n_cur"), "feature")
-          .groupBy("feature", "n_ref", "n_cur")
-          .agg(F.max(F.abs(F.col("_ca") * F.col("n_cur") - F.col("_cb") * F.col("n_ref")))
-               .alias("_num")))
-    out = mom.join(ks.select("feature", "_num"), "feature")
-    return (out.where((F.col("n_ref") >= min_values) & (F.col("n_cur") >= min_values))
-            .select("feature", "ref_mean", "cur_mean",
-                    (F.abs(F.col("cur_mean") - F.col("ref_mean")) / (F.col("ref_std") + 1e-8))
-                    .alias("mean_shift_sigma"),
-                    (F.col("_num").cast("double") / (F.col("n_ref") * F.col("n_cur")).cast("double"))
-                    .alias("ks_statistic"), "n_ref", "n_cur"))
+    mean shift in reference sds and the two-sample KS statistic (exact). The rows
+    are read once, into a histogram that is written; all else comes from it."""
+    h = window_histogram(tagged, cols, window, ref, cur)
+    return histogram_drift(h if bounded else materialize(h, "drift"), min_values, bounded)
+
+
+def histogram_drift(h: DataFrame, min_values: int = 10, bounded: bool = False) -> DataFrame:
+    """N1 statistics from a ``window_histogram`` that is cheap to read again."""
+    v, a, b = F.col("v"), F.col("n_ref"), F.col("n_cur")
+    mean = lambda n: F.sum(v * n) / F.nullif(F.sum(n), F.lit(0))
+    mom = h.groupBy("feature").agg(F.sum(a).alias("_nr"), F.sum(b).alias("_nc"), mean(a).alias("ref_mean"), mean(b).alias("cur_mean"))
+    cum = grouped_prefix_sums(h, ["feature"], [("v", True)], {"_ca": a, "_cb": b}, bounded=bounded)
+    far = F.abs(F.col("_ca") * F.col("_nc") - F.col("_cb") * F.col("_nr"))
+    out = (cum.join(F.broadcast(mom), "feature").groupBy("feature", "_nr", "_nc", "ref_mean", "cur_mean")
+           .agg(F.max(far).alias("_num"), F.sum(a * (v - F.col("ref_mean")) * (v - F.col("ref_mean"))).alias("_square"))
+           .where((F.col("_nr") >= min_values) & (F.col("_nc") >= min_values)))
+    sd = F.sqrt(F.col("_square") / F.nullif(F.col("_nr") - 1, F.lit(0)))
+    return out.select("feature", "ref_mean", "cur_mean",
+                      (F.abs(F.col("cur_mean") - F.col("ref_mean")) / (sd + 1e-8)).alias("mean_shift_sigma"),
+                      (F.col("_num").cast("double") / (F.col("_nr") * F.col("_nc")).cast("double")).alias("ks_statistic"),
+                      F.col("_nr").alias("n_ref"), F.col("_nc").alias("n_cur"))
 
 
 def drift_report(tagged: DataFrame, cols: list[str], window: str = "window",

@@ -3,26 +3,36 @@
 An un-partitioned ``Window`` pulls every row into one task. The helpers here
 instead
 
-1. range-partition the rows on the full sort key (Spark samples the key, so a
-   hot value is split across partitions by the tie-break columns),
-2. freeze that layout with a reliable ``checkpoint`` (shared checkpoint dir),
-3. total each range partition (one row per partition → tiny window),
-4. broadcast the per-partition offsets back (size = number of partitions,
-   bounded by configuration, not by data), and
-5. finish with a window partitioned by the range-partition id.
-
-Callers whose input is known to be small and bounded (≤ a few hundred distinct
-values, e.g. 73 tenure values) pass ``bounded=True`` and get a plain window.
+1. count the rows and draw a sample of their sort keys (``PER_BUCKET`` keys a bucket,
+   whatever the number of rows); its quantiles are cut keys, of the full sort key, so a
+   hot value is split by the tie-break columns,
+2. number each row's bucket by a binary search among the cut keys, a JVM expression
+   over one attached row,
+3. total the buckets by partial aggregation (one row per bucket),
+4. finish with a window partitioned by bucket, the only exchange of the rows, and
+5. join the offsets of the earlier buckets (one broadcast row per bucket).
+
+The input is counted, then read for the sample, the totals and the window;
+``freeze=True`` writes it once before these (for inputs that are dear to compute). It
+must be deterministic: a column whose values change when it is read again needs
+``freeze``. Inputs of at most ``SMALL`` rows need no buckets: one task orders them. Callers whose input is known to be small and bounded (≤ a few
+hundred distinct values, e.g. 73 tenure values) pass ``bounded=True`` and get a plain
+window without a count.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ebbflow.functions.columns import attach
+from ebbflow.session import materialize
 
-from ebbflow.session import ensure_checkpoint_dir
+SMALL = 10_000
+PER_BUCKET = 25
+#: Buckets per shuffle partition: they are hashed to partitions, several even out.
+BUCKETS_PER_PARTITION = 4
 
 
 def _order_exprs(order) -> list[Column]:
@@ -39,56 +49,76 @@ def _order_exprs(order) -> list[Column]:
     return out
 
 
-def _num_range_partitions(df: DataFrame) -> int:
-    spark = df.sparkSession
-    conf = spark.conf.get("spark.sql.shuffle.partitions")
-    return max(1, int(conf))
+def _fields(order) -> list[tuple[str, bool]]:
+    return [o if isinstance(o, tuple) else (o, True) for o in order]
+
+
+def _cut_keys(df: DataFrame, fields: list[tuple[str, bool]], buckets: int, n: int) -> DataFrame:
+    """One row with the array ``_cuts`` of ascending cut keys, fewer than ``buckets``. The sample is
+    evaluated here, once, so every later reading of the input meets the same cuts."""
+    names = [f"k{i}" for i in range(len(fields))]
+    keys = df.select(*[F.col(c).alias(k) for (c, _), k in zip(fields, names)])
+    sample = (keys.sample(fraction=min(1.0, PER_BUCKET * buckets / n), seed=11).repartition(1)
+              .sortWithinPartitions(*_order_exprs(list(zip(names, [asc for _, asc in fields])))).collect())
+    step = max(1, len(sample) // buckets)
+    cuts: list = []
+    for row in sample[step::step]:
+        if not cuts or tuple(row) != tuple(cuts[-1]):
+            cuts.append(row)
+    kind = T.StructType([T.StructField("_cuts", T.ArrayType(keys.schema))])
+    return df.sparkSession.createDataFrame([(cuts,)], kind)
+
+
+def _reaches(fields: list[tuple[str, bool]], cut: Column) -> Column:
+    """Whether a row sorts at or after the key ``cut`` (nulls first ascending, last descending)."""
+    out = F.lit(True)
+    for i, (c, asc) in reversed(list(enumerate(fields))):
+        x, k = F.col(c), cut.getField(f"k{i}")
+        later = F.coalesce(x > k, x.isNotNull() & k.isNull()) if asc else F.coalesce(x < k, x.isNull() & k.isNotNull())
+        out = later | (x.eqNullSafe(k) & out)
+    return out
+
+
+def _bucketed(df: DataFrame, fields: list[tuple[str, bool]], partitions: int, n: int) -> DataFrame:
+    """``df`` with ``_cuts`` and ``_bucket``: how many cut keys a row reaches."""
+    buckets = BUCKETS_PER_PARTITION * partitions
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(buckets.bit_length()))])
+
+    def search(reached: Column, step: Column) -> Column:
+        more = (reached + step <= F.size("_cuts")) & _reaches(fields, F.get(F.col("_cuts"), reached + step - 1))
+        return F.when(more, reached + step).otherwise(reached)
+
+    return (df.transform(attach, _cut_keys(df, fields, buckets, n))
+            .withColumn("_bucket", F.aggregate(steps, F.lit(0), search)))
+
+
+def _shuffle_partitions(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _plain_sums(df: DataFrame, by: list[str], order, sums: dict[str, Column]) -> DataFrame:
+    tmp = {f"_ps_in_{i}": e for i, e in enumerate(sums.values())}
+    w = Window.partitionBy(*by) if by else Window
+    w = w.orderBy(*_order_exprs(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df.withColumns(tmp)
+    return out.withColumns({n: F.sum(F.col(k)).over(w) for n, k in zip(sums, tmp)}).drop(*tmp)
 
 
 def prefix_sums(df: DataFrame, order, sums: dict[str, Column], bounded: bool = False,
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, freeze: bool = False) -> DataFrame:
     """Add inclusive running sums ``sums`` (name → expression) in ``order``.
 
     ``order`` is a list of column names (ascending) or ``(name, ascending)``
     tuples and must be a total order (append a unique id) unless the caller
     wants ROWS-frame semantics among ties.
     """
-    oexp = _order_exprs(order)
-    tmp = {f"_ps_in_{i}": e for i, e in enumerate(sums.values())}
-    names = list(sums.keys())
-    if bounded:
-        w = Window.orderBy(*oexp).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = df.withColumns(tmp)
-        out = out.withColumns({n: F.sum(F.col(k)).over(w) for n, k in zip(names, tmp)})
-        return out.drop(*tmp.keys())
-
-    ensure_checkpoint_dir(df.sparkSession)
-    p = partitions or _num_range_partitions(df)
-    # reliable checkpoint: the second (writing) job re-reads the range shuffle's
-    # map output instead of recomputing the upstream plan
-    ranged = (df.withColumns(tmp).repartitionByRange(p, *oexp)
-              .withColumn("_ps_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-    totals = ranged.groupBy("_ps_pid").agg(*[F.sum(F.col(k)).alias(f"_ps_tot_{i}")
-                                             for i, k in enumerate(tmp)])
-    wt = Window.orderBy("_ps_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_ps_pid", *[
-        F.coalesce(F.sum(F.col(f"_ps_tot_{i}")).over(wt), F.lit(0)).alias(f"_ps_off_{i}")
-        for i in range(len(tmp))])
-    joined = ranged.join(F.broadcast(offsets), "_ps_pid")
-    wp = (Window.partitionBy("_ps_pid").orderBy(*oexp)
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = joined.withColumns({
-        n: F.col(f"_ps_off_{i}") + F.sum(F.col(k)).over(wp)
-        for i, (n, k) in enumerate(zip(names, tmp))})
-    drop = list(tmp) + ["_ps_pid"] + [f"_ps_off_{i}" for i in range(len(tmp))]
-    return out.drop(*drop)
+    return grouped_prefix_sums(df, [], order, sums, bounded, partitions, freeze)
 
 
 def global_row_number(df: DataFrame, order, name: str = "row_num",
-                      bounded: bool = False) -> DataFrame:
+                      bounded: bool = False, freeze: bool = False) -> DataFrame:
     """1-based position in a total ``order`` (a distributed ``row_number``)."""
-    return prefix_sums(df, order, {name: F.lit(1).cast("long")}, bounded=bounded)
+    return prefix_sums(df, order, {name: F.lit(1).cast("long")}, bounded=bounded, freeze=freeze)
 
 
 def ntile_from_position(pos: Column, n: Column, buckets: int) -> Column:
@@ -105,11 +135,13 @@ def distinct_value_ranks(df: DataFrame, c: str, bounded: bool = False,
                          descending: bool = False) -> DataFrame:
     """Per distinct non-null value of ``c``: count, rows before it, average rank.
 
-    Returns (c, cnt, before, avg_rank, n). Work: one partial aggregation, then
-    prefix sums over the distinct values only.
+    Returns (c, cnt, before, avg_rank, n). Work: one partial aggregation, written
+    once, then prefix sums over the distinct values only.
     """
     counts = (df.where(F.col(c).isNotNull()).groupBy(c)
               .agg(F.count(F.lit(1)).alias("cnt")))
+    if not bounded:
+        counts = materialize(counts, "values")
     cum = prefix_sums(counts, [(c, not descending)], {"_cum": F.col("cnt")}, bounded=bounded)
     total = counts.agg(F.sum("cnt").alias("n"))
     return (cum.transform(attach, total)
@@ -136,74 +168,110 @@ def avg_rank_desc_int(df: DataFrame, c: str, name: str, bounded: bool = False) -
     return df.join(ranks, df[c] == ranks["_ar_v"], "left").drop("_ar_v")
 
 
-def grouped_prefix_sums(df: DataFrame, by: list[str], order, sums: dict[str, Column],
-                        bounded: bool = False) -> DataFrame:
+def grouped_prefix_sums(df: DataFrame, by: list[str], order, sums: dict[str, Column], bounded: bool = False,
+                        partitions: int | None = None, freeze: bool = False) -> DataFrame:
     """Running sums within each ``by`` group, in ``order``.
 
-    The range partitioning covers (by…, order), so one large group is spread over
-    several partitions. Each partition is totalled per group, a group's earlier
-    partitions give its offset there (never another group's rows, so signs and
-    magnitudes elsewhere do not matter), and a window finishes inside (group,
-    partition); no group is ever collected into one task.
+    The cut keys cover (by…, order), so one large group is spread over several
+    buckets, and its sums in earlier buckets are its offset in a later one (never
+    another group's rows, so signs and magnitudes elsewhere do not matter). Only
+    groups that a cut key lies in are totalled: offsets have fewer rows than there
+    are buckets. No group is ever collected into one task.
     """
-    if not by:
-        return prefix_sums(df, order, sums, bounded=bounded)
     if bounded:
-        w = (Window.partitionBy(*by).orderBy(*_order_exprs(order))
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.withColumns({n: F.sum(e).over(w) for n, e in sums.items()})
-    ensure_checkpoint_dir(df.sparkSession)
-    tmp = {f"_gp_in_{i}": e for i, e in enumerate(sums.values())}
-    ranged = (df.withColumns(tmp)
-              .repartitionByRange(_num_range_partitions(df), *_order_exprs([(c, True) for c in by] + list(order)))
-              .withColumn("_gp_pid", F.spark_partition_id()).checkpoint(eager=True))
-    earlier = Window.partitionBy(*by).orderBy("_gp_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (ranged.groupBy(*by, "_gp_pid").agg(*[F.sum(k).alias(f"_t{k}") for k in tmp])
-               .select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_gp_pid").alias("_by_pid"),
-                       *[F.coalesce(F.sum(f"_t{k}").over(earlier), F.lit(0)).alias(f"_o{k}") for k in tmp]))
-    same = (F.col("_gp_pid") == F.col("_by_pid"))
+        return _plain_sums(df, by, order, sums)
+    n = df.count()
+    if n <= SMALL:
+        return _plain_sums(df, by, order, sums)
+    if freeze:
+        df = materialize(df, "prefix")
+    fields = _fields([*by, *order])
+    tmp = {f"_ps_in_{i}": e for i, e in enumerate(sums.values())}
+    rows = _bucketed(df.withColumns(tmp), fields, partitions or _shuffle_partitions(df), n)
+    cut_in_group = lambda i: F.coalesce(_same(by, F.get(F.col("_cuts"), i)), F.lit(False))
+    split = rows.filter(cut_in_group(F.col("_bucket") - 1) | cut_in_group(F.col("_bucket"))) if by else rows
+    totals = split.groupBy(*by, "_bucket").agg(*[F.sum(k).alias(f"_t{k}") for k in tmp])
+    earlier = (Window.partitionBy(*by) if by else Window).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (totals.withColumns({f"_o{k}": F.sum(f"_t{k}").over(earlier) for k in tmp} | {"_first": F.min("_bucket").over(earlier)})
+               .filter(F.col("_first").isNotNull())
+               .select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bucket").alias("_of_bucket"), *[f"_o{k}" for k in tmp]))
+    inside = (Window.partitionBy(*by, "_bucket").orderBy(*_order_exprs(order))
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = rows.drop("_cuts").withColumns({f"_s{k}": F.sum(k).over(inside) for k in tmp})
+    same = F.col("_bucket") == F.col("_of_bucket")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    inside = (Window.partitionBy(*by, "_gp_pid").orderBy(*_order_exprs(order))
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = ranged.join(offsets, same).withColumns(
-        {n: F.col(f"_o{k}") + F.sum(k).over(inside) for n, k in zip(sums, tmp)})
-    return out.drop(*tmp, *[f"_o{k}" for k in tmp], *[f"_by_{c}" for c in by], "_gp_pid", "_by_pid")
+    out = found.join(F.broadcast(offsets), same, "left").withColumns(
+        {name: F.coalesce(f"_o{k}", F.lit(0)) + F.col(f"_s{k}") for name, k in zip(sums, tmp)})
+    return out.drop(*tmp, *[f"_o{k}" for k in tmp], *[f"_s{k}" for k in tmp], *[f"_by_{c}" for c in by], "_bucket", "_of_bucket")
 
 
-def exact_quantiles(df: DataFrame, c: str, qs: list[float], bounded: bool = False) -> DataFrame:
-    """Exact linear-interpolated quantiles of a column with any number of
-    distinct values, fully distributed: value histogram (partial aggregation) →
-    prefix sums over the distinct values → each target rank is located with a
-    join against the (len(qs)-row, broadcast) target table. Returns one row per
-    requested level: (level, quantile).
-
-    Use this instead of ``percentile`` when the column is continuous: the
-    ``percentile`` aggregate merges a value→count map of all distinct values in
-    one final task.
+def _same(by: list[str], cut: Column) -> Column:
+    out = cut.isNotNull()
+    for i, c in enumerate(by):
+        out = out & F.col(c).eqNullSafe(cut.getField(f"k{i}"))
+    return out
+
+
+def grouped_quantiles(df: DataFrame, cols: list[str], qs: list[float], by: list[str] | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles of many columns in many groups.
+
+    Returns (by…, column, n, q): ``q`` is an array aligned with ``qs``, of doubles, over
+    the non-null values of a column in a group, null where there are none at all.
+    The rows are unpivoted into one histogram (partial aggregation), written once;
+    running counts over it give every value the ranks it covers, so each value tells by
+    itself which wanted ranks it holds: neither a value map nor a group is kept in a task.
     """
-    spark = df.sparkSession
-    counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_cnt"))
-    cum = prefix_sums(counts, [("_v", True)], {"_cum": F.col("_cnt")}, bounded=bounded)
-    n = counts.agg(F.sum("_cnt").alias("_n"))
-    levels = spark.createDataFrame([(float(q),) for q in qs], "level double")
-    tgt = (levels.transform(attach, n)
-           .withColumn("_pos", (F.col("_n") - 1) * F.col("level"))
-           .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos")))
-    before = F.col("_cum") - F.col("_cnt")
-
-    def value_at(k: str, name: str) -> DataFrame:
-        return (cum.join(F.broadcast(tgt.select("level", k)),
-                         (before <= F.col(k)) & (F.col(k) < F.col("_cum")))
-                .select("level", F.col("_v").cast("double").alias(name)))
-
-    lo, hi = value_at("_lo", "_vlo"), value_at("_hi", "_vhi")
-    out = tgt.join(lo, "level").join(hi, "level")
-    frac = F.col("_pos") - F.col("_lo")
-    q = F.when(F.col("_lo") == F.col("_hi"), F.col("_vlo")).otherwise(
-        (F.col("_hi") - F.col("_pos")) * F.col("_vlo") + frac * F.col("_vhi"))
-    return out.select("level", q.alias("quantile"))
+    by = by or []
+    h = histogram(df, cols, by)
+    return histogram_quantiles(h, [*by, "column"], qs)
+
+
+def histogram(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by…, column, v, cnt): how often each non-null value occurs, written once."""
+    by = by or []
+    long = (df.select(*by, *[F.col(c).cast("double").alias(f"_v_{c}") for c in cols])
+            .unpivot(by, [f"_v_{c}" for c in cols], "column", "v").where(F.col("v").isNotNull()))
+    counts = long.groupBy(*by, "column", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    return materialize(counts.withColumn("column", F.substring("column", 4, 1_000_000)), "histogram")
+
+
+def histogram_quantiles(h: DataFrame, by: list[str], qs: list[float], v: str = "v", cnt: str = "cnt") -> DataFrame:
+    """(by…, n, q) from a histogram (by…, v, cnt) that is cheap to read again."""
+    totals = h.groupBy(*by).agg(F.sum(cnt).alias("_n"))
+    upto = grouped_prefix_sums(h, by, [(v, True)], {"_upto": F.col(cnt)})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    totals = totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_n")
+    held = upto.join(totals, same) if by else upto.transform(attach, totals)
+    place = [(F.col("_n") - 1) * F.lit(float(q)) for q in qs]
+    holds = lambda rank: F.when((F.col("_upto") - F.col(cnt) <= rank) & (rank < F.col("_upto")), F.col(v).cast("double"))
+    found = held.groupBy(*by, "_n").agg(*[F.max(holds(edge(p))).alias(f"_{side}{i}") for i, p in enumerate(place)
+                                          for side, edge in (("lo", F.floor), ("hi", F.ceil))])
+    parts = []
+    for i, p in enumerate(place):
+        lo, hi, at = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.floor(p)
+        parts.append(F.when((F.ceil(p) == at) | (lo == hi), lo).otherwise((F.ceil(p) - p) * lo + (p - at) * hi))
+    return found.select(*by, F.col("_n").alias("n"), F.array(*parts).alias("q"))
+
+
+def quantile_row(df: DataFrame, wanted: dict[str, list[float]]) -> DataFrame:
+    """One row with an array of quantiles for each column of ``wanted``; null where it has no value."""
+    levels = sorted({q for qs in wanted.values() for q in qs})
+    long = grouped_quantiles(df, list(wanted), levels)
+    at = lambda c: F.max(F.when(F.col("column") == c, F.col("q")))
+    wide = long.agg(*[at(c).alias(f"_{i}") for i, c in enumerate(wanted)])
+    return wide.select(*[F.when(F.col(f"_{i}").isNotNull(), F.array(*[F.col(f"_{i}")[levels.index(q)] for q in qs])).alias(c)
+                         for i, (c, qs) in enumerate(wanted.items())])
+
+
+def exact_quantiles(df: DataFrame, c: str, qs: list[float], bounded: bool = False) -> DataFrame:
+    """Exact linear-interpolated quantiles of one column: (level, quantile) per requested level."""
+    counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
+    found = histogram_quantiles(counts if bounded else materialize(counts, "histogram"), [], qs)
+    pairs = F.array(*[F.struct(F.lit(float(q)).alias("level"), F.col("q")[i].alias("quantile")) for i, q in enumerate(qs)])
+    return found.select(F.inline(pairs))
 
 
 def first_fraction_flag(df: DataFrame, order: list[str], frac: float, name: str,

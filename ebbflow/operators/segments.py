@@ -16,8 +16,8 @@ from ebbflow.functions.columns import (attach, CHARGE_EDGES_F, CHARGE_LABELS_F,
                                        TENURE_EDGES_D, TENURE_EDGES_E, TENURE_LABELS_D,
                                        TENURE_LABELS_E, bucketize, flag, pct, ratio,
                                        sum_cols, tenure_cohort_sql, value_segment)
-from ebbflow.operators.features import SERVICE_COLS, qcut
-from ebbflow.operators.ranks import global_row_number, ntile_from_position
+from ebbflow.operators.features import SERVICE_COLS, qcuts
+from ebbflow.operators.ranks import global_row_number, grouped_quantiles, ntile_from_position
 
 Y = "Churn_binary"
 CENTS = "monthly_cents"
@@ -298,12 +298,11 @@ def histogram(df: DataFrame, c: str, bins: int, by: list[str] | None = None) ->
 
 
 def box_stats(df: DataFrame, c: str, by: list[str]) -> DataFrame:
-    """exact five-number summary per group (one aggregation)."""
-    q = F.percentile(F.col(c), F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
-    return (df.groupBy(*by).agg(F.min(c).cast("double").alias("min"), q.alias("_q"),
-                                F.max(c).cast("double").alias("max"))
-            .select(*by, "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                    F.col("_q")[2].alias("q3"), "max").orderBy(*by))
+    """exact five-number summary per group, from one histogram of (group, value):
+    the least and the greatest value are the quantiles 0 and 1."""
+    q = lambda i: F.col("q")[i]
+    return (grouped_quantiles(df, [c], [0.0, 0.25, 0.5, 0.75, 1.0], by)
+            .select(*by, q(0).alias("min"), q(1).alias("q1"), q(2).alias("median"), q(3).alias("q3"), q(4).alias("max")).orderBy(*by))
 
 
 def scatter_extract(df: DataFrame, cols, key="customer_id", n: int = 1000,
@@ -348,8 +347,7 @@ def cohort_summary(df: DataFrame, y=Y) -> DataFrame:
 def rfm_scores(df: DataFrame, services=SERVICE_COLS) -> DataFrame:
     """r = qcut3(tenure), f = cut(#services, [-1,1,3,6]), m = qcut3(charges)."""
     out = df.withColumn("rfm_frequency", sum_cols([flag(F.col(s) == 1) for s in services]))
-    out = qcut(out, "tenure", 3, "r_score")
-    out = qcut(out, "MonthlyCharges", 3, "m_score")
+    out = qcuts(out, {"tenure": "r_score", "MonthlyCharges": "m_score"}, 3)
     out = out.withColumn("f_score", bucketize("rfm_frequency", FREQUENCY_EDGES_G))
     return out.withColumn("rfm_total", F.col("r_score") + F.col("f_score") + F.col("m_score"))
 

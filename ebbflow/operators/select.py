@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ebbflow.functions.columns import attach
 
 from ebbflow.operators.clean import numeric_columns
+from ebbflow.operators.ranks import histogram, histogram_quantiles
 
 
 def align_features(df: DataFrame, names: list[str] | None, target: str = "Churn_binary",
@@ -31,18 +32,18 @@ def align_features(df: DataFrame, names: list[str] | None, target: str = "Churn_
 
 def mutual_information(df: DataFrame, features: list[str], target: str = "Churn_binary",
                        bins: int = 10) -> DataFrame:
-    """D1 (re-aimed): plug-in mutual information (nats) between each
-    equal-width-binned feature and the target — one unpivot, min/max per
-    feature, one contingency aggregation for all features."""
-    long = (df.select(F.col(target).alias("_y"), *[F.col(c).cast("double").alias(c) for c in features])
-            .unpivot("_y", features, "feature", "v").where(F.col("v").isNotNull()))
-    mm = long.groupBy("feature").agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"),
-                                     F.count(F.lit(1)).alias("_n"))
-    b = (F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
-        F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("_lo")) * bins
-                                         / (F.col("_hi") - F.col("_lo")))))).cast("int")
-    cells = (long.join(F.broadcast(mm), "feature").withColumn("_b", b)
-             .groupBy("feature", "_b", "_y").agg(F.count(F.lit(1)).alias("_nxy"), F.first("_n").alias("_n")))
+    """D1 (re-aimed): plug-in mutual information (nats) between each feature, in
+    bins between its exact quantiles, and the target. One histogram of (feature,
+    value, target) gives quantiles and contingency cells for all features. A value
+    is in the bin of the number of inner quantiles below it, so equal quantiles
+    leave bins empty and a feature with few values keeps one bin per value."""
+    h = (histogram(df.select(F.col(target).alias("_y"), *features), features, ["_y"])
+         .select(F.col("column").alias("feature"), "v", "_y", "cnt"))
+    values = h.groupBy("feature", "v").agg(F.sum("cnt").alias("cnt"))
+    inner = histogram_quantiles(values, ["feature"], [i / bins for i in range(1, bins)])
+    below = F.size(F.filter("q", lambda e: e < F.col("v")))
+    cells = (h.join(F.broadcast(inner), "feature").withColumn("_b", below)
+             .groupBy("feature", "_b", "_y").agg(F.sum("cnt").alias("_nxy"), F.first("n").alias("_n")))
     px = cells.groupBy("feature", "_b").agg(F.sum("_nxy").alias("_nx"))
     py = cells.groupBy("feature", "_y").agg(F.sum("_nxy").alias("_ny"))
     j = cells.join(px, ["feature", "_b"]).join(py, ["feature", "_y"])

@@ -26,7 +26,7 @@ def life_table(df: DataFrame, dur: str, evt: str, strata: list[str] | None = Non
               F.sum(F.col(evt)).cast("long").alias("events")))
     g = g.withColumn("censored", F.col("removed") - F.col("events"))
     return grouped_prefix_sums(g, strata, [("t", False)], {"at_risk": F.col("removed")},
-                               bounded=bounded)
+                               bounded=bounded, freeze=True)
 
 
 def kaplan_meier(df: DataFrame, dur: str, evt: str, strata: list[str] | None = None,
@@ -40,7 +40,7 @@ def kaplan_meier(df: DataFrame, dur: str, evt: str, strata: list[str] | None = N
     green = F.when(d < n, d / (n * (n - d)).cast("double")).otherwise(F.lit(0.0))
     cum = grouped_prefix_sums(lt, strata, [("t", True)],
                               {"_log_s": log_f, "_var": green, "_zero": flag(d >= n)},
-                              bounded=bounded)
+                              bounded=bounded, freeze=True)
     z = NormalDist().inv_cdf(1 - alpha / 2)
     s = F.when(F.col("_zero") > 0, F.lit(0.0)).otherwise(F.exp(F.col("_log_s")))
     v = F.col("_log_s")
@@ -168,7 +168,7 @@ def _cox_step(z: DataFrame, p: int, beta: list, dur: str, evt: str) -> tuple[flo
         *[F.sum(x).alias(f"_a{i}") for i, x in enumerate(moment)],
         *[F.sum(F.when(e, x).otherwise(0.0)).alias(f"_e{i}") for i, x in enumerate(moment)],
         *[F.sum(F.when(e, F.col(f"_z{i}")).otherwise(0.0)).alias(f"_x{i}") for i in range(p)])
-    risk = prefix_sums(table, [("_t", False)], {f"_s{i}": F.col(f"_a{i}") for i in range(m)})
+    risk = prefix_sums(table, [("_t", False)], {f"_s{i}": F.col(f"_a{i}") for i in range(m)}, freeze=True)
     names = ["_d", "_xb", *[f"_s{i}" for i in range(m)], *[f"_e{i}" for i in range(m)], *[f"_x{i}" for i in range(p)]]
 
     def square(upper: np.ndarray) -> np.ndarray:
@@ -238,7 +238,7 @@ def cox_fit(df: DataFrame, dur: str, evt: str, covariates: list[str], penalizer:
     se = np.sqrt(np.clip(np.diag(np.linalg.inv(penalizer * n * np.eye(p) - h)), 0, None))
     # Breslow baseline at the mean covariate (z = 0): hazard d(t) / Σ_{risk} w, summed up to t
     hazard = risk.select(F.col("_t").cast("double").alias("t"), (F.col("_d") / F.col("_s0")).alias("_h"))
-    baseline = materialize(prefix_sums(hazard, [("t", True)], {"cumulative_hazard": F.col("_h")})
+    baseline = materialize(prefix_sums(hazard, [("t", True)], {"cumulative_hazard": F.col("_h")}, freeze=True)
                            .select("t", "cumulative_hazard"), "baseline")
     return CoxModel(covariates, means, stds, beta.tolist(), se.tolist(), baseline, float(ll), it)
 
@@ -301,7 +301,7 @@ def concordance_index(df: DataFrame, dur: str, evt: str, risk: str) -> DataFrame
     by_risk = tree.groupBy("_level", "_node", "_r").agg(
         F.sum(F.when(F.col("_right"), F.col("_n")).otherwise(0)).alias("_later"),
         F.sum(F.when(F.col("_right"), 0).otherwise(F.col("_d"))).alias("_events"))
-    cum = grouped_prefix_sums(by_risk, ["_level", "_node"], [("_r", True)], {"_upto": F.col("_later")})
+    cum = grouped_prefix_sums(by_risk, ["_level", "_node"], [("_r", True)], {"_upto": F.col("_later")}, freeze=True)
     node = by_risk.groupBy("_level", "_node").agg((F.sum("_events") * F.sum("_later")).alias("_pairs"))
     conc = cum.agg(F.sum(F.col("_events") * (2 * F.col("_upto") - F.col("_later"))).alias("_conc2"))
     pairs = node.agg(F.sum("_pairs").alias("comparable_pairs"))

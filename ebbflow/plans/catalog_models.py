@@ -52,10 +52,9 @@ SELECT feature, round(SUM((nxy / n) * ln(CAST(nxy * n AS DOUBLE) / CAST(nx * ny
 FROM (SELECT feature, b, y, nxy, n,
              SUM(nxy) OVER (PARTITION BY feature, b) AS nx, SUM(nxy) OVER (PARTITION BY feature, y) AS ny
       FROM (SELECT feature, b, y, COUNT(*) AS nxy, max(n) AS n
-            FROM (SELECT l.feature, l.y, m.n,
-                    CAST(CASE WHEN m.hi = m.lo THEN 0
-                         ELSE least(9, floor((l.v - m.lo) * 10 / (m.hi - m.lo))) END AS INTEGER) AS b
-                  FROM long l JOIN (SELECT feature, min(v) AS lo, max(v) AS hi, COUNT(*) AS n
+            FROM (SELECT l.feature, l.y, m.n, len(list_filter(m.q, lambda e: e < l.v)) AS b
+                  FROM long l JOIN (SELECT feature, COUNT(*) AS n,
+                                      quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q
                                     FROM long GROUP BY feature) m ON l.feature = m.feature)
             GROUP BY feature, b, y))
 GROUP BY feature"""
