@@ -65,7 +65,7 @@ def positions(conversations: DataFrame) -> DataFrame:
                                  F.md5(text).alias("text_md5"), half(1).alias("h1"), half(2).alias("h2"), F.octet_length(text).cast("long").alias("bytes"),
                                  F.monotonically_increasing_id().alias("tie"))
     order = ["turn", "role", "text_md5", "tie"]
-    placed = grouped_prefix_sums(turns, ["c"], [(o, True) for o in order], {"pos": F.lit(1).cast("long")})
+    placed = grouped_prefix_sums(turns, ["c"], [(o, True) for o in order], {"pos": F.lit(1).cast("long")}, freeze=True)
     return placed.select("c", (F.col("pos") - 1).alias("pos"), "h1", "h2", "bytes")
 
 
