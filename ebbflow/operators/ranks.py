@@ -7,7 +7,7 @@ instead
    whatever the number of rows); its quantiles are cut keys, of the full sort key, so a
    hot value is split by the tie-break columns,
 2. number each row's bucket by a binary search among the cut keys, a JVM expression
-   over one attached row,
+   over one constant array,
 3. total the buckets by partial aggregation (one row per bucket),
 4. finish with a window partitioned by bucket, the only exchange of the rows, and
 5. join the offsets of the earlier buckets (one broadcast row per bucket).
@@ -29,8 +29,9 @@ from pyspark.sql import types as T
 from ebbflow.functions.columns import attach
 from ebbflow.session import materialize
 
-SMALL = 10_000
+SMALL = 250_000
 PER_BUCKET = 25
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 #: Buckets per shuffle partition: they are hashed to partitions, several even out.
 BUCKETS_PER_PARTITION = 4
 
@@ -53,20 +54,18 @@ def _fields(order) -> list[tuple[str, bool]]:
     return [o if isinstance(o, tuple) else (o, True) for o in order]
 
 
-def _cut_keys(df: DataFrame, fields: list[tuple[str, bool]], buckets: int, n: int) -> DataFrame:
-    """One row with the array ``_cuts`` of ascending cut keys, fewer than ``buckets``. The sample is
-    evaluated here, once, so every later reading of the input meets the same cuts."""
+def _cut_keys(df: DataFrame, fields: list[tuple[str, bool]], buckets: int, n: int) -> Column:
+    """Constant array of ascending cut keys, fewer than ``buckets``. The sample is evaluated here,
+    once, so every later reading of the input meets the same cuts; they travel as JSON, which
+    Spark writes and folds into a literal of the keys' own types."""
     names = [f"k{i}" for i in range(len(fields))]
     keys = df.select(*[F.col(c).alias(k) for (c, _), k in zip(fields, names)])
-    sample = (keys.sample(fraction=min(1.0, PER_BUCKET * buckets / n), seed=11).repartition(1)
-              .sortWithinPartitions(*_order_exprs(list(zip(names, [asc for _, asc in fields])))).collect())
+    sample = [r[0] for r in keys.sample(fraction=min(1.0, PER_BUCKET * buckets / n), seed=11).repartition(1)
+              .sortWithinPartitions(*_order_exprs(list(zip(names, [asc for _, asc in fields]))))
+              .select(F.to_json(F.struct(*names), _JSON)).collect()]
     step = max(1, len(sample) // buckets)
-    cuts: list = []
-    for row in sample[step::step]:
-        if not cuts or tuple(row) != tuple(cuts[-1]):
-            cuts.append(row)
-    kind = T.StructType([T.StructField("_cuts", T.ArrayType(keys.schema))])
-    return df.sparkSession.createDataFrame([(cuts,)], kind)
+    cuts = list(dict.fromkeys(sample[step::step]))
+    return F.from_json(F.lit(f"[{','.join(cuts)}]"), T.ArrayType(keys.schema), _JSON)
 
 
 def _reaches(fields: list[tuple[str, bool]], cut: Column) -> Column:
@@ -79,17 +78,15 @@ def _reaches(fields: list[tuple[str, bool]], cut: Column) -> Column:
     return out
 
 
-def _bucketed(df: DataFrame, fields: list[tuple[str, bool]], partitions: int, n: int) -> DataFrame:
-    """``df`` with ``_cuts`` and ``_bucket``: how many cut keys a row reaches."""
-    buckets = BUCKETS_PER_PARTITION * partitions
+def _bucket(fields: list[tuple[str, bool]], cuts: Column, buckets: int) -> Column:
+    """How many of the fewer than ``buckets`` cut keys a row reaches."""
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(buckets.bit_length()))])
 
     def search(reached: Column, step: Column) -> Column:
-        more = (reached + step <= F.size("_cuts")) & _reaches(fields, F.get(F.col("_cuts"), reached + step - 1))
+        more = (reached + step <= F.size(cuts)) & _reaches(fields, F.get(cuts, reached + step - 1))
         return F.when(more, reached + step).otherwise(reached)
 
-    return (df.transform(attach, _cut_keys(df, fields, buckets, n))
-            .withColumn("_bucket", F.aggregate(steps, F.lit(0), search)))
+    return F.aggregate(steps, F.lit(0), search)
 
 
 def _shuffle_partitions(df: DataFrame) -> int:
@@ -187,17 +184,22 @@ def grouped_prefix_sums(df: DataFrame, by: list[str], order, sums: dict[str, Col
         df = materialize(df, "prefix")
     fields = _fields([*by, *order])
     tmp = {f"_ps_in_{i}": e for i, e in enumerate(sums.values())}
-    rows = _bucketed(df.withColumns(tmp), fields, partitions or _shuffle_partitions(df), n)
-    cut_in_group = lambda i: F.coalesce(_same(by, F.get(F.col("_cuts"), i)), F.lit(False))
-    split = rows.filter(cut_in_group(F.col("_bucket") - 1) | cut_in_group(F.col("_bucket"))) if by else rows
-    totals = split.groupBy(*by, "_bucket").agg(*[F.sum(k).alias(f"_t{k}") for k in tmp])
+    buckets = BUCKETS_PER_PARTITION * (partitions or _shuffle_partitions(df))
+    cuts = _cut_keys(df, fields, buckets, n)
+    rows = df.withColumns(tmp).withColumn("_bucket", _bucket(fields, cuts, buckets))
+    cut_in_group = lambda i: F.coalesce(_same(by, F.get(cuts, i)), F.lit(False))
+    # rows of groups without a cut fall into one null key: a row of each task
+    split = cut_in_group(F.col("_bucket") - 1) | cut_in_group(F.col("_bucket")) if by else F.lit(True)
+    keyed = rows.select(F.when(split, F.struct(*by, "_bucket")).alias("_key"), *tmp)
+    totals = (keyed.groupBy("_key").agg(*[F.sum(k).alias(f"_t{k}") for k in tmp])
+              .filter(F.col("_key").isNotNull()).select("_key.*", *[f"_t{k}" for k in tmp]))
     earlier = (Window.partitionBy(*by) if by else Window).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (totals.withColumns({f"_o{k}": F.sum(f"_t{k}").over(earlier) for k in tmp} | {"_first": F.min("_bucket").over(earlier)})
                .filter(F.col("_first").isNotNull())
                .select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bucket").alias("_of_bucket"), *[f"_o{k}" for k in tmp]))
     inside = (Window.partitionBy(*by, "_bucket").orderBy(*_order_exprs(order))
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = rows.drop("_cuts").withColumns({f"_s{k}": F.sum(k).over(inside) for k in tmp})
+    found = rows.withColumns({f"_s{k}": F.sum(k).over(inside) for k in tmp})
     same = F.col("_bucket") == F.col("_of_bucket")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
@@ -221,6 +223,7 @@ def grouped_quantiles(df: DataFrame, cols: list[str], qs: list[float], by: list[
     The rows are unpivoted into one histogram (partial aggregation), written once;
     running counts over it give every value the ranks it covers, so each value tells by
     itself which wanted ranks it holds: neither a value map nor a group is kept in a task.
+    (A histogram of at most ``SMALL`` rows goes through ``percentile``, whose map it bounds.)
     """
     by = by or []
     h = histogram(df, cols, by)
@@ -238,13 +241,10 @@ def histogram(df: DataFrame, cols: list[str], by: list[str] | None = None) -> Da
 
 def histogram_quantiles(h: DataFrame, by: list[str], qs: list[float], v: str = "v", cnt: str = "cnt") -> DataFrame:
     """(by…, n, q) from a histogram (by…, v, cnt) that is cheap to read again."""
-    totals = h.groupBy(*by).agg(F.sum(cnt).alias("_n"))
-    upto = grouped_prefix_sums(h, by, [(v, True)], {"_upto": F.col(cnt)})
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    totals = totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_n")
-    held = upto.join(totals, same) if by else upto.transform(attach, totals)
+    if h.count() <= SMALL:  # so few values may stand in a task's value map
+        found = h.groupBy(*by).agg(F.sum(cnt).alias("n"), F.percentile(v, F.array(*[F.lit(float(q)) for q in qs]), F.col(cnt)).alias("q"))
+        return found.filter("n > 0")
+    held = _with_totals(h, by, v, cnt)
     place = [(F.col("_n") - 1) * F.lit(float(q)) for q in qs]
     holds = lambda rank: F.when((F.col("_upto") - F.col(cnt) <= rank) & (rank < F.col("_upto")), F.col(v).cast("double"))
     found = held.groupBy(*by, "_n").agg(*[F.max(holds(edge(p))).alias(f"_{side}{i}") for i, p in enumerate(place)
@@ -256,6 +256,18 @@ def histogram_quantiles(h: DataFrame, by: list[str], qs: list[float], v: str = "
     return found.select(*by, F.col("_n").alias("n"), F.array(*parts).alias("q"))
 
 
+def _with_totals(h: DataFrame, by: list[str], v: str, cnt: str) -> DataFrame:
+    """``h`` with running counts ``_upto`` and group totals ``_n``."""
+    upto = grouped_prefix_sums(h, by, [(v, True)], {"_upto": F.col(cnt)})
+    totals = h.groupBy(*by).agg(F.sum(cnt).alias("_n"))
+    if not by:
+        return upto.transform(attach, totals)
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return upto.join(totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_n"), same).drop(*[f"_by_{c}" for c in by])
+
+
 def quantile_row(df: DataFrame, wanted: dict[str, list[float]]) -> DataFrame:
     """One row with an array of quantiles for each column of ``wanted``; null where it has no value."""
     levels = sorted({q for qs in wanted.values() for q in qs})
