@@ -121,9 +121,44 @@ def activity_windows(ev: DataFrame, duration: str = "1 day", slide: str | None =
 
 
 def user_sessions(ev: DataFrame, gap: str = "30 minutes", user: str = "user_id",
-                  ts: str = "ts") -> DataFrame:
-    """Q4 batch form: sessions split by an inactivity gap (session windows)."""
-    return (ev.groupBy(user, F.session_window(F.col(ts), gap).alias("s"))
-            .agg(F.count(F.lit(1)).alias("events"))
-            .select(user, F.col("s.start").alias("session_start"),
-                    F.col("s.end").alias("session_end"), "events"))
+                  ts: str = "ts", slice: str = "7 days") -> DataFrame:
+    """Q4 batch form: sessions split by an inactivity gap (an event a full gap after the
+    one before begins a new session; null times belong to none).
+
+    Events in one bucket of the gap's length are always in one session, so rows are
+    first counted per (user, slice of time, bucket), map-side. Partial sessions are
+    formed inside (user, slice), and those that reach over a slice's edge are stitched:
+    a user's events are never together in one task, only two rows per slice are.
+    """
+    length = F.expr(f"INTERVAL {gap}")
+    buckets = (ev.where(F.col(ts).isNotNull()).select(F.col(user).alias("_u"), F.col(ts).alias("_ts"))
+               .withColumn("_bucket", F.window("_ts", gap)["start"]).withColumn("_slice", F.window("_bucket", slice)["start"])
+               .groupBy("_u", "_slice", "_bucket")
+               .agg(F.min("_ts").alias("_from"), F.max("_ts").alias("_to"), F.count(F.lit(1)).alias("_n")))
+    inside = Window.partitionBy("_u", "_slice").orderBy("_bucket")
+    before = F.lag("_to").over(inside)
+    begins = F.when(before.isNull() | (F.col("_from") >= before + length), 1).otherwise(0)
+    partial = (buckets.withColumn("_begins", begins)
+               .withColumn("_part", F.sum("_begins").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+               .groupBy("_u", "_slice", "_part").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.sum("_n").alias("_n"))
+               .withColumn("_last", F.max("_part").over(Window.partitionBy("_u", "_slice"))))
+    done = ["_u", "_from", "_to", "_n"]
+    inner = partial.where((F.col("_part") > 1) & (F.col("_part") < F.col("_last"))).select(*done)
+    edges = partial.where((F.col("_part") == 1) | (F.col("_part") == F.col("_last")))
+    along = Window.partitionBy("_u").orderBy("_slice", "_part")
+    reached = F.lag("_to").over(along)
+    fresh = F.when(reached.isNull() | (F.col("_from") >= reached + length), 1).otherwise(0)
+    stitched = (edges.withColumn("_fresh", fresh)
+                .withColumn("_s", F.sum("_fresh").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+                .groupBy("_u", "_s").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.sum("_n").alias("_n")))
+    return inner.unionByName(stitched.select(*done)).select(
+        F.col("_u").alias(user), F.col("_from").alias("session_start"), (F.col("_to") + length).alias("session_end"), F.col("_n").alias("events"))
+
+
+def dedupe_events(ev: DataFrame, key: str = "event_id", ts: str = "ts") -> DataFrame:
+    """Q5 batch form: one row per id, the earliest delivery (ties: the least row in column order);
+    rows without an id are kept."""
+    rest = [c for c in ev.columns if c not in (key, ts)]
+    first = (ev.where(F.col(key).isNotNull()).groupBy(key)
+             .agg(F.min(F.struct(ts, *rest)).alias("_e")).select(key, "_e.*").select(*ev.columns))
+    return first.unionByName(ev.where(F.col(key).isNull()))

@@ -45,6 +45,24 @@ def drift_statistics(tagged: DataFrame, cols: list[str], window: str = "window",
     return histogram_drift(h if bounded else materialize(h, "drift"), min_values, bounded)
 
 
+def reference_histogram(reference: DataFrame, cols: list[str], path: str) -> DataFrame:
+    """(feature, v, n_ref) of a reference sample, written to ``path`` once: what drift of any later
+    data against it needs. The sample itself is not read again."""
+    h = window_histogram(reference.select(*cols).withColumn("window", F.lit("reference")), cols).drop("n_cur")
+    h.write.mode("overwrite").parquet(path)
+    return reference.sparkSession.read.schema(h.schema).parquet(path)
+
+
+def drift_against(reference: DataFrame, current: DataFrame, cols: list[str], min_values: int = 10,
+                  bounded: bool = False) -> DataFrame:
+    """N1 statistics of ``current`` against a ``reference_histogram``."""
+    cur = window_histogram(current.select(*cols).withColumn("window", F.lit("current")), cols).drop("n_ref")
+    zero = F.lit(0).cast("long")
+    both = (reference.withColumn("n_cur", zero).unionByName(cur.withColumn("n_ref", zero))
+            .groupBy("feature", "v").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur")))
+    return histogram_drift(both if bounded else materialize(both, "drift"), min_values, bounded)
+
+
 def histogram_drift(h: DataFrame, min_values: int = 10, bounded: bool = False) -> DataFrame:
     """N1 statistics from a ``window_histogram`` that is cheap to read again."""
     v, a, b = F.col("v"), F.col("n_ref"), F.col("n_cur")
@@ -152,10 +170,19 @@ def alerts(preds: DataFrame, p: str = "churn_probability", cents: str = "monthly
            high: float = 0.6, max_high: int = 100, max_mrr: float = 5000.0) -> DataFrame:
     """HIGH when more than ``max_high`` customers are high risk; WARNING
     when their MRR exceeds ``max_mrr``; otherwise one all-clear row."""
+    return alert_rows(preds.agg(*risk_totals(p, cents, high)), max_high, max_mrr)
+
+
+def risk_totals(p: str = "churn_probability", cents: str = "monthly_cents", high: float = 0.6) -> list:
+    """High-risk customers and their monthly revenue, as aggregates."""
     hr = F.col(p) >= high
-    a = preds.agg(F.sum(flag(hr)).cast("long").alias("high_risk"),
-                  (F.sum(F.when(hr, F.col(cents)).otherwise(0)).cast("double") / 100)
-                  .alias("mrr_at_risk"))
+    return [F.sum(flag(hr)).cast("long").alias("high_risk"),
+            (F.sum(F.when(hr, F.col(cents)).otherwise(0)).cast("double") / 100).alias("mrr_at_risk")]
+
+
+def alert_rows(totals: DataFrame, max_high: int = 100, max_mrr: float = 5000.0) -> DataFrame:
+    """The alerts of each row of ``risk_totals``: its other columns, level, message, figures."""
+    keep = [c for c in totals.columns if c not in ("high_risk", "mrr_at_risk")]
     msgs = F.array_compact(F.array(
         F.when(F.col("high_risk") > max_high,
                F.struct(F.lit("HIGH").alias("level"),
@@ -166,9 +193,8 @@ def alerts(preds: DataFrame, p: str = "churn_probability", cents: str = "monthly
                         F.format_string("$%.2f/month MRR at risk", F.col("mrr_at_risk"))
                         .alias("message")))))
     ok = F.array(F.struct(F.lit("OK").alias("level"), F.lit("No critical alerts").alias("message")))
-    return a.select(F.explode(F.when(F.size(msgs) > 0, msgs).otherwise(ok)).alias("a"),
-                    "high_risk", "mrr_at_risk").select("a.level", "a.message", "high_risk",
-                                                       "mrr_at_risk")
+    return totals.select(*keep, F.explode(F.when(F.size(msgs) > 0, msgs).otherwise(ok)).alias("a"),
+                         "high_risk", "mrr_at_risk").select(*keep, "a.level", "a.message", "high_risk", "mrr_at_risk")
 
 
 def quality_report(tagged: DataFrame, cols: list[str], window: str = "window") -> DataFrame:

@@ -1,11 +1,9 @@
-"""Registered event-log queries (P1–P6 and the batch forms of Q3–Q5) with oracles."""
+"""Registered event-log queries (P1–P6 and the batch forms of Q3, Q4) with oracles."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ebbflow.functions.columns import attach
-
 from ebbflow.operators import events as P
 from ebbflow.plans import datasets as D
 
@@ -98,17 +96,6 @@ FROM (SELECT *, SUM(new_s) OVER (PARTITION BY user_id ORDER BY ts, event_id
             FROM events))
 GROUP BY user_id, sid"""
 
-SQL["dedupe_events"] = """
-SELECT COUNT(*) AS rows_before, COUNT(DISTINCT event_id) AS rows_after FROM events"""
-
-
-def q_dedupe(spark, sf):
-    ev = D.events(spark, sf)
-    return ev.agg(F.count(F.lit(1)).alias("rows_before")).transform(
-        attach,
-        ev.dropDuplicates(["event_id"]).agg(F.count(F.lit(1)).alias("rows_after")))
-
-
 QUERIES = {
     "engagement_velocity": (_e(P.engagement_velocity), SQL["engagement_velocity"]),
     "adoption_breadth": (_e(P.adoption_breadth), SQL["adoption_breadth"]),
@@ -120,5 +107,4 @@ QUERIES = {
     "activity_windows_sliding": (_e(lambda e: P.activity_windows(e, "7 days", "1 day")),
                                  SQL["activity_windows_sliding"]),
     "user_sessions": (_e(P.user_sessions), SQL["user_sessions"]),
-    "dedupe_events": (q_dedupe, SQL["dedupe_events"]),
 }

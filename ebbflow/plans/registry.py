@@ -12,6 +12,7 @@ CATALOGS = [
     "ebbflow.plans.catalog_events",
     "ebbflow.plans.catalog_models",
     "ebbflow.plans.catalog_clean",
+    "ebbflow.plans.catalog_streams",
 ]
 
 

@@ -13,11 +13,10 @@ import os
 import uuid
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbflow.functions.columns import flag
 from ebbflow.operators import monitor, scoring
 from ebbflow.session import ensure_checkpoint_dir
 
@@ -53,16 +52,25 @@ def score_stream(updates: DataFrame, stats: DataFrame,
 def alerts_stream(preds: DataFrame, ts: str = "event_time", p: str = "churn_probability",
                   cents: str = "monthly_cents", watermark: str = "1 day",
                   window: str = "1 day", high: float = 0.6) -> DataFrame:
-    """Q2: per tumbling event-time window, high-risk count and MRR at risk."""
-    hr = F.col(p) >= high
+    """Q2: per tumbling event-time window, high-risk count and MRR at risk. In update mode each
+    batch gives the windows it changed, late rows included until the watermark has passed them;
+    ``monitor.alert_rows`` gives their alerts, ``level_transitions`` what changed."""
     preds, ntz = _event_time(preds, ts)
     return (preds.withWatermark(ts, watermark)
-            .groupBy(F.window(F.col(ts), window).alias("w"))
-            .agg(F.sum(flag(hr)).cast("long").alias("high_risk"),
-                 F.sum(F.when(hr, F.col(cents)).otherwise(0)).alias("_c"))
+            .groupBy(F.window(F.col(ts), window).alias("w")).agg(*monitor.risk_totals(p, cents, high))
             .select(_out_time(F.col("w.start"), ntz).alias("window_start"),
-                    _out_time(F.col("w.end"), ntz).alias("window_end"),
-                    "high_risk", (F.col("_c").cast("double") / 100).alias("mrr_at_risk")))
+                    _out_time(F.col("w.end"), ntz).alias("window_end"), "high_risk", "mrr_at_risk"))
+
+
+def level_transitions(log: DataFrame, max_high: int = 100, max_mrr: float = 5000.0) -> DataFrame:
+    """Q2: when the worst level of a window changed, from the log of ``alerts_stream``'s batches:
+    (window_start, window_end, batch_id, previous_level, level); the first level of a window counts
+    as a change from null."""
+    rank = F.when(F.col("level") == "HIGH", 2).when(F.col("level") == "WARNING", 1).otherwise(0)
+    worst = (monitor.alert_rows(log, max_high, max_mrr).groupBy("window_start", "window_end", "batch_id")
+             .agg(F.max_by("level", rank).alias("level")))
+    before = F.lag("level").over(Window.partitionBy("window_start", "window_end").orderBy("batch_id"))
+    return worst.withColumn("previous_level", before).where(~F.col("level").eqNullSafe(F.col("previous_level")))
 
 
 def activity_stream(events: DataFrame, duration: str = "7 days", slide: str = "1 day",
@@ -98,20 +106,28 @@ def dedupe_events(events: DataFrame, key: str = "event_id", ts: str = "ts",
     return out.withColumn(ts, _out_time(F.col(ts), ntz))
 
 
-def drift_stream_handler(reference: DataFrame, cols: list[str], out_path: str
+def drift_stream_handler(reference: DataFrame, cols: list[str], out_path: str, min_values: int = 1
                          ) -> Callable[[DataFrame, int], None]:
-    """Q6: ``foreachBatch`` body — drift of each micro-batch against a frozen
-    reference sample (tagged and unioned, N1 statistics), appended to parquet
-    with the batch id."""
-    ref = reference.select(*cols).withColumn("window", F.lit("reference"))
+    """Q6: ``foreachBatch`` body — N1 statistics of each micro-batch against a frozen
+    ``monitor.reference_histogram``, by batch in ``batch_sink``."""
+    return batch_sink(out_path, lambda batch: monitor.drift_against(reference, batch, cols, min_values))
 
+
+def batch_sink(out_path: str, transform: Callable[[DataFrame], DataFrame] = lambda batch: batch
+               ) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body: each batch replaces its own folder ``batch_id=…`` of a Parquet table,
+    so that a batch that is replayed after a failure changes nothing."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        cur = batch.select(*cols).withColumn("window", F.lit("current"))
-        stats = monitor.drift_statistics(ref.unionByName(cur), cols, min_values=1)
-        stats.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        transform(batch).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
     return handle
 
 
+def latest(log: DataFrame, keys: list[str]) -> DataFrame:
+    """The last version of each key in the batches of an update-mode ``batch_sink``."""
+    rest = [c for c in log.columns if c not in (*keys, "batch_id")]
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_r")).select(*keys, "_r.*")
+
+
 def run_available_now(stream: DataFrame, sink_dir: str | None = None, output_mode: str = "append",
                       name: str | None = None, foreach_batch=None) -> str:
     """Run a streaming DataFrame to completion over what is available now and
@@ -124,7 +140,7 @@ def run_available_now(stream: DataFrame, sink_dir: str | None = None, output_mod
          .option("checkpointLocation", os.path.join(sink_dir + "-ckpt"))
          .trigger(availableNow=True))
     if foreach_batch is not None:
-        q = w.foreachBatch(foreach_batch).start()
+        q = w.foreachBatch(foreach_batch).start()  # the sink is where the body writes
     else:
         q = w.format("parquet").option("path", sink_dir).start()
     q.awaitTermination()

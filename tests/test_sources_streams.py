@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from paths import SF_SMALL
-from ebbflow.operators import features, models
+from ebbflow.operators import features, models, monitor
 from ebbflow.plans import datasets
 from ebbflow.sources import tables
 from ebbflow.streaming import streams
@@ -65,7 +65,7 @@ def test_model_save_load(spark):
     assert a == b
 
 
-def test_alerts_and_drift_streams(spark):
+def test_alerts_stream(spark):
     cust = datasets.customers(spark, SF_SMALL)
     preds = cust.select("customer_id", "churn_probability", "monthly_cents",
                         F.col("start_date").alias("event_time"))
@@ -78,11 +78,50 @@ def test_alerts_and_drift_streams(spark):
     got = spark.table("q2_alerts").agg(F.sum("high_risk")).first()[0]
     assert got == preds.where(F.col("churn_probability") >= 0.6).count()
 
-    ref = cust.where(F.col("customer_id") % 2 == 0)
-    out = os.path.join(d, "drift")
-    handler = streams.drift_stream_handler(ref, ["tenure", "MonthlyCharges"], out)
-    cust.write.parquet(os.path.join(d, "cust"))
-    s2 = spark.readStream.schema(cust.schema).parquet(os.path.join(d, "cust"))
-    streams.run_available_now(s2, os.path.join(d, "sink"), foreach_batch=handler)
-    res = spark.read.parquet(out)
-    assert set(r.feature for r in res.collect()) == {"tenure", "MonthlyCharges"}
+
+
+def test_drift_stream_reads_the_reference_once_and_replays_change_nothing(spark):
+    cust, cols = datasets.customers(spark, SF_SMALL), ["tenure", "MonthlyCharges", "TotalCharges"]
+    ref, cur = cust.where("customer_id % 2 = 0"), cust.where("customer_id % 2 = 1").select("customer_id", *cols)
+    d = tempfile.mkdtemp(prefix="drift-")
+    frozen = monitor.reference_histogram(ref, cols, os.path.join(d, "reference"))
+    assert all("reference" in f for f in frozen.inputFiles())
+    handler = streams.drift_stream_handler(frozen, cols, os.path.join(d, "out"))
+    parts = [cur.where(f"customer_id % 4 = {k}") for k in (1, 3)]
+    for part in parts:  # each delivery is a batch
+        part.write.mode("append").parquet(os.path.join(d, "in"))
+        stream = streams.read_parquet_stream(spark, os.path.join(d, "in"), cur.schema)
+        streams.run_available_now(stream, os.path.join(d, "sink"), foreach_batch=handler)
+    read = lambda: sorted(map(tuple, spark.read.parquet(os.path.join(d, "out")).select(
+        "batch_id", "feature", "n_ref", "n_cur", "ks_statistic", F.round("mean_shift_sigma", 9)).collect()))
+    got = read()
+    want = []
+    for i, part in enumerate(parts):
+        tagged = ref.select(*cols).withColumn("window", F.lit("reference")).unionByName(part.select(*cols).withColumn("window", F.lit("current")))
+        want += [(i, *r) for r in monitor.drift_statistics(tagged, cols, min_values=1).select(
+            "feature", "n_ref", "n_cur", "ks_statistic", F.round("mean_shift_sigma", 9)).collect()]
+    assert got == sorted(want)
+    handler(parts[1], 1)  # the batch is replayed after a failure
+    assert read() == got
+
+
+def test_late_rows_change_the_level_of_a_window(spark):
+    """A window's level rises with late rows; rows behind the watermark change nothing."""
+    d = tempfile.mkdtemp(prefix="levels-")
+    rows = lambda day, n: [(f"2024-03-{day:02d} 10:00:00", 0.9, 1000)] * n
+    deliveries = [rows(1, 2) + rows(2, 1), rows(1, 3) + rows(9, 1), rows(1, 50) + rows(9, 5)]
+    schema = "event_time string, churn_probability double, monthly_cents long"
+    for i, some in enumerate(deliveries):
+        df = spark.createDataFrame(some, schema).withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+        df.write.mode("append").parquet(os.path.join(d, "in"))
+        stream = streams.read_parquet_stream(spark, os.path.join(d, "in"), df.schema)
+        streams.run_available_now(streams.alerts_stream(stream, watermark="2 days"), os.path.join(d, "sink"), "update",
+                                  foreach_batch=streams.batch_sink(os.path.join(d, "out")))
+    log = spark.read.parquet(os.path.join(d, "out"))
+    changes = streams.level_transitions(log, max_high=4, max_mrr=15.0).collect()
+    by_day = {}
+    for r in sorted(changes, key=lambda r: r.batch_id):
+        by_day.setdefault(r.window_start.day, []).append((r.previous_level, r.level))
+    assert by_day == {1: [(None, "WARNING"), ("WARNING", "HIGH")], 2: [(None, "OK")], 9: [(None, "OK"), ("OK", "HIGH")]}
+    last = {r.window_start.day: r.high_risk for r in streams.latest(log, ["window_start", "window_end"]).collect()}
+    assert last == {1: 5, 2: 1, 9: 6}
