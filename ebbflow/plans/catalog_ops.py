@@ -176,20 +176,6 @@ def q_alerts(spark, sf):
     return N.alerts(D.customers(spark, sf))
 
 
-def q_quality(spark, sf):
-    r = N.quality_report(_tagged(spark, sf), ["tenure", "MonthlyCharges", "TotalCharges"])
-    return r.withColumn("mean", F.round("mean", 6))
-
-
-SQL_QUALITY = on_customers("""
-SELECT "window", feature AS "column", COUNT(*) AS rows,
-  CAST(SUM(CAST(v IS NULL AS INTEGER)) AS BIGINT) AS nulls, COUNT(DISTINCT v) AS distinct,
-  min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean
-FROM (UNPIVOT (SELECT "window", CAST(tenure AS DOUBLE) AS tenure,
-        CAST(MonthlyCharges AS DOUBLE) AS MonthlyCharges, CAST(TotalCharges AS DOUBLE) AS TotalCharges
-        FROM tagged) ON tenure, MonthlyCharges, TotalCharges INTO NAME feature VALUE v)
-GROUP BY 1, 2""", TAG_CTE)
-
 # ------------------------------------------------------------------ marts
 SQL_MART_KPIS = on_customers("""
 UNPIVOT (SELECT CAST(COUNT(*) AS DOUBLE) AS customers, avg(CAST(Churn_binary AS DOUBLE)) AS churn_rate,
@@ -460,10 +446,8 @@ QUERIES = {
     "performance_delta": (lambda spark, sf: N.performance_delta(
         N.performance_report(_tagged(spark, sf))), SQL_PERF_DELTA),
     "prediction_distribution": (q_pred_dist, SQL_PRED_DIST),
-    "refresh_predictions": (_c(lambda d: N.refresh_predictions(d, AS_OF)[1]), SQL_REFRESH),
     "retrain_gate": (_c(lambda d: N.retrain_gate(d, [("customer_id", True)])), SQL_RETRAIN),
     "alerts": (q_alerts, SQL_ALERTS),
-    "quality_report": (q_quality, SQL_QUALITY),
     "mart_kpis": (q_mart_kpis, SQL_MART_KPIS),
     "mart_churn_analysis": (_c(O.mart_churn_analysis), on_customers(SQL_MARTS["mart_churn_analysis"])),
     "mart_at_risk": (_c(O.mart_at_risk), on_customers(SQL_MARTS["mart_at_risk"])),
@@ -485,7 +469,6 @@ QUERIES = {
     "score_customers": (q_score, None),
     "score_customers_fields": (q_score_fields, SQL_SCORE_FIELDS),
     "risk_register": (q_risk_register, SQL_RISK_REGISTER),
-    "batch_summary": (q_batch_summary, None),
     "kmeans_segments": (q_kmeans, None),
     "choose_k": (q_choose_k, None),
     "project_2d": (q_project, None),

@@ -143,43 +143,6 @@ SELECT * FROM (
   UNION ALL SELECT 'min_rows', COUNT(*) >= 1000, CAST(COUNT(*) AS DOUBLE) FROM customers)""")
 
 
-def q_iqr_bounds(spark, sf):
-    df = D.subscriptions(spark, sf)
-    return clean.iqr_bounds(df, ["monthly_cents", "total_cents", "tenure"])
-
-
-SQL_IQR_BOUNDS = with_ctes("""
-q AS (
-  SELECT 'monthly_cents' AS "column", quantile_cont(monthly_cents, 0.25) AS q1,
-         quantile_cont(monthly_cents, 0.75) AS q3 FROM subscriptions
-  UNION ALL SELECT 'total_cents', quantile_cont(total_cents, 0.25),
-         quantile_cont(total_cents, 0.75) FROM subscriptions
-  UNION ALL SELECT 'tenure', quantile_cont(tenure, 0.25), quantile_cont(tenure, 0.75) FROM subscriptions),
-b AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5::DOUBLE * (q3 - q1) AS lower,
-             q3 + 1.5::DOUBLE * (q3 - q1) AS upper FROM q),
-v AS (
-  SELECT 'monthly_cents' AS "column", CAST(monthly_cents AS DOUBLE) AS v FROM subscriptions
-  UNION ALL SELECT 'total_cents', CAST(total_cents AS DOUBLE) FROM subscriptions
-  UNION ALL SELECT 'tenure', CAST(tenure AS DOUBLE) FROM subscriptions)""", body="""
-SELECT b."column", b.q1, b.q3, b.iqr, b.lower, b.upper,
-       CAST(SUM(CAST(v.v < b.lower OR v.v > b.upper AS INTEGER)) AS BIGINT) AS outliers
-FROM b JOIN v ON b."column" = v."column"
-GROUP BY ALL""")
-
-
-def q_describe(spark, sf):
-    return clean.describe(D.subscriptions(spark, sf), ["monthly_cents", "total_cents", "tenure"])
-
-
-def _describe_sql():
-    parts = [f"""SELECT '{c}' AS "column", COUNT({c}) AS count, avg({c}) AS mean,
-  stddev_samp({c}) AS std, CAST(min({c}) AS DOUBLE) AS min,
-  quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS q50,
-  quantile_cont({c}, 0.75) AS q75, CAST(max({c}) AS DOUBLE) AS max FROM subscriptions"""
-             for c in ["monthly_cents", "total_cents", "tenure"]]
-    return with_ctes(body="\nUNION ALL\n".join(parts))
-
-
 def q_dedupe(spark, sf):
     df = D.subscriptions(spark, sf).select("Contract", "InternetService", "PaymentMethod",
                                            "tenure", "Churn_binary")
@@ -209,27 +172,6 @@ m AS (SELECT tc_bucket AS mode_v FROM b WHERE tc_bucket IS NOT NULL GROUP BY tc_
 SELECT coalesce(b.tc_bucket, m.mode_v) AS tc_bucket, COUNT(*) AS n FROM b CROSS JOIN m GROUP BY 1""")
 
 
-def q_iqr_cap(spark, sf):
-    df = D.subscriptions(spark, sf)
-    capped = clean.iqr_cap(df, ["monthly_cents", "tenure", "PhoneService"])
-    return capped.select("customer_id", "monthly_cents", "tenure", "PhoneService")
-
-
-SQL_IQR_CAP = with_ctes("""
-q AS (SELECT quantile_cont(monthly_cents, 0.25) AS m1, quantile_cont(monthly_cents, 0.75) AS m3,
-             quantile_cont(tenure, 0.25) AS t1, quantile_cont(tenure, 0.75) AS t3,
-             quantile_cont(PhoneService, 0.25) AS p1, quantile_cont(PhoneService, 0.75) AS p3
-      FROM subscriptions)""", body="""
-SELECT customer_id,
-  CASE WHEN m3 - m1 = 0 THEN CAST(monthly_cents AS DOUBLE) ELSE least(greatest(monthly_cents,
-       m1 - 1.5::DOUBLE * (m3 - m1)), m3 + 1.5::DOUBLE * (m3 - m1)) END AS monthly_cents,
-  CASE WHEN t3 - t1 = 0 THEN CAST(tenure AS DOUBLE) ELSE least(greatest(tenure,
-       t1 - 1.5::DOUBLE * (t3 - t1)), t3 + 1.5::DOUBLE * (t3 - t1)) END AS tenure,
-  CASE WHEN p3 - p1 = 0 THEN CAST(PhoneService AS DOUBLE) ELSE least(greatest(PhoneService,
-       p1 - 1.5::DOUBLE * (p3 - p1)), p3 + 1.5::DOUBLE * (p3 - p1)) END AS PhoneService
-FROM subscriptions CROSS JOIN q""")
-
-
 def q_validate_rows(spark, sf):
     df = D.subscriptions(spark, sf)
     v = clean.validate_rows(df)
@@ -556,9 +498,6 @@ QUERIES = {
     "second_gen_features": (q_second_gen, SQL_SECOND_GEN),
     "missing_profile": (q_missing_profile, _missing_sql()),
     "quality_checks": (q_quality_checks, SQL_QUALITY_CHECKS),
-    "iqr_bounds": (q_iqr_bounds, SQL_IQR_BOUNDS),
-    "iqr_cap": (q_iqr_cap, SQL_IQR_CAP),
-    "describe": (q_describe, _describe_sql()),
     "dedupe": (q_dedupe, SQL_DEDUPE),
     "fill_mode": (q_fill_mode, SQL_FILL_MODE),
     "validate_rows": (q_validate_rows, SQL_VALIDATE_ROWS),

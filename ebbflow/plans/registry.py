@@ -13,6 +13,7 @@ CATALOGS = [
     "ebbflow.plans.catalog_models",
     "ebbflow.plans.catalog_clean",
     "ebbflow.plans.catalog_streams",
+    "ebbflow.plans.catalog_whole",
 ]
 
 
