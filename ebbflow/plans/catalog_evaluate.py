@@ -174,8 +174,6 @@ QUERIES = {
     "lift_summary": (_c(lambda d: K.lift_summary(K.lift_curve(d))), SQL["lift_summary"]),
     "temporal_split": (_c(lambda d: K.temporal_split(d).select("customer_id", "split")),
                        SQL["temporal_split"]),
-    "stratified_split": (_c(lambda d: K.stratified_split(d).groupBy("Churn_binary", "split")
-                            .count()), None),
     "class_weights": (_c(K.class_weights), SQL["class_weights"]),
     "risk_tier_counts": (_c(K.risk_tier_counts), SQL["risk_tier_counts"]),
     "risk_tier_counts_cut": (_c(lambda d: K.risk_tier_counts(d, rule="cut")),

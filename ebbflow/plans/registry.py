@@ -14,6 +14,7 @@ CATALOGS = [
     "ebbflow.plans.catalog_clean",
     "ebbflow.plans.catalog_streams",
     "ebbflow.plans.catalog_whole",
+    "ebbflow.plans.catalog_certificates",
 ]
 
 
