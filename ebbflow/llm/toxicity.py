@@ -5,10 +5,12 @@ first five bytes (inflected forms share them). At most ``max_rows`` labelled row
 learn from (the least by a hash of the id) are counted per term and label; a term has
 evidence if its rows are toxic so much more often than the base rate that fewer than
 ``alpha`` such terms are expected by chance (Chernoff bound), at most ``max_terms``
-of them by evidence. Evidence only weighs a term ``EVIDENCE`` times. Inverse document
+of them by evidence. Evidence only weighs a term ``evidence`` times (1: plain TF-IDF). Inverse document
 frequencies come from all documents. A text is its TF-IDF vector over all its words:
 those of the examples have numbers of their own; others, which no example has, only
-count in the length and share ``BUCKETS`` document frequencies by hash.
+count in the length and share ``BUCKETS`` document frequencies by hash. Terms are
+known by 64-bit hashes, of words of any length; counts are kept, not weights, so the
+model is small in every worker, and what is sent out is dropped when its stage ends.
 
 Examples are the first ``max_examples`` of those rows that have a word. They lie in
 blocks behind an inverted index. The words that many examples have are columns of a
@@ -33,13 +35,14 @@ import math
 import pickle
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, fields
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +54,6 @@ PREFIX = 5
 FIRST_BLOCKS = 4
 #: Terms tested, per labelled row, in the bound over all terms.
 NEW_TERMS = 100
-#: What evidence multiplies a term's weight by.
-EVIDENCE = 8.0
 #: Shared document frequencies of the words that no example has; a power of two.
 BUCKETS = 1 << 21
 #: Words of most examples whose weights are a dense matrix, and queries multiplied with it at once.
@@ -68,13 +69,18 @@ def terms_of(words) -> list[bytes]:
     return [*words, *(w[:PREFIX] + b"*" for w in words if len(w) > PREFIX)]
 
 
-def _long_words_cut(words: list[bytes]) -> list[bytes]:
-    return [w if len(w) <= 64 else w[:64] for w in words]
+def hashes_of(terms: Collection[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, terms), np.uint64, len(terms))
+
+
+def hashes_in(text: str | None) -> np.ndarray:
+    """Of each of a text's terms, once."""
+    return hashes_of(set(terms_of(set(text_words(text or "")))))
 
 
 def counts(text: str | None) -> dict[bytes, int]:
     """How often a text has each of its terms."""
-    words = Counter(_long_words_cut(text_words(text or "")))
+    words = Counter(text_words(text or ""))
     found = dict(words)
     for word, n in words.items():
         if len(word) > PREFIX:
@@ -86,9 +92,12 @@ def counts(text: str | None) -> dict[bytes, int]:
 @dataclass
 class ToxicityModel:
     """What the driver holds and sends out: bounded by ``max_examples``, their words and ``BUCKETS``."""
-    terms: dict[bytes, int]
-    #: The first so many terms have evidence.
+    #: Hashes of the known terms, ascending, and the number of each.
+    terms: np.ndarray
+    number: np.ndarray
+    #: The first so many numbers have evidence, which multiplies their weight.
     evident: int
+    evidence: float
     #: By term, then by bucket of the words that no example has.
     idf: np.ndarray
     prior: float
@@ -110,31 +119,36 @@ class ToxicityModel:
 
     @cached_property
     def index(self) -> tuple[np.ndarray, ...]:
-        """Per term its column of the dense matrix or -1; for the other terms, first postings, examples and
-        weights; weights by example (whole blocks) and column; the largest by column and block."""
+        """Per term its column of the dense matrix or -1; weights by example (whole blocks) and column;
+        the largest by column and block; logarithms of counts; lengths by example (whole blocks)."""
         begin, example, count = self.postings
         n_terms, blocks = len(self.terms), -(-len(self.labels) // self.block)
         often = np.diff(begin)
         common = np.sort(np.lexsort((np.arange(n_terms), -often))[:COMMON])
         column = np.full(n_terms, -1, np.int16)
         column[common] = np.arange(len(common))
-        term = np.repeat(np.arange(n_terms, dtype=np.int32), often)
-        weight = self._weights(term, count) / self.length[example]
-        inside = column[term] >= 0
         dense = np.zeros((blocks * self.block, len(common)))
-        dense[example[inside], column[term[inside]]] = weight[inside]
+        for c, t in enumerate(common.tolist()):
+            some = slice(int(begin[t]), int(begin[t + 1]))
+            e = example[some]
+            dense[e, c] = self._weights(np.full(len(e), t), count[some]) / self.length[e]
         largest = np.ascontiguousarray(dense.reshape(blocks, self.block, len(common)).max(1).T)
-        often[common] = 0
-        return column, np.concatenate([[0], np.cumsum(often)]), example[~inside], weight[~inside], dense, largest
-
-    def numbers(self, terms: Iterable[bytes]) -> list[int]:
-        get, own = self.terms.get, len(self.terms)
-        return [i if (i := get(t)) is not None else own + (zlib.crc32(t) & (BUCKETS - 1)) for t in terms]
+        logs = 1 + np.log(np.maximum(np.arange(int(count.max(initial=1)) + 1), 1))
+        length = np.concatenate([self.length, np.ones(blocks * self.block - len(self.length))])
+        return column, dense, largest, logs, length
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """A term's number, or a bucket past all numbers if no example has it."""
+        shared = len(self.terms) + (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+        if not len(self.terms):
+            return shared
+        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+        return np.where(self.terms[at] == hashes, self.number[at], shared)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and normalised weights of a text."""
         found = counts(text)
-        number, n = np.array(self.numbers(found), np.int64), np.fromiter(found.values(), np.int64, len(found))
+        number, n = self.numbers(hashes_of(found)), np.fromiter(found.values(), np.int64, len(found))
         order = np.argsort(number, kind="stable")
         number, n = number[order], n[order]
         first = np.flatnonzero(np.diff(number, prepend=-1))
@@ -142,7 +156,7 @@ class ToxicityModel:
         return i, self._unit(i, np.add.reduceat(n, first) if len(first) else n)
 
     def _weights(self, i: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (1 + np.log(n)) * self.idf[i] * np.where(i < self.evident, EVIDENCE, 1.0)
+        return (1 + np.log(n.astype(float))) * self.idf[i] * np.where(i < self.evident, self.evidence, 1.0)
 
     def _unit(self, i: np.ndarray, n: np.ndarray) -> np.ndarray:
         w = self._weights(i, n)
@@ -158,7 +172,8 @@ class ToxicityModel:
         return [x for at in range(0, len(vectors), QUERIES) for x in self._nearest(vectors[at:at + QUERIES])]
 
     def _nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[float, int]]]:
-        columns, begin, examples, weights, dense, largest = self.index
+        columns, dense, largest, logs, length = self.index
+        begin, examples, count = self.postings
         size, blocks = len(dense), len(dense) // self.block
         cosine, q = np.zeros((len(vectors), size)), np.zeros((len(vectors), dense.shape[1]))
         for k, (i, w) in enumerate(vectors):
@@ -166,10 +181,12 @@ class ToxicityModel:
             i, w = i[known], w[known]
             column = columns[i]
             q[k, column[column >= 0]] = w[column >= 0]
+            i, w = i[column < 0], w[column < 0]
             lo = begin[i]
             n = begin[i + 1] - lo
             row = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            cosine[k] = np.bincount(examples[row], weights[row] * np.repeat(w, n), minlength=size)
+            each = w * self.idf[i] * np.where(i < self.evident, self.evidence, 1.0)
+            cosine[k] = np.bincount(examples[row], logs[count[row]] * np.repeat(each, n), minlength=size) / length
         bound = cosine.reshape(len(vectors), blocks, self.block).max(2) + q @ largest
         first = min(max(FIRST_BLOCKS, -(-self.neighbours // self.block)), blocks)
         opened = np.zeros(bound.shape, bool)
@@ -187,7 +204,7 @@ class ToxicityModel:
 
     def _open(self, cosine: np.ndarray, q: np.ndarray, some: np.ndarray) -> None:
         """Adds the common words' part in the chosen blocks of each query."""
-        dense = self.index[4]
+        dense = self.index[1]
         for b in np.flatnonzero(some.any(0)).tolist():
             k, rows = np.flatnonzero(some[:, b]), slice(b * self.block, (b + 1) * self.block)
             cosine[k, rows] += q[k] @ dense[rows].T
@@ -217,32 +234,31 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, learn: Column, most: int)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, alpha: float = 1.0, max_rows: int = 50_000, max_terms: int = 20_000,
-        max_examples: int = 20_000, neighbours: int = 15, prior_weight: float = 0.02, block: int = 64) -> ToxicityModel:
+        max_examples: int = 20_000, neighbours: int = 15, prior_weight: float = 0.02, block: int = 64, evidence: float = 8.0) -> ToxicityModel:
     rows = labelled_rows(docs, labels, learn, max_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_chunks(batches, 10_000):
-            clean, toxic = Counter(), Counter()
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                (toxic if label else clean).update(set(terms_of(set(_long_words_cut(text_words(text or ""))))))
-            both = list(toxic.keys() | clean.keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(both, pa.binary()), pa.array([toxic[t] + clean[t] for t in both], pa.int64()),
-                 pa.array([toxic[t] for t in both], pa.int64())], names=["term", "n", "a"])
+            found = [hashes_in(text) for text in batch.column("text").to_pylist()]
+            toxic = np.repeat([int(label or 0) for label in batch.column("label").to_pylist()], list(map(len, found)))
+            term, place, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_inverse=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n), pa.array(np.bincount(place, toxic, len(term)).astype(np.int64))],
+                                             names=["term", "n", "a"])
 
     total = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
     n_rows, n_toxic = total[0], total[1] or 0
     rate = n_toxic / n_rows if n_rows else 0.0
-    per_term = rows.select("text", "label").mapInArrow(count, "term binary, n long, a long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+    per_term = rows.select("text", "label").mapInArrow(count, "term long, n long, a long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
     # divergence of the term's rate of toxic rows from the base rate, times its rows
     p = F.col("a") / F.col("n")
     rest = F.when(p < 1, (1 - p) * F.log((1 - p) / F.lit(1 - rate))).otherwise(0.0)
-    evidence = F.col("n") * (p * F.log(p / F.lit(rate)) + rest)
+    weight = F.col("n") * (p * F.log(p / F.lit(rate)) + rest)
     threshold = math.log(max(n_rows, 1) * NEW_TERMS / alpha)
-    terms = (per_term.filter(f"a > {rate} * n").withColumn("e", evidence).filter(F.col("e") >= threshold)
+    terms = (per_term.filter(f"a > {rate} * n").withColumn("e", weight).filter(F.col("e") >= threshold)
              .orderBy(F.desc("e"), "term").limit(max_terms).collect() if 0 < rate < 1 else [])
-    evident = {bytes(r["term"]): i for i, r in enumerate(terms)}
-    model = ToxicityModel(evident, len(evident), np.zeros(0), 0.0, prior_weight, neighbours, np.zeros(0, np.int64), np.zeros(0, np.int8), block,
+    known = np.array([r["term"] for r in terms], np.int64).view(np.uint64)
+    order = np.argsort(known)
+    model = ToxicityModel(known[order], order.astype(np.int32), len(known), evidence, np.zeros(0), 0.0, prior_weight, neighbours, np.zeros(0, np.int64), np.zeros(0, np.int8), block,
                           (np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)), np.zeros(0))
     if not n_rows:
         model.idf = np.ones(BUCKETS)
@@ -255,23 +271,29 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, alpha: float = 1.0, m
 
 def _sample(rows: DataFrame, model: ToxicityModel, most: int) -> DataFrame:
     """(doc_id, label, terms, counts) of the examples. Sets the prior and numbers the examples' terms."""
-    evident = rows.sparkSession.sparkContext.broadcast(model.terms)
+    evident = rows.sparkSession.sparkContext.broadcast(model.terms)  # sorted hashes
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_chunks(batches, 500):
             found = [counts(x) for x in batch.column("text").to_pylist()]
+            terms = [hashes_of(f) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array([not evident.value.keys().isdisjoint(f) for f in found], pa.bool_()),
-                 pa.array([list(f) for f in found], pa.list_(pa.binary())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))],
+                [batch.column("doc_id"), batch.column("label"), pa.array([bool(np.isin(t, evident.value, kind="sort").any()) for t in terms], pa.bool_()),
+                 pa.array([t.view(np.int64) for t in terms], pa.list_(pa.int64())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))],
                 names=["doc_id", "label", "evident", "terms", "counts"])
 
-    made = materialize(rows.mapInArrow(count, "doc_id long, label int, evident boolean, terms array<binary>, counts array<int>"), "labelled")
+    made = materialize(rows.mapInArrow(count, "doc_id long, label int, evident boolean, terms array<long>, counts array<int>"), "labelled")
+    evident.destroy()
     none = made.filter("not evident").agg(F.count(F.lit(1)), F.sum("label")).first()
     model.prior = (none[1] or 0) / none[0] if none[0] else 0.0
     some = made.filter("size(terms) > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).drop("evident")
     examples = materialize(some, "examples")
-    for t in sorted(examples.select(F.explode("terms").alias("t")).distinct().toArrow().column("t").to_pylist()):
-        model.terms.setdefault(t, len(model.terms))
+    held = examples.select(F.explode("terms").alias("t")).distinct().toArrow().column("t").to_numpy().view(np.uint64)
+    new = np.setdiff1d(held, model.terms)
+    terms = np.concatenate([model.terms, new])
+    order = np.argsort(terms)
+    model.number = np.concatenate([model.number, model.evident + np.arange(len(new), dtype=np.int32)])[order]
+    model.terms = terms[order]
     return examples
 
 
@@ -285,12 +307,13 @@ def _document_frequencies(docs: DataFrame, model: ToxicityModel) -> None:
         for batch in row_chunks(batches):
             n += batch.num_rows
             for text in batch.column("text").to_pylist():
-                df[list(set(m.numbers(set(terms_of(set(_long_words_cut(text_words(text or ""))))))))] += 1
+                df[np.unique(m.numbers(hashes_in(text)))] += 1
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], names=["i", "n"])
 
     found = (docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "i long, n long")
              .groupBy("i").agg(F.sum("n").alias("n")).toArrow())  # a row per term and bucket at most
+    shared.destroy()
     i, n = (found.column(c).to_numpy() for c in ("i", "n"))
     df = np.zeros(len(model.idf))
     df[i[i >= 0]] = n[i >= 0]
@@ -301,13 +324,17 @@ def _index(examples: DataFrame, model: ToxicityModel) -> None:
     shared = examples.sparkSession.sparkContext.broadcast(model)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = shared.value.terms
+        m: ToxicityModel = shared.value
         for batch in row_chunks(batches, 500):
+            terms = batch.column("terms")
+            numbers = m.numbers(pc.list_flatten(terms).to_numpy(zero_copy_only=False).view(np.uint64))
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array([[terms[t] for t in x] for x in batch.column("terms").to_pylist()], pa.list_(pa.int32())),
+                [batch.column("doc_id"), batch.column("label"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers, pa.int32())),
                  batch.column("counts")], names=["doc_id", "label", "i", "n"])
 
     some = examples.mapInArrow(number, "doc_id long, label int, i array<int>, n array<int>").toArrow()
+    shared.destroy()
     n_rows = some.num_rows
     if not n_rows:
         return
@@ -329,9 +356,10 @@ def _index(examples: DataFrame, model: ToxicityModel) -> None:
     place[order] = np.arange(n_rows)
     model.doc_ids, model.labels, model.length = doc_ids[order].astype(np.int64), labels[order].astype(np.int8), length[order]
     example = np.repeat(place, sizes)
-    order = np.lexsort((example, term))
+    order = np.argsort(term.astype(np.int64) * n_rows + example)
     begin = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(model.terms)))])
-    model.postings = begin, example[order], count[order]
+    small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    model.postings = begin, small(example[order]), small(count[order])
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, out: str = "toxicity") -> DataFrame:
