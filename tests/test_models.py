@@ -151,3 +151,26 @@ def test_logistic_and_tune(cust):
                                           subsamplingRate=(0.8, 1.0),
                                           featureSubsetStrategy=(0.8, 1.0)))
     assert trials.count() == 2 and "maxIter" in best
+
+
+def test_tree_contributions_follow_the_paths(spark):
+    """A step of a path changes the margin by the difference of two nodes' values, for its feature."""
+    import numpy as np
+    table = models.TreeTable(np.array([0, 5]), np.array([1.0, 0.5]), np.array([0, -1, 1, -1, -1, -1]), np.array([0.5, 0, 2.0, 0, 0, 0]),
+                             np.array([1, -1, 3, -1, -1, -1]), np.array([2, -1, 4, -1, -1, -1]), np.array([1.0, 0.0, 3.0, 2.0, 7.0, 4.0]))
+    assert table.bias == 1.0 + 0.5 * 4.0
+    got = table.contributions(np.array([[0.5, 9.0, 1.0], [0.6, 2.0, 1.0], [0.6, 2.1, 1.0]]))
+    assert got.tolist() == [[-1.0, 0.0, 0.0], [2.0, -1.0, 0.0], [2.0, 4.0, 0.0]]
+
+
+def test_contributions_add_up_with_nulls_and_unused_features(spark):
+    cust = datasets.customers(spark, SF_SMALL)
+    feats = ["tenure", "MonthlyCharges", "has_fiber", "constant"]
+    df = cust.withColumn("constant", F.lit(3.0)).withColumn("tenure", F.when(F.col("customer_id") % 7 != 0, F.col("tenure")))
+    for model, explain in ((models.train_logistic(df, feats, max_iter=30), models.linear_contributions),
+                           (models.train_boosted(df, feats, preset=dict(maxIter=4, maxDepth=3)), models.tree_contributions)):
+        margin = {r.customer_id: r.margin for r in models.margins(model, df).collect()}
+        rows = explain(model, df, feats).collect()
+        assert len(rows) == len(margin) == cust.count()
+        for r in rows:
+            assert abs(r.bias + sum(r.contributions) - margin[r.customer_id]) < 1e-9 and r.contributions[3] == 0
