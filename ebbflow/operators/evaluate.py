@@ -31,7 +31,11 @@ def roc_auc(df: DataFrame, p: str = "churn_probability", y: str = "Churn_binary"
     AUC = (2·Σ pos_v·neg_below_v + Σ pos_v·neg_v) / (2·n₁·n₀).
     """
     by = by or []
-    t = _score_table(df, p, y, by)
+    return auc_of_counts(_score_table(df, p, y, by), p, by, bounded)
+
+
+def auc_of_counts(t: DataFrame, p: str, by: list[str], bounded: bool = False) -> DataFrame:
+    """K8 from a table (by…, p, pos, neg) of the rows of either class per distinct score."""
     cum = grouped_prefix_sums(t, by, [(p, True)], {"_neg_le": F.col("neg")}, bounded=bounded, freeze=True)
     g = cum.groupBy(*by).agg(
         F.sum(F.col("pos") * (F.col("_neg_le") - F.col("neg")) * 2

@@ -174,3 +174,18 @@ def test_contributions_add_up_with_nulls_and_unused_features(spark):
         assert len(rows) == len(margin) == cust.count()
         for r in rows:
             assert abs(r.bias + sum(r.contributions) - margin[r.customer_id]) < 1e-9 and r.contributions[3] == 0
+
+
+def test_permuted_scores_in_batches_equal_those_of_repeated_rows(spark, monkeypatch):
+    cust = datasets.customers(spark, SF_SMALL)
+    feats = ["tenure", "MonthlyCharges", "has_fiber", "service_adoption_score"]
+    df = cust.select("customer_id", "Churn_binary", *feats)
+    for model in (models.train_logistic(df, feats, max_iter=30), models.train_boosted(df, feats, preset=dict(maxIter=4, maxDepth=3))):
+        read = lambda: {r.feature: (round(r.base_auc, 6), round(r.permuted_auc, 6))
+                        for r in models.permutation_importance(model, df, feats).collect()}
+        batches = read()
+        with monkeypatch.context() as m:
+            m.setattr(models, "LogisticRegressionModel", type(None))
+            m.setattr(models, "GBTClassificationModel", type(None))
+            assert read() == batches
+        assert set(batches) == set(feats)
