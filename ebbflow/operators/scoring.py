@@ -40,6 +40,17 @@ INTERVENTIONS = {
     "Lifecycle Leaver": "📋 Send contract renewal incentive 60 days before expiry",
     "At Risk": "📧 Trigger retention email sequence and monitor engagement",
 }
+# The campaign per archetype (action, description).
+CAMPAIGNS = {
+    "Price Refugee": ("💰 Loyalty Discount",
+                      "Offer 15-20% bill reduction or a plan downgrade. ROI is 5-8x. Act within 30 days of risk signal."),
+    "Early Dropout": ("📞 Proactive Onboarding",
+                      "Trigger CS outreach on days 7, 30, and 60. Feature walkthroughs reduce early churn by 15-20%."),
+    "Tech Dissatisfied": ("🔧 Free Tech Support Upgrade",
+                          "Offer a free 3-month TechSupport add-on. Cost: ~$5/month per customer."),
+    "Lifecycle Leaver": ("📋 Proactive Contract Renewal",
+                         "Send a renewal incentive 60 days before contract expiry. Retains ~40% of this cohort."),
+}
 LOW_RISK_TEXT = "✅ Low risk — standard engagement, no immediate action needed"
 DEFAULT_INTERVENTION = "📧 Flag for retention team review"
 MODEL_VERSION = "ebbflow-scoring-v1"
@@ -69,6 +80,13 @@ def intervention(archetype_col: str = "archetype", p: str = "churn_probability",
         F.coalesce(book[F.col(archetype_col)], F.lit(DEFAULT_INTERVENTION)))
 
 
+def campaign(archetype_col: str = "archetype") -> F.Column:
+    """M3: the campaign (action, description) of an archetype; null where there is none."""
+    book = F.create_map(*[x for k, (action, text) in CAMPAIGNS.items()
+                          for x in (F.lit(k), F.struct(F.lit(action).alias("action"), F.lit(text).alias("description")))])
+    return book[F.col(archetype_col)]
+
+
 def stand_in_scorer(df: DataFrame) -> DataFrame:
     """Deterministic probability least(1, advanced_risk_score/20) (no model)."""
     return df.withColumn("churn_probability",

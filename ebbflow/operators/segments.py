@@ -313,11 +313,13 @@ def scatter_extract(df: DataFrame, cols, key="customer_id", n: int = 1000,
             .orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n))
 
 
-def two_group_ratio(df: DataFrame, cond, y=Y) -> DataFrame:
-    """rate with vs without a condition and their ratio."""
+def two_group_ratio(df: DataFrame, cond, y=Y, against=None) -> DataFrame:
+    """rate with a condition vs without it, or vs rows of another condition
+    ``against``, and their ratio."""
     c = F.col(cond) == 1 if isinstance(cond, str) else cond
+    other = ~c | c.isNull() if against is None else against
     with_r = ratio(F.sum(F.when(c, F.col(y))), F.sum(flag(c)))
-    wo_r = ratio(F.sum(F.when(~c | c.isNull(), F.col(y))), F.sum(flag(~c | c.isNull())))
+    wo_r = ratio(F.sum(F.when(other, F.col(y))), F.nullif(F.sum(flag(other)), F.lit(0)))
     return (df.agg(with_r.alias("rate_with"), wo_r.alias("rate_without"))
             .withColumn("ratio", F.col("rate_without") / F.col("rate_with")))
 

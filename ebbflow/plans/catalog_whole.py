@@ -116,6 +116,34 @@ SELECT 'contract' AS section, Contract AS value, COUNT(*) AS count FROM rfm2 WHE
 UNION ALL SELECT 'internet', InternetService, COUNT(*) FROM rfm2 WHERE rfm_total >= 6 AND rfm_total < 8 GROUP BY 2""", seg.RFM_CTES)
 
 
+# ------------------------------------------------------------------ F26, M3
+def q_services_ratio(spark, sf):
+    """Four and more services against a single one."""
+    n = F.col("service_adoption_score")
+    return S.two_group_ratio(D.customers(spark, sf), n >= 4, against=n == 1)
+
+
+SQL_SERVICES_RATIO = on_customers("""
+SELECT rate_with, rate_without, rate_without / rate_with AS ratio FROM (
+  SELECT avg(Churn_binary) FILTER (service_adoption_score >= 4) AS rate_with,
+         avg(Churn_binary) FILTER (service_adoption_score = 1) AS rate_without FROM customers)""")
+
+
+def q_campaigns(spark, sf):
+    """Churned customers and their monthly revenue per campaign."""
+    named = J.archetype_rule(D.customers(spark, sf).where("Churn_binary = 1")).withColumn("c", M.campaign())
+    return named.groupBy("archetype", F.col("c.action").alias("action"), F.col("c.description").alias("description")).agg(
+        F.count(F.lit(1)).alias("customers"), (F.sum("monthly_cents").cast("double") / 100).alias("mrr"))
+
+
+_ACTIONS = " ".join(f"WHEN '{k}' THEN '{a}'" for k, (a, _) in M.CAMPAIGNS.items())
+_TEXTS = " ".join(f"WHEN '{k}' THEN '{t}'" for k, (_, t) in M.CAMPAIGNS.items())
+SQL_CAMPAIGNS = on_customers(f"""
+SELECT archetype, CASE archetype {_ACTIONS} END AS action, CASE archetype {_TEXTS} END AS description,
+       COUNT(*) AS customers, CAST(SUM(monthly_cents) AS DOUBLE) / 100 AS mrr
+FROM (SELECT *, {ops._ARCH} AS archetype FROM customers WHERE Churn_binary = 1) GROUP BY archetype""")
+
+
 # ------------------------------------------------------------------ M1, M4
 def q_score_all_fields(spark, sf):
     """All 14 fields, the macro context from signals of the tables; arrays and maps as text and columns."""
@@ -210,6 +238,8 @@ QUERIES = {
     "refresh_summary": (lambda spark, sf: N.refresh_predictions(D.customers(spark, sf), ops.AS_OF)[1], ops.SQL_REFRESH),
     "risk_register_kpis": (q_register_kpis, SQL_REGISTER_KPIS),
     "segment_drilldown_counts": (q_drilldown_counts, SQL_DRILLDOWN_COUNTS),
+    "two_group_ratio_services": (q_services_ratio, SQL_SERVICES_RATIO),
+    "intervention_campaigns": (q_campaigns, SQL_CAMPAIGNS),
     "score_customers_all_fields": (q_score_all_fields, SQL_SCORE_ALL_FIELDS),
     "batch_summary": (ops.q_batch_summary, SQL_BATCH_SUMMARY),
     "customer_predictions_joined": (q_predictions_joined, SQL_PREDICTIONS_JOINED),
