@@ -315,11 +315,17 @@ def _document_frequencies(docs: DataFrame, model: ToxicityModel) -> None:
              .groupBy("i").agg(F.sum("n").alias("n")).toArrow())  # a row per term and bucket at most
     shared.destroy()
     i, n = (found.column(c).to_numpy() for c in ("i", "n"))
+    del found
     df = np.zeros(len(model.idf))
     df[i[i >= 0]] = n[i >= 0]
     model.idf = np.log((1 + n[i < 0].sum()) / (1 + df)) + 1
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """In the least unsigned type that holds every value."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 def _index(examples: DataFrame, model: ToxicityModel) -> None:
     shared = examples.sparkSession.sparkContext.broadcast(model)
 
@@ -340,8 +346,10 @@ def _index(examples: DataFrame, model: ToxicityModel) -> None:
         return
     doc_ids, labels = some.column("doc_id").to_numpy(), some.column("label").to_numpy()
     sizes = pc.list_value_length(some.column("i")).to_numpy().astype(np.int64)
-    term, count = (pc.list_flatten(some.column(c)).to_numpy().copy() for c in ("i", "n"))
+    term = pc.list_flatten(some.column("i")).to_numpy().astype(np.int32)
+    count = _small(pc.list_flatten(some.column("n")).to_numpy())
     del some
+    pa.default_memory_pool().release_unused()
     end = np.cumsum(sizes)
     length, strongest = np.zeros(n_rows), []
     for e, (lo, hi) in enumerate(zip((end - sizes).tolist(), end.tolist())):
@@ -355,11 +363,17 @@ def _index(examples: DataFrame, model: ToxicityModel) -> None:
     place = np.empty(n_rows, np.int32)
     place[order] = np.arange(n_rows)
     model.doc_ids, model.labels, model.length = doc_ids[order].astype(np.int64), labels[order].astype(np.int8), length[order]
-    example = np.repeat(place, sizes)
-    order = np.argsort(term.astype(np.int64) * n_rows + example)
+    example = _small(np.repeat(place, sizes))
     begin = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(model.terms)))])
-    small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
-    model.postings = begin, small(example[order]), small(count[order])
+    by_term = np.empty_like(example), np.empty_like(count)
+    # a stretch of terms at a time, so that the sort takes a part of the postings' memory
+    cuts = np.unique(np.append(np.searchsorted(begin, np.arange(0, len(term), 1 << 20)), len(model.terms)))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        some = np.flatnonzero((term >= a) & (term < b))
+        some = some[np.argsort(term[some].astype(np.int64) * n_rows + example[some])]
+        for to, of in zip(by_term, (example, count)):
+            to[begin[a]:begin[b]] = of[some]
+    model.postings = begin, *by_term
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, out: str = "toxicity") -> DataFrame:
