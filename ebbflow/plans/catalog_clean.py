@@ -92,12 +92,12 @@ FROM (SELECT *, CAST(floor(tenure / 24.0) AS INTEGER) AS segment FROM customers)
 
 def q_cluster_profiles(spark, sf):
     p = J.cluster_profiles(_labelled(spark, sf))
-    return p.select("cluster", *[F.round(c, 6).alias(c) for c in J.CLUSTER_FEATURES])
+    return p.select("cluster", *[F.round(c, 9).alias(c) for c in J.CLUSTER_FEATURES])
 
 
 _PROFILE = ["tenure", "MonthlyCharges", "TotalCharges", "service_adoption_score", "is_month_to_month", "is_new_customer", "has_fiber",
             "charge_per_service", "base_risk_score", "has_auto_pay", "is_high_charger", "fiber_no_security"]
-SQL_CLUSTER_PROFILES = on_customers("SELECT cluster, " + ", ".join(f"round(avg(CAST({c} AS DOUBLE)), 6) AS {c}" for c in _PROFILE) + """
+SQL_CLUSTER_PROFILES = on_customers("SELECT cluster, " + ", ".join(f"round(avg(CAST({c} AS DOUBLE)), 9) AS {c}" for c in _PROFILE) + """
 FROM (SELECT *, CASE WHEN tenure <= 6 THEN 0 WHEN tenure <= 24 THEN 1 ELSE 2 END AS cluster
       FROM customers WHERE Churn_binary = 1) GROUP BY cluster""")
 
