@@ -14,7 +14,8 @@ from paths import SF_SMALL
 
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()
-TABLES = ["customer", "orders", "lineitem", "part", "events", "nation", "region", "supplier"]
+TABLES = ["customer", "orders", "lineitem", "part", "events", "nation", "region", "supplier",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 def _norm(v):
