@@ -85,3 +85,16 @@ def test_quantile_row_and_exact_quantiles(spark):
     row = ranks.quantile_row(df, {"x": [0.9, 0.25], "nothing": [0.5]}).first()
     assert row.x == [90.0, 25.0] and row.nothing is None
     assert {(r.level, r.quantile) for r in ranks.exact_quantiles(df, "x", [0.5, 0.005]).collect()} == {(0.5, 50.0), (0.005, 0.5)}
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz", "decimal(30,8)", "bigint", "float", "string", "boolean", "binary"])
+def test_cut_keys_keep_every_type(spark, kind):
+    """Cuts travel as text; sums over buckets equal those of one window for keys of any type."""
+    made = {"date": "date_add(date'1582-10-01', cast(id * 97 as int))", "timestamp": "timestamp_micros(id * 1234567891 - 5000000000000)",
+            "timestamp_ntz": "timestamp_ntz'1969-12-31 23:59:59.999999' + make_dt_interval(0, 0, 0, id / 7)",
+            "decimal(30,8)": "cast(id as decimal(30,8)) / 3 - 50", "bigint": "9223372036854775807 - id * 3", "float": "cast(id / 7.0 - 20 as float)",
+            "string": "concat(chr(cast(id % 40 as int)), '\"\\\\é\n', id)", "boolean": "id % 3 = 0", "binary": "unhex(hex(id * 7919))"}[kind]
+    df = spark.range(400).selectExpr("id", f"cast(if(id % 11 = 0, null, {made}) as {kind}) AS k", "id % 5 AS x")
+    read = lambda bounded: sorted(map(tuple, ranks.prefix_sums(df, [("k", False), ("id", True)], {"s": F.col("x")}, bounded=bounded, partitions=7)
+                                      .select("id", "s").collect()))
+    assert read(False) == read(True)
