@@ -140,11 +140,11 @@ def log_rank_statistic(df: DataFrame, dur: str, evt: str, group: str, a, b,
     from ebbflow.operators.ranks import prefix_sums
     r = prefix_sums(t, [("_t", False)], {"_n1": F.col("_c1"), "_n2": F.col("_c2")},
                     bounded=bounded, freeze=True)
-    n = F.col("_n1") + F.col("_n2")
+    n1, n2 = F.col("_n1").cast("double"), F.col("_n2").cast("double")  # the products outgrow a long
+    n = n1 + n2
     d = F.col("_d1") + F.col("_d2")
-    e1 = d * F.col("_n1") / n.cast("double")
-    v = F.when(n > 1, F.col("_n1") * F.col("_n2") * d * (n - d) / (n * n * (n - 1)).cast("double")
-               ).otherwise(0.0)
+    e1 = d * n1 / n
+    v = F.when(n > 1, n1 * n2 * d * (n - d) / (n * n * (n - 1))).otherwise(0.0)
     g = r.where(d > 0).agg(F.sum(F.col("_d1") - e1).alias("_oe"), F.sum(v).alias("_v"),
                            F.sum("_d1").alias("observed_a"), F.sum(e1).alias("expected_a"))
     return g.select((F.col("_oe") * F.col("_oe") / F.col("_v")).alias("log_rank_chi2"),
