@@ -3,8 +3,9 @@
 Order matters (X11): coerce first, then apply the missing-value policy.
 Statistics (median, mode, quartiles) are computed for all columns at once and
 applied as a broadcast one-row frame — never collected into Python per column.
-Quantiles come from one histogram of all columns (``ranks.histogram``), so that
-columns with any number of distinct values keep no value map in a task.
+Quantiles come from one histogram of all columns (``ranks.coarse_histogram`` where the
+rows are read again anyway), so that columns with any number of distinct values keep no
+value map in a task.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbflow.functions.columns import attach, flag
-from ebbflow.operators.ranks import grouped_quantiles, histogram, histogram_quantiles, quantile_row
+from ebbflow.operators.ranks import grouped_quantiles, quantile_row
+from ebbflow.session import materialize
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
@@ -74,21 +76,27 @@ def missing_profile(df: DataFrame) -> DataFrame:
 
 
 def iqr_bounds(df: DataFrame, cols, k: float = 1.5) -> DataFrame:
-    """Per column Q1, Q3, IQR, bounds and outlier count, all from one histogram
-    of every column; columns without a value have none."""
-    h = histogram(df, list(cols))
-    qs = histogram_quantiles(h, ["column"], [0.25, 0.75]).select("column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    """Per column Q1, Q3, IQR, bounds and outlier count: exact quartiles of all columns
+    together, then one aggregation over the rows; columns without a value have none."""
+    cols = list(cols)
+    qs = (grouped_quantiles(df, cols, [0.25, 0.75], reread=True)
+          .select("column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")))
     qs = qs.withColumns({"iqr": F.col("q3") - F.col("q1")}).withColumns({
         "lower": F.col("q1") - k * F.col("iqr"), "upper": F.col("q3") + k * F.col("iqr")})
-    outside = (F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper"))
-    return (h.join(F.broadcast(qs), "column").groupBy("column", "q1", "q3", "iqr", "lower", "upper")
-            .agg(F.sum(F.when(outside, F.col("cnt")).otherwise(0)).cast("long").alias("outliers")))
+    qs = materialize(qs, "bounds")
+    limits = qs.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("lower", "upper")))).alias("_b"))
+    wide = limits.select(*[F.col("_b")[c].alias(f"_b{i}") for i, c in enumerate(cols)])
+    numbers = df.select(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)]).transform(attach, wide)
+    outside = lambda i: (F.col(f"_v{i}") < F.col(f"_b{i}.lower")) | (F.col(f"_v{i}") > F.col(f"_b{i}.upper"))
+    outliers = numbers.agg(*[F.count_if(outside(i)).alias(c) for i, c in enumerate(cols)])
+    return (qs.join(F.broadcast(outliers.unpivot([], cols, "column", "outliers")), "column")
+            .select("column", "q1", "q3", "iqr", "lower", "upper", "outliers"))
 
 
 def iqr_cap(df: DataFrame, cols, k: float = 1.5, cap_degenerate: bool = False) -> DataFrame:
     """Clip to [Q1 − k·IQR, Q3 + k·IQR]. Columns with IQR = 0 (e.g. rare 0/1
     flags) are left alone unless ``cap_degenerate`` (X10)."""
-    q = quantile_row(df, {c: [0.25, 0.75] for c in cols})
+    q = quantile_row(df, {c: [0.25, 0.75] for c in cols}, reread=True)
     out = df.transform(attach, q.select(*[F.col(c).alias(f"_q_{c}") for c in cols]))
     exprs = {}
     for c in cols:
@@ -199,7 +207,7 @@ def describe(df: DataFrame, cols=None) -> DataFrame:
             F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
             F.min(x).alias("min"), F.max(x).alias("max")).alias(c))
     long = df.agg(*aggs).unpivot([], cols, "column", "s")
-    q = grouped_quantiles(df, cols, [0.25, 0.5, 0.75]).select("column", "q")
+    q = grouped_quantiles(df, cols, [0.25, 0.5, 0.75], reread=True).select("column", "q")
     return long.join(F.broadcast(q), "column", "left").select(
         "column", F.col("s.count").alias("count"), F.col("s.mean").alias("mean"),
         F.col("s.std").alias("std"), F.col("s.min").alias("min"),

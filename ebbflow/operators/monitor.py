@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ebbflow.functions.columns import attach, flag
 from ebbflow.functions.stats import ks_p_expr
 from ebbflow.operators.evaluate import roc_auc, threshold_metrics
-from ebbflow.operators.ranks import exact_quantiles, first_fraction_flag, grouped_prefix_sums
+from ebbflow.operators.ranks import counted_values, exact_quantiles, first_fraction_flag, grouped_prefix_sums
 from ebbflow.session import materialize
 
 
@@ -27,12 +27,10 @@ def row_slice_split(df: DataFrame, order, frac: float, first: str = "reference",
 def window_histogram(tagged: DataFrame, cols: list[str], window: str = "window",
                      ref: str = "reference", cur: str = "current") -> DataFrame:
     """(feature, v, n_ref, n_cur): how often each non-null value of each column occurs in the
-    two windows, by one unpivot and one partial aggregation."""
-    is_r, is_c = F.col(window) == ref, F.col(window) == cur
-    return (tagged.select(window, *[F.col(c).cast("double").alias(c) for c in cols])
-            .unpivot(window, cols, "feature", "v").where(F.col("v").isNotNull())
-            .groupBy("feature", "v").agg(F.sum(flag(is_r)).cast("long").alias("n_ref"),
-                                         F.sum(flag(is_c)).cast("long").alias("n_cur")))
+    two windows, from one reading of the rows."""
+    in_window = lambda w: F.sum(F.when(F.col(window) == w, F.col("cnt")).otherwise(0)).cast("long")
+    return (counted_values(tagged, cols, [window]).groupBy(F.col("column").alias("feature"), "v")
+            .agg(in_window(ref).alias("n_ref"), in_window(cur).alias("n_cur")))
 
 
 def drift_statistics(tagged: DataFrame, cols: list[str], window: str = "window",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ebbflow.functions.columns import attach
 
 from ebbflow.operators.clean import numeric_columns
-from ebbflow.operators.ranks import histogram, histogram_quantiles
+from ebbflow.operators.ranks import coarse_histogram, histogram_quantiles
 
 
 def align_features(df: DataFrame, names: list[str] | None, target: str = "Churn_binary",
@@ -33,14 +33,15 @@ def align_features(df: DataFrame, names: list[str] | None, target: str = "Churn_
 def mutual_information(df: DataFrame, features: list[str], target: str = "Churn_binary",
                        bins: int = 10) -> DataFrame:
     """D1 (re-aimed): plug-in mutual information (nats) between each feature, in
-    bins between its exact quantiles, and the target. One histogram of (feature,
+    bins between its exact quantiles, and the target. One coarse histogram of (feature,
     value, target) gives quantiles and contingency cells for all features. A value
     is in the bin of the number of inner quantiles below it, so equal quantiles
     leave bins empty and a feature with few values keeps one bin per value."""
-    h = (histogram(df.select(F.col(target).alias("_y"), *features), features, ["_y"])
+    levels = [i / bins for i in range(1, bins)]
+    h = (coarse_histogram(df.select(F.col(target).alias("_y"), *features), features, levels, ["_y"])
          .select(F.col("column").alias("feature"), "v", "_y", "cnt"))
     values = h.groupBy("feature", "v").agg(F.sum("cnt").alias("cnt"))
-    inner = histogram_quantiles(values, ["feature"], [i / bins for i in range(1, bins)])
+    inner = histogram_quantiles(values, ["feature"], levels)
     below = F.size(F.filter("q", lambda e: e < F.col("v")))
     cells = (h.join(F.broadcast(inner), "feature").withColumn("_b", below)
              .groupBy("feature", "_b", "_y").agg(F.sum("cnt").alias("_nxy"), F.first("n").alias("_n")))
