@@ -17,7 +17,9 @@ blocks behind an inverted index. The words that many examples have are columns o
 dense matrix with, per block, the largest weight of each; the others' postings are
 added up first. A block's largest sum, and the query's product with its largest
 weights, bound every cosine in the block. The blocks of largest bound are opened
-first, then those that can still beat the k-th neighbour; the others never are. The
+first, then those that can still beat the k-th neighbour; the others never are. The dense
+part of opened blocks is multiplied in single precision, and exactly for every example
+that its error lets among the nearest: the
 cosines are exact (to twelve digits), so a copy of an example has cosine 1. Neighbours
 vote with the fourth power of their cosine, against a prior of weight ``prior_weight``
 at the rate of toxic rows among labelled rows without evidence; the score is the
@@ -34,7 +36,7 @@ from __future__ import annotations
 import math
 import pickle
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Collection, Iterator
 from dataclasses import dataclass, fields
 from functools import cached_property
@@ -58,6 +60,10 @@ NEW_TERMS = 100
 BUCKETS = 1 << 21
 #: Words of most examples whose weights are a dense matrix, and queries multiplied with it at once.
 COMMON, QUERIES = 512, 128
+#: Rows whose words are numbered together; a multiple of QUERIES.
+ROWS = 1024
+#: Over twice the error of a product of COMMON positive terms in single precision whose exact value is 1 at most.
+SLACK = 1e-4
 _TYPE = "struct<score:double,evidence:array<struct<doc_id:long,cosine:double,label:int>>>"
 
 
@@ -89,6 +95,19 @@ def counts(text: str | None) -> dict[bytes, int]:
     return found
 
 
+def terms_in(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the terms that the texts have; text and term of each occurrence."""
+    words: defaultdict[bytes, int] = defaultdict()
+    words.default_factory = words.__len__
+    found = [np.fromiter(map(words.__getitem__, text_words(text or "")), np.int64) for text in texts]
+    starts: defaultdict[bytes, int] = defaultdict()
+    starts.default_factory = lambda: len(words) + len(starts)
+    start = np.array([starts[w[:PREFIX] + b"*"] if len(w) > PREFIX else -1 for w in words], np.int64)
+    word, of = np.concatenate([np.zeros(0, np.int64), *found]), np.repeat(np.arange(len(texts)), list(map(len, found)))
+    first = start[word]
+    return hashes_of([*words, *starts]), np.concatenate([of, of[first >= 0]]), np.concatenate([word, first[first >= 0]])
+
+
 @dataclass
 class ToxicityModel:
     """What the driver holds and sends out: bounded by ``max_examples``, their words and ``BUCKETS``."""
@@ -119,23 +138,34 @@ class ToxicityModel:
 
     @cached_property
     def index(self) -> tuple[np.ndarray, ...]:
-        """Per term its column of the dense matrix or -1; weights by example (whole blocks) and column;
-        the largest by column and block; logarithms of counts; lengths by example (whole blocks)."""
+        """Per term its column of the dense matrix or -1; the columns' terms; weights by example (whole
+        blocks) and column, in single precision; the counts they are of; the largest weights by column and
+        block; 1 + logarithms of counts (0 of none); lengths by example (whole blocks); for the terms' postings, then for those of
+        counts over 1: where each term's begin, and the examples, then also the counts, as binary values, which
+        one call gathers for many terms."""
         begin, example, count = self.postings
         n_terms, blocks = len(self.terms), -(-len(self.labels) // self.block)
         often = np.diff(begin)
         common = np.sort(np.lexsort((np.arange(n_terms), -often))[:COMMON])
         column = np.full(n_terms, -1, np.int16)
         column[common] = np.arange(len(common))
-        dense = np.zeros((blocks * self.block, len(common)))
+        dense = np.zeros((blocks * self.block, len(common)), np.float32)
+        held = np.zeros(dense.shape, count.dtype)
+        largest = np.zeros((len(common), blocks))
         for c, t in enumerate(common.tolist()):
             some = slice(int(begin[t]), int(begin[t + 1]))
             e = example[some]
-            dense[e, c] = self._weights(np.full(len(e), t), count[some]) / self.length[e]
-        largest = np.ascontiguousarray(dense.reshape(blocks, self.block, len(common)).max(1).T)
+            w = self._weights(np.full(len(e), t), count[some]) / self.length[e]
+            dense[e, c], held[e, c] = w, count[some]
+            np.maximum.at(largest[c], e // self.block, w)
         logs = 1 + np.log(np.maximum(np.arange(int(count.max(initial=1)) + 1), 1))
+        logs[0] = 0
         length = np.concatenate([self.length, np.ones(blocks * self.block - len(self.length))])
-        return column, dense, largest, logs, length
+        lists = lambda at, x: pa.Array.from_buffers(pa.large_binary(), n_terms, [None, pa.py_buffer(at * x.itemsize), pa.py_buffer(x)])
+        more = np.flatnonzero(count > 1)
+        at = np.searchsorted(more, begin)
+        return (column, common, dense, held, largest, logs, length, begin, lists(begin, example),
+                at, lists(at, example[more]), lists(at, count[more]))
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """A term's number, or a bucket past all numbers if no example has it."""
@@ -147,13 +177,19 @@ class ToxicityModel:
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and normalised weights of a text."""
-        found = counts(text)
-        number, n = self.numbers(hashes_of(found)), np.fromiter(found.values(), np.int64, len(found))
-        order = np.argsort(number, kind="stable")
-        number, n = number[order], n[order]
-        first = np.flatnonzero(np.diff(number, prepend=-1))
-        i = number[first]
-        return i, self._unit(i, np.add.reduceat(n, first) if len(first) else n)
+        return self.vectors([text])[0]
+
+    def numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, number, count) of every term number that a text has, ascending."""
+        hashes, of, term = terms_in(texts)
+        numbers = self.numbers(hashes)
+        key, n = np.unique(of * (len(self.terms) + BUCKETS) + numbers[term], return_counts=True)
+        return *np.divmod(key, len(self.terms) + BUCKETS), n
+
+    def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        of, i, n = self.numbered(texts)
+        ends = np.searchsorted(of, np.arange(1, len(texts))) if len(texts) else []
+        return [(i, self._unit(i, n)) for i, n in zip(np.split(i, ends), np.split(n, ends))]
 
     def _weights(self, i: np.ndarray, n: np.ndarray) -> np.ndarray:
         return (1 + np.log(n.astype(float))) * self.idf[i] * np.where(i < self.evident, self.evidence, 1.0)
@@ -172,8 +208,8 @@ class ToxicityModel:
         return [x for at in range(0, len(vectors), QUERIES) for x in self._nearest(vectors[at:at + QUERIES])]
 
     def _nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[float, int]]]:
-        columns, dense, largest, logs, length = self.index
-        begin, examples, count = self.postings
+        columns, _, dense, _, largest, logs, length, begin, examples, more, more_examples, more_counts = self.index
+        _, example, count = self.postings
         size, blocks = len(dense), len(dense) // self.block
         cosine, q = np.zeros((len(vectors), size)), np.zeros((len(vectors), dense.shape[1]))
         for k, (i, w) in enumerate(vectors):
@@ -182,40 +218,58 @@ class ToxicityModel:
             column = columns[i]
             q[k, column[column >= 0]] = w[column >= 0]
             i, w = i[column < 0], w[column < 0]
-            lo = begin[i]
-            n = begin[i + 1] - lo
-            row = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
             each = w * self.idf[i] * np.where(i < self.evident, self.evidence, 1.0)
-            cosine[k] = np.bincount(examples[row], logs[count[row]] * np.repeat(each, n), minlength=size) / length
+            n, m, terms = begin[i + 1] - begin[i], more[i + 1] - more[i], pa.array(i)
+            values = lambda x, like, n: np.frombuffer(x.take(terms).buffers()[2] or b"", like.dtype, int(n.sum()))
+            if n.any():
+                cosine[k] = np.bincount(values(examples, example, n), np.repeat(each, n), minlength=size)
+            if m.any():
+                rest = np.repeat(each, m) * (logs[values(more_counts, count, m)] - 1)
+                cosine[k] += np.bincount(values(more_examples, example, m), rest, minlength=size)
+        cosine /= length
         bound = cosine.reshape(len(vectors), blocks, self.block).max(2) + q @ largest
         first = min(max(FIRST_BLOCKS, -(-self.neighbours // self.block)), blocks)
         opened = np.zeros(bound.shape, bool)
         np.put_along_axis(opened, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)  # the most promising, then all that can still matter
-        self._open(cosine, q, opened)
-        worst = np.zeros(len(vectors))
+        near = np.full((len(vectors), blocks, self.block), -1.0, np.float32)  # -1: not opened
+        self._open(near, cosine, q, opened)
+        worst = np.array([self._least(near[k, opened[k]].ravel()) for k in range(len(vectors))])
+        self._open(near, cosine, q, ~opened & (bound > worst[:, None] - SLACK))
+        near = near.reshape(len(vectors), size)
+        found = []
         for k in range(len(vectors)):
-            seen = cosine[k].reshape(blocks, self.block)[opened[k]].ravel()
-            if len(seen) >= self.neighbours:
-                worst[k] = np.partition(seen, len(seen) - self.neighbours)[len(seen) - self.neighbours]
-        rest = ~opened & (bound > worst[:, None] - 1e-9)
-        self._open(cosine, q, rest)
-        opened |= rest
-        return [self._best(cosine[k].reshape(blocks, self.block), opened[k]) for k in range(len(vectors))]
-
-    def _open(self, cosine: np.ndarray, q: np.ndarray, some: np.ndarray) -> None:
-        """Adds the common words' part in the chosen blocks of each query."""
-        dense = self.index[1]
+            some = np.flatnonzero(near[k] >= max(worst[k] - SLACK, 0.0))
+            some = some[near[k, some] >= self._least(near[k, some]) - SLACK]
+            found.append(self._best(some, cosine[k], q[k]))
+        return found
+
+    def _open(self, near: np.ndarray, cosine: np.ndarray, q: np.ndarray, some: np.ndarray) -> None:
+        """Cosines, the common words' part in single precision, in the chosen blocks of each query."""
+        dense, q = self.index[2], q.astype(np.float32)
+        cosine = cosine.reshape(near.shape)
+        if some.mean() > 0.25:  # the whole product costs less than its many parts
+            near[:] = cosine + (q @ dense.T).reshape(near.shape)
+            return
         for b in np.flatnonzero(some.any(0)).tolist():
-            k, rows = np.flatnonzero(some[:, b]), slice(b * self.block, (b + 1) * self.block)
-            cosine[k, rows] += q[k] @ dense[rows].T
-
-    def _best(self, cosine: np.ndarray, opened: np.ndarray) -> list[tuple[float, int]]:
-        """The nearest of the examples of opened blocks, ties by their order."""
-        which = (np.flatnonzero(opened)[:, None] * self.block + np.arange(self.block)).ravel()
-        found = np.round(cosine[opened].ravel(), 12)
-        if len(found) > self.neighbours:
-            some = np.flatnonzero(found >= np.partition(found, len(found) - self.neighbours)[len(found) - self.neighbours])
-            which, found = which[some], found[some]
+            k = np.flatnonzero(some[:, b])
+            near[k, b] = cosine[k, b] + q[k] @ dense[b * self.block:(b + 1) * self.block].T
+
+    def _least(self, near: np.ndarray) -> float:
+        """The k-th cosine; 0 if there are fewer."""
+        at = len(near) - self.neighbours
+        return float(np.partition(near, at)[at]) if at >= 0 else 0.0
+
+    def _best(self, which: np.ndarray, cosine: np.ndarray, q: np.ndarray) -> list[tuple[float, int]]:
+        """The nearest of the examples ``which``, by exact cosines, ties by their order."""
+        _, common, _, held, _, logs, length, *_ = self.index
+        c = np.flatnonzero(q)
+        found = cosine[which].copy()
+        if len(c):
+            each = self.idf[common[c]] * np.where(common[c] < self.evident, self.evidence, 1.0)
+            for at in range(0, len(which), 1024):  # many copies may be equally near
+                e = which[at:at + 1024]
+                found[at:at + 1024] += (logs[held[e[:, None], c]] * each / length[e, None]) @ q[c]
+        found = np.round(found, 12)
         best = np.lexsort((which, -found))[:self.neighbours]
         return [(c, e) for c, e in zip(found[best].tolist(), which[best].tolist()) if c > 0]
 
@@ -304,10 +358,9 @@ def _document_frequencies(docs: DataFrame, model: ToxicityModel) -> None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: ToxicityModel = shared.value
         df, n = np.zeros(len(m.idf), np.int64), 0
-        for batch in row_chunks(batches):
+        for batch in row_chunks(batches, ROWS):
             n += batch.num_rows
-            for text in batch.column("text").to_pylist():
-                df[np.unique(m.numbers(hashes_in(text)))] += 1
+            np.add.at(df, m.numbered(batch.column("text").to_pylist())[1], 1)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], names=["i", "n"])
 
@@ -386,8 +439,8 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None,
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: ToxicityModel = shared.value
         entry = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])
-        for batch in row_chunks(batches):
-            near = m.nearest_of([m.vector(x or "") for x in batch.column("text").to_pylist()])
+        for batch in row_chunks(batches, ROWS):
+            near = m.nearest_of(m.vectors(batch.column("text").to_pylist()))
             evidence = [[{"doc_id": int(m.doc_ids[e]), "cosine": c, "label": int(m.labels[e])} for c, e in n] for n in near]
             found = pa.StructArray.from_arrays([pa.array([m.score(n) for n in near], pa.float64()), pa.array(evidence, pa.list_(entry))],
                                                names=["score", "evidence"])

@@ -98,3 +98,24 @@ def test_words_that_no_example_has_count_in_the_length(spark):
     text = docs.first().text
     alone, longer = (model.nearest(*model.vector(t))[0][0] for t in (text, text + " never seen before in any example"))
     assert alone == 1 and longer < 0.99
+
+
+def test_texts_numbered_together_equal_those_numbered_alone_and_cosines_are_exact(spark):
+    docs, labels = small(spark)
+    again = docs.select((F.col("doc_id") + 500).alias("doc_id"), F.concat_ws(" ", "text", F.lit("waa waa waa"), F.substring("text", 1, 30)).alias("text"))
+    model = toxicity.fit(docs.unionByName(again), labels.unionByName(again.select("doc_id", F.lit(0).alias("toxic"))), F.lit(True), block=8)
+    texts = [r.text for r in again.collect()] + ["", None, "neverseenbefore neverseenlater", "ééééééé waa"]
+    together = model.vectors(texts)
+    for text, (i, w) in zip(texts, together):
+        j, v = model.vector(text)
+        assert np.array_equal(i, j) and np.array_equal(w, v)
+        found = toxicity.counts(text)
+        assert sorted(i.tolist()) == sorted(set(model.numbers(toxicity.hashes_of(found)).tolist()))
+    full = np.zeros((len(model.labels), len(model.terms) + 1))  # the last column: words that no example has
+    begin, example, count = model.postings
+    term = np.repeat(np.arange(len(model.terms)), np.diff(begin))
+    full[example, term] = model._weights(term, count) / model.length[example]
+    for (i, w), near in zip(together, model.nearest_of(together)):
+        every = np.round(full[:, np.minimum(i, len(model.terms))] @ w, 12)
+        best = np.lexsort((np.arange(len(every)), -every))[:model.neighbours]
+        assert np.allclose([c for c, _ in near], every[best][every[best] > 0], atol=2e-12, rtol=0)
