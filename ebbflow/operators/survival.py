@@ -298,10 +298,10 @@ def concordance_index(df: DataFrame, dur: str, evt: str, risk: str) -> DataFrame
     tree = (cells.join(numbered, "_t").withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
             .withColumn("_node", F.call_function("shiftright", k, F.col("_level") + 1))
             .withColumn("_right", F.call_function("shiftright", k, F.col("_level")).bitwiseAND(F.lit(1).cast("long")) == 1))
-    by_risk = tree.groupBy("_level", "_node", "_r").agg(
+    by_risk = materialize(tree.groupBy("_level", "_node", "_r").agg(
         F.sum(F.when(F.col("_right"), F.col("_n")).otherwise(0)).alias("_later"),
-        F.sum(F.when(F.col("_right"), 0).otherwise(F.col("_d"))).alias("_events"))
-    cum = grouped_prefix_sums(by_risk, ["_level", "_node"], [("_r", True)], {"_upto": F.col("_later")}, freeze=True)
+        F.sum(F.when(F.col("_right"), 0).otherwise(F.col("_d"))).alias("_events")), "levels")  # read by both sums
+    cum = grouped_prefix_sums(by_risk, ["_level", "_node"], [("_r", True)], {"_upto": F.col("_later")})
     node = by_risk.groupBy("_level", "_node").agg((F.sum("_events") * F.sum("_later")).alias("_pairs"))
     conc = cum.agg(F.sum(F.col("_events") * (2 * F.col("_upto") - F.col("_later"))).alias("_conc2"))
     pairs = node.agg(F.sum("_pairs").alias("comparable_pairs"))

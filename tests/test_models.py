@@ -189,3 +189,20 @@ def test_permuted_scores_in_batches_equal_those_of_repeated_rows(spark, monkeypa
             m.setattr(models, "GBTClassificationModel", type(None))
             assert read() == batches
         assert set(batches) == set(feats)
+
+
+def test_concordance_counts_levels_once(spark):
+    df = spark.createDataFrame([(i % 7, i % 2, float(i % 5)) for i in range(40)], "t int, e int, r double")
+    got = survival.concordance_index(df, "t", "e", "r")
+    assert "Generate" not in got._jdf.queryExecution().toString()  # the rows of all levels are written once
+
+
+def test_contributions_are_added_up_before_the_join(spark):
+    from ebbflow.plans.catalog_models import _adds_up
+    given = spark.createDataFrame([(1, 0.5, [1.0, 2.0]), (2, 0.5, [0.0, 0.25]), (2, 0.5, None), (None, 0.5, [1.0])],
+                                  "customer_id long, bias double, contributions array<double>")
+    margin = spark.createDataFrame([(1, 3.5), (2, 1.0), (None, 1.5)], "customer_id long, margin double")
+    got = _adds_up(given, margin)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 2, True), (2, 2, False), (2, None, None)], key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("aggregate(")

@@ -98,3 +98,19 @@ def test_cut_keys_keep_every_type(spark, kind):
     read = lambda bounded: sorted(map(tuple, ranks.prefix_sums(df, [("k", False), ("id", True)], {"s": F.col("x")}, bounded=bounded, partitions=7)
                                       .select("id", "s").collect()))
     assert read(False) == read(True)
+
+
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_frozen_input_is_evaluated_once(spark, monkeypatch, small):
+    monkeypatch.setattr(ranks, "SMALL", small)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([(i % 3, i) for i in range(600)], "g long, x long").mapInArrow(counted, "g long, x long")
+    got = ranks.grouped_prefix_sums(df, ["g"], [("x", True)], {"s": F.lit(1).cast("long")}, freeze=True)
+    assert {r.x: r.s for r in got.collect()} == {i: i // 3 + 1 for i in range(600)}
+    assert read.value == 600
